@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Segments up to this length are remembered, so many of them; then the memory starts anew.
-REMEMBER_CHARS, REMEMBER = 48, 700_000
+REMEMBER_CHARS, REMEMBER = 48, 300_000
 
 
 def load_pieces(path: str) -> dict:

@@ -35,7 +35,7 @@ REPORTING = frozenset("said says wrote writes called quote quoted quotes word te
 QUOTED_WEIGHT, NEIGHBOUR_BONUS = 0.15, 0.25
 #: Misspelled forms worth less are no hits.
 LEAST = 0.1
-REMEMBER = 1_000_000
+REMEMBER = 250_000
 THRESHOLD = 0.3
 
 
