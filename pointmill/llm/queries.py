@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, simhash, spm, toxicity
+from . import attnlm, decontam, digest, langid, license_scan, line_dedup, pii, simhash, spm, toxicity
 from .common import id_bucket, table
 
 
@@ -20,14 +20,33 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key() -> bytes:
+    """The secret of the surrogates; runs that must agree need the same POINTMILL_PII_KEY."""
+    return os.environ.get("POINTMILL_PII_KEY", "pointmill-test-key").encode()
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return judged.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.edited_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.token_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attnlm.score_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -35,20 +54,35 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "n_hits", "n_quoted", "hits")
 
 
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"), surrogate_key())
+    return out.select("doc_id", "text", "n_entities", "kinds")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language": op2_language,
+    "op3_fingerprint": op3_fingerprint,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_attention_lm": op5_attention_lm,
     "op6_toxicity": op6_toxicity,
+    "op7_license": op7_license,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
     "op10_decontamination": op10_decontamination,
 }
 
