@@ -147,6 +147,9 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         body = canon[0] + "".join(str(s.below(10)) for _ in canon[1:-1])
         start = s.below(10)
         return next(x for k in range(10) if luhn_valid(x := body + str((start + k) % 10)) == luhn_valid(canon))
+    if kind == "phone" and len(canon) > 10:
+        # What stands before ten digits is a country's code and stays.
+        return canon[: len(canon) - 10] + "".join(str(2 + s.below(8)) if i == 0 else str(s.below(10)) for i in range(10))
     if kind in ("phone", "ssn"):
         return "".join(str(1 + s.below(9)) if i == 0 or c != "0" and i < 2 else str(s.below(10)) for i, c in enumerate(canon))
     if kind == "key":
