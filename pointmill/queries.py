@@ -1,6 +1,755 @@
-"""The registered queries of the point-cloud operators, and their SQL."""
+"""The registered queries of the point-cloud operators on the scene made from ``lineitem``, and their SQL."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geometry as G
+from .operators import components as C
+from .operators import ground, measure, noise, objects, quality, raster, tables, terrain
+from .operators.quality import Frame
+from .scene import points, scene_cte
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+#: Grid of the scene: row and col of a point, as in :func:`quality.with_cells`.
+FR = "fr AS (SELECT min(x) AS x0, min(z) AS z0, CAST(floor(max(x) - min(x)) AS INTEGER) + 1 AS cols, CAST(floor(max(z) - min(z)) AS INTEGER) + 1 AS rws FROM pts)"
+CELLED = "pc AS (SELECT pts.*, CAST(greatest(0, least(rws - 1, floor(z - z0))) AS INTEGER) AS row, CAST(greatest(0, least(cols - 1, floor(x - x0))) AS INTEGER) AS col FROM pts CROSS JOIN fr)"
+BASE = f"{scene_cte()}, {FR}, {CELLED}"
+NOISE = "classification IN (7, 18)"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query of (spark, sf_dir) and its SQL."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+def hag_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scene with exact heights above its terrain."""
+    return points(spark, sf_dir).withColumn("height_above_ground", F.col("y") - F.col("terrain"))
+
+
+def low_grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Frame]:
+    p = points(spark, sf_dir)
+    frame = Frame.of(p)
+    return raster.minimum_surface(p, frame), frame
+
+
+LOW = f"{BASE}, lo AS (SELECT row, col, min(y) AS value FROM pc WHERE NOT {NOISE} GROUP BY row, col)"
+
+
+# ------------------------------------------------------------ projections, filters, histograms
+
+
+@query(scene_cte() + """
+SELECT count(*) AS n, min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z,
+  (min(x) + max(x)) / 2e0 AS center_x, (min(y) + max(y)) / 2e0 AS center_y, (min(z) + max(z)) / 2e0 AS center_z,
+  max(x) - min(x) AS size_x, max(y) - min(y) AS size_y, max(z) - min(z) AS size_z,
+  round(sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y)) + (max(z) - min(z)) * (max(z) - min(z))), 6) AS diagonal FROM pts""")
+def bounds(spark, sf_dir):
+    return tables.bounds(points(spark, sf_dir)).withColumn("diagonal", F.round("diagonal", 6))
+
+
+@query(scene_cte() + """
+SELECT floor((min(x) + max(x) + 1086000e0) / 2e0 / 1000e0 + 0.5e0) * 1000e0 AS origin_x, floor((min(y) + max(y)) / 2e0 / 1000e0 + 0.5e0) * 1000e0 AS origin_y,
+  floor((min(z) + max(z) - 8358000e0) / 2e0 / 1000e0 + 0.5e0) * 1000e0 AS origin_z FROM pts""")
+def choose_origin(spark, sf_dir):
+    # The scene moved to map coordinates of a survey.
+    return tables.choose_origin(points(spark, sf_dir).withColumns({"x": F.col("x") + 543000.0, "z": F.col("z") - 4179000.0}))
+
+
+@query(scene_cte() + "SELECT pid, 543000e0 + x AS east, -(-4179000e0 + z) + 0e0 AS north, 0e0 + y AS elevation FROM pts")
+def map_coordinates(spark, sf_dir):
+    return points(spark, sf_dir).select("pid", *G.map_coordinates(F.col("x"), F.col("y"), F.col("z"), (543000.0, 0.0, -4179000.0)))
+
+
+@query(scene_cte() + "SELECT pid, x, y, z FROM pts WHERE pid % 7 = 0")
+def thin_every_n(spark, sf_dir):
+    return tables.thin_every(points(spark, sf_dir), 7).select("pid", "x", "y", "z")
+
+
+@query(scene_cte() + "SELECT pid, x, y, z FROM pts WHERE floor((pid % 1000003 + 1) * 250000e0 / 1000003e0) <> floor(pid % 1000003 * 250000e0 / 1000003e0)")
+def trim_to_target(spark, sf_dir):
+    own = points(spark, sf_dir).withColumn("i", (F.col("pid") % 1000003).cast("double"))
+    return tables.trim_to(own, 250_000, 1_000_003, "i").select("pid", "x", "y", "z")
+
+
+@query(scene_cte() + "SELECT classification, count(*) AS n FROM pts GROUP BY classification")
+def class_histogram(spark, sf_dir):
+    return tables.class_histogram(points(spark, sf_dir))
+
+
+_NAMES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in G.CLASS_NAMES.items())
+
+
+@query(scene_cte() + f"""
+SELECT classification, CASE classification {_NAMES} ELSE 'Class ' || classification END AS name, count(*) AS n,
+  floor(count(*) * 100e0 / any_value(t.total) * 1000e0 + 0.5e0) / 1000e0 + 0e0 AS share FROM pts CROSS JOIN (SELECT count(*) AS total FROM pts) t GROUP BY classification""")
+def class_summary(spark, sf_dir):
+    return tables.class_summary(points(spark, sf_dir))
+
+
+@query(scene_cte() + "SELECT point_source_id, count(*) AS n FROM pts GROUP BY point_source_id")
+def flight_line_histogram(spark, sf_dir):
+    return tables.flight_line_histogram(points(spark, sf_dir))
+
+
+@query(scene_cte() + f"SELECT pid, classification FROM pts WHERE NOT {NOISE}")
+def without_noise(spark, sf_dir):
+    return tables.without_noise(points(spark, sf_dir)).select("pid", "classification")
+
+
+@query(scene_cte() + "SELECT pid, return_number FROM pts WHERE return_number <= 1")
+def first_returns(spark, sf_dir):
+    return tables.first_returns(points(spark, sf_dir)).select("pid", "return_number")
+
+
+@query(scene_cte() + "SELECT round(sum(CASE WHEN number_of_returns <= 1 THEN 1 ELSE 0 END) * 1e0 / count(*), 6) AS single_share, max(number_of_returns) AS max_returns FROM pts")
+def returns_summary(spark, sf_dir):
+    return tables.returns_summary(points(spark, sf_dir))
+
+
+@query(scene_cte() + f"SELECT CAST(sum(CASE WHEN {NOISE} THEN 1 ELSE 0 END) AS BIGINT) AS noise, count(*) AS n, round(sum(CASE WHEN {NOISE} THEN 1 ELSE 0 END) * 1e0 / count(*), 6) AS share FROM pts")
+def noise_share(spark, sf_dir):
+    return tables.noise_share(points(spark, sf_dir))
+
+
+@query(scene_cte() + f"SELECT pid, x + 543000e0 AS east, 4179000e0 - z + 0e0 AS north, y + 0e0 AS elevation, CASE classification {_NAMES} END AS class_name, return_number, number_of_returns, point_source_id FROM pts WHERE pid = (SELECT min(pid) FROM pts)")
+def describe_point(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return tables.describe_point(p, p.agg(F.min("pid")).first()[0], (543000.0, 0.0, -4179000.0))
+
+
+@query(scene_cte() + """
+, a AS (SELECT pid, x, y, z FROM pts WHERE pid % 97 = 0), b AS (SELECT min(x) AS bx, min(y) AS b_y, min(z) AS bz FROM pts)
+SELECT pid, round(sqrt((x - bx) * (x - bx) + (y - b_y) * (y - b_y) + (z - bz) * (z - bz)), 6) AS distance, round(sqrt((x - bx) * (x - bx) + (z - bz) * (z - bz)), 6) AS horizontal,
+  round(y - b_y, 6) AS vertical, round(CASE WHEN y = b_y AND x = bx AND z = bz THEN 0e0 ELSE degrees(atan2(abs(y - b_y), sqrt((x - bx) * (x - bx) + (z - bz) * (z - bz)))) END, 6) AS slope FROM a CROSS JOIN b""")
+def ruler_measure(spark, sf_dir):
+    p = points(spark, sf_dir)
+    b = p.agg(F.min("x"), F.min("y"), F.min("z")).first()
+    m = G.measure_between(*(F.col(c) - F.lit(v) for c, v in zip("xyz", b, strict=True)))
+    out = p.filter("pid % 97 = 0").select("pid", *m)
+    return out.select("pid", *(F.round(c, 6).alias(c) for c in ("distance", "horizontal", "vertical", "slope")))
+
+
+@query(scene_cte() + """
+SELECT pid, round(point_source_id * 0.6180339887e0 - floor(point_source_id * 0.6180339887e0), 6) AS hue,
+  CASE WHEN y - terrain < -0.25e0 THEN 'below' WHEN y - terrain <= 0.25e0 THEN 'ground' ELSE 'above' END AS band,
+  round(sqrt(least(1e0, greatest(0e0, y - terrain) / 30e0)), 6) AS ramp, round(pow(intensity / 4095e0, 0.8e0), 6) AS brightness FROM pts""")
+def colour_modes(spark, sf_dir):
+    h = F.col("height_above_ground")
+    return hag_points(spark, sf_dir).select(
+        "pid", F.round(G.flight_line_hue(F.col("point_source_id").cast("double")), 6).alias("hue"), F.when(h < -0.25, "below").when(h <= 0.25, "ground").otherwise("above").alias("band"),
+        F.round(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h) / 30.0)), 6).alias("ramp"), F.round(F.pow(F.col("intensity") / 4095.0, F.lit(0.8)), 6).alias("brightness"),
+    )
+
+
+@query(scene_cte() + ", s AS (SELECT intensity, row_number() OVER (ORDER BY intensity, pid) AS k, count(*) OVER () AS m FROM pts WHERE pid % 1 = 0) SELECT intensity AS value FROM s WHERE k = CAST(floor(0.98e0 * (m - 1)) AS BIGINT) + 1")
+def intensity_top(spark, sf_dir):
+    return tables.upper_percentile(points(spark, sf_dir), "intensity", 0.98, 10_000_000)
+
+
+# ------------------------------------------------------------ grids
+
+
+@query(LOW + " SELECT row, col, value FROM lo")
+def min_surface(spark, sf_dir):
+    return low_grid(spark, sf_dir)[0]
+
+
+@query(BASE + " SELECT row, col, avg(y) AS value FROM pc WHERE classification = 2 GROUP BY row, col")
+def mean_ground_surface(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return raster.mean_ground_surface(p, Frame.of(p))
+
+
+def _speckles(src: str, out: str) -> str:
+    return f"""{out}_n AS (SELECT g.row + i AS row, g.col + j AS col, count(*) AS n, avg(value) AS m FROM {src} g CROSS JOIN (SELECT * FROM (VALUES (-1), (0), (1)) a(i) CROSS JOIN (VALUES (-1), (0), (1)) b(j)) o
+  CROSS JOIN sg WHERE NOT (i = 0 AND j = 0) AND g.row + i BETWEEN 1 AND sr - 2 AND g.col + j BETWEEN 1 AND sc - 2 GROUP BY 1, 2 HAVING count(*) >= 4),
+{out} AS (SELECT row, col, value FROM {src} UNION ALL SELECT row, col, m FROM {out}_n h WHERE NOT EXISTS (SELECT 1 FROM {src} g WHERE g.row = h.row AND g.col = h.col))"""
+
+
+def _surface_sql(agg: str, cell: str) -> str:
+    return f"""{scene_cte()}, sg AS (SELECT min(x) AS x0, min(z) AS z0, CAST(ceil((max(x) - min(x)) / {cell}) AS INTEGER) + 1 AS sc, CAST(ceil((max(z) - min(z)) / {cell}) AS INTEGER) + 1 AS sr FROM pts),
+g0 AS (SELECT CAST(floor((z - z0) / {cell}) AS INTEGER) AS row, CAST(floor((x - x0) / {cell}) AS INTEGER) AS col, {agg}(y) AS value FROM pts CROSS JOIN sg WHERE NOT {NOISE} GROUP BY 1, 2),
+{_speckles("g0", "g1")}, {_speckles("g1", "g2")}
+SELECT row, col, floor(value * 1e9 + 0.5e0) / 1e9 AS value FROM g2"""
+
+
+def _surface(spark, sf_dir, how: str, cell: float = 0.5):
+    p = points(spark, sf_dir)
+    b = p.agg(F.min("x"), F.min("z"), F.max("x"), F.max("z")).first()
+    cols, rows = math.ceil((b[2] - b[0]) / cell) + 1, math.ceil((b[3] - b[1]) / cell) + 1
+    return raster.surface_grid(p, b[0], b[1], cell, cols, rows, how), (b[0], b[1], cell, cols, rows)
+
+
+@query(_surface_sql("max", "0.5e0"))
+def surface_grid_highest(spark, sf_dir):
+    return _surface(spark, sf_dir, "highest")[0].withColumn("value", F.floor(F.col("value") * 1e9 + 0.5) / 1e9)
+
+
+@query(_surface_sql("avg", "0.5e0"))
+def surface_grid_mean(spark, sf_dir):
+    return _surface(spark, sf_dir, "mean")[0].withColumn("value", F.floor(F.col("value") * 1e9 + 0.5) / 1e9)
+
+
+@query(f"{LOW}, sg AS (SELECT cols AS sc, rws AS sr FROM fr), {_speckles('lo', 'g1')} SELECT row, col, round(value, 6) AS value FROM g1")
+def fill_speckles(spark, sf_dir):
+    g, f = low_grid(spark, sf_dir)
+    return raster.fill_speckles(g, f.rows, f.cols).withColumn("value", F.round("value", 6))
+
+
+def _slide_sql(src: str, out: str, agg: str, r: int) -> str:
+    return f"""{out}_a AS (SELECT row, col, {agg}(value) OVER (PARTITION BY row ORDER BY col RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS value FROM {src}),
+{out} AS (SELECT row, col, {agg}(value) OVER (PARTITION BY col ORDER BY row RANGE BETWEEN {r} PRECEDING AND {r} FOLLOWING) AS value FROM {out}_a)"""
+
+
+@query(f"{LOW}, {_slide_sql('lo', 'e', 'min', 3)} SELECT * FROM e")
+def erode(spark, sf_dir):
+    return raster.erode(low_grid(spark, sf_dir)[0], 3)
+
+
+@query(f"{LOW}, {_slide_sql('lo', 'd', 'max', 2)} SELECT * FROM d")
+def dilate(spark, sf_dir):
+    return raster.dilate(low_grid(spark, sf_dir)[0], 2)
+
+
+@query(f"{LOW}, {_slide_sql('lo', 'e', 'min', 5)}, {_slide_sql('e', 'd', 'max', 5)} SELECT * FROM d")
+def open_clipped(spark, sf_dir):
+    return raster.open_clipped(low_grid(spark, sf_dir)[0], 5)
+
+
+@query(f"{BASE}, m AS (SELECT row, col, CAST(max(CASE WHEN kind IN (1, 2) THEN 1 ELSE 0 END) AS INTEGER) AS value FROM pc GROUP BY row, col), {_slide_sql('m', 'a', 'min', 1)}, {_slide_sql('a', 'b', 'max', 1)}, {_slide_sql('b', 'c', 'max', 1)}, {_slide_sql('c', 'd', 'min', 1)} SELECT * FROM d")
+def binary_open_close(spark, sf_dir):
+    p = points(spark, sf_dir)
+    m = quality.with_cells(p, Frame.of(p)).groupBy("row", "col").agg(F.max(F.col("kind").isin(1, 2).cast("int")).alias("value"))
+    return raster.binary_open_close(m)
+
+
+FILLED = f"""{LOW}, c1 AS (SELECT CAST(floor(row / 2e0) AS INTEGER) AS row, CAST(floor(col / 2e0) AS INTEGER) AS col, avg(value) AS value FROM lo GROUP BY 1, 2),
+cr AS (SELECT CAST(floor((rws + 1) / 2e0) AS INTEGER) AS rr, CAST(floor((cols + 1) / 2e0) AS INTEGER) AS cc FROM fr),
+allc AS (SELECT CAST(r.i AS INTEGER) AS row, CAST(c.i AS INTEGER) AS col FROM fr, LATERAL (SELECT unnest(range(rws)) AS i) r, LATERAL (SELECT unnest(range(cols)) AS i) c),
+em AS (SELECT a.row, a.col, greatest(0e0, least(rr - 1, (a.col + 0.5e0) / 2e0 - 0.5e0)) AS u, greatest(0e0, least(cc - 1, (a.row + 0.5e0) / 2e0 - 0.5e0)) AS v, rr, cc FROM allc a CROSS JOIN cr WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.row = a.row AND lo.col = a.col)),
+pl AS (SELECT e.row, e.col, u - floor(u) AS fu, v - floor(v) AS fv, nw.value AS nw, coalesce(ne.value, nw.value) AS ne, coalesce(sw.value, nw.value) AS sw, coalesce(se.value, sw.value, ne.value, nw.value) AS se FROM em e
+  LEFT JOIN c1 nw ON nw.row = floor(v) AND nw.col = floor(u) LEFT JOIN c1 ne ON ne.row = floor(v) AND ne.col = floor(u) + 1 LEFT JOIN c1 sw ON sw.row = floor(v) + 1 AND sw.col = floor(u) LEFT JOIN c1 se ON se.row = floor(v) + 1 AND se.col = floor(u) + 1),
+fd AS (SELECT row, col, value FROM lo UNION ALL SELECT row, col, nw + (ne - nw) * fu + ((sw + (se - sw) * fu) - (nw + (ne - nw) * fu)) * fv FROM pl)"""
+FILLED = FILLED.replace("least(rr - 1, (a.col", "least(cc - 1, (a.col").replace("least(cc - 1, (a.row", "least(rr - 1, (a.row")
+
+
+@query(FILLED + " SELECT row, col, round(value, 6) AS value FROM fd")
+def push_pull_fill(spark, sf_dir):
+    g, f = low_grid(spark, sf_dir)
+    return raster.push_pull(g, f.rows, f.cols).withColumn("value", F.round("value", 6))
+
+
+@query(FILLED + """, sl AS (SELECT row, col, value, lag(value) OVER r AS w, lead(value) OVER r AS e, lag(value) OVER c AS n, lead(value) OVER c AS s FROM fd WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row)),
+gr AS (SELECT row, col, (coalesce(e, value) - coalesce(w, value)) / (CASE WHEN e IS NULL OR w IS NULL THEN 1e0 ELSE 2e0 END) AS gx, (coalesce(s, value) - coalesce(n, value)) / (CASE WHEN s IS NULL OR n IS NULL THEN 1e0 ELSE 2e0 END) AS gz FROM sl)
+SELECT row, col, round(sqrt(gx * gx + gz * gz), 6) AS value FROM gr""")
+def slope(spark, sf_dir):
+    g, f = low_grid(spark, sf_dir)
+    return raster.slope(raster.push_pull(g, f.rows, f.cols), f.cell).withColumn("value", F.round("value", 6))
+
+
+@query(FILLED + """, q AS (SELECT pid, greatest(0e0, least(cols - 1, x - x0 - 0.5e0)) AS u, greatest(0e0, least(rws - 1, z - z0 - 0.5e0)) AS v FROM pts CROSS JOIN fr WHERE pid % 11 = 0),
+b AS (SELECT pid, u - floor(u) AS fu, v - floor(v) AS fv, nw.value AS nw, coalesce(ne.value, nw.value) AS ne, coalesce(sw.value, nw.value) AS sw, coalesce(se.value, CASE WHEN sw.value IS NULL THEN coalesce(ne.value, nw.value) ELSE sw.value END) AS se FROM q
+  JOIN fd nw ON nw.row = floor(v) AND nw.col = floor(u) LEFT JOIN fd ne ON ne.row = floor(v) AND ne.col = floor(u) + 1 LEFT JOIN fd sw ON sw.row = floor(v) + 1 AND sw.col = floor(u) LEFT JOIN fd se ON se.row = floor(v) + 1 AND se.col = floor(u) + 1)
+SELECT pid, round(nw + (ne - nw) * fu + ((sw + (se - sw) * fu) - (nw + (ne - nw) * fu)) * fv, 6) AS surface FROM b""")
+def bilinear_sample(spark, sf_dir):
+    g, f = low_grid(spark, sf_dir)
+    own = points(spark, sf_dir).filter("pid % 11 = 0").select("pid", "x", "z")
+    return raster.bilinear(own, raster.push_pull(g, f.rows, f.cols), f).select("pid", F.round("surface", 6).alias("surface"))
+
+
+_O9 = "(SELECT * FROM (VALUES (-1), (0), (1)) a(i) CROSS JOIN (VALUES (-1), (0), (1)) b(j)) o"
+PITS = f"""{LOW}, nb AS (SELECT g.row + i AS row, g.col + j AS col, list_sort(list(value)) AS ns FROM lo g CROSS JOIN {_O9} WHERE NOT (i = 0 AND j = 0) GROUP BY 1, 2),
+cd AS (SELECT lo.row, lo.col, value FROM lo JOIN nb USING (row, col) WHERE len(ns) >= 3 AND value < ns[CAST(floor((len(ns) - 1) / 2e0) AS INTEGER) + 1] - 0.25e0),
+pr AS (SELECT a.row, a.col, b.row AS r2, b.col AS c2 FROM cd a JOIN cd b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND NOT (a.row = b.row AND a.col = b.col)),
+kk AS (SELECT cd.row, cd.col, count(r2) AS k, max(r2) AS r2, max(c2) AS c2 FROM cd LEFT JOIN pr USING (row, col) GROUP BY 1, 2),
+sm AS (SELECT a.* FROM kk a LEFT JOIN kk b ON b.row = a.r2 AND b.col = a.c2 WHERE a.k = 0 OR (a.k = 1 AND b.k = 1)),
+so AS (SELECT g.row + i AS row, g.col + j AS col, min(value) AS m FROM (SELECT * FROM lo WHERE NOT EXISTS (SELECT 1 FROM cd WHERE cd.row = lo.row AND cd.col = lo.col)) g CROSS JOIN {_O9} WHERE NOT (i = 0 AND j = 0) GROUP BY 1, 2),
+up AS (SELECT sm.row, sm.col, least(coalesce(a.m, b.m), coalesce(b.m, a.m)) AS up FROM sm LEFT JOIN so a ON a.row = sm.row AND a.col = sm.col LEFT JOIN so b ON sm.k = 1 AND b.row = sm.r2 AND b.col = sm.c2)
+SELECT lo.row, lo.col, coalesce(up, value) AS value, up IS NOT NULL AS lifted FROM lo LEFT JOIN up USING (row, col)"""
+
+
+@query(PITS)
+def pits_raised(spark, sf_dir):
+    return raster.raise_pits(low_grid(spark, sf_dir)[0], 0.25)
+
+
+@query(f"{LOW}, n AS (SELECT g.row + i AS row, g.col + j AS col, avg(value) AS value FROM lo g CROSS JOIN {_O9} GROUP BY 1, 2) SELECT lo.row, lo.col, round(n.value, 6) AS value FROM lo JOIN n USING (row, col)")
+def smooth_grid(spark, sf_dir):
+    return raster.smooth(low_grid(spark, sf_dir)[0], 1).withColumn("value", F.round("value", 6))
+
+
+@query(f"{LOW}, n AS (SELECT g.row + i AS row, g.col + j AS col, sum(value * (2e0 - abs(i)) * (2e0 - abs(j))) / sum((2e0 - abs(i)) * (2e0 - abs(j))) AS value FROM lo g CROSS JOIN {_O9} GROUP BY 1, 2) SELECT lo.row, lo.col, round(n.value, 6) AS value FROM lo JOIN n USING (row, col)")
+def smooth_canopy(spark, sf_dir):
+    return raster.smooth_canopy(low_grid(spark, sf_dir)[0]).withColumn("value", F.round("value", 6))
+
+
+@query(f"{LOW}, n AS (SELECT g.row + i AS row, g.col + j AS col, list_sort(list(value)) AS v FROM lo g CROSS JOIN {_O9} CROSS JOIN fr WHERE NOT (i = 0 AND j = 0) AND g.row + i BETWEEN 1 AND rws - 2 AND g.col + j BETWEEN 1 AND cols - 2 GROUP BY 1, 2) SELECT row, col, value FROM lo UNION ALL SELECT row, col, v[CAST(floor(len(v) / 2e0) AS INTEGER) + 1] FROM n WHERE len(v) >= 5 AND NOT EXISTS (SELECT 1 FROM lo WHERE lo.row = n.row AND lo.col = n.col)")
+def fill_isolated_gaps(spark, sf_dir):
+    g, f = low_grid(spark, sf_dir)
+    return raster.fill_isolated_gaps(g, f.rows, f.cols)
+
+
+@query()
+def plane_roughness(spark, sf_dir):
+    return raster.plane_roughness(low_grid(spark, sf_dir)[0]).withColumn("value", F.round("value", 6))
+
+
+# ------------------------------------------------------------ quality
+
+FOOT = f"""{BASE}, oc AS (SELECT row, col, count(*) AS n FROM pc WHERE return_number <= 1 GROUP BY row, col), rs AS (SELECT row, min(col) AS c0, max(col) AS c1 FROM oc GROUP BY row), cs AS (SELECT col, min(row) AS r0, max(row) AS r1 FROM oc GROUP BY col),
+fc AS (SELECT rs.row, cs.col, coalesce(oc.n, 0) AS n FROM rs JOIN cs ON cs.col BETWEEN rs.c0 AND rs.c1 AND rs.row BETWEEN cs.r0 AND cs.r1 LEFT JOIN oc ON oc.row = rs.row AND oc.col = cs.col)"""
+
+
+@query(FOOT + " SELECT row, col, n FROM fc")
+def footprint_cells(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return quality.footprint_cells(p, Frame.of(p))
+
+
+DENS = FOOT + """, sd AS (SELECT n * 1e0 AS d, row_number() OVER (ORDER BY n) AS k, count(*) OVER () AS m FROM fc),
+ds AS (SELECT any_value(m) AS cells, round(sum(d) / any_value(m), 6) AS mean, min(CASE WHEN k > least(m - 1, floor(0.5e0 * m)) THEN d END) AS median, min(CASE WHEN k > least(m - 1, floor(0.05e0 * m)) THEN d END) AS p5,
+  round(sum(CASE WHEN d < 2 THEN 1 ELSE 0 END) * 1e0 / any_value(m), 6) AS below_2, round(sum(CASE WHEN d < 8 THEN 1 ELSE 0 END) * 1e0 / any_value(m), 6) AS below_8 FROM sd)"""
+
+
+@query(DENS + " SELECT *, round(1e0 / sqrt(mean), 6) AS spacing FROM ds")
+def density_stats(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return quality.density(p, Frame.of(p))
+
+
+@query(FOOT + " SELECT row, col, CASE WHEN n <= 0 THEN 'empty' WHEN n < 2 THEN 'sparse' WHEN n < 8 THEN 'thin' ELSE 'good' END AS band FROM fc")
+def density_heatmap(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return quality.footprint_cells(p, Frame.of(p)).select("row", "col", G.density_colour(F.col("n")).alias("band"))
+
+
+MOM = ", mo AS (SELECT row, col, point_source_id AS ps, count(*) AS n, sum(y) AS s, sum(y * y) AS ss, max(y) - min(y) AS spread FROM pc WHERE classification = 2 GROUP BY 1, 2, 3)"
+PREC = MOM + """, bs AS (SELECT row, col, s / n AS mean, ss / n - (s / n) * (s / n) AS var FROM (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, ps) AS k FROM mo WHERE n >= 4) q WHERE k = 1),
+nx AS (SELECT b.row, b.col, b.mean, b.var, w.mean AS w, e.mean AS e, n.mean AS n, s.mean AS s FROM bs b JOIN bs w ON w.row = b.row AND w.col = b.col - 1 JOIN bs e ON e.row = b.row AND e.col = b.col + 1 JOIN bs n ON n.col = b.col AND n.row = b.row - 1 JOIN bs s ON s.col = b.col AND s.row = b.row + 1),
+lv AS (SELECT round(sqrt(greatest(0e0, var - ((e - w) / 2e0 * ((e - w) / 2e0) + (s - n) / 2e0 * ((s - n) / 2e0)) / 6)), 6) AS sp FROM nx WHERE round(sqrt((e - w) / 2e0 * ((e - w) / 2e0) + (s - n) / 2e0 * ((s - n) / 2e0)), 6) <= 0.05e0 AND round(abs(mean - (w + e + n + s) / 4), 6) <= 0.1e0),
+pk AS (SELECT sp, row_number() OVER (ORDER BY sp) AS k, count(*) OVER () AS m FROM lv),
+pn AS (SELECT count(*) AS cells, min(CASE WHEN m >= 20 AND k > floor(m / 4e0) THEN sp END) AS hard, min(CASE WHEN m >= 20 AND k > floor(m / 2e0) THEN sp END) AS level FROM pk)"""
+
+
+@query(BASE + PREC + " SELECT * FROM pn")
+def precision(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return quality.precision(p, Frame.of(p))
+
+
+OFFS = MOM + ", mm AS (SELECT row, col, ps, s / n AS mean FROM mo WHERE n >= 3 AND spread <= 0.05e0), of AS (SELECT a.row, a.col, a.ps AS a, b.ps AS b, b.mean - a.mean AS o FROM mm a JOIN mm b ON a.row = b.row AND a.col = b.col AND a.ps < b.ps)"
+
+
+@query(BASE + OFFS + ", ok AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY o, row, col) AS k, count(*) OVER (PARTITION BY a, b) AS m FROM of) SELECT a, b, count(*) AS cells, round(avg(o), 6) AS mean, round(sqrt(avg(o * o)), 6) AS rms, round(max(CASE WHEN k = floor(m / 2e0) + 1 THEN o END), 6) AS median FROM ok GROUP BY a, b HAVING count(*) >= 20")
+def strip_pairs(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return quality.strip_pairs(p, Frame.of(p))
+
+
+OVER = OFFS + ", sv AS (SELECT row, col FROM mo GROUP BY row, col HAVING count(*) > 1), ov AS (SELECT round(count(sv.row) * 1e0 / count(*), 6) AS overlap_share, count(*) AS cells FROM fc LEFT JOIN sv ON sv.row = fc.row AND sv.col = fc.col), rm AS (SELECT round(sqrt(avg(o * o)), 6) AS rms FROM of)"
+
+
+@query(FOOT + OVER + " SELECT overlap_share, cells, rms FROM ov CROSS JOIN rm")
+def strip_overlap(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return quality.strip_overlap(p, Frame.of(p))
+
+
+def checkpoints_of(spark: SparkSession, sf_dir: str, p: DataFrame) -> DataFrame:
+    """One checkpoint for each nation, at a place and height by formula."""
+    ext = p.agg(F.max("x")).first()[0]
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    e, no = (F.col("n_nationkey") * 37 % 97) / F.lit(97.0) * ext, (F.col("n_nationkey") * 53 % 89) / F.lit(89.0) * ext
+    return n.select(F.concat(F.lit("CP"), F.col("n_nationkey").cast("string")).alias("name"), e.alias("east"), (-no).alias("north"), (F.lit(9.0) + F.col("n_nationkey") / F.lit(64.0)).alias("elevation"))
+
+
+CPS = """, cp AS (SELECT 'CP' || n_nationkey AS name, (n_nationkey * 37 % 97) / 97e0 * ext AS east, -((n_nationkey * 53 % 89) / 89e0 * ext) AS north, 9e0 + n_nationkey / 64e0 AS elevation FROM nation CROSS JOIN (SELECT max(x) AS ext FROM pts) q),
+ft AS (SELECT name, count(*) AS n, sum(y / greatest(d2, 1e-4)) / sum(1e0 / greatest(d2, 1e-4)) AS h FROM (SELECT name, y, (x - east) * (x - east) + (z + north) * (z + north) AS d2 FROM cp JOIN pts ON classification = 2 AND x BETWEEN east - 1.5e0 AND east + 1.5e0) q WHERE d2 <= 1e0 GROUP BY name HAVING count(*) >= 3),
+rz AS (SELECT cp.name, round(h - elevation, 6) AS residual, coalesce(n, 0) AS n FROM cp LEFT JOIN ft ON ft.name = cp.name)"""
+
+
+@query(scene_cte() + CPS + " SELECT * FROM rz")
+def checkpoint_residuals(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return quality.checkpoint_residuals(p, checkpoints_of(spark, sf_dir, p))
+
+
+ACC = CPS + ", ac AS (SELECT count(*) AS checkpoints, count(residual) AS measured, round(avg(residual), 6) AS mean, round(sqrt(avg(residual * residual)), 6) AS rmsez, round(sqrt(avg(residual * residual)) * 1.96e0, 6) AS nva, round(max(abs(residual)), 6) AS max_abs FROM rz)"
+
+
+@query(scene_cte() + ACC + " SELECT * FROM ac")
+def checkpoint_accuracy(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return quality.accuracy(quality.checkpoint_residuals(p, checkpoints_of(spark, sf_dir, p)))
+
+
+@query(DENS + PREC.replace(MOM, "", 1).join([MOM, ""]) + OVER.replace(MOM, "", 1) + ACC + f""", ck AS (
+SELECT 'density' AS "check", mean AS value, 2e0 AS "limit", CASE WHEN mean >= 2 THEN 'pass' ELSE 'fail' END AS verdict FROM ds
+UNION ALL SELECT 'uniformity', below_2, 0.1e0, CASE WHEN below_2 <= 0.1e0 THEN 'pass' ELSE 'review' END FROM ds
+UNION ALL SELECT 'precision', hard, 0.06e0, CASE WHEN hard IS NULL THEN 'skipped' WHEN hard <= 0.06e0 THEN 'pass' ELSE 'fail' END FROM pn
+UNION ALL SELECT 'strips', rms, 0.08e0, CASE WHEN rms IS NULL THEN 'skipped' WHEN rms <= 0.08e0 THEN 'pass' ELSE 'fail' END FROM rm
+UNION ALL SELECT 'noise', round(sum(CASE WHEN {NOISE} THEN 1 ELSE 0 END) * 1e0 / count(*), 6), 0.01e0, CASE WHEN round(sum(CASE WHEN {NOISE} THEN 1 ELSE 0 END) * 1e0 / count(*), 6) <= 0.01e0 THEN 'pass' ELSE 'review' END FROM pts
+UNION ALL SELECT 'accuracy', rmsez, 0.1e0, CASE WHEN rmsez IS NULL THEN 'skipped' WHEN rmsez <= 0.1e0 THEN 'pass' ELSE 'fail' END FROM ac) SELECT * FROM ck""")
+def quality_checks(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return quality.quality_checks(p, Frame.of(p), checkpoints_of(spark, sf_dir, p))
+
+
+@query("""WITH l AS (SELECT n_nationkey AS n, CASE WHEN n_nationkey % 4 = 0 THEN n_name || ',' || n_nationkey || '.5,' || (n_nationkey * 2) || ', 7' WHEN n_nationkey % 4 = 1 THEN n_nationkey || ';2;3.25' WHEN n_nationkey % 4 = 2 THEN 'name,east,north,elevation' ELSE 'junk' END AS v FROM nation),
+f AS (SELECT n, list_transform(regexp_split_to_array(v, '[,;\\t]'), lambda s: trim(s)) AS f FROM l),
+g AS (SELECT n, CASE WHEN len(f) >= 4 THEN f[1] END AS given, try_cast(f[-3] AS DOUBLE) AS east, try_cast(f[-2] AS DOUBLE) AS north, try_cast(f[-1] AS DOUBLE) AS elevation FROM f WHERE len(f) >= 3)
+SELECT coalesce(given, 'CP' || row_number() OVER (ORDER BY n)) AS name, east, north, elevation FROM g WHERE east IS NOT NULL AND north IS NOT NULL AND elevation IS NOT NULL""")
+def parse_checkpoints(spark, sf_dir):
+    k, s = F.col("n_nationkey"), lambda c: c.cast("string")
+    text = F.when(k % 4 == 0, F.concat("n_name", F.lit(","), s(k), F.lit(".5,"), s(k * 2), F.lit(", 7"))).when(k % 4 == 1, F.concat(s(k), F.lit(";2;3.25"))).when(k % 4 == 2, "name,east,north,elevation").otherwise("junk")
+    return quality.parse_checkpoints(spark.read.parquet(f"{sf_dir}/nation.parquet").select(k.alias("n"), text.alias("value")))
+
+
+# ------------------------------------------------------------ voxels, noise
+
+
+@query(scene_cte() + """, o AS (SELECT min(x) AS ox, min(y) AS oy, min(z) AS oz FROM pts)
+SELECT CAST(floor((x - ox) / 2e0) AS INTEGER) AS vx, CAST(floor((y - oy) / 2e0) AS INTEGER) AS vy, CAST(floor((z - oz) / 2e0) AS INTEGER) AS vz, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z,
+  avg(intensity) AS intensity, CAST(floor(avg(r) + 0.5e0) AS INTEGER) AS r, CAST(floor(avg(g) + 0.5e0) AS INTEGER) AS g, CAST(floor(avg(b) + 0.5e0) AS INTEGER) AS b FROM pts CROSS JOIN o GROUP BY 1, 2, 3""")
+def voxel_downsample(spark, sf_dir):
+    return tables.voxel_downsample(points(spark, sf_dir), 2.0, votes=[])
+
+
+@query(scene_cte() + """, o AS (SELECT min(x) AS ox, min(y) AS oy, min(z) AS oz FROM pts), v AS (SELECT CAST(floor((x - ox) / 2e0) AS INTEGER) AS vx, CAST(floor((y - oy) / 2e0) AS INTEGER) AS vy, CAST(floor((z - oz) / 2e0) AS INTEGER) AS vz, classification AS c, count(*) AS n FROM pts CROSS JOIN o GROUP BY 1, 2, 3, 4)
+SELECT vx, vy, vz, c AS classification FROM (SELECT *, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY n DESC, c) AS k FROM v) q WHERE k = 1""")
+def voxel_majority(spark, sf_dir):
+    return tables.voxel_downsample(points(spark, sf_dir), 2.0, means=[], votes=["classification"]).select("vx", "vy", "vz", "classification")
+
+
+ISO = ", c3 AS (SELECT pid, x, y, z, CAST(floor(x / 2.5e0) AS BIGINT) AS cx, CAST(floor(z / 2.5e0) AS BIGINT) AS cz FROM pts), nbr AS (SELECT a.pid, count(b.pid) AS k FROM (SELECT c3.*, cx + i AS qx, cz + j AS qz FROM c3 CROSS JOIN " + _O9 + ") a JOIN c3 b ON b.cx = a.qx AND b.cz = a.qz AND b.pid <> a.pid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 6.25e0 GROUP BY a.pid), iso AS (SELECT pid FROM pts WHERE pid NOT IN (SELECT pid FROM nbr WHERE k >= 2))"
+
+
+@query(scene_cte() + ISO + " SELECT pid FROM iso")
+def isolated_points(spark, sf_dir):
+    return noise.isolated_points(points(spark, sf_dir), 2.5)
+
+
+ELM = """, ul AS (SELECT pid, y, CAST(floor(x / 10e0) AS BIGINT) AS cx, CAST(floor(z / 10e0) AS BIGINT) AS cz FROM pts{unlabelled}), wd AS (SELECT *, CASE WHEN lead(y) OVER (PARTITION BY cx, cz ORDER BY y, pid) - y > 1 THEN 1 ELSE 0 END AS wide FROM ul),
+elm AS (SELECT pid, cx, cz, y, min(wide) OVER (PARTITION BY cx, cz ORDER BY y, pid ROWS UNBOUNDED PRECEDING) = 1 AS low FROM wd),
+md AS (SELECT cx, cz, y AS median FROM (SELECT *, row_number() OVER (PARTITION BY cx, cz ORDER BY y, pid) AS k, count(*) OVER (PARTITION BY cx, cz) AS m FROM elm WHERE NOT low) q WHERE k = floor(m / 2e0) + 1)"""
+_RAW = ELM.format(unlabelled="")
+
+
+@query(scene_cte() + _RAW + " SELECT pid, low FROM elm")
+def elm_low_outliers(spark, sf_dir):
+    return noise.low_outliers(points(spark, sf_dir).drop("classification")).select("pid", "low")
+
+
+NC = ISO + _RAW + ", nc AS (SELECT pts.pid, CASE WHEN elm.low THEN 7 WHEN iso.pid IS NOT NULL THEN CASE WHEN median IS NOT NULL AND pts.y > median + 2 THEN 18 ELSE 7 END ELSE 1 END AS classification FROM pts JOIN elm ON elm.pid = pts.pid LEFT JOIN iso ON iso.pid = pts.pid LEFT JOIN md ON md.cx = elm.cx AND md.cz = elm.cz)"
+
+
+@query(scene_cte() + NC + " SELECT * FROM nc")
+def noise_classes(spark, sf_dir):
+    return noise.detect_noise(points(spark, sf_dir).withColumn("classification", F.lit(1)), 2.5).select("pid", "classification")
+
+
+@query(scene_cte() + NC + " SELECT CAST(0 AS BIGINT) AS kept, CAST(sum(CASE WHEN classification = 7 THEN 1 ELSE 0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN classification = 18 THEN 1 ELSE 0 END) AS BIGINT) AS high, count(*) AS n FROM nc")
+def noise_stats(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("classification", F.lit(1))
+    return noise.noise_stats(p, noise.detect_noise(p, 2.5))
+
+
+# ------------------------------------------------------------ ground, terrain, contours
+
+
+@query()
+def detect_ground(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("classification", F.when(G.is_noise(F.col("classification")), F.col("classification")).otherwise(0))
+    return ground.detect_ground(p).select("pid", "classification", F.round("height_above_ground", 6).alias("height_above_ground"))
+
+
+@query()
+def height_above_classified_ground(spark, sf_dir):
+    return ground.height_above_classified_ground(points(spark, sf_dir)).select("pid", F.round("height_above_ground", 6).alias("height_above_ground"))
+
+
+@query(f"{BASE} SELECT DISTINCT row + i AS row, col + j AS col FROM (SELECT DISTINCT row, col FROM pc) d CROSS JOIN {_O9} CROSS JOIN fr WHERE row + i BETWEEN 0 AND rws - 1 AND col + j BETWEEN 0 AND cols - 1")
+def terrain_footprint(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return terrain.footprint(p, Frame.of(p))
+
+
+@query()
+def terrain_model(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return terrain.terrain_model(p, Frame.of(p)).withColumn("elevation", F.round("elevation", 6))
+
+
+@query(f"{LOW}, r AS (SELECT max(value) - min(value) AS relief FROM lo) SELECT relief, CASE {' '.join(f'WHEN {i}e0 >= relief / 25e0 THEN {i}e0' for i, _ in terrain.INTERVALS)} END AS interval_m FROM r")
+def contour_interval(spark, sf_dir):
+    r = terrain.relief(low_grid(spark, sf_dir)[0]).select((F.col("high") - F.col("low")).alias("relief"))
+    out = None
+    for i, _ in terrain.INTERVALS:
+        hit = F.lit(i) >= F.col("relief") / 25.0
+        out = F.when(hit, F.lit(i)) if out is None else out.when(hit, F.lit(i))
+    return r.select("relief", out.alias("interval_m"))
+
+
+@query(f"""{LOW}, sq AS (SELECT a.row, a.col, a.value AS a, b.value AS b, c.value AS c, d.value AS d FROM lo a JOIN lo b ON b.row = a.row AND b.col = a.col + 1 JOIN lo c ON c.row = a.row + 1 AND c.col = a.col + 1 JOIN lo d ON d.row = a.row + 1 AND d.col = a.col),
+kq AS (SELECT *, unnest(range(CAST(floor(least(a, b, c, d) / 1e0) AS BIGINT) + 1, CAST(floor(greatest(a, b, c, d) / 1e0) AS BIGINT) + 1)) AS k FROM sq),
+cq AS (SELECT *, CASE WHEN a >= k THEN 1 ELSE 0 END + CASE WHEN b >= k THEN 2 ELSE 0 END + CASE WHEN c >= k THEN 4 ELSE 0 END + CASE WHEN d >= k THEN 8 ELSE 0 END AS code, (a + b + c + d) / 4 >= k AS up FROM kq),
+sides AS (SELECT row, col, k, CASE code WHEN 1 THEN 'lt' WHEN 14 THEN 'lt' WHEN 2 THEN 'tr' WHEN 13 THEN 'tr' WHEN 3 THEN 'lr' WHEN 12 THEN 'lr' WHEN 4 THEN 'rb' WHEN 11 THEN 'rb' WHEN 6 THEN 'tb' WHEN 9 THEN 'tb' WHEN 7 THEN 'lb' WHEN 8 THEN 'lb' END AS s FROM cq WHERE code NOT IN (5, 10)
+  UNION ALL SELECT row, col, k, unnest(CASE WHEN (code = 5) = up THEN ['tr', 'lb'] ELSE ['lt', 'rb'] END) FROM cq WHERE code IN (5, 10))
+SELECT row, col, k, s FROM sides""")
+def contour_segments(spark, sf_dir):
+    s = terrain.contour_segments(low_grid(spark, sf_dir)[0], 1.0)
+    side = lambda e: F.when(F.col(f"{e}.dir") == 0, F.when(F.col(f"{e}.r") == F.col("row"), "t").otherwise("b")).otherwise(F.when(F.col(f"{e}.c") == F.col("col"), "l").otherwise("r"))
+    return s.select("row", "col", "k", F.concat(side("p"), side("q")).alias("s"))
+
+
+@query()
+def contours(spark, sf_dir):
+    g, f = low_grid(spark, sf_dir)
+    return terrain.contours(g, f, 1.0).select("k", "level", "major", "closed", F.size("points").alias("vertices"))
+
+
+# ------------------------------------------------------------ components, objects
+
+
+@query(FOOT + """, em AS (SELECT row, col, CAST(row AS BIGINT) * (SELECT cols FROM fr) + col AS id FROM fc WHERE n = 0),
+ed AS (SELECT a.id AS a, b.id AS b FROM em a JOIN em b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
+rc AS (WITH RECURSIVE w(id, root) AS (SELECT id, id FROM em UNION SELECT ed.b, w.root FROM w JOIN ed ON ed.a = w.id WHERE w.root < ed.b) SELECT id, min(root) AS root FROM w GROUP BY id)
+SELECT dense_rank() OVER (ORDER BY root) AS label, count(*) AS cells FROM rc GROUP BY root""")
+def gap_components(spark, sf_dir):
+    p = points(spark, sf_dir)
+    f = Frame.of(p)
+    return C.gap_components(quality.footprint_cells(p, f), f.cols)
+
+
+LABEL = f"""{BASE}, mk AS (SELECT DISTINCT row, col, CAST(row AS BIGINT) * (SELECT cols FROM fr) + col AS id FROM pc WHERE kind >= 3),
+ed AS (SELECT a.id AS a, b.id AS b FROM mk a JOIN mk b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 AND a.id <> b.id),
+rc AS (WITH RECURSIVE w(id, root) AS (SELECT id, id FROM mk UNION SELECT ed.b, w.root FROM w JOIN ed ON ed.a = w.id WHERE w.root < ed.b) SELECT id, min(root) AS root FROM w GROUP BY id),
+lb AS (SELECT row, col, dense_rank() OVER (ORDER BY root) AS label FROM mk JOIN rc USING (id))"""
+
+
+def _tree_labels(spark, sf_dir):
+    p = points(spark, sf_dir)
+    f = Frame.of(p)
+    return C.label_cells(quality.with_cells(p.filter("kind >= 3"), f).select("row", "col").distinct(), f.cols), f
+
+
+@query(LABEL + " SELECT row, col, label FROM lb")
+def patch_labels(spark, sf_dir):
+    return _tree_labels(spark, sf_dir)[0]
+
+
+@query(LABEL + " SELECT label, count(*) AS n, CAST(sum(col) AS BIGINT) AS sc, CAST(sum(row) AS BIGINT) AS sr, CAST(sum(CAST(col AS BIGINT) * col) AS BIGINT) AS scc, CAST(sum(CAST(row AS BIGINT) * row) AS BIGINT) AS srr, CAST(sum(CAST(row AS BIGINT) * col) AS BIGINT) AS src FROM lb GROUP BY label")
+def patch_moments(spark, sf_dir):
+    return C.patch_moments(_tree_labels(spark, sf_dir)[0])
+
+
+CAND = f"{BASE}, cn AS (SELECT row, col, y - terrain AS h, number_of_returns AS nr, classification AS code FROM pc WHERE y - terrain >= 2 AND classification IN (0, 1, 3, 4, 5, 6)), tp AS (SELECT row, col, max(h) AS top, count(*) AS n, CAST(sum(CASE WHEN nr > 1 THEN 1 ELSE 0 END) AS BIGINT) AS multi, CAST(sum(CASE WHEN code = 6 THEN 1 ELSE 0 END) AS BIGINT) AS built, CAST(sum(CASE WHEN code IN (3, 4, 5) THEN 1 ELSE 0 END) AS BIGINT) AS veg FROM cn GROUP BY row, col)"
+
+
+def _stats(spark, sf_dir):
+    p = hag_points(spark, sf_dir)
+    f = Frame.of(p)
+    return objects.cell_stats(tables.object_candidates(p), f), f
+
+
+@query(CAND + ", dp AS (SELECT row, col, count(*) AS deep FROM cn JOIN tp USING (row, col) WHERE h < top - 1 GROUP BY row, col) SELECT row, col, top, n, multi, built, veg, coalesce(deep, 0) AS deep FROM tp LEFT JOIN dp USING (row, col)")
+def object_cell_stats(spark, sf_dir):
+    return _stats(spark, sf_dir)[0]
+
+
+@query(CAND + ", b AS (SELECT row, col, top FROM tp WHERE built * 2 > n) SELECT row + i AS row, col + j AS col, max(top) AS value FROM b CROSS JOIN (SELECT * FROM (VALUES (-2), (-1), (0), (1), (2)) a(i) CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) c(j)) o GROUP BY 1, 2")
+def near_building_height(spark, sf_dir):
+    s, _ = _stats(spark, sf_dir)
+    return raster.nearby_maximum(s.filter("built * 2 > n").select("row", "col", F.col("top").alias("value")), 2)
+
+
+@query(CAND + """, cy AS (SELECT row, col, top AS value, greatest(1, CAST(floor(greatest(1e0, least(5e0, 0.5e0 + 0.2e0 * top)) + 0.5e0) AS INTEGER)) AS r FROM tp WHERE veg * 2 > n)
+SELECT row, col, value FROM cy a WHERE NOT EXISTS (SELECT 1 FROM cy b WHERE (b.row - a.row) * (b.row - a.row) + (b.col - a.col) * (b.col - a.col) <= a.r * a.r AND abs(b.row - a.row) <= 6 AND (b.value > a.value OR (b.value = a.value AND (b.row < a.row OR (b.row = a.row AND b.col < a.col)))))""")
+def treetops(spark, sf_dir):
+    s, _ = _stats(spark, sf_dir)
+    return objects.treetops(s.filter("veg * 2 > n").select("row", "col", F.col("top").alias("value")), 1.0)
+
+
+@query(CAND + ", b AS (SELECT CAST(floor(row / 100e0) * 1000 + floor(col / 100e0) AS BIGINT) AS label, row, col, top AS h FROM tp WHERE built * 2 > n), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, row, col) AS k, count(*) OVER (PARTITION BY label) AS m FROM b) SELECT label, max(m) AS cells, max(CASE WHEN k = CAST(floor(0.95e0 * (m - 1)) AS BIGINT) + 1 THEN h END) AS height FROM k GROUP BY label")
+def roof_height_p95(spark, sf_dir):
+    s, _ = _stats(spark, sf_dir)
+    label = (F.floor(F.col("row") / 100.0) * 1000 + F.floor(F.col("col") / 100.0)).cast("bigint")
+    return objects.roof_heights(s.filter("built * 2 > n").select(label.alias("label"), "row", "col", F.col("top").alias("h")))
+
+
+@query(CAND + """, dp AS (SELECT row, col, count(*) AS deep FROM cn JOIN tp USING (row, col) WHERE h < top - 1 GROUP BY row, col), b AS (SELECT CAST(floor(row / 100e0) * 1000 + floor(col / 100e0) AS BIGINT) AS label, row, col, n - coalesce(deep, 0) AS u FROM tp LEFT JOIN dp USING (row, col) WHERE built * 2 > n),
+ir AS (SELECT a.label, a.row, a.col, a.u, count(o.row) = 8 AS inner_ FROM b a LEFT JOIN b o ON o.label = a.label AND abs(o.row - a.row) <= 1 AND abs(o.col - a.col) <= 1 AND NOT (o.row = a.row AND o.col = a.col) GROUP BY 1, 2, 3, 4),
+mk AS (SELECT label, greatest(u, 1) AS med FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY u, row, col) AS k, count(*) OVER (PARTITION BY label) AS m FROM ir WHERE inner_) q WHERE k = floor(m / 2e0) + 1)
+SELECT label, round(sum(CASE WHEN inner_ OR med IS NULL THEN 1e0 ELSE least(1e0, u * 1e0 / med) END), 6) AS area FROM ir LEFT JOIN mk USING (label) GROUP BY label""")
+def covered_cells(spark, sf_dir):
+    s, _ = _stats(spark, sf_dir)
+    label = (F.floor(F.col("row") / 100.0) * 1000 + F.floor(F.col("col") / 100.0)).cast("bigint")
+    return objects.covered_area(s.filter("built * 2 > n").select("row", "col", label.alias("label")), s, 1.0).withColumn("area", F.round("area", 6))
+
+
+def _objects(spark, sf_dir):
+    p = hag_points(spark, sf_dir).withColumn("classification", F.when(F.col("classification").isin(5, 6), 1).otherwise(F.col("classification")))
+    return objects.detect_objects(p.select("pid", "x", "y", "z", "classification", "number_of_returns", "height_above_ground", "kind"))
+
+
+@query()
+def detect_objects(spark, sf_dir):
+    o = _objects(spark, sf_dir)[1]
+    return o.select("id", "kind", "point_count", *(F.round(c, 4).alias(c) for c in ("height", "area", "ground_y", "crown_radius")), F.size("outline").alias("corners"))
+
+
+@query()
+def object_inventory(spark, sf_dir):
+    return objects.inventory(_objects(spark, sf_dir)[1])
+
+
+@query()
+def objects_geojson(spark, sf_dir):
+    from .sinks import geojson
+
+    return geojson.object_features(_objects(spark, sf_dir)[1], (543000.0, 0.0, -4179000.0))
+
+
+# ------------------------------------------------------------ surfaces, polygons, picks, tiles
+
+
+def _surface_cells(spark, sf_dir):
+    g, (x0, z0, cell, cols, rows) = _surface(spark, sf_dir, "highest")
+    seeds = spark.createDataFrame([(1, 32, 40), (2, 33, 41), (3, 100, 20)], "seed int, row int, col int")
+    return measure.select_surfaces(g, seeds, cell, rows, cols), g, cell
+
+
+@query()
+def select_surface(spark, sf_dir):
+    return _surface_cells(spark, sf_dir)[0]
+
+
+@query()
+def describe_surface(spark, sf_dir):
+    cells, g, cell = _surface_cells(spark, sf_dir)
+    return measure.describe_surfaces(cells, g, cell)
+
+
+ROOFS = f"{BASE}, sc AS (SELECT DISTINCT CAST(CASE WHEN kind = 1 THEN 1 WHEN kind = 2 THEN 2 WHEN kind = 3 THEN 3 ELSE 4 END AS INTEGER) AS seed, row, col FROM pc WHERE kind >= 1)"
+
+
+def _roof_cells(spark, sf_dir):
+    p = points(spark, sf_dir)
+    seed = F.when(F.col("kind") < 4, F.col("kind")).otherwise(4).cast("int")
+    return quality.with_cells(p.filter("kind >= 1"), Frame.of(p)).select(seed.alias("seed"), "row", "col").distinct()
+
+
+@query(ROOFS + " SELECT DISTINCT a.seed AS a, b.seed AS b FROM sc a JOIN sc b ON a.seed < b.seed AND abs(a.row - b.row) + abs(a.col - b.col) <= 1")
+def surfaces_touch(spark, sf_dir):
+    return measure.surfaces_touch(_roof_cells(spark, sf_dir))
+
+
+@query(ROOFS + " SELECT count(*) * 1e0 AS area FROM (SELECT DISTINCT row, col FROM sc) q")
+def combined_area(spark, sf_dir):
+    return measure.combined_area(_roof_cells(spark, sf_dir), 1.0)
+
+
+def _polygons(spark, sf_dir):
+    """One quadrilateral for each region, by formula."""
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("int").alias("id"))
+    k = F.col("id").cast("double")
+    corner = lambda x, z: F.struct(x.alias("x"), (F.lit(8.0) + k / 4).alias("y"), z.alias("z"))
+    x, z = k * 3 + 2.25, k * 2 + 3.25
+    v = F.array(corner(x, z), corner(x + 12.5, z), corner(x + 12.5, z + 9.5), corner(x, z + 9.5))
+    return r.select("id", v.alias("vertices"), F.lit("mean").alias("base"), F.lit(None).cast("double").alias("custom_base"), F.lit(4.0).alias("height"))
+
+
+@query("SELECT CAST(r_regionkey AS INTEGER) AS id, 44e0 AS perimeter, 118.75e0 AS plan_area, 8e0 + r_regionkey / 4e0 AS mean_base FROM region")
+def polygon_area_perimeter(spark, sf_dir):
+    return measure.polygon_frame(_polygons(spark, sf_dir))
+
+
+@query(f"""{scene_cte()}, sg AS (SELECT min(x) AS x0, min(z) AS z0 FROM pts), g AS (SELECT CAST(floor(z - z0) AS INTEGER) AS row, CAST(floor(x - x0) AS INTEGER) AS col, avg(y) AS value FROM pts CROSS JOIN sg WHERE NOT {NOISE} GROUP BY 1, 2),
+pg AS (SELECT CAST(r_regionkey AS INTEGER) AS id, r_regionkey * 3 + 2.25e0 AS xa, r_regionkey * 3 + 14.75e0 AS xb, r_regionkey * 2 + 3.25e0 AS za, r_regionkey * 2 + 12.75e0 AS zb, 8e0 + r_regionkey / 4e0 AS base FROM region),
+ln AS (SELECT pg.*, s, (s + 0.5e0) / 4e0 + z0 AS z, x0 FROM pg CROSS JOIN sg, LATERAL (SELECT unnest(range(0, 400)) AS s) q WHERE (s + 0.5e0) / 4e0 + z0 > za AND (s + 0.5e0) / 4e0 + z0 <= zb),
+pt AS (SELECT id, base, CAST(floor(s / 4e0) AS INTEGER) AS row, c AS col, (least(xb, x0 + c + 1) - greatest(xa, x0 + c)) / 4e0 AS part FROM ln, LATERAL (SELECT unnest(range(0, 400)) AS c) q WHERE x0 + c + 1 > xa AND x0 + c < xb)
+SELECT id, round(sum(part), 6) AS covered, round(sum(CASE WHEN value > base THEN part * (value - base) ELSE 0 END), 6) AS cut, round(sum(CASE WHEN value < base THEN part * (base - value) ELSE 0 END), 6) AS fill,
+  round(sum(part * greatest(0e0, least(4e0, value - base))), 6) AS filled, round(sum(CASE WHEN value IS NULL THEN part ELSE 0 END) / sum(part), 6) AS unmeasured FROM pt LEFT JOIN g USING (row, col) GROUP BY id""")
+def polygon_volume(spark, sf_dir):
+    p = tables.without_noise(points(spark, sf_dir))
+    b = points(spark, sf_dir).agg(F.min("x"), F.min("z")).first()
+    g = p.groupBy(F.floor(F.col("z") - b[1]).cast("int").alias("row"), F.floor(F.col("x") - b[0]).cast("int").alias("col")).agg(F.avg("y").alias("value"))
+    return measure.polygon_volume(measure.polygon_triangles(_polygons(spark, sf_dir)), g, b[0], b[1], 1.0)
+
+
+_M = [0.02, 0.0, 0.0, 0.0, 0.0, 0.0, 0.01, 0.0, 0.0, -0.02, 0.0, 0.0, -0.32, 0.32, -0.5, 1.0]
+
+
+@query(scene_cte() + """, s AS (SELECT pid, x, y, z, 0.01e0 * y - 0.5e0 AS depth, sqrt(((0.02e0 * x - 0.32e0 + 1) / 2 * 800 - 410) * ((0.02e0 * x - 0.32e0 + 1) / 2 * 800 - 410) + ((1 - (-0.02e0 * z + 0.32e0)) / 2 * 600 - 290) * ((1 - (-0.02e0 * z + 0.32e0)) / 2 * 600 - 290)) AS dist FROM pts)
+SELECT pid, x, y, z FROM s WHERE depth BETWEEN -1 AND 1 AND dist <= 6 ORDER BY CASE WHEN dist <= 2 THEN 0 ELSE 1 END, CASE WHEN dist <= 2 THEN depth ELSE dist END, pid LIMIT 1""")
+def pick_point(spark, sf_dir):
+    return measure.pick_point(points(spark, sf_dir), _M, 410.0, 290.0, 800.0, 600.0).select("pid", "x", "y", "z")
+
+
+@query(scene_cte() + """, b AS (SELECT min(x) AS x0, min(z) AS z0, greatest(1, CAST(ceil((max(x) - min(x)) / 16e0) AS INTEGER)) AS nx, greatest(1, CAST(ceil((max(z) - min(z)) / 16e0) AS INTEGER)) AS nz FROM pts)
+SELECT CAST(greatest(0, least(nx - 1, floor((x - x0) / 16e0))) AS INTEGER) AS grid_x, CAST(greatest(0, least(nz - 1, floor((z - z0) / 16e0))) AS INTEGER) AS grid_z, count(*) AS n FROM pts CROSS JOIN b GROUP BY 1, 2""")
+def tiles(spark, sf_dir):
+    p = points(spark, sf_dir)
+    b = p.agg(F.min("x"), F.min("z"), F.max("x"), F.max("z")).first()
+    return tables.tiles(p, 16.0, b[0], b[1], b[2] - b[0], b[3] - b[1]).groupBy("grid_x", "grid_z").agg(F.count("*").alias("n"))
+
+
+@query(scene_cte() + """, o AS (SELECT min(x) AS ox, min(y) AS oy, min(z) AS oz FROM pts), l AS (SELECT unnest([1e0, 2e0, 4e0, 8e0]) AS voxel)
+SELECT voxel, count(DISTINCT (floor((x - ox) / voxel), floor((y - oy) / voxel), floor((z - oz) / voxel))) AS n FROM pts CROSS JOIN o CROSS JOIN l GROUP BY voxel""")
+def lod_ladder(spark, sf_dir):
+    return measure.lod_ladder(points(spark, sf_dir), 1.0, 2.0, 4)
+
+
+TIERS = scene_cte() + ", tl AS (SELECT CAST(floor(x / 16e0) * 1000 + floor(z / 16e0) AS INTEGER) AS tile, count(*) AS n FROM pts GROUP BY 1), ts AS (SELECT tile, CAST(t AS INTEGER) AS tier, CAST(floor(n / pow(4e0, t)) AS BIGINT) AS n, 0.25e0 * pow(2e0, t) AS spacing, floor(tile / 1000e0) * 16 AS min_x, floor(tile / 1000e0) * 16 + 16 AS max_x, 0e0 AS min_y, 30e0 AS max_y, (tile % 1000) * 16e0 AS min_z, (tile % 1000) * 16e0 + 16 AS max_z FROM tl CROSS JOIN (SELECT unnest(range(5)) AS t) q)"
+
+
+def _tiers(spark, sf_dir):
+    tl = points(spark, sf_dir).groupBy((F.floor(F.col("x") / 16.0) * 1000 + F.floor(F.col("z") / 16.0)).cast("int").alias("tile")).agg(F.count("*").alias("m"))
+    t = tl.withColumn("tier", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    gx, gz = F.floor(F.col("tile") / 1000.0) * 16.0, (F.col("tile") % 1000) * 16.0
+    return t.select(
+        "tile", "tier", F.floor(F.col("m") / F.pow(F.lit(4.0), "tier")).alias("n"), (F.lit(0.25) * F.pow(F.lit(2.0), "tier")).alias("spacing"),
+        gx.alias("min_x"), (gx + 16).alias("max_x"), F.lit(0.0).alias("min_y"), F.lit(30.0).alias("max_y"), gz.alias("min_z"), (gz + 16).alias("max_z"),
+    )
+
+
+@query(TIERS + """, t0 AS (SELECT tile, n AS nf, sum(n) OVER () AS total FROM ts WHERE tier = 0), f AS (SELECT ts.tile, tier, ts.n <= greatest(1, floor(5000e0 * nf / total + 0.5e0)) AS fits FROM ts JOIN t0 ON t0.tile = ts.tile)
+SELECT tile, coalesce(min(CASE WHEN fits THEN tier END), max(tier)) AS tier FROM f GROUP BY tile""")
+def tier_for_budget(spark, sf_dir):
+    return measure.tier_for_budget(_tiers(spark, sf_dir), 5000)
+
+
+@query("WITH t(tier, m) AS (VALUES (0, 0e0), (1, 50e0), (2, 120e0), (3, 400e0)) SELECT CAST(n_nationkey AS INTEGER) AS camera, coalesce((SELECT arg_max(tier, m) FROM t WHERE m <= n_nationkey * 20e0), 0) AS tier FROM nation")
+def tier_for_distance(spark, sf_dir):
+    t = spark.createDataFrame([(0, 0.0), (1, 50.0), (2, 120.0), (3, 400.0)], "tier int, min_distance double")
+    c = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("camera"), (F.col("n_nationkey") * F.lit(20.0)).alias("distance"))
+    return measure.tier_for_distance(t, c)
+
+
+@query(TIERS + """, d AS (SELECT tile, tier, spacing / greatest(sqrt(pow(greatest(min_x - 5, 0e0, 5 - max_x), 2) + pow(greatest(min_y - 40, 0e0, 40 - max_y), 2) + pow(greatest(min_z - 5, 0e0, 5 - max_z), 2)), 1e-6) * 500 AS gap FROM ts)
+SELECT tile, CAST(coalesce(max(CASE WHEN gap <= 8 THEN tier END), min(tier)) AS INTEGER) AS tier FROM d GROUP BY tile""")
+def tier_screen_space(spark, sf_dir):
+    return measure.tier_for_screen(_tiers(spark, sf_dir), 5.0, 40.0, 5.0, 500.0, 8.0)
+
+
+@query(BASE + " SELECT row, col, count(*) AS n, sum(y) AS s, sum(y * y) AS ss, min(y) AS lo, max(y) AS hi FROM pc GROUP BY row, col")
+def streaming_cell_stats(spark, sf_dir):
+    from .streaming import cells
+
+    p = points(spark, sf_dir)
+    return cells.cell_stats_stream(p, Frame.of(p))
