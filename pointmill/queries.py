@@ -185,7 +185,7 @@ def _surface_sql(agg: str, cell: str) -> str:
     return f"""{scene_cte()}, sg AS (SELECT min(x) AS x0, min(z) AS z0, CAST(ceil((max(x) - min(x)) / {cell}) AS INTEGER) + 1 AS sc, CAST(ceil((max(z) - min(z)) / {cell}) AS INTEGER) + 1 AS sr FROM pts),
 g0 AS (SELECT CAST(floor((z - z0) / {cell}) AS INTEGER) AS row, CAST(floor((x - x0) / {cell}) AS INTEGER) AS col, {agg}(y) AS value FROM pts CROSS JOIN sg WHERE NOT {NOISE} GROUP BY 1, 2),
 {_speckles("g0", "g1")}, {_speckles("g1", "g2")}
-SELECT row, col, floor(value * 1e9 + 0.5e0) / 1e9 AS value FROM g2"""
+SELECT row, col, floor(value * 1048576e0 + 0.5e0) / 1048576e0 AS value FROM g2"""
 
 
 def _surface(spark, sf_dir, how: str, cell: float = 0.5):
@@ -197,12 +197,12 @@ def _surface(spark, sf_dir, how: str, cell: float = 0.5):
 
 @query(_surface_sql("max", "0.5e0"))
 def surface_grid_highest(spark, sf_dir):
-    return _surface(spark, sf_dir, "highest")[0].withColumn("value", F.floor(F.col("value") * 1e9 + 0.5) / 1e9)
+    return _surface(spark, sf_dir, "highest")[0].withColumn("value", F.floor(F.col("value") * 1048576.0 + 0.5) / 1048576.0)
 
 
 @query(_surface_sql("avg", "0.5e0"))
 def surface_grid_mean(spark, sf_dir):
-    return _surface(spark, sf_dir, "mean")[0].withColumn("value", F.floor(F.col("value") * 1e9 + 0.5) / 1e9)
+    return _surface(spark, sf_dir, "mean")[0].withColumn("value", F.floor(F.col("value") * 1048576.0 + 0.5) / 1048576.0)
 
 
 @query(f"{LOW}, sg AS (SELECT cols AS sc, rws AS sr FROM fr), {_speckles('lo', 'g1')} SELECT row, col, round(value, 6) AS value FROM g1")

@@ -66,7 +66,7 @@ def collection(features: DataFrame, order: str = "id", epsg: int | None = None)
 
 
 def _fixed(v, digits: int):
-    return F.coalesce(F.format_string(f"%.{digits}f", G.js_round(v, digits)), F.lit(""))
+    return F.when(v.isNull(), F.lit("")).otherwise(F.format_string(f"%.{digits}f", G.js_round(v, digits)))
 
 
 def inventory_lines(objects: DataFrame, origin: tuple[float, float, float]) -> DataFrame:
