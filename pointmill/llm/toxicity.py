@@ -35,7 +35,7 @@ REPORTING = frozenset("said says wrote writes called quote quoted quotes word te
 QUOTED_WEIGHT, NEIGHBOUR_BONUS = 0.15, 0.25
 #: Misspelled forms worth less are no hits.
 LEAST = 0.1
-REMEMBER = 250_000
+REMEMBER = 400_000
 THRESHOLD = 0.3
 
 
@@ -80,21 +80,40 @@ class Lexicon:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-        halves = set()
+        # k edits leave one of k + 1 parts of the term as it is: the first at the word's start, the last at its end, or one between.
+        self.heads: dict[str, tuple[int, int]] = {}
+        self.tails: dict[str, tuple[int, int]] = {}
+        self.middles: list[tuple[str, int, int]] = []
         self.most_edits = 0
         for term in self.words:
             k = allowed_edits(len(term))
+            if not k:
+                continue
             self.most_edits = max(self.most_edits, k)
-            # k edits leave one of k + 1 parts of the term as it is.
             cuts = [len(term) * i // (k + 1) for i in range(k + 2)]
-            halves |= {term[a:b] for a, b in zip(cuts, cuts[1:], strict=False)} if k else set()
-        self.maybe = re.compile("|".join(map(re.escape, sorted(halves)))) if halves else None
+            parts = [term[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            lo, hi = len(term) - k, len(term) + k
+            for part, own in ((parts[0], self.heads), (parts[-1], self.tails)):
+                x = own.get(part, (lo, hi))
+                own[part] = min(lo, x[0]), max(hi, x[1])
+            self.middles += [(m, lo, hi) for m in parts[1:-1]]
+        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
         self.stem_sizes = sorted({len(s) for s in self.stems})
-        self.longest = max(map(len, self.words), default=0) + self.most_edits
+
+    def _near(self, word: str) -> bool:
+        """Whether a part of a term is intact in the word, where it would have to be."""
+        n = len(word)
+        for k in self.head_sizes:
+            if (x := self.heads.get(word[:k])) and x[0] <= n <= x[1]:
+                return True
+        for k in self.tail_sizes:
+            if (x := self.tails.get(word[-k:])) and x[0] <= n <= x[1]:
+                return True
+        return any(lo <= n <= hi and m in word for m, lo, hi in self.middles)
 
     def misspelled(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its allowed edits, by walking trie and automaton together."""
-        if self.maybe is None or len(word) > self.longest or not self.maybe.search(word):
+        if not self._near(word):
             return None
         automaton = LevenshteinAutomaton(word, min(self.most_edits, max(1, len(word) // 4)))
         best: tuple[int, str] | None = None
@@ -117,26 +136,31 @@ class Lexicon:
         return None
 
 
-class _Known(dict):
-    """Word to (term, probability) or None; worked out where missing."""
-
-    def __init__(self, model: Model):
-        self.model = model
-
-    def __missing__(self, word: str):
-        hit = self.model.lookup(word)
-        if len(self) >= REMEMBER:
-            self.clear()
-        self[word] = hit
-        return hit
-
-
 class Model:
     def __init__(self, words: dict, stems: dict, surfaces: dict, fuzzy: dict, base: float):
         """surfaces: probability by misspelled form seen in training; fuzzy: by term, for other forms; base: without hits."""
         self.lexicon = Lexicon(words, stems)
         self.surfaces, self.fuzzy, self.base = surfaces, fuzzy, base
-        self.known = _Known(self)
+        self.clean: set[str] = set()  # words looked up without a hit
+        self.hit: dict[str, tuple[str, float]] = {}
+        self.hit_words: set[str] = set()
+
+    def hits_of(self, words: set[str]) -> set[str]:
+        """Those of the words that are hits."""
+        if len(self.hit) > REMEMBER:
+            self.hit.clear()
+            self.hit_words.clear()
+        found = words & self.hit_words
+        for w in words.difference(self.clean, found):
+            if (x := self.lookup(w)) is None:
+                self.clean.add(w)
+            else:
+                self.hit[w] = x
+                self.hit_words.add(w)
+                found.add(w)
+        if len(self.clean) > REMEMBER:
+            self.clean.clear()
+        return found
 
     def lookup(self, word: str):
         lex = self.lexicon
@@ -154,9 +178,8 @@ class Model:
         if not text:
             return self.base, []
         low = text.lower()
-        known = self.known
         words = WORD.findall(low)
-        found = {w for w in set(words) if known[w]}
+        found = self.hits_of(set(words))
         if not found:
             return self.base, []
         spans = [m for m in WORD.finditer(low) if m[0] in found]
@@ -169,7 +192,7 @@ class Model:
         hits, clean = [], 1 - self.base
         near = set(places)
         for m, i in zip(spans, places, strict=True):
-            term, p = known[m[0]]
+            term, p = self.hit[m[0]]
             window = words[max(0, i - WINDOW) : i]
             left = sum(1 for q in marks if q < m.start())
             quoted = bool(left % 2 and left < len(marks)) or any(w in REPORTING for w in window)
@@ -217,17 +240,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).filter(id_bucket(id_col, 4) != 2)
     own = own.groupBy(F.col(id_col).alias(f"{P}id")).agg(F.max(label_col).alias("y"))
     own = bounded_rows(own, f"{P}id", TRAIN_DOCS)
-    rows = docs.join(own, F.col(id_col) == F.col(f"{P}id")).select(F.col(text_col).alias("t"), F.col("y").cast("int").alias("y")).filter("t is not null")
-    rows = rows.withColumn("h", F.xxhash64("t"))
+    # At most about TRAIN_DOCS ids and labels: they are brought to the texts, which are not shuffled.
+    text = F.col(text_col)
+    rows = docs.join(F.broadcast(own), F.col(id_col) == F.col(f"{P}id")).filter(text.isNotNull()).select(F.col(f"{P}id"), text.alias("t"), F.col("y").cast("int").alias("y"))
     # One row for each text: copies of a toxic document would make all its words look toxic.
-    first = rows.groupBy("h").agg(F.max("y").alias("y"), F.min(F.length("t")).alias("n"))
+    first = rows.groupBy(F.xxhash64("t").alias("h")).agg(F.max(F.struct("y", F.col(f"{P}id"))).alias("k"))
+    first = settled(first.select("k.*"))
     n_pos, n_all = first.agg(F.sum("y"), F.count("*")).first()
     n_pos = n_pos or 0
     base0 = (n_pos + 0.5) / (n_all + 1)
     if not n_pos:
         return Model({}, {}, {}, {}, min(base0, 0.05))
-    share = F.row_number().over(_by_hash())
-    rows = settled(rows.withColumn("k", share).filter("k = 1").select("t", "y"))
+    rows = docs.join(F.broadcast(first), F.col(id_col) == F.col(f"{P}id")).filter(text.isNotNull()).select(text.alias("t"), "y")
     counts = settled(_term_counts(rows))
     # Among so many words some stand in toxic documents by chance: the likelihood ratio must outweigh their number.
     n_terms = counts.filter(F.col("pos") + F.col("neg") >= MIN_DOCS).count()
@@ -254,12 +278,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("h").orderBy(F.desc("y"), F.length("t"))
-
-
 def _signature(words: set[str]) -> int:
     """Near copies of a document mostly share it, other documents don't: the least hash of its long words."""
     import xxhash
