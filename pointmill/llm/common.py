@@ -1,13 +1,13 @@
-"""What the corpus operators share: inputs, shared storage, components."""
+"""What the corpus operators share: inputs, folds, bounded samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
+from ..storage import settled, shared_dir, stored
+
 #: Working columns carry this prefix, so that they never meet a column of the caller.
 P = "__pm_"
 
@@ -16,35 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary
-    folder stands in.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointmill-"))
-    return sc.getCheckpointDir()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """The rows of df computed once, with the lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like :func:`settled` but as a Parquet table in the shared folder (columnar, compressed)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,31 +33,4 @@ def bounded_rows(df: DataFrame, id_col: str, bound: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 24)) < int((1 << 24) * bound / n))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Rows ``node, root`` for every node of an undirected edge list; root is the smallest node reachable.
-
-    Alternates the two star contractions: every edge is moved to the smallest
-    known neighbour until only stars remain. Each contraction is an
-    aggregation with map-side minima and an equi-join, so a hub with many
-    edges is never gathered in one task; every round is checkpointed. Null
-    endpoints and self-loops are ignored; no edges give an empty table.
-    """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    e = settled(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        small = small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        e = settled(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v"))).distinct()
+__all__ = ["P", "bounded_rows", "connected_components", "id_bucket", "settled", "shared_dir", "shuffle_partitions", "stored", "table"]
