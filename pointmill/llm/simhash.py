@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import P, connected_components, settled
@@ -120,20 +120,110 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return fp.join(node, F.col("fp") == F.col(f"{P}fp")).select(F.col(f"{P}id").alias(id_col), "fp", "component_id", "n_links")
 
 
+#: Near copies: word fingerprints per text, shingle width and similarity of the verification.
+SKETCHES, WIDTH, SIMILARITY = 2, 5, 0.8
+#: Ids of texts to compare are broadcast only up to so many; beyond, both sides are shuffled.
+BROADCAST_ROWS = 300_000
+
+
+def word_sketches(raw: bytes, n: int = SKETCHES) -> list[int]:
+    """Fingerprints of the set of a text's words, with independent hashes; a changed word moves few of its bits."""
+    import xxhash
+
+    words = sorted(set(raw.lower().split()))
+    if not words:
+        return [0] * n
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype="<u8")
+    out = []
+    for k in range(n):
+        x = h * np.uint64(2 * k + 1) + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        total = np.zeros(BITS, np.int64)
+        for i in range(0, len(x), CHUNK):
+            total += np.unpackbits(x[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(total * 2 > len(x), bitorder="little").view("<u8")[0]))
+    return out
+
+
+def _word_sketches(text: pa.Array) -> pa.Array:
+    return pa.array([[_signed(x) for x in word_sketches(t or b"")] for t in text.to_pylist()], pa.list_(pa.int64()))
+
+
+def shingle_set(raw: bytes, width: int = WIDTH) -> set[int]:
+    import xxhash
+
+    words = raw.lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(n)}
+
+
+def likeness(a: bytes, b: bytes, width: int = WIDTH) -> float:
+    """Jaccard similarity of the word shingles of two texts; 1 where neither has a word."""
+    x, y = shingle_set(a, width), shingle_set(b, width)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x or y else 1.0
+
+
+def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``<id_col>, component_id`` of every row with an id: groups of equal texts and of texts alike in their word shingles.
+
+    Candidates are texts whose word sketches fall into one ball of RADIUS bits,
+    found by ball hashing as above, for each of SKETCHES independent sketches;
+    of several texts with one sketch each is compared with the first and with
+    the one before it. Every candidate pair is verified: its sets of five-word
+    shingles must be alike by ``similarity`` or more. component_id is the
+    smallest id of the group. Null text counts as empty.
+    """
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    # The sketches make the key of a text wider: equal in hash and sketches means equal.
+    own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias(f"{P}id"), F.xxhash64(raw).alias("key"), F.arrow_udf(_word_sketches, "array<bigint>")(raw).alias("s"))
+    own = settled(own)
+    first = settled(own.groupBy("key", "s").agg(F.min(f"{P}id").alias("rep")))
+    pairs = None
+    for k in range(SKETCHES):
+        node = first.select(F.col("s")[k].alias("fp"), "rep")
+        head = node.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n"))
+        found = near_pairs(head.select("fp"))
+        x, y = (head.select(F.col("fp").alias(c), F.col("rep").alias(r)) for c, r in (("x", "a"), ("y", "b")))
+        across = found.join(x, "x").join(y, "y").select("a", "b")
+        several = node.join(head.filter("n > 1").select(F.col("fp").alias("g"), F.col("rep").alias("lead")), F.col("fp") == F.col("g"))
+        before = F.lag("rep").over(Window.partitionBy("fp").orderBy("rep"))
+        inside = several.select("lead", "rep", before.alias("before"))
+        inside = inside.filter("lead <> rep").select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("rep").alias("b")), F.struct(F.col("before").alias("a"), F.col("rep").alias("b")))).alias("e")).select("e.a", "e.b")
+        both = across.union(inside)
+        pairs = both if pairs is None else pairs.union(both)
+    pairs = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ids = settled(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct())
+    near = F.broadcast if ids.count() <= BROADCAST_ROWS else (lambda v: v)
+    texts = docs.select(F.col(id_col).alias("i"), raw.alias("t")).join(near(ids), "i", "left_semi")
+    # Rows that share an id: its greatest text stands for it.
+    texts = settled(texts.groupBy("i").agg(F.max("t").alias("t")))
+
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([likeness(x or b"", y or b"") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+    x, y = (texts.select(F.col("i").alias(i), F.col("t").alias(t)) for i, t in (("a", "ta"), ("b", "tb")))
+    links = pairs.join(x, "a").join(y, "b").select("a", "b", F.arrow_udf(alike, "double")("ta", "tb").alias("j")).filter(F.col("j") >= similarity)
+    comp = connected_components(settled(links), "a", "b")
+    rep = first.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k2"), F.col("s").alias("s2"), F.coalesce("root", "rep").alias("component_id"))
+    return own.join(rep, (F.col("key") == F.col("k2")) & (F.col("s") == F.col("s2"))).select(F.col(f"{P}id").alias(id_col), "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each component: the one whose id names it stays.
+    """docs with one row of each group of near copies: the one whose id names the group.
 
-    Where several rows share that id, one of them stays (the least text).
-    Rows without an id stay only where their component has no id at all, one each.
+    Of several rows with that id one stays. Rows without an id are no part of
+    any group: they stay, equal texts once.
     """
-    comp = near_duplicate_components(docs, id_col, text_col)
+    comp = near_copy_components(docs, id_col, text_col)
     keep = comp.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(f"{P}id")).distinct()
     out = docs.join(keep, F.col(id_col) == F.col(f"{P}id"), "left_semi")
-    if docs.filter(F.col(id_col).isNull()).limit(1).count():
-        nameless = docs.withColumn(f"{P}fp", simhash_column(F.col(text_col))).filter(F.col(id_col).isNull())
-        alone = comp.filter("component_id is null").select(F.col("fp").alias(f"{P}fp")).distinct()
-        out = out.unionByName(nameless.join(alone, f"{P}fp", "left_semi").dropDuplicates([f"{P}fp"]).drop(f"{P}fp"))
-    twice = keep.join(docs.groupBy(F.col(id_col).alias(f"{P}id")).count().filter("count > 1"), f"{P}id", "left_semi")
-    if twice.limit(1).count():
+    # One row for each id that several rows share; a look at the ids tells whether there are any.
+    n, d = docs.filter(F.col(id_col).isNotNull()).agg(F.count(id_col), F.countDistinct(id_col)).first()
+    if n > d:
         out = out.dropDuplicates([id_col])
+    if docs.filter(F.col(id_col).isNull()).limit(1).count():
+        out = out.unionByName(docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))
     return out

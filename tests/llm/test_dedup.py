@@ -219,3 +219,38 @@ def test_digest_odd(odd_docs, no_docs):
     assert by[4][0]["fingerprint"] == by[5][0]["fingerprint"] == by[6][0]["fingerprint"] == brute_digest("")
     assert by[1][0]["fingerprint"] == by[2][0]["fingerprint"] and by[1][0]["near_next"] == 1.0 and len(by[2]) == 2
     assert digest.edited_digests(no_docs).count() == 0
+
+
+def test_near_copies(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    rows, group = [], {}
+    for g in range(60):
+        base = [word() for _ in range(300)]
+        for c in range(3):
+            w = list(base)
+            if c:
+                w[rng.randrange(300)] = word()
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(w)))
+    rows += [(900, rows[0][1]), (901, ""), (902, None), (903, "lone words")]
+    out = {r["doc_id"]: r["component_id"] for r in simhash.near_copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[900] == out[0] and out[902] == out[901] == 901 and out[903] == 903
+    assert all(group[out[i]] == g for i, g in group.items())
+    assert sum(out[i] == i for i in group) <= 1.15 * 60
+    assert simhash.likeness(b"a b c d e f", b"A b c d e f") == 1.0 and simhash.likeness(b"", b"") == 1.0 and simhash.likeness(b"a", b"") == 0.0
+
+
+def test_large_group_of_near_copies(spark):
+    """One group holds most rows; nothing is lost and its copies are not expanded into all pairs."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    base = [word() for _ in range(400)]
+    rows = [(i, " ".join(base)) for i in range(300)]
+    for i in range(300, 500):
+        w = list(base)
+        w[rng.randrange(400)] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(i, " ".join(word() for _ in range(50))) for i in range(500, 600)]
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept[-100:] == list(range(500, 600)) and kept[0] == 0 and len(kept) <= 100 + 12
