@@ -105,3 +105,15 @@ def csv_field(v: Column) -> Column:
 
 def grid_size(size: float, cell: float) -> int:
     return int(math.floor(size / cell)) + 1
+
+
+def constrained(dx: Column, dy: Column, dz: Column, axis: str) -> list[Column]:
+    """A step held to an axis: x east, y north (z), z up (y), level, or free."""
+    keep = {"x": (1, 0, 0), "y": (0, 0, 1), "z": (0, 1, 0), "level": (1, 0, 1), "free": (1, 1, 1)}
+    if axis not in keep:
+        raise ValueError(f"axis is one of {', '.join(keep)}")
+    return [(d if k else F.lit(0.0)).alias(n) for d, k, n in zip((dx, dy, dz), keep[axis], ("dx", "dy", "dz"), strict=True)]
+
+
+def snapped(v: Column, step: float = 1.0) -> Column:
+    return js_round(v / F.lit(float(step))) * F.lit(float(step))

@@ -137,3 +137,27 @@ def upper_percentile(values: DataFrame, column: str, fraction: float, sample: in
 def pick_sorted(values: Column, index: Column) -> Column:
     """The value at a 0-based index of an array in ascending order."""
     return F.get(F.sort_array(values), index.cast("int"))
+
+
+def visible(points: DataFrame, noise: str = "shown", hidden_lines: DataFrame | None = None) -> DataFrame:
+    """What a view shows: noise shown, hidden or alone, without the flight lines listed (point_source_id)."""
+    if noise not in ("shown", "hidden", "only"):
+        raise ValueError("noise is 'shown', 'hidden' or 'only'")
+    flag = G.is_noise(F.col("classification"))
+    out = points if noise == "shown" else points.filter(flag if noise == "only" else ~flag)
+    return out if hidden_lines is None else out.join(hidden_lines.select("point_source_id").distinct(), "point_source_id", "left_anti")
+
+
+def lod_usage(chosen: DataFrame) -> DataFrame:
+    """Per tier its tiles, points and spacing weighted by points; chosen: tile, tier, n, spacing."""
+    return chosen.groupBy("tier").agg(F.count("*").alias("tiles"), F.sum("n").alias("points"), (F.sum(F.col("spacing") * F.col("n")) / F.sum("n")).alias("spacing"))
+
+
+def ground_errors(points: DataFrame) -> DataFrame:
+    """Error rates of classes against ``truth``: type I (ground not found), type II (other taken for ground), total, and noise recall."""
+    is_ground, found = F.col("truth") == 2, F.col("classification") == 2
+    rate = lambda bad, of: F.round(F.sum((bad & of).cast("long")) / F.sum(of.cast("long")), 6)
+    return points.agg(
+        rate(~found, is_ground).alias("type_1"), rate(found, ~is_ground).alias("type_2"), rate(found != is_ground, F.lit(True)).alias("total"),
+        rate(G.is_noise(F.col("classification")), G.is_noise(F.col("truth"))).alias("noise_recall"),
+    )

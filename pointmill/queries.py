@@ -747,6 +747,38 @@ def tier_screen_space(spark, sf_dir):
     return measure.tier_for_screen(_tiers(spark, sf_dir), 5.0, 40.0, 5.0, 500.0, 8.0)
 
 
+@query(TIERS + ", ch AS (SELECT tile, tier, n, spacing FROM ts WHERE tier = tile % 5) SELECT tier, count(*) AS tiles, CAST(sum(n) AS BIGINT) AS points, round(sum(spacing * n) / sum(n), 6) AS spacing FROM ch GROUP BY tier")
+def lod_usage(spark, sf_dir):
+    chosen = _tiers(spark, sf_dir).filter("tier = tile % 5")
+    return tables.lod_usage(chosen).withColumn("spacing", F.round("spacing", 6))
+
+
+@query(scene_cte() + f" SELECT pid, point_source_id FROM pts WHERE NOT {NOISE} AND point_source_id <> 2")
+def visible_points(spark, sf_dir):
+    hidden = spark.createDataFrame([(2,)], "point_source_id int")
+    return tables.visible(points(spark, sf_dir), "hidden", hidden).select("pid", "point_source_id")
+
+
+@query(ROOFS + " SELECT DISTINCT seed, row, col FROM sc")
+def merge_surfaces(spark, sf_dir):
+    # The scene's roofs and crowns stand apart, so each stays a group of its own.
+    return measure.merge_touching(_roof_cells(spark, sf_dir))
+
+
+@query()
+def ground_errors(spark, sf_dir):
+    truth = F.when(F.col("classification").isin(5, 6), 1).otherwise(F.col("classification"))
+    p = points(spark, sf_dir).withColumns({"truth": truth, "classification": F.when(G.is_noise(F.col("classification")), F.col("classification")).otherwise(0)})
+    return tables.ground_errors(ground.detect_ground(p))
+
+
+@query()
+def synthetic_survey(spark, sf_dir):
+    from .sources.synthetic import synthetic_survey as make
+
+    return make(spark, 20_000).groupBy("truth").agg(F.count("*").alias("n"))
+
+
 @query(BASE + " SELECT row, col, count(*) AS n, sum(y) AS s, sum(y * y) AS ss, min(y) AS lo, max(y) AS hi FROM pc GROUP BY row, col")
 def streaming_cell_stats(spark, sf_dir):
     from .streaming import cells
