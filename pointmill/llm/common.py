@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts can be long: batches for Python hold at most so many, so that neither side buffers tens of megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -33,4 +40,4 @@ def bounded_rows(df: DataFrame, id_col: str, bound: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 24)) < int((1 << 24) * bound / n))
 
 
-__all__ = ["P", "bounded_rows", "connected_components", "id_bucket", "settled", "shared_dir", "shuffle_partitions", "stored", "table"]
+__all__ = ["P", "bounded_batches", "bounded_rows", "connected_components", "id_bucket", "settled", "shared_dir", "shuffle_partitions", "stored", "table"]

@@ -59,7 +59,7 @@ def simhash64(raw: bytes, width: int = 3) -> int:
 
 
 def _simhashes(text: pa.Array) -> pa.Array:
-    return pa.array([_signed(simhash64(x or b"")) for x in text.to_pylist()], pa.int64())
+    return pa.array([_signed(simhash64(x.as_py() or b"")) for x in text], pa.int64())
 
 
 def simhash_column(text: Column) -> Column:
@@ -148,7 +148,7 @@ def word_sketches(raw: bytes, n: int = SKETCHES) -> list[int]:
 
 
 def _word_sketches(text: pa.Array) -> pa.Array:
-    return pa.array([[_signed(x) for x in word_sketches(t or b"")] for t in text.to_pylist()], pa.list_(pa.int64()))
+    return pa.array([[_signed(x) for x in word_sketches(t.as_py() or b"")] for t in text], pa.list_(pa.int64()))
 
 
 def shingle_set(raw: bytes, width: int = WIDTH) -> set[int]:
@@ -192,7 +192,8 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         before = F.lag("rep").over(Window.partitionBy("fp").orderBy("rep"))
         inside = several.select("lead", "rep", before.alias("before"))
         inside = inside.filter("lead <> rep").select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("rep").alias("b")), F.struct(F.col("before").alias("a"), F.col("rep").alias("b")))).alias("e")).select("e.a", "e.b")
-        both = across.union(inside)
+        # One sketch after the other: their shuffles are not held at once.
+        both = settled(across.union(inside))
         pairs = both if pairs is None else pairs.union(both)
     pairs = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ids = settled(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct())
@@ -202,7 +203,7 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = settled(texts.groupBy("i").agg(F.max("t").alias("t")))
 
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([likeness(x or b"", y or b"") for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+        return pa.array([likeness(x.as_py() or b"", y.as_py() or b"") for x, y in zip(a, b, strict=True)], pa.float64())
 
     x, y = (texts.select(F.col("i").alias(i), F.col("t").alias(t)) for i, t in (("a", "ta"), ("b", "tb")))
     links = pairs.join(x, "a").join(y, "b").select("a", "b", F.arrow_udf(alike, "double")("ta", "tb").alias("j")).filter(F.col("j") >= similarity)

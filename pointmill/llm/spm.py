@@ -113,7 +113,7 @@ class Codec:
         if ok is None:
             x, y = self._text(a), self._text(b)
             ok = self._merge(x + y) == [x, y]
-            if len(self.pair) >= 2 * REMEMBER:
+            if len(self.pair) >= REMEMBER:
                 self.pair.clear()
             self.pair[key] = ok
         return ok
@@ -214,7 +214,7 @@ def encode_column(spark: SparkSession, model_path: str):
     @F.arrow_udf("array<int>")
     def encode(text: pa.Array) -> pa.Array:
         codec = codec_of(shared)
-        return pa.array([codec.encode(t or "") for t in text.to_pylist()], pa.list_(pa.int32()))
+        return pa.array([codec.encode(t.as_py() or "") for t in text], pa.list_(pa.int32()))
 
     return encode
 
@@ -242,7 +242,7 @@ def token_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     @F.arrow_udf("struct<n:bigint,i:string,d:string>")
     def digest(text: pa.Array) -> pa.Array:
         codec = codec_of(shared)
-        rows = [codec.digest(t or "") for t in text.to_pylist()]
+        rows = [codec.digest(t.as_py() or "") for t in text]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["n", "i", "d"])
 
     out = docs.select(F.col(id_col), digest(F.col(text_col)).alias("__pm_d"))

@@ -35,7 +35,7 @@ REPORTING = frozenset("said says wrote writes called quote quoted quotes word te
 QUOTED_WEIGHT, NEIGHBOUR_BONUS = 0.15, 0.25
 #: Misspelled forms worth less are no hits.
 LEAST = 0.1
-REMEMBER = 400_000
+REMEMBER = 150_000
 THRESHOLD = 0.3
 
 
@@ -218,11 +218,11 @@ def _term_counts(rows: DataFrame) -> DataFrame:
             pos.clear(), neg.clear()
 
         for b in batches:
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, label in zip(map(lambda t: t.as_py(), b.column(0)), b.column(1).to_pylist(), strict=True):
                 words = set(WORD.findall((text or "").lower()))
                 terms = words | {w[:n] + "*" for w in words for n in PREFIX if len(w) > n}
                 (pos if label else neg).update(terms)
-            if len(pos) + len(neg) > 500_000:
+            if len(pos) + len(neg) > 120_000:
                 yield from out()
         if pos or neg:
             yield from out()
@@ -353,7 +353,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     @F.arrow_udf("struct<s:double,n:int,q:int,h:string>")
     def score(text: pa.Array) -> pa.Array:
         m = shared.value
-        rows = [m.score(t) for t in text.to_pylist()]
+        rows = [m.score(t.as_py()) for t in text]
         return pa.StructArray.from_arrays(
             [
                 pa.array([s for s, _ in rows], pa.float64()),
