@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import P, connected_components, settled
@@ -120,96 +120,154 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return fp.join(node, F.col("fp") == F.col(f"{P}fp")).select(F.col(f"{P}id").alias(id_col), "fp", "component_id", "n_links")
 
 
-#: Near copies: word fingerprints per text, shingle width and similarity of the verification.
-SKETCHES, WIDTH, SIMILARITY = 2, 5, 0.8
+#: Near copies: shingle width and similarity.
+WIDTH, SIMILARITY = 5, 0.8
 #: Ids of texts to compare are broadcast only up to so many; beyond, both sides are shuffled.
 BROADCAST_ROWS = 300_000
+#: Shingles in more prefixes than HOT, the commonest HOT_KEYS of them, are ordered last. Any choice gives the same pairs.
+HOT, HOT_KEYS = 50, 100_000
+#: Prefix buckets of more than LEAD texts are first linked to their least text; buckets are paired in blocks of about BLOCK texts.
+LEAD, BLOCK = 64, 500
 
 
-def word_sketches(raw: bytes, n: int = SKETCHES) -> list[int]:
-    """Fingerprints of the set of a text's words, with independent hashes; a changed word moves few of its bits."""
+def shingle_set(raw: bytes, width: int = WIDTH) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, ascending; a text of fewer words is one shingle, one without words none."""
     import xxhash
 
-    words = sorted(set(raw.lower().split()))
+    words = raw.lower().split()
     if not words:
-        return [0] * n
-    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in words], dtype="<u8")
-    out = []
-    for k in range(n):
-        x = h * np.uint64(2 * k + 1) + np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        total = np.zeros(BITS, np.int64)
-        for i in range(0, len(x), CHUNK):
-            total += np.unpackbits(x[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(total * 2 > len(x), bitorder="little").view("<u8")[0]))
-    return out
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = min(width, len(words))
+    n = len(words) - k + 1
+    h = w[:n]
+    for i in range(1, k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
+    return np.unique(h)
+
+
+def likeness(a: bytes, b: bytes, width: int = WIDTH) -> float:
+    """Jaccard similarity of the word shingles of two texts; 1 where neither has a word."""
+    x, y = shingle_set(a, width), shingle_set(b, width)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
 
+def _in_sorted(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
 
-def _word_sketches(text: pa.Array) -> pa.Array:
-    return pa.array([[_signed(x) for x in word_sketches(t.as_py() or b"")] for t in text], pa.list_(pa.int64()))
 
+def _prefixes(text: pa.Array, similarity: float, hot: np.ndarray | None) -> pa.Array:
+    """For each text two hashes of its shingle set, the set's size n, and its first n - ceil(similarity * n) + 1 shingles.
 
-def shingle_set(raw: bytes, width: int = WIDTH) -> set[int]:
+    Shingles are ordered by hash, those in ``hot`` after all others. Two sets of
+    that similarity share a shingle of their prefixes in any one order.
+    """
     import xxhash
 
-    words = raw.lower().split()
-    n = max(1, len(words) - width + 1) if words else 0
-    return {xxhash.xxh64_intdigest(b" ".join(words[i : i + width])) for i in range(n)}
+    a, b, n, at, parts = [], [], [], [0], []
+    for t in text:
+        s = shingle_set(t.as_py() or b"")
+        raw = s.tobytes()
+        a.append(_signed(xxhash.xxh64_intdigest(raw, 1))), b.append(_signed(xxhash.xxh64_intdigest(raw, 2))), n.append(len(s))
+        if len(s):
+            p = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
+            if hot is not None:
+                late = _in_sorted(s, hot)
+                s = np.concatenate([s[~late], s[late]])
+            parts.append(s[: min(p, len(s))])
+            at.append(at[-1] + len(parts[-1]))
+        else:
+            at.append(at[-1])
+    keys = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+    return pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys))], ["h1", "h2", "n", "w"])
+
+
+_PREFIX = "struct<h1:bigint,h2:bigint,n:int,w:array<bigint>>"
+
+
+def _texts(docs: DataFrame, ids: DataFrame, id_col: str, raw: Column) -> DataFrame:
+    """``i, t``: the texts of the rows with one of the ids in column i."""
+    near = F.broadcast if ids.count() <= BROADCAST_ROWS else (lambda v: v)
+    return docs.select(F.col(id_col).alias("i"), raw.alias("t")).join(near(ids), "i", "left_semi")
 
 
-def likeness(a: bytes, b: bytes, width: int = WIDTH) -> float:
-    """Jaccard similarity of the word shingles of two texts; 1 where neither has a word."""
-    x, y = shingle_set(a, width), shingle_set(b, width)
-    both = len(x & y)
-    return both / (len(x) + len(y) - both) if x or y else 1.0
+def _alike(docs: DataFrame, pairs: DataFrame, id_col: str, raw: Column, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` of ids whose texts are alike; of rows that share an id, any."""
+
+    def measure(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([likeness(x.as_py() or b"", y.as_py() or b"") for x, y in zip(a, b, strict=True)], pa.float64())
+
+    ids = settled(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct())
+    texts = settled(_texts(docs, ids, id_col, raw).distinct())
+    x, y = (texts.select(F.col("i").alias(i), F.col("t").alias(t)) for i, t in (("a", "ta"), ("b", "tb")))
+    j = F.arrow_udf(measure, "double")("ta", "tb")
+    return settled(pairs.join(x, "a").join(y, "b").select("a", "b", j.alias("j")).filter(F.col("j") >= similarity).select("a", "b"))
+
+
+def _bucket_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: every pair of one key of ``met`` (key, rep, n, p, comp, c) that may be alike and is not of one component yet.
+
+    A key's texts are dealt into blocks and every two blocks meet in a cell of
+    their own, so that a hot key is no single task. A pair that shares k of its
+    prefix shingles has at most k more the larger rest in common.
+    """
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    e = met.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    e = e.select("key", "rep", "n", "p", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    x, y = e.filter("own = lo").alias("x"), e.filter("own = hi").alias("y")
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    on &= ((F.col("x.lo") < F.col("x.hi")) | (F.col("x.rep") < F.col("y.rep"))) & (F.col("x.comp") != F.col("y.comp"))
+    on &= F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(similarity) - 1e-9
+    total, rest = F.col("x.n") + F.col("y.n"), F.greatest(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
+    both = x.join(y, on).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), total.alias("total"), rest.alias("rest"))
+    both = both.groupBy("a", "b", "total", "rest").agg(F.count("*").alias("k"))
+    return both.filter(F.col("k") + F.col("rest") >= F.col("total") * F.lit(similarity / (1 + similarity)) - 1e-6).select("a", "b").distinct()
 
 
 def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``<id_col>, component_id`` of every row with an id: groups of equal texts and of texts alike in their word shingles.
-
-    Candidates are texts whose word sketches fall into one ball of RADIUS bits,
-    found by ball hashing as above, for each of SKETCHES independent sketches;
-    of several texts with one sketch each is compared with the first and with
-    the one before it. Every candidate pair is verified: its sets of five-word
-    shingles must be alike by ``similarity`` or more. component_id is the
-    smallest id of the group. Null text counts as empty.
+    """``<id_col>, component_id`` of every row with an id: groups of texts alike in their word shingles.
+
+    Two texts are linked where their sets of five-word shingles are alike by
+    ``similarity`` or more. The search is complete: such sets share a shingle of
+    their prefixes (see _prefixes), and all texts that meet on one are compared
+    unless they are linked already. So that a large group of copies is not
+    expanded into all its pairs, the texts of a large bucket are first compared
+    with the least of them. component_id is the smallest id of the group. Null
+    text counts as empty; texts without a word are one group.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    # The sketches make the key of a text wider: equal in hash and sketches means equal.
-    own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias(f"{P}id"), F.xxhash64(raw).alias("key"), F.arrow_udf(_word_sketches, "array<bigint>")(raw).alias("s"))
+    prefix = lambda t, hot=None: F.arrow_udf(lambda x: _prefixes(x, similarity, hot), _PREFIX)(t)
+    own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias(f"{P}id"), prefix(raw).alias("s")).select(f"{P}id", "s.*")
     own = settled(own)
-    first = settled(own.groupBy("key", "s").agg(F.min(f"{P}id").alias("rep")))
-    pairs = None
-    for k in range(SKETCHES):
-        node = first.select(F.col("s")[k].alias("fp"), "rep")
-        head = node.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n"))
-        found = near_pairs(head.select("fp"))
-        x, y = (head.select(F.col("fp").alias(c), F.col("rep").alias(r)) for c, r in (("x", "a"), ("y", "b")))
-        across = found.join(x, "x").join(y, "y").select("a", "b")
-        several = node.join(head.filter("n > 1").select(F.col("fp").alias("g"), F.col("rep").alias("lead")), F.col("fp") == F.col("g"))
-        before = F.lag("rep").over(Window.partitionBy("fp").orderBy("rep"))
-        inside = several.select("lead", "rep", before.alias("before"))
-        inside = inside.filter("lead <> rep").select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("rep").alias("b")), F.struct(F.col("before").alias("a"), F.col("rep").alias("b")))).alias("e")).select("e.a", "e.b")
-        # One sketch after the other: their shuffles are not held at once.
-        both = settled(across.union(inside))
-        pairs = both if pairs is None else pairs.union(both)
-    pairs = settled(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ids = settled(pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct())
-    near = F.broadcast if ids.count() <= BROADCAST_ROWS else (lambda v: v)
-    texts = docs.select(F.col(id_col).alias("i"), raw.alias("t")).join(near(ids), "i", "left_semi")
-    # Rows that share an id: its greatest text stands for it.
-    texts = settled(texts.groupBy("i").agg(F.max("t").alias("t")))
-
-    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([likeness(x.as_py() or b"", y.as_py() or b"") for x, y in zip(a, b, strict=True)], pa.float64())
-
-    x, y = (texts.select(F.col("i").alias(i), F.col("t").alias(t)) for i, t in (("a", "ta"), ("b", "tb")))
-    links = pairs.join(x, "a").join(y, "b").select("a", "b", F.arrow_udf(alike, "double")("ta", "tb").alias("j")).filter(F.col("j") >= similarity)
-    comp = connected_components(settled(links), "a", "b")
-    rep = first.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("key").alias("k2"), F.col("s").alias("s2"), F.coalesce("root", "rep").alias("component_id"))
-    return own.join(rep, (F.col("key") == F.col("k2")) & (F.col("s") == F.col("s2"))).select(F.col(f"{P}id").alias(id_col), "component_id")
+    first = settled(own.groupBy("h1", "h2", "n").agg(F.min(f"{P}id").alias("rep"), F.first("w").alias("w")))
+    own = own.drop("w")
+    node = first.filter("n > 0").select("rep", "n", "w")
+    often = node.select(F.explode("w").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).orderBy(F.desc("c"), "key").limit(HOT_KEYS)
+    hot = np.sort(often.select("key").toArrow().column(0).to_numpy().view(np.uint64))
+    if len(hot):
+        # Prefixes without a hot shingle stay as they are; the others are taken again.
+        changed = F.arrow_udf(lambda w: pa.array([bool(_in_sorted(x.values.to_numpy().view(np.uint64), hot).any()) for x in w], pa.bool_()), "boolean")
+        node = settled(node.withColumn("changed", changed("w")))
+        anew = _texts(docs, settled(node.filter("changed").select(F.col("rep").alias("i")).distinct()), id_col, raw)
+        anew = anew.select(F.col("i").alias("rep"), prefix("t", hot).alias("s")).select("rep", "s.n", "s.w")
+        node = node.filter("not changed").select("rep", "n", "w").union(anew.filter("n > 0"))
+    rows = settled(node).select("rep", "n", F.size("w").alias("p"), F.explode("w").alias("key"))
+    keys = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).filter("c > 1")
+    met = settled(rows.join(keys, "key")).withColumn("comp", F.col("rep"))
+    links = None
+    large = met.filter((F.col("c") > LEAD) & (F.col("lead") != F.col("rep")))
+    if large.limit(1).count():
+        links = _alike(docs, settled(large.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()), id_col, raw, similarity)
+        comp = connected_components(links, "a", "b")
+        met = met.drop("comp").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "p", F.coalesce("root", "rep").alias("comp"))
+        met = settled(met)
+        keys = met.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "c")
+        met = met.join(keys, "key")
+    rest = _alike(docs, settled(_bucket_pairs(met, similarity)), id_col, raw, similarity)
+    comp = connected_components(rest if links is None else links.union(rest), "a", "b")
+    rep = first.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("m"), F.coalesce("root", "rep").alias("component_id"))
+    return own.join(rep, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") == F.col("m"))).select(F.col(f"{P}id").alias(id_col), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -254,3 +254,38 @@ def test_large_group_of_near_copies(spark):
     rows += [(i, " ".join(word() for _ in range(50))) for i in range(500, 600)]
     kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept[-100:] == list(range(500, 600)) and kept[0] == 0 and len(kept) <= 100 + 12
+
+
+def brute_copies(rows, similarity=0.8):
+    """id -> smallest id reachable over pairs of texts with enough five-word shingles in common."""
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [(i, shingles(t)) for i, t in rows], {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if not a and not b or len(a & b) / (len(a | b) or 1) >= similarity:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in rows}
+
+
+def test_near_copies_among_texts_of_the_same_words(spark):
+    """Permuted texts have one set of words; the two copies among them are neither first nor neighbours."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    mix = lambda: rng.sample(words, len(words))
+    p, q, r, s = mix(), mix(), mix(), mix()
+    twin = list(q)
+    twin[50], twin[51] = twin[51], twin[50]
+    rows = [(i, " ".join(w)) for i, w in enumerate([p, q, r, s, twin])]
+    out = {x["doc_id"]: x["component_id"] for x in simhash.near_copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == brute_copies(rows) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 1}
