@@ -289,3 +289,24 @@ def test_near_copies_among_texts_of_the_same_words(spark):
     rows = [(i, " ".join(w)) for i, w in enumerate([p, q, r, s, twin])]
     out = {x["doc_id"]: x["component_id"] for x in simhash.near_copy_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == brute_copies(rows) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    """Scattered changes on both sides of the similarity, a shared passage as hot shingles, several texts a bucket: no pair is missed."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    common, rows = [word() for _ in range(40)], []
+    for g in range(40):
+        base = [word() for _ in range(rng.choice([6, 30, 150, 300]))]
+        for c in range(4):
+            w = list(base)
+            for k in rng.sample(range(len(w)), min(len(w) // 4, rng.randint(0, 8) if c else 0)):
+                w[k] = word()
+            rows.append((len(rows), " ".join(w + (common if g % 2 else []))))
+    want = brute_copies(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_copy_components(docs).collect()} == want
+    for name, value in (("HOT", 4), ("LEAD", 2), ("BLOCK", 3), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(simhash, name, value)
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_copy_components(docs).collect()} == want
+    assert len(set(want.values())) not in (40, len(rows))
