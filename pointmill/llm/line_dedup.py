@@ -5,9 +5,12 @@ its number of tokens and its leading tokens, and the leaf at the end of the
 path holds its templates. Lines of one leaf that agree in at least SIMILARITY
 of their tokens, position by position, fall into one template: within d
 allowed differences one of d + 1 segments is equal, so the lines of a leaf
-meet on equal segments, where each is compared with the most frequent line of
-that segment (the template's representative). A template that recurs in
-several documents stays in the first of them and is dropped from the others.
+meet on equal segments. Where one or two tokens may differ, lines that meet
+are joined on all ways to leave out so many tokens, which finds every pair
+without comparing all lines. Where more may differ, each line is compared with
+the most frequent line of its segment, and then with every line there that is
+not of its template yet. A template that recurs in several documents stays in
+the first of them and is dropped from the others.
 
 Everything is DataFrame work: lines travel as hashes, only leaves that hold
 different lines are looked at token by token, and hot lines are counted before
@@ -25,6 +28,8 @@ from .common import P, connected_components, settled
 DEPTH, SIMILARITY, MIN_DOCS = 3, 0.8, 2
 #: Leaves with different lines, and documents to read again, are broadcast only up to so many; beyond, both sides are shuffled.
 BROADCAST_ROWS = 300_000
+#: Up to so many differences lines meet on masked tokens; beyond, in pairs, a segment's lines in blocks of about BLOCK.
+MASKED, BLOCK = 2, 500
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
@@ -65,15 +70,54 @@ def _templates(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, de
     tokens = F.array(F.split("masked", " "))
     hashes = F.flatten(F.transform(tokens, lambda t: F.transform(F.sequence(F.lit(0), d), lambda k: F.xxhash64(k, F.slice(t, cut(k) + 1, cut(k + 1) - cut(k))))))
     parts = text.select("leaf", "n", "h", "seen", F.explode(hashes).alias("seg"))
+    parts = settled(parts)
     head = parts.groupBy("leaf", "n", "seg").agg(F.max(F.struct("seen", "h")).alias("top"), F.count("*").alias("c")).filter("c > 1")
     head = head.select(F.col("leaf").alias("l"), F.col("n").alias("m"), F.col("seg").alias("s"), F.col("top.h").alias("o"))
-    pairs = parts.join(head, (F.col("leaf") == F.col("l")) & (F.col("n") == F.col("m")) & (F.col("seg") == F.col("s")) & (F.col("h") != F.col("o"))).select("h", "o").distinct()
+    met = settled(parts.join(head, (F.col("leaf") == F.col("l")) & (F.col("n") == F.col("m")) & (F.col("seg") == F.col("s"))).select("leaf", "n", "seg", "h", "o"))
+    few = _differences(F.col("n"), similarity) <= MASKED
+    firsts = met.filter(~few & (F.col("h") != F.col("o"))).select("h", "o").union(_masked_pairs(text, met.filter(few), similarity))
+    links = settled(_alike(text, firsts.distinct(), similarity))
+    # Lines with more differences: all lines of a segment meet that are not in one template by now.
+    comp = connected_components(links, "h", "o")
+    long = met.filter(~few).select("leaf", "n", "seg", "h").join(comp, F.col("h") == F.col("node"), "left").select("leaf", "n", "seg", "h", F.coalesce("root", "h").alias("comp"))
+    long = settled(long)
+    mixed = long.groupBy("leaf", "n", "seg").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).filter("a <> b").drop("a", "b")
+    if mixed.limit(1).count():
+        links = links.union(_alike(text, _block_pairs(long.join(mixed, ["leaf", "n", "seg"])).distinct(), similarity))
+        comp = connected_components(links, "h", "o")
+    return comp.select(F.col("node").alias("h"), F.col("root").alias("template"))
+
+
+def _masked_pairs(text: DataFrame, met: DataFrame, similarity: float) -> DataFrame:
+    """``h, o`` for lines with one or two allowed differences d: lines that are equal with some d tokens left out meet, each with the least of them."""
+    own = text.join(met.select(F.col("h").alias(f"{P}h")).distinct(), F.col("h") == F.col(f"{P}h"), "left_semi")
+    own = own.select("leaf", "h", _differences(F.col("n"), similarity).alias("d"), F.transform(F.split("masked", " "), lambda t, i: F.xxhash64(i, t)).alias("th"))
+    own = own.withColumn("all", F.aggregate("th", F.lit(0).cast("bigint"), lambda s, v: s.bitwiseXOR(v)))
+    one = F.transform("th", lambda x, i: F.xxhash64(i, F.col("all").bitwiseXOR(x)))
+    rest = lambda x, i: F.transform(F.slice("th", i + 2, F.size("th")), lambda y, k: F.xxhash64(i, k, F.col("all").bitwiseXOR(x).bitwiseXOR(y)))
+    keys = own.select("leaf", "h", F.explode(F.when(F.col("d") == 1, one).otherwise(F.flatten(F.transform("th", rest)))).alias("key"))
+    least = keys.groupBy("leaf", "key").agg(F.min("h").alias("o"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    return keys.join(least, ["leaf", "key"]).filter("h <> o").select("h", "o")
+
+
+def _block_pairs(met: DataFrame) -> DataFrame:
+    """``h, o``: all pairs of lines of one segment (leaf, n, seg, h, comp; c lines) but those of one component; a hot segment is dealt into blocks, two to a cell."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    e = met.withColumn("own", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    e = e.select("leaf", "n", "seg", "h", "comp", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    x, y = e.filter("own = lo").alias("x"), e.filter("own = hi").alias("y")
+    on = (F.col("x.comp") != F.col("y.comp")) & ((F.col("x.lo") < F.col("x.hi")) | (F.col("x.h") < F.col("y.h")))
+    for c in ("leaf", "n", "seg", "lo", "hi"):
+        on &= F.col(f"x.{c}") == F.col(f"y.{c}")
+    return x.join(y, on).select(F.least("x.h", "y.h").alias("h"), F.greatest("x.h", "y.h").alias("o"))
+
+
+def _alike(text: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``h, o`` of lines that agree in enough positions."""
     x = text.select("h", F.col("masked").alias("x"))
     y = text.select(F.col("h").alias("o"), F.col("masked").alias("y"))
-    both = pairs.join(x, "h").join(y, "o")
     same = F.aggregate(F.zip_with(F.split("x", " "), F.split("y", " "), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v)
-    alike = both.filter(same >= similarity * F.size(F.split("x", " ")) - 1e-9).select("h", "o")
-    return connected_components(alike, "h", "o").select(F.col("node").alias("h"), F.col("root").alias("template"))
+    return pairs.join(x, "h").join(y, "o").filter(same >= similarity * F.size(F.split("x", " ")) - 1e-9).select("h", "o")
 
 
 def repeated_lines(

@@ -310,3 +310,37 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(simhash, name, value)
     assert {x["doc_id"]: x["component_id"] for x in simhash.near_copy_components(docs).collect()} == want
     assert len(set(want.values())) not in (40, len(rows))
+
+
+def test_several_templates_in_one_leaf(spark, monkeypatch):
+    """Templates of every line are those of brute force, however many stand in one leaf and segment."""
+    rng = random.Random(8)
+    lines = ["opened by user amy via web", "opened by user bob via ssh", "opened by user cyd via ssh"]
+    for n in (6, 10, 11, 16, 22):
+        for t in range(6):
+            base = ["one", "two", "three", *(rng.choice("abc") for _ in range(n - 3))]
+            for _ in range(5):
+                w = list(base)
+                for k in rng.sample(range(3, n), rng.randint(1, n // 5 + 1)):
+                    w[k] = rng.choice("defgh")
+                lines.append(" ".join(w))
+    lines = sorted(set(lines))
+    root = list(range(len(lines)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, a in enumerate(lines):
+        for j in range(i):
+            x, y = a.split(), lines[j].split()
+            if len(x) == len(y) and x[:3] == y[:3] and sum(u == v for u, v in zip(x, y)) >= 0.8 * len(x) - 1e-9:
+                root[find(i)] = find(j)
+    want = {frozenset(a for k, a in enumerate(lines) if find(k) == r) for r in map(find, range(len(lines)))}
+    docs = spark.createDataFrame([(i, a) for i, a in enumerate(["opened by user amy via web", *lines])], "doc_id long, text string")
+    for block in (line_dedup.BLOCK, 2):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        own = line_dedup._lines(docs, "doc_id", "text", 3).select("masked", F.col("h").alias("g")).distinct()
+        got = line_dedup._templates(docs, line_dedup._lines(docs, "doc_id", "text", 3).drop("masked"), "doc_id", "text", 3, 0.8)
+        by = {}
+        for r in own.join(got, F.col("g") == F.col("h"), "left").collect():
+            by.setdefault(r["template"] or r["g"], set()).add(r["masked"])
+        assert set(map(frozenset, by.values())) == want
+    kept = {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["n_dropped"] == 0}
+    assert 1 + lines.index("opened by user bob via ssh") in kept and 1 + lines.index("opened by user cyd via ssh") not in kept
