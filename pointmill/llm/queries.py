@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,11 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+@functools.cache
 def surrogate_key() -> bytes:
-    """The secret of the surrogates; runs that must agree need the same POINTMILL_PII_KEY."""
-    return os.environ.get("POINTMILL_PII_KEY", "pointmill-test-key").encode()
+    """The secret of the surrogates: POINTMILL_PII_KEY, which runs that must agree share; where it isn't set, a random one of this process."""
+    own = os.environ.get("POINTMILL_PII_KEY")
+    return own.encode() if own else secrets.token_bytes(32)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
