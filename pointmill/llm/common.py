@@ -32,6 +32,24 @@ def id_bucket(id_col: str, modulus: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
+#: A key with more than this share of all rows is hot, so there are fewer than SHARE hot keys, however large the input.
+SHARE = 5_000
+
+
+def spread_join(rows: DataFrame, keys: DataFrame, on: str, count: str, how: str = "inner") -> DataFrame:
+    """rows joined with keys on the column ``on``, of which keys has each value once, ``count`` rows of rows hold it; count is dropped.
+
+    Rows of hot keys stay where they are and meet a broadcast of those keys,
+    whose number is bounded by SHARE; only the others are shuffled, and none of
+    their keys is large. keys is read three times: settle it first.
+    """
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * F.lit(SHARE) > F.lit(total)
+    many = keys.filter(hot).drop(count)
+    out = rows.join(F.broadcast(many.select(on)), on, "left_anti").join(keys.filter(~hot).drop(count), on, how)
+    return out.unionByName(rows.join(F.broadcast(many), on).select(out.columns))
+
+
 def bounded_rows(df: DataFrame, id_col: str, bound: int) -> DataFrame:
     """About ``bound`` rows, by a threshold on a hash of the id: a row's luck depends on its id alone."""
     n = df.count()
@@ -40,4 +58,4 @@ def bounded_rows(df: DataFrame, id_col: str, bound: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 24)) < int((1 << 24) * bound / n))
 
 
-__all__ = ["P", "bounded_batches", "bounded_rows", "connected_components", "id_bucket", "settled", "shared_dir", "shuffle_partitions", "stored", "table"]
+__all__ = ["P", "bounded_batches", "bounded_rows", "connected_components", "id_bucket", "settled", "shared_dir", "shuffle_partitions", "spread_join", "stored", "table"]

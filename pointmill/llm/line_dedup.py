@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, connected_components, settled
+from .common import P, connected_components, settled, spread_join
 
 #: Tree depth (leading tokens), similarity within a leaf, and from how many documents on a template recurs.
 DEPTH, SIMILARITY, MIN_DOCS = 3, 0.8, 2
@@ -125,16 +125,18 @@ def repeated_lines(
 ) -> DataFrame:
     """``<id_col>, drop`` (positions from 0, ascending) of the lines that go, for each document that has any."""
     lines = settled(_lines(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, depth).drop("masked"))
-    merged = settled(_templates(docs, lines, id_col, text_col, depth, similarity))
+    merged = _templates(docs, lines, id_col, text_col, depth, similarity)
     lines = lines.select("id", "pos", "h")
-    if merged.limit(1).count():
-        lines = lines.join(merged.withColumnRenamed("h", f"{P}h"), F.col("h") == F.col(f"{P}h"), "left").select("id", "pos", F.coalesce("template", "h").alias("h"))
+    # One row for each different line, with the template it stands for.
+    each = lines.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c"))
+    each = settled(each.join(merged.withColumnRenamed("h", f"{P}h"), F.col("h") == F.col(f"{P}h"), "left").select("h", F.coalesce("template", "h").alias("t"), "lo", "hi", "c"))
     if min_docs <= 2:
-        recurring = lines.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first <> last")
+        recurring = each.groupBy("t").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).filter("first <> last")
     else:
-        recurring = lines.select("h", "id").distinct().groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("c")).filter(F.col("c") >= min_docs)
-    recurring = recurring.select(F.col("h").alias("g"), "first")
-    gone = lines.join(recurring, (F.col("h") == F.col("g")) & (F.col("id") != F.col("first"))).select("id", "pos")
+        holders = spread_join(lines.select("h", "id").distinct(), each.select("h", "t", "c"), "h", "c").select("t", "id").distinct()
+        recurring = holders.groupBy("t").agg(F.min("id").alias("first"), F.count("*").alias("k")).filter(F.col("k") >= min_docs)
+    recurring = settled(each.join(recurring.select("t", "first"), "t").select("h", "first", "c"))
+    gone = spread_join(lines, recurring, "h", "c").filter(F.col("id") != F.col("first")).select("id", "pos")
     return gone.groupBy(F.col("id").alias(id_col)).agg(F.sort_array(F.collect_set("pos")).alias("drop"))
 
 
