@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, settled, shuffle_partitions
+from .common import P, settled, shuffle_partitions, spread_join
 
 #: Ids of documents to compare are broadcast only up to so many; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
@@ -45,8 +45,8 @@ def colliding_buckets(docs: DataFrame, hashed: DataFrame, id_col: str, text_col:
     again; the least and the greatest text of a bucket meet, after map-side
     aggregation, so that a large group of copies costs no more than others.
     """
-    several = hashed.groupBy("h").count().filter("count > 1").select(F.col("h").alias("g"))
-    ids = settled(hashed.join(several, F.col("h") == F.col("g")).select(F.col("id").alias(f"{P}id")).distinct())
+    several = settled(hashed.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1"))
+    ids = settled(spread_join(hashed, several, "h", "c").select(F.col("id").alias(f"{P}id")).distinct())
     near = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     texts = docs.join(near, F.col(id_col) == F.col(f"{P}id"), "left_semi").select(canonical(F.col(text_col)).alias("c"))
     texts = texts.select("c", _hashes(F.col("c")).alias("h"))
@@ -54,7 +54,7 @@ def colliding_buckets(docs: DataFrame, hashed: DataFrame, id_col: str, text_col:
 
 
 def _ring(rows: DataFrame) -> DataFrame:
-    """rows (``id, r, n, h``, distinct, ids not null) with ``next`` and ``prev``, in the order of id then r; the ends meet.
+    """rows (``id, r, n, f``, distinct, ids not null) with ``next`` and ``prev``, in the order of id then r; the ends meet.
 
     Range partitions are ordered inside by a window each; only the first and
     last row of each partition, as many as there are partitions, meet in one place.
@@ -62,8 +62,8 @@ def _ring(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     placed = settled(rows.repartitionByRange(shuffle_partitions(spark), "id", "r").withColumn("part", F.spark_partition_id()))
     inside = Window.partitionBy("part").orderBy("id", "r")
-    own = F.struct("id", "r", "n", "h")
-    placed = placed.select("part", "id", "r", "n", "h", F.lead(own).over(inside).alias("next"), F.lag(own).over(inside).alias("prev"))
+    own = F.struct("id", "r", "n", "f")
+    placed = placed.select("part", "id", "r", "n", "f", F.lead(own).over(inside).alias("next"), F.lag(own).over(inside).alias("prev"))
     ends = placed.groupBy("part").agg(F.min(F.when(F.col("prev").isNull(), own)).alias("first"), F.max(F.when(F.col("next").isNull(), own)).alias("last"))
     across = Window.orderBy("part")
     everywhere = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -73,7 +73,7 @@ def _ring(rows: DataFrame) -> DataFrame:
         F.coalesce(F.lag("last").over(across), F.last("last").over(everywhere)).alias("before"),
     )
     out = placed.join(F.broadcast(ends), F.col("part") == F.col("p"))
-    return out.select("id", "r", "n", "h", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
+    return out.select("id", "r", "n", "f", F.coalesce("next", "after").alias("next"), F.coalesce("prev", "before").alias("prev"))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,10 +110,15 @@ def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("r", F.xxhash64("t"))
     rows = settled(own.select("id", "r", F.length("t").cast("bigint").alias("n"), _hashes(canonical(F.col("t"))).alias("h")))
     bad = settled(colliding_buckets(docs, rows.select("id", "h"), id_col, text_col))
+    if bad.limit(1).count():
+        whole = own.select("id", "r", F.length("t").cast("bigint").alias("n"), canonical(F.col("t")).alias("c"))
+        rows = settled(_suffixed(whole, "c", "f", bad).drop("c"))
+    else:
+        rows = rows.select("id", "r", "n", _hex(F.col("h")).alias("f"))
     once = rows.filter("id is not null").distinct()
     ring = settled(
         _ring(once).select(
-            F.col("id").alias("i"), F.col("r").alias("s"), "h", F.col("next.h").alias("next_h"),
+            F.col("id").alias("i"), F.col("r").alias("s"), "f", F.col("next.f").alias("next_f"),
             F.col("prev.id").alias("prev_id"), F.col("prev.r").alias("prev_r"), F.floor(F.col("prev.n") / 2).cast("int").alias("need"),
         )
     )
@@ -121,21 +126,22 @@ def edited_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = mine.select(F.col("prev_id").alias("i"), F.col("prev_r").alias("s"), F.substring(F.col("t"), F.lit(1), F.col("need")).alias("head"))
     if rows.filter("id is not null").count() > ring.count():
         heads = heads.groupBy("i", "s").agg(F.first("head").alias("head"))
-    out = mine.join(heads, (F.col("id") == F.col("i")) & (F.col("r") == F.col("s")), "left").select("id", "t", "h", "next_h", "head")
+    out = mine.join(heads, (F.col("id") == F.col("i")) & (F.col("r") == F.col("s")), "left").select("id", "t", "f", "next_f", "head")
     if rows.filter("id is null").limit(1).count():
-        alone = own.filter("id is null").select("id", "t", _hashes(canonical(F.col("t"))).alias("h"))
-        out = out.unionByName(alone.select("id", "t", "h", F.lit(None).cast(out.schema["next_h"].dataType).alias("next_h"), F.lit("").alias("head")))
+        alone = _suffixed(own.filter("id is null").select("id", "t", canonical(F.col("t")).alias("c")), "c", "f", bad)
+        out = out.unionByName(alone.select("id", "t", "f", F.lit(None).cast("string").alias("next_f"), F.lit("").alias("head")))
     n = F.length("t")
     keep = n - F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("t"), F.lit(1), keep), F.coalesce("head", F.lit("")))
-    out = out.select("id", n.cast("bigint").alias("n_chars"), "t", "h", "next_h", edited.alias("e"))
-    if bad.limit(1).count():
-        out = _suffixed(out.withColumns({"c": canonical(F.col("t")), "d": canonical(F.col("e"))}), "c", "fingerprint", bad)
-        out = _suffixed(out, "d", "edited_fingerprint", bad)
-    else:
-        out = out.withColumns({"fingerprint": _hex(F.col("h")), "edited_fingerprint": _hex(_hashes(canonical(F.col("e"))))})
+    out = out.select("id", n.cast("bigint").alias("n_chars"), "t", F.col("f").alias("fingerprint"), "next_f", edited.alias("e"))
+    # An edited text whose hashes are those of its text is compared with it byte by byte, as in a bucket.
+    near = F.col("fingerprint").startswith(F.col("x"))
+    same = F.when(near, canonical(F.col("t")) == canonical(F.col("e"))).otherwise(False)
+    out = out.withColumn("x", _hex(_hashes(canonical(F.col("e"))))).withColumn("same", same)
+    tail = F.when(near & ~F.col("same"), F.concat(F.lit("-"), F.sha2(canonical(F.col("e")), 256))).otherwise("")
+    out = out.withColumn("edited_fingerprint", F.when(F.col("same"), F.col("fingerprint")).otherwise(F.concat("x", tail)))
     return out.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("e", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         (F.col("fingerprint") == F.col("edited_fingerprint")).cast("double").alias("near_edited"),
-        F.coalesce((F.col("h") == F.col("next_h")).cast("double"), F.lit(0.0)).alias("near_next"),
+        F.coalesce((F.col("fingerprint") == F.col("next_f")).cast("double"), F.lit(0.0)).alias("near_next"),
     )
