@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, connected_components, settled
+from .common import P, connected_components, settled, spread_join
 
 BITS = 64
 RADIUS = 3
@@ -109,15 +109,15 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     """
     fp = settled(fingerprints(docs, id_col, text_col).select(F.col(id_col).alias(f"{P}id"), "fp"))
     # A component's nodes are its fingerprints; the smallest id of each names it.
-    node = fp.groupBy("fp").agg(F.min(f"{P}id").alias("rep"))
+    node = settled(fp.groupBy("fp").agg(F.min(f"{P}id").alias("rep"), F.count("*").alias("rows")))
     pairs = settled(near_pairs(fp))
     comp = connected_components(pairs, "x", "y")
     root = comp.join(node, comp.node == node.fp).groupBy("root").agg(F.min("rep").alias("least"))
     linked = comp.join(root, "root").select(F.col("node").alias("fp"), "least")
     degree = pairs.select(F.col("x").alias("fp")).union(pairs.select("y")).groupBy("fp").agg(F.count("*").alias("n"))
     node = node.join(linked, "fp", "left").join(degree, "fp", "left")
-    node = node.select(F.col("fp").alias(f"{P}fp"), F.coalesce("least", "rep").alias("component_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"))
-    return fp.join(node, F.col("fp") == F.col(f"{P}fp")).select(F.col(f"{P}id").alias(id_col), "fp", "component_id", "n_links")
+    node = settled(node.select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), "rows"))
+    return spread_join(fp, node, "fp", "rows").select(F.col(f"{P}id").alias(id_col), "fp", "component_id", "n_links")
 
 
 #: Near copies: shingle width and similarity.
