@@ -28,12 +28,14 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("OFF")
     from pointmill.queries import QUERIES
 
     # One small query first, so that the figures hold no start of the engine.
+    spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_returnflag").count().collect()
+    t = time.perf_counter()
+    # The scene that all queries read is made once; it has a figure of its own.
     QUERIES["class_histogram"](spark, sf).collect()
-    took = {}
+    took = {"scene": round(time.perf_counter() - t, 3)}
     for name in HEADLINE:
         t = time.perf_counter()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()

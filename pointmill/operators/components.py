@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import settled
@@ -38,8 +38,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v"))).distinct()
 
 
-def label_cells(mask: DataFrame, cols: int, connectivity: int = 8) -> DataFrame:
-    """mask's cells (row, col) with ``label``: numbers from 1 in the order of each component's first cell."""
+def cell_roots(mask: DataFrame, cols: int, connectivity: int = 8) -> DataFrame:
+    """mask's cells (row, col) with ``root``: the number row * cols + col of the first cell of their component."""
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
     cells = mask.select("row", "col", (F.col("row").cast("bigint") * cols + F.col("col")).alias("id"))
@@ -48,17 +48,36 @@ def label_cells(mask: DataFrame, cols: int, connectivity: int = 8) -> DataFrame:
     beside = beside.select(F.col("id").alias("a"), (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
     edges = beside.join(cells.select("row", "col", F.col("id").alias("b")), ["row", "col"]).select("a", "b")
     comp = connected_components(edges)
-    out = cells.join(comp, cells.id == comp.node, "left").select("row", "col", F.coalesce("root", "id").alias("root"))
-    from pyspark.sql import Window
+    return cells.join(comp, cells.id == comp.node, "left").select("row", "col", F.coalesce("root", "id").alias("root"))
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with ``name``: numbers from 1 in the order of the distinct column ``key``.
+
+    Range partitions count inside; only their sizes, as many as there are partitions, meet in one place.
+    """
+    placed = settled(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return placed.withColumn(name, inside).join(F.broadcast(sizes), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("bigint")).drop("_part", "_before")
+
+
+def label_cells(mask: DataFrame, cols: int, connectivity: int = 8) -> DataFrame:
+    """mask's cells (row, col) with ``label``: numbers from 1 in the order of each component's first cell."""
+    out = settled(cell_roots(mask, cols, connectivity))
+    return out.join(numbered(out.select("root").distinct(), "root", "label"), "root").select("row", "col", "label")
+
 
-    roots = out.select("root").distinct()  # one row for each component
-    rank = roots.select("root", F.row_number().over(Window.orderBy("root")).cast("bigint").alias("label"))
-    return out.join(rank, "root").select("row", "col", "label")
+def gap_sizes(cells: DataFrame, cols: int) -> DataFrame:
+    """Empty cells (n = 0) of a footprint, grouped over shared edges: root and number of cells."""
+    return cell_roots(cells.filter("n = 0"), cols, 4).groupBy("root").agg(F.count("*").alias("cells"))
 
 
 def gap_components(cells: DataFrame, cols: int) -> DataFrame:
-    """Empty cells (n = 0) of a footprint, grouped over shared edges: label and number of cells."""
-    return label_cells(cells.filter("n = 0"), cols, 4).groupBy("label").agg(F.count("*").alias("cells"))
+    """Like :func:`gap_sizes`, numbered from 1 (column label) in the order of the first cells."""
+    return numbered(gap_sizes(cells, cols), "root", "label").select("label", "cells")
 
 
 def patch_moments(labels: DataFrame) -> DataFrame:

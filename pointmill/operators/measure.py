@@ -4,78 +4,153 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settled
 from .components import connected_components
-from .raster import MAX_DENSE_CELLS, dense_array
+from .raster import dense_array, push_pull
+from .raster import slope as grid_slope
 
 # ---------------------------------------------------------------- surfaces
 
 
-def select_surfaces(grid: DataFrame, seeds: DataFrame, cell: float, rows: int, cols: int, tolerance: float = 0.12, drift: float = 0.6) -> DataFrame:
-    """seed, row, col of the surface grown from each seed (seed, row, col) of a surface grid.
+@dataclass(frozen=True)
+class SurfaceOptions:
+    tolerance: float = 0.12
+    drift: float = 0.6
+    max_cells: int = 4_000_000
+    #: Edge in cells of the first window around a seed; it is doubled while the surface reaches its edge.
+    window: int = 256
 
-    A surface grows from cell to cell while heights follow the fitted slope
-    within ``tolerance`` and stay within ``drift`` of the fitted plane. The order
-    of growth matters, so a seed is one task, over a grid of limited size.
-    """
-    if rows * cols > MAX_DENSE_CELLS:
-        raise ValueError(f"{rows} x {cols} cells are more than {MAX_DENSE_CELLS}")
-    placed = seeds.select("seed", F.col("row").alias("sr"), F.col("col").alias("sc")).crossJoin(grid.select("row", "col", "value"))  # a stated set of seeds
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = dense_array(pdf, rows, cols)
-        region = grow_surface(a, int(pdf["sr"].iloc[0]), int(pdf["sc"].iloc[0]), cell, tolerance, drift)
-        out = pd.DataFrame(sorted(region), columns=["row", "col"]).astype("int32")
-        out.insert(0, "seed", pdf["seed"].iloc[0])
-        return out
+def select_surfaces(grid: DataFrame, seeds: DataFrame, cell: float, rows: int, cols: int, options: SurfaceOptions = SurfaceOptions()) -> DataFrame:
+    """seed, row, col of the surface grown from each seed (seed, row, col; each seed once) of a surface grid.
 
+    The order of growth matters, so a seed is grown in one task, within a window
+    of cells around it that meets the grid by an equi-join on tiles. Surfaces
+    that reach the edge of their window are grown again in one twice as wide, so
+    what a task holds follows the surface's size, never the grid's.
+    """
+    tile = options.window // 2
+    tiled = settled(grid.select("row", "col", "value", F.floor(F.col("row") / tile).cast("int").alias("tr"), F.floor(F.col("col") / tile).cast("int").alias("tc")))
     kind = seeds.schema["seed"].dataType.simpleString()
-    return placed.groupBy("seed").applyInPandas(grow, f"seed {kind}, row int, col int")
-
-
-def _plane(cells: list[tuple[int, int]], a: np.ndarray) -> np.ndarray:
-    m = np.array([(1.0, r, c) for r, c in cells])
-    v = np.array([a[r, c] for r, c in cells])
-    k, *_ = np.linalg.lstsq(m, v, rcond=None)
-    return k
 
-
-def grow_surface(a: np.ndarray, row: int, col: int, cell: float, tolerance: float, drift: float) -> set[tuple[int, int]]:
+    def grow(reach: int, pdf: pd.DataFrame) -> pd.DataFrame:
+        sr, sc = int(pdf["sr"].iloc[0]), int(pdf["sc"].iloc[0])
+        r0, c0 = max(0, sr - reach), max(0, sc - reach)
+        h, w = min(rows, sr + reach + 1) - r0, min(cols, sc + reach + 1) - c0
+        a = dense_array(pdf.assign(row=pdf["row"] - r0, col=pdf["col"] - c0), h, w, h * w)
+        region = grow_surface(a, sr - r0, sc - c0, cell, options)
+        inner = (0 if r0 == 0 else 1, 0 if c0 == 0 else 1, h if r0 + h == rows else h - 1, w if c0 + w == cols else w - 1)
+        cut = any(r < inner[0] or c < inner[1] or r >= inner[2] or c >= inner[3] for r, c in region)
+        # A surface cut off by the window is told by one row without a cell.
+        cells = [(None, None)] if cut else [(r + r0, c + c0) for r, c in sorted(region)]
+        got = pd.DataFrame(cells, columns=["row", "col"]).astype("Int32")
+        got.insert(0, "seed", pdf["seed"].iloc[0])
+        return got
+
+    todo, out, reach = settled(seeds.select("seed", F.col("row").alias("sr"), F.col("col").alias("sc"))), None, tile
+    while True:
+        whole = reach >= max(rows, cols)
+        span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / tile).cast("int"), F.floor((F.col(c) + reach) / tile).cast("int")))  # noqa: B023, E731
+        placed = todo.withColumn("tr", span("sr")).withColumn("tc", span("sc")).join(tiled, ["tr", "tc"]).filter((F.abs(F.col("row") - F.col("sr")) <= reach) & (F.abs(F.col("col") - F.col("sc")) <= reach))
+
+        got = settled(placed.select("seed", "sr", "sc", "row", "col", "value").groupBy("seed").applyInPandas(_within(grow, reach), f"seed {kind}, row int, col int"))
+        done = got.filter("row is not null")
+        out = done if out is None else out.unionByName(done)
+        cut = settled(todo.join(got.filter("row is null").select("seed"), "seed", "left_semi"))
+        if whole or not cut.limit(1).count():
+            return out
+        todo, reach = cut, reach * 2
+
+
+def _within(grow, reach: int):
+    """grow with its window, as a function of one group."""
+    return lambda pdf: grow(reach, pdf)
+
+
+class _Plane:
+    """A plane a dx + b dz + c by least squares over cells that are added one by one, in metres from the seed."""
+
+    def __init__(self, a: np.ndarray, row: int, col: int, cell: float):
+        self.top, self.row, self.col, self.cell = a, row, col, cell
+        self.k = (0.0, 0.0, float(a[row, col]))
+        self.clear()
+
+    def clear(self) -> None:
+        self.m, self.r, self.n = np.zeros((3, 3)), np.zeros(3), 0
+
+    def at(self, p: tuple[int, int]) -> np.ndarray:
+        return np.array([(p[1] - self.col) * self.cell, (p[0] - self.row) * self.cell, 1.0])
+
+    def add(self, p: tuple[int, int]) -> None:
+        v = self.at(p)
+        self.m += np.outer(v, v)
+        self.r += v * self.top[p]
+        self.n += 1
+
+    def fit(self) -> None:
+        if self.n >= 3 and abs(np.linalg.det(self.m)) >= 1e-9:
+            self.k = tuple(np.linalg.solve(self.m, self.r))
+
+    def off(self, p: tuple[int, int]) -> float:
+        return abs(self.top[p] - (self.k[0] * (p[1] - self.col) * self.cell + self.k[1] * (p[0] - self.row) * self.cell + self.k[2]))
+
+
+def grow_surface(a: np.ndarray, row: int, col: int, cell: float, o: SurfaceOptions = SurfaceOptions()) -> set[tuple[int, int]]:
+    """Cells of the surface under a seed: breadth first over neighbours whose height follows the plane's slope within the tolerance."""
     rows, cols = a.shape
-    near = [(abs(r - row) + abs(c - col), r, c) for r in range(max(0, row - 3), min(rows, row + 4)) for c in range(max(0, col - 3), min(cols, col + 4)) if not math.isnan(a[r, c])]
-    if not near:
+    full = lambda r, c: 0 <= r < rows and 0 <= c < cols and not math.isnan(a[r, c])
+    rings = ((r, c) for d in range(4) for r in range(row - d, row + d + 1) for c in range(col - d, col + d + 1))
+    seed = next((p for p in rings if full(*p)), None)
+    if seed is None:
         return set()
-    _, row, col = min(near)
-    around = [(r, c) for r in range(max(0, row - 3), min(rows, row + 4)) for c in range(max(0, col - 3), min(cols, col + 4)) if not math.isnan(a[r, c])]
-    flat = [(r, c) for r, c in around if abs(a[r, c] - a[row, col]) <= tolerance + cell * max(abs(r - row), abs(c - col))]
-    k = _plane(flat, a) if len(flat) >= 3 else np.array([a[row, col], 0.0, 0.0])
-    region, todo, order, refit = {(row, col)}, deque([(row, col)]), [(row, col)], 16
+    plane = _Plane(a, *seed, cell)
+    # The first plane: all cells around, then without those off it, up to three times.
+    kept = [(r, c) for r in range(seed[0] - 3, seed[0] + 4) for c in range(seed[1] - 3, seed[1] + 4) if full(r, c)]
+    for _ in range(3):
+        plane.clear()
+        for p in kept:
+            plane.add(p)
+        plane.fit()
+        on = [p for p in kept if plane.off(p) <= o.tolerance * 1.5]
+        if len(on) < 6 or len(on) == len(kept):
+            break
+        kept = on
+    if plane.off(seed) > o.tolerance * 1.5:
+        plane.k = (0.0, 0.0, float(a[seed]))
+    plane.clear()
+    plane.add(seed)
+    region, todo, refit = {seed}, deque([seed]), 16
     while todo:
         r, c = todo.popleft()
-        for n, step in (((r - 1, c), -k[1]), ((r + 1, c), k[1]), ((r, c - 1), -k[2]), ((r, c + 1), k[2])):
-            if n in region or not (0 <= n[0] < rows and 0 <= n[1] < cols) or math.isnan(a[n]):
+        for dr, dc in ((0, 1), (0, -1), (1, 0), (-1, 0)):
+            n = (r + dr, c + dc)
+            if n in region or not full(*n):
+                continue
+            if abs(a[n] - (a[r, c] + (plane.k[0] * dc + plane.k[1] * dr) * cell)) > o.tolerance or plane.off(n) > o.drift:
                 continue
-            if abs(a[n] - (a[r, c] + step)) <= tolerance and abs(a[n] - (k[0] + k[1] * n[0] + k[2] * n[1])) <= drift:
-                region.add(n)
-                order.append(n)
-                todo.append(n)
-                if len(region) == refit:
-                    k, refit = _plane(order, a), refit * 2
+            if len(region) > o.max_cells:
+                break
+            region.add(n)
+            todo.append(n)
+            plane.add(n)
+            if plane.n >= refit:
+                plane.fit()
+                refit *= 2
     return region | _enclosed(region, a)
 
 
 def _enclosed(region: set[tuple[int, int]], a: np.ndarray) -> set[tuple[int, int]]:
     """Patches inside the region; large ones that hold points stay out."""
-    if not region:
-        return set()
     r0, r1 = min(r for r, _ in region), max(r for r, _ in region)
     c0, c1 = min(c for _, c in region), max(c for _, c in region)
-    most = max(16, round(0.02 * len(region)))
+    most = max(16, math.floor(0.02 * len(region) + 0.5))
     seen, out = set(region), set()
     for r in range(r0, r1 + 1):
         for c in range(c0, c1 + 1):
@@ -96,29 +171,78 @@ def _enclosed(region: set[tuple[int, int]], a: np.ndarray) -> set[tuple[int, int
     return out
 
 
-def describe_surfaces(cells: DataFrame, grid: DataFrame, cell: float) -> DataFrame:
-    """Per seed: cells, plan area, sloped area, slope in degrees, mean height; planes are fitted twice, the second time to near cells."""
-    own = cells.join(grid.select("row", "col", "value"), ["row", "col"]).select("seed", F.col("row").cast("double").alias("r"), F.col("col").cast("double").alias("c"), "value")
-    first = _planes(own)
-    near = own.join(first, "seed").filter(F.abs(F.col("value") - (F.col("k0") + F.col("k1") * F.col("r") + F.col("k2") * F.col("c"))) <= 0.3).select("seed", "r", "c", "value")
-    second = _planes(near)
-    base = cells.groupBy("seed").agg(F.count("*").alias("cells"))
-    mean = own.groupBy("seed").agg(F.avg("value").alias("mean"))
-    rise = F.sqrt(F.col("k1") * F.col("k1") + F.col("k2") * F.col("k2")) / F.lit(cell)
-    out = base.join(mean, "seed").join(second, "seed", "left").withColumn("g", F.coalesce(rise, F.lit(0.0)))
-    plan = F.col("cells") * F.lit(cell * cell)
-    return out.select("seed", "cells", F.round(plan, 6).alias("plan_area"), F.round(plan * F.sqrt(1 + F.col("g") * F.col("g")), 6).alias("sloped_area"), F.round(F.degrees(F.atan("g")), 6).alias("slope"), F.round("mean", 6).alias("mean"))
+def describe_surfaces(cells: DataFrame, grid: DataFrame, cell: float, cols: int, min_x: float = 0.0, min_z: float = 0.0, near: float = 0.3) -> DataFrame:
+    """Per seed: cells, plan_area, surface_area, slope in degrees, mean height and the centre, for distinct cells (seed, row, col).
+
+    A plane is fitted twice, the second time to cells near the first; mean is
+    that of the cells near. surface_area adds up each cell's own slope, from the
+    neighbours within the surface that follow the plane; where a direction has
+    none, or at the grid's left and right edge, the plane's slope counts. It is
+    never below the plan area. The centre is the cell nearest to the mean place.
+    """
+    size = float(cell)
+    own = cells.select("seed", "row", "col").join(grid.select("row", "col", "value"), ["row", "col"], "left")
+    own = own.select("seed", "row", "col", (F.col("row") * size).alias("r"), (F.col("col") * size).alias("c"), "value")
+    plane = surface_planes(own, near)
+    own = own.join(plane.select("seed", "k0", "kr", "kc"), "seed")
+
+    def along(part: str, order: str, slope: str):
+        w = Window.partitionBy("seed", part).orderBy(order)
+        here, rise = F.col("value"), F.col(slope) * size
+        ahead = F.when(F.lead(order).over(w) == F.col(order) + 1, F.lead("value").over(w))
+        behind = F.when(F.lag(order).over(w) == F.col(order) - 1, F.lag("value").over(w))
+        ahead, behind = F.when(F.abs(ahead - here - rise) < near, ahead), F.when(F.abs(here - behind - rise) < near, behind)
+        two = (ahead - behind) / (2 * size)
+        return F.coalesce(two, (ahead - here) / size, (here - behind) / size)
+
+    own = own.withColumns({"gx": along("row", "col", "kc"), "gz": along("col", "row", "kr")})
+    gx = F.when(F.col("col").between(1, cols - 2), F.col("gx"))
+    factor = F.sqrt(1 + F.col("kr") * F.col("kr") + F.col("kc") * F.col("kc"))
+    part = F.coalesce(F.sqrt(1 + gx * gx + F.col("gz") * F.col("gz")), factor) * F.lit(size * size)
+    total = own.groupBy("seed").agg(F.count("*").alias("cells"), F.sum(part).alias("area"), F.avg("r").alias("mr"), F.avg("c").alias("mc"))
+    d = (F.col("r") - F.col("mr")) * (F.col("r") - F.col("mr")) + (F.col("c") - F.col("mc")) * (F.col("c") - F.col("mc"))
+    middle = own.select("seed", "row", "col", "r", "c").join(total.select("seed", "mr", "mc"), "seed").groupBy("seed").agg(F.min_by(F.struct("r", "c"), F.struct(F.round(d, 6), "row", "col")).alias("m"))
+    out = total.join(middle, "seed").join(plane, "seed")
+    plan = F.col("cells") * F.lit(size * size)
+    y = F.col("k0") + F.col("kr") * F.col("m.r") + F.col("kc") * F.col("m.c")
+    return out.select(
+        "seed", "cells", F.round(plan, 6).alias("plan_area"), F.round(F.greatest(plan, F.col("area")), 4).alias("surface_area"), F.round(F.degrees(F.atan(F.sqrt(F.col("kr") * F.col("kr") + F.col("kc") * F.col("kc")))), 4).alias("slope"), F.round("mean", 4).alias("mean"),
+        (F.lit(min_x) + F.col("m.c") + size / 2).alias("center_x"), F.round(y, 4).alias("center_y"), (F.lit(min_z) + F.col("m.r") + size / 2).alias("center_z"),
+    )
+
+
+def surface_planes(own: DataFrame, near: float = 0.3) -> DataFrame:
+    """Per seed the plane k0 + kr r + kc c of cells (seed, r, c, value) fitted twice, and the mean of the cells near it."""
+    known = own.filter("value is not null")
+    first = _planes(known)
+    off = F.abs(F.col("value") - (F.col("k0") + F.col("kr") * F.col("r") + F.col("kc") * F.col("c")))
+    second = _planes(known.join(first, "seed").filter(off <= near).select("seed", "r", "c", "value"))
+    out = own.select("seed").distinct().join(first.withColumnsRenamed({"k0": "f0", "kr": "fr", "kc": "fc"}).drop("mean", "level"), "seed", "left").join(second, "seed", "left")
+    pick = lambda a, b: F.coalesce(F.when(~F.col("level"), F.col(a)), F.col(b), F.lit(0.0))
+    return out.select("seed", pick("k0", "f0").alias("k0"), pick("kr", "fr").alias("kr"), pick("kc", "fc").alias("kc"), "mean")
 
 
 def _planes(own: DataFrame) -> DataFrame:
-    """Least-squares k0 + k1 r + k2 c per seed, from sums about the mean."""
-    m = own.groupBy("seed").agg(F.avg("r").alias("mr"), F.avg("c").alias("mc"), F.avg("value").alias("mv"))
-    d = own.join(m, "seed").select("seed", "mr", "mc", "mv", (F.col("r") - F.col("mr")).alias("a"), (F.col("c") - F.col("mc")).alias("b"), (F.col("value") - F.col("mv")).alias("v"))
-    s = d.groupBy("seed").agg(*(F.first(x).alias(x) for x in ("mr", "mc", "mv")), *(F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in (("a", "a"), ("b", "b"), ("a", "b"), ("a", "v"), ("b", "v"))))
+    """Least-squares k0 + kr r + kc c per seed, from sums about the mean; ``level`` where the cells don't tell a plane."""
+    m = own.groupBy("seed").agg(F.avg("r").alias("mr"), F.avg("c").alias("mc"), F.avg("value").alias("mean"))
+    d = own.join(m, "seed").select("seed", "mr", "mc", "mean", (F.col("r") - F.col("mr")).alias("a"), (F.col("c") - F.col("mc")).alias("b"), (F.col("value") - F.col("mean")).alias("v"))
+    s = d.groupBy("seed").agg(*(F.first(x).alias(x) for x in ("mr", "mc", "mean")), *(F.sum(F.col(p) * F.col(q)).alias(p + q) for p, q in (("a", "a"), ("b", "b"), ("a", "b"), ("a", "v"), ("b", "v"))))
     det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-    k1 = F.when(F.abs(det) > 1e-12, (F.col("av") * F.col("bb") - F.col("bv") * F.col("ab")) / det).otherwise(0.0)
-    k2 = F.when(F.abs(det) > 1e-12, (F.col("bv") * F.col("aa") - F.col("av") * F.col("ab")) / det).otherwise(0.0)
-    return s.select("seed", k1.alias("k1"), k2.alias("k2"), "mr", "mc", "mv").select("seed", (F.col("mv") - F.col("k1") * F.col("mr") - F.col("k2") * F.col("mc")).alias("k0"), "k1", "k2")
+    told = F.abs(det) > 1e-9
+    kr = F.when(told, (F.col("av") * F.col("bb") - F.col("bv") * F.col("ab")) / det).otherwise(0.0)
+    kc = F.when(told, (F.col("bv") * F.col("aa") - F.col("av") * F.col("ab")) / det).otherwise(0.0)
+    out = s.select("seed", kr.alias("kr"), kc.alias("kc"), "mr", "mc", "mean", (~told).alias("level"))
+    return out.select("seed", (F.col("mean") - F.col("kr") * F.col("mr") - F.col("kc") * F.col("mc")).alias("k0"), "kr", "kc", "mean", "level")
+
+
+def surface_outline(cells: DataFrame) -> DataFrame:
+    """seed and the borders of its surface: every edge between a cell of it and one outside, as x1, z1, x2, z2 in cells from the grid's corner."""
+    # Step in row and col, then both ends in col and row.
+    sides = [(-1, 0, 0, 0, 1, 0), (1, 0, 0, 1, 1, 1), (0, -1, 0, 0, 0, 1), (0, 1, 1, 0, 1, 1)]
+    o = F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("i", "j", "x1", "z1", "x2", "z2"), t, strict=True))) for t in sides)))
+    e = cells.select("seed", "row", "col").withColumn("o", o)
+    e = e.select("seed", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), *((F.col(c) + F.col(f"o.{k}")).alias(k) for k, c in (("x1", "col"), ("z1", "row"), ("x2", "col"), ("z2", "row"))))
+    return e.join(cells.select("seed", "row", "col"), ["seed", "row", "col"], "left_anti").select("seed", "x1", "z1", "x2", "z2")
 
 
 def surfaces_touch(cells: DataFrame) -> DataFrame:
@@ -207,15 +331,36 @@ def base_planes(vertices: list[tuple[float, float, float]], triangles: list[tupl
 
 
 def polygon_frame(polygons: DataFrame) -> DataFrame:
-    """id, perimeter, plan_area, mean base height of polygons (id, vertices)."""
-    v = polygons.select("id", F.posexplode("vertices").alias("k", "p"), F.size("vertices").alias("n"))
+    """id, perimeter on the plan, edge_length in space and plan_area of polygons (id, vertices)."""
+    v = polygons.select("id", F.posexplode("vertices").alias("k", "p"))
     w = Window.partitionBy("id").orderBy("k")
     nxt = F.coalesce(F.lead("p").over(w), F.first("p").over(w))
     e = v.select("id", "p", nxt.alias("q"))
     dx, dy, dz = (F.col(f"q.{c}") - F.col(f"p.{c}") for c in "xyz")
     return e.groupBy("id").agg(
-        F.round(F.sum(F.sqrt(dx * dx + dy * dy + dz * dz)), 6).alias("perimeter"), F.round(F.abs(F.sum(F.col("p.x") * F.col("q.z") - F.col("q.x") * F.col("p.z"))) / 2, 6).alias("plan_area"), F.round(F.avg("p.y"), 6).alias("mean_base"),
+        F.round(F.sum(F.sqrt(dx * dx + dz * dz)), 6).alias("perimeter"), F.round(F.sum(F.sqrt(dx * dx + dy * dy + dz * dz)), 6).alias("edge_length"),
+        F.round(F.abs(F.sum(F.col("p.x") * F.col("q.z") - F.col("q.x") * F.col("p.z"))) / 2, 6).alias("plan_area"),
+    )
+
+
+def polygon_crops(polygons: DataFrame, grid: DataFrame, min_x: float, min_z: float, cell: float) -> DataFrame:
+    """id, row, col, value, gap, factor of the grid under each polygon and a cell around it, empty cells filled by push-pull.
+
+    gap tells filled cells, factor is the area along the surface of a unit of
+    plan. A polygon over no value at all has no rows.
+    """
+    c = float(cell)
+    at = lambda v, low: F.floor((v - F.lit(low)) / c).cast("int")
+    box = polygons.select(
+        "id", (at(F.array_min(F.transform("vertices", lambda p: p["x"])), min_x) - 1).alias("c0"), (at(F.array_max(F.transform("vertices", lambda p: p["x"])), min_x) + 1).alias("c1"),
+        (at(F.array_min(F.transform("vertices", lambda p: p["z"])), min_z) - 1).alias("r0"), (at(F.array_max(F.transform("vertices", lambda p: p["z"])), min_z) + 1).alias("r1"),
     )
+    own = box.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).join(grid.select("row", "col", "value"), ["row", "col"])
+    own = settled(own.select("id", (F.col("row") - F.col("r0")).alias("row"), (F.col("col") - F.col("c0")).alias("col"), "value", (F.col("r1") - F.col("r0") + 1).alias("h"), (F.col("c1") - F.col("c0") + 1).alias("w")))
+    full = settled(push_pull(own, "h", "w", ("id",)))
+    steep = grid_slope(full, c, ("id",)).select("id", "row", "col", F.sqrt(1 + F.col("value") * F.col("value")).alias("factor"))
+    out = full.join(steep, ["id", "row", "col"]).join(own.select("id", "row", "col", F.lit(False).alias("seen")), ["id", "row", "col"], "left").join(box.select("id", "r0", "c0"), "id")
+    return out.select("id", (F.col("row") + F.col("r0")).alias("row"), (F.col("col") + F.col("c0")).alias("col"), "value", F.coalesce("seen", F.lit(True)).alias("gap"), "factor")
 
 
 def polygon_triangles(polygons: DataFrame) -> DataFrame:
@@ -237,11 +382,37 @@ def polygon_triangles(polygons: DataFrame) -> DataFrame:
     return polygons.select("id", "vertices", "base", "custom_base", "height").mapInPandas(cut, "id int, tri int, height double, ax double, az double, bx double, bz double, cx double, cz double, k0 double, kx double, kz double")
 
 
-def polygon_volume(triangles: DataFrame, grid: DataFrame, min_x: float, min_z: float, cell: float) -> DataFrame:
-    """id, covered, cut, fill, filled, net: integrals of a mean surface grid over triangles, by four lines through each row of cells.
+def measure_polygons(polygons: DataFrame, grid: DataFrame, min_x: float, min_z: float, cell: float) -> DataFrame:
+    """One row a polygon (id, vertices, base, custom_base, height) against a mean surface grid.
 
-    Each line's span is split at cell borders; the parts meet the grid by an equi-join.
+    valid, plan_area, perimeter, edge_length, surface_area, cut, fill, prism,
+    filled, unmeasured, base_mean. Integrals are taken by four lines through each
+    row of cells, cut at cell borders; the parts meet the grid, whose gaps are
+    filled around the polygon, by an equi-join. A polygon that crosses itself or
+    has no area is not valid and has zeros; one over no data is valid with
+    unmeasured 1 and else zeros.
     """
+    parts = polygon_parts(polygon_triangles(polygons), min_x, min_z, cell)
+    j = parts.join(polygon_crops(polygons, grid, min_x, min_z, cell), ["id", "row", "col"])
+    rise, part = F.col("value") - F.col("base"), F.col("part")
+    m = j.groupBy("id").agg(
+        F.sum(part).alias("covered"), F.sum(F.when(rise > 0, part * rise).otherwise(0.0)).alias("cut"), F.sum(F.when(rise <= 0, -part * rise).otherwise(0.0)).alias("fill"),
+        F.sum(part * F.greatest(F.lit(0.0), F.least(F.col("height"), rise))).alias("filled"), F.sum(part * F.col("factor")).alias("along"),
+        F.sum(F.when(F.col("gap"), part).otherwise(0.0)).alias("gaps"), F.sum(part * F.col("base")).alias("bases"),
+    )
+    cut_up = parts.select("id").distinct().withColumn("cut_up", F.lit(True))
+    out = polygon_frame(polygons).join(polygons.select("id", F.greatest(F.lit(0.0), F.col("height")).alias("h")), "id").join(cut_up, "id", "left").join(m, "id", "left")
+    valid = F.coalesce("cut_up", F.lit(False)) & (F.col("plan_area") > 0)
+    known, area = valid & F.col("covered").isNotNull(), F.col("plan_area")
+    value = lambda v: F.round(F.when(known, v).otherwise(0.0), 6)
+    return out.select(
+        "id", valid.alias("valid"), "plan_area", "perimeter", "edge_length", value(F.greatest(area, F.col("along") * area / F.col("covered"))).alias("surface_area"), value(F.col("cut")).alias("cut"), value(F.col("fill")).alias("fill"),
+        value(area * F.col("h")).alias("prism"), value(F.col("filled")).alias("filled"), F.round(F.when(known, F.least(F.lit(1.0), F.col("gaps") / F.col("covered"))).when(valid, 1.0).otherwise(0.0), 6).alias("unmeasured"), value(F.col("bases") / F.col("covered")).alias("base_mean"),
+    )
+
+
+def polygon_parts(triangles: DataFrame, min_x: float, min_z: float, cell: float) -> DataFrame:
+    """id, row, col, height, part, base: pieces of triangles within cells, with their area and the base's height in their middle."""
     c = float(cell)
     lo_z, hi_z = F.least("az", "bz", "cz"), F.greatest("az", "bz", "cz")
     line = F.explode(F.sequence(F.floor((lo_z - min_z) / c * 4).cast("bigint"), F.floor((hi_z - min_z) / c * 4).cast("bigint")))
@@ -256,14 +427,7 @@ def polygon_volume(triangles: DataFrame, grid: DataFrame, min_x: float, min_z: f
     t = t.withColumn("col", F.explode(F.sequence(F.floor((F.col("l") - min_x) / c).cast("int"), F.floor((F.col("r") - min_x) / c).cast("int"))))
     left, right = F.greatest(F.col("l"), F.lit(min_x) + F.col("col") * c), F.least(F.col("r"), F.lit(min_x) + (F.col("col") + 1) * c)
     t = t.withColumns({"o0": left, "o1": right}).filter("o0 < o1").withColumn("row", F.floor(F.col("s") / 4).cast("int"))
-    t = t.select("id", "row", "col", "height", ((F.col("o1") - F.col("o0")) * c / 4).alias("part"), (F.col("k0") + F.col("kx") * (F.col("o0") + F.col("o1")) / 2 + F.col("kz") * F.col("z")).alias("base"))
-    j = t.join(grid.select("row", "col", "value"), ["row", "col"], "left")
-    rise, part = F.col("value") - F.col("base"), F.col("part")
-    total = lambda v: F.round(F.coalesce(F.sum(v), F.lit(0.0)), 6)
-    return j.groupBy("id").agg(
-        total(part).alias("covered"), total(F.when(rise > 0, part * rise)).alias("cut"), total(F.when(rise < 0, -part * rise)).alias("fill"),
-        total(part * F.greatest(F.lit(0.0), F.least(F.col("height"), rise))).alias("filled"), F.round(F.sum(F.when(F.col("value").isNull(), part).otherwise(0.0)) / F.sum(part), 6).alias("unmeasured"),
-    )
+    return t.select("id", "row", "col", F.greatest(F.lit(0.0), F.col("height")).alias("height"), ((F.col("o1") - F.col("o0")) * c / 4).alias("part"), (F.col("k0") + F.col("kx") * (F.col("o0") + F.col("o1")) / 2 + F.col("kz") * F.col("z")).alias("base"))
 
 
 # ---------------------------------------------------------------- picks

@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..storage import settled
+from .quality import Frame, with_cells
+from .tables import without_noise
+
+#: Sparse cubes, and points in them (each is compared around 27 cells), are broadcast only up to so many; beyond, they are shuffled.
+BROADCAST_CUBES, BROADCAST_POINTS = 200_000, 10_000
+#: Cells of columns grow only beyond so many.
+LEAST_COLUMNS = 4_000_000
 
 
 def isolated_points(points: DataFrame, radius: float, least: int = 2) -> DataFrame:
@@ -20,38 +28,60 @@ def isolated_points(points: DataFrame, radius: float, least: int = 2) -> DataFra
         raise ValueError("radius and least must be positive")
     h = radius / 2
     cube = {f"q{c}": F.floor(F.col(c) / F.lit(h)).cast("bigint") for c in "xyz"}
-    own = points.select("pid", "x", "y", "z").withColumns(cube)
-    full = own.groupBy("qx", "qy", "qz").agg(F.count("*").alias("n"))
-    sparse = own.join(full.filter(F.col("n") <= least), ["qx", "qy", "qz"]).select("pid", "x", "y", "z")
-    cells = {"cx": F.floor(F.col("x") / F.lit(radius)).cast("bigint"), "cz": F.floor(F.col("z") / F.lit(radius)).cast("bigint"), "cy": F.floor(F.col("y") / F.lit(radius)).cast("bigint")}
+    own = points.select("pid", "x", "y", "z")
+    keyed = own.withColumns(cube)
+    few = settled(keyed.groupBy("qx", "qy", "qz").agg(F.count("*").alias("n")).filter(F.col("n") <= least).drop("n"))
+    sparse = settled(keyed.join(_near(few, BROADCAST_CUBES), ["qx", "qy", "qz"]).select("pid", "x", "y", "z"))
+    cells = {f"c{c}": F.floor(F.col(c) / F.lit(radius)).cast("bigint") for c in "xyz"}
     around = F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip("ijk", o, strict=True))) for o in ((i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))))
     probe = sparse.withColumns(cells).withColumn("o", around)
     probe = probe.select(F.col("pid").alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("cz") + F.col("o.k")).alias("cz"))
-    other = points.select("pid", "x", "y", "z").withColumns(cells)
+    if sparse.count() <= BROADCAST_POINTS:
+        probe = F.broadcast(probe)
     dx, dy, dz = F.col("px") - F.col("x"), F.col("py") - F.col("y"), F.col("pz") - F.col("z")
-    near = probe.join(other, ["cx", "cy", "cz"]).filter((dx * dx + dy * dy + dz * dz < radius * radius) & (F.col("p") != F.col("pid")))
+    near = own.withColumns(cells).join(probe, ["cx", "cy", "cz"]).filter((dx * dx + dy * dy + dz * dz < radius * radius) & (F.col("p") != F.col("pid")))
     enough = near.groupBy("p").agg(F.count("*").alias("k")).filter(F.col("k") >= least)
     return sparse.select("pid").join(enough, F.col("pid") == F.col("p"), "left_anti")
 
 
-def low_outliers(points: DataFrame, cell: float = 10.0, gap: float = 1.0) -> DataFrame:
-    """pid of the lowest points of each cell up to the last gap of more than ``gap`` that follows only such gaps; and each cell's median of the rest.
+def _near(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast where it is counted small; it is settled already."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def column_frame(points: DataFrame, cell: float) -> Frame:
+    """Cells from the extent's minimum; they grow by half while they are more than the points and four million."""
+    b = points.agg(F.min("x"), F.min("z"), F.max("x") - F.min("x"), F.max("z") - F.min("z"), F.count("*")).first()
+    if not b[4]:
+        return Frame(0.0, 0.0, float(cell), 0, 0)
+    size = float(cell)
+    while (b[2] / size + 1) * (b[3] / size + 1) > max(LEAST_COLUMNS, b[4]):
+        size *= 1.5
+    return Frame(b[0], b[1], size, G.grid_size(b[2], size), G.grid_size(b[3], size))
 
-    Points labelled as noise take no part. The last point of a cell is never dropped.
+
+def judged_columns(points: DataFrame, frame: Frame, gap: float = 1.0) -> DataFrame:
+    """points without those labelled as noise, with row, col, ``low`` and ``median``.
+
+    low are the lowest points of a cell up to the last gap of more than ``gap``
+    that follows only such gaps; the last point of a cell is never low. median is
+    the upper median height of the cell's other points. One shuffle serves both.
     """
-    own = points if "classification" not in points.columns else points.filter(~G.is_noise(F.col("classification")))
-    own = own.withColumns({"cx": F.floor(F.col("x") / F.lit(float(cell))).cast("bigint"), "cz": F.floor(F.col("z") / F.lit(float(cell))).cast("bigint")})
-    w = Window.partitionBy("cx", "cz").orderBy("y", "pid")
-    own = own.select("pid", "cx", "cz", "y", (F.lead("y").over(w) - F.col("y") > gap).alias("wide"))
+    cell = Window.partitionBy("row", "col")
+    w = cell.orderBy("y", "pid")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return own.select("pid", "cx", "cz", "y", F.min(F.coalesce("wide", F.lit(False)).cast("int")).over(upto).cast("boolean").alias("low"))
+    own = with_cells(without_noise(points), frame)
+    own = own.withColumns({"_wide": F.coalesce(F.lead("y").over(w) - F.col("y") > gap, F.lit(False)).cast("int"), "_k": F.row_number().over(w)})
+    own = own.withColumn("_low", F.min("_wide").over(upto))
+    own = own.withColumns({"_lows": F.sum("_low").over(cell), "_m": F.count("*").over(cell)})
+    middle = F.col("_lows") + F.floor((F.col("_m") - F.col("_lows")) / 2) + 1
+    own = own.withColumns({"low": F.col("_low") == 1, "median": F.max(F.when(F.col("_k") == middle, F.col("y"))).over(cell)})
+    return own.drop("_wide", "_k", "_low", "_lows", "_m")
 
 
-def cell_medians(judged: DataFrame) -> DataFrame:
-    """Upper median height of the points of each cell that are no low outliers."""
-    w = Window.partitionBy("cx", "cz").orderBy("y", "pid")
-    rest = judged.filter("not low").select("cx", "cz", "y", F.row_number().over(w).alias("k"), F.count("*").over(Window.partitionBy("cx", "cz")).alias("m"))
-    return rest.filter(F.col("k") == F.floor(F.col("m") / 2) + 1).select("cx", "cz", F.col("y").alias("median"))
+def low_outliers(points: DataFrame, cell: float = 10.0, gap: float = 1.0) -> DataFrame:
+    """pid, low of the points that aren't labelled as noise; see :func:`judged_columns`."""
+    return judged_columns(points, column_frame(points, cell), gap).select("pid", "low")
 
 
 def detect_noise(points: DataFrame, radius: float | None = None, least: int = 2, cell: float = 10.0, gap: float = 1.0) -> DataFrame:
@@ -59,19 +89,18 @@ def detect_noise(points: DataFrame, radius: float | None = None, least: int = 2,
 
     Points that are labelled as noise already keep their label.
     """
+    frame = column_frame(points, cell)
     if radius is None:
         b = points.agg((F.max("x") - F.min("x")).alias("w"), (F.max("z") - F.min("z")).alias("h"), F.count("*").alias("n"))
         radius = b.select(G.noise_radius(F.col("w") * F.col("h"), F.col("n"))).first()[0] or 1.0
-    alone = isolated_points(points, radius, least).select(F.col("pid").alias("ip"))
-    judged = low_outliers(points, cell, gap)
-    medians = cell_medians(judged)
-    low = judged.filter("low").select(F.col("pid").alias("lp"))
-    out = points.join(alone, F.col("pid") == F.col("ip"), "left").join(low, F.col("pid") == F.col("lp"), "left")
-    out = out.withColumns({"_cx": F.floor(F.col("x") / F.lit(float(cell))).cast("bigint"), "_cz": F.floor(F.col("z") / F.lit(float(cell))).cast("bigint")})
-    out = out.join(medians.withColumnsRenamed({"cx": "_cx", "cz": "_cz"}), ["_cx", "_cz"], "left")
-    old = F.col("classification") if "classification" in points.columns else F.lit(0)
-    new = F.when(G.is_noise(old), old).when(F.col("lp").isNotNull(), 7).when(F.col("ip").isNotNull(), F.when(F.col("median").isNotNull() & (F.col("y") > F.col("median") + 2), 18).otherwise(7)).otherwise(old)
-    return out.withColumn("classification", new.cast("int")).drop("_cx", "_cz", "ip", "lp", "median")
+    alone = settled(isolated_points(points, radius, least).select(F.col("pid").alias("_ip")))
+    labelled = "classification" in points.columns
+    old = F.col("classification") if labelled else F.lit(0)
+    out = judged_columns(points, frame, gap).join(_near(alone, BROADCAST_CUBES), F.col("pid") == F.col("_ip"), "left")
+    high = F.col("median").isNull() | (F.col("y") > F.col("median") + 2)
+    new = F.when(F.col("low"), 7).when(F.col("_ip").isNotNull(), F.when(high, 18).otherwise(7)).otherwise(old)
+    out = out.withColumn("classification", new.cast("int")).drop("row", "col", "low", "median", "_ip")
+    return out.unionByName(points.filter(G.is_noise(old)).withColumn("classification", old.cast("int"))) if labelled else out
 
 
 def noise_stats(before: DataFrame, after: DataFrame) -> DataFrame:

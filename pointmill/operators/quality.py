@@ -5,13 +5,16 @@ Grids are keyed tables (row, col, value) with absent rows for empty cells.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .tables import first_returns
+from ..storage import settled
+from .components import gap_sizes
+from .tables import class_summary, noise_share, returns_summary, without_noise
 
 #: Level, least density, most vertical error, precision and overlap offset (fixed values of the quality levels).
 LEVELS = [("QL0", 8.0, 0.05, 0.04, 0.04), ("QL1", 8.0, 0.10, 0.06, 0.08), ("QL2", 2.0, 0.10, 0.06, 0.08), ("QL3", 0.5, 0.20, 0.12, 0.16)]
@@ -47,95 +50,139 @@ def with_cells(points: DataFrame, frame: Frame) -> DataFrame:
     return points.withColumns({"row": G.cell_index(F.col("z"), frame.min_z, frame.cell, frame.rows), "col": G.cell_index(F.col("x"), frame.min_x, frame.cell, frame.cols)})
 
 
-def footprint_cells(points: DataFrame, frame: Frame) -> DataFrame:
+def survey_cells(points: DataFrame, frame: Frame) -> DataFrame:
+    """One row for each strip in each cell, without noise: n points, ``first`` returns, and of the hard surface its k points, sum s and squares ss of heights.
+
+    Hard is ground if any point is ground, else single returns, which leaves
+    canopy out. Density, coverage, precision and strips are all derived from
+    this one aggregate, so a scan is read and shuffled once.
+    """
+    own = with_cells(without_noise(points), frame)
+    one = lambda c: F.sum(c.cast("long"))
+    first = F.coalesce(F.col("return_number") <= 1, F.lit(True)) if "return_number" in own.columns else F.lit(True)
+    single = F.coalesce(F.col("number_of_returns") <= 1, F.lit(True)) if "number_of_returns" in own.columns else F.lit(True)
+    hard = {"o": single} | ({"g": F.col("classification") == 2} if "classification" in own.columns else {})
+    if "point_source_id" not in own.columns:
+        own = own.withColumn("point_source_id", F.lit(0))
+    sums = [F.count("*").alias("n"), one(first).alias("first")]
+    for k, at in hard.items():
+        sums += [one(at).alias(f"{k}k"), F.sum(F.when(at, F.col("y"))).alias(f"{k}s"), F.sum(F.when(at, F.col("y") * F.col("y"))).alias(f"{k}ss")]
+    cells = settled(own.groupBy("row", "col", "point_source_id").agg(*sums))
+    known = "g" if "g" in hard and cells.filter("gk > 0").limit(1).count() else "o"
+    return cells.select("row", "col", "point_source_id", "n", "first", *(F.col(f"{known}{c}").alias(c) for c in ("k", "s", "ss")))
+
+
+def footprint_cells(cells: DataFrame) -> DataFrame:
     """Cells between the first and last occupied one of both their row and their column, with the count of first returns."""
-    cells = with_cells(first_returns(points), frame).groupBy("row", "col").agg(F.count("*").alias("n"))
-    spans = cells.groupBy("row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-    tall = cells.groupBy("col").agg(F.min("row").alias("r0"), F.max("row").alias("r1"))
+    occupied = cells.groupBy("row", "col").agg(F.sum("first").alias("n"))
+    spans = occupied.groupBy("row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
+    tall = occupied.groupBy("col").agg(F.min("row").alias("r0"), F.max("row").alias("r1"))
     inside = spans.select("row", F.explode(F.sequence("c0", "c1")).alias("col")).join(tall, "col").filter(F.col("row").between(F.col("r0"), F.col("r1")))
-    return inside.select("row", "col").join(cells, ["row", "col"], "left").select("row", "col", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    return inside.select("row", "col").join(occupied, ["row", "col"], "left").select("row", "col", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
 
+def density(foot: DataFrame, frame: Frame, thinning: tuple[int, int] | None = None) -> DataFrame:
+    """One row: first returns per square metre over the footprint: mean, median, 5th percentile, shares of thin cells.
 
-def density(points: DataFrame, frame: Frame) -> DataFrame:
-    """One row: mean, median, 5th percentile, shares of thin cells, over the footprint."""
-    area = frame.cell * frame.cell
-    cells = footprint_cells(points, frame).select((F.col("n") / F.lit(area)).alias("d"))
+    ``full_median`` and ``spacing`` are those of the file that a thinned scan,
+    (loaded, total) points, came from.
+    """
+    scale = 1.0 if thinning is None else thinning[1] / max(1, thinning[0])
+    cells = foot.select((F.col("n") / F.lit(frame.cell * frame.cell)).alias("d"))
     # A histogram of densities: as many rows as there are different counts, however large the scan.
     h = cells.groupBy("d").agg(F.count("*").alias("c"))
     run = Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
     h = h.select("d", "c", F.sum("c").over(run).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("m"))
-    at = lambda f: F.min(F.when(F.col("upto") > F.least(F.col("m") - 1, F.floor(F.lit(f) * F.col("m"))), F.col("d")))
+    at = lambda f: F.coalesce(F.min(F.when(F.col("upto") > F.least(F.col("m") - 1, F.floor(F.lit(f) * F.col("m"))), F.col("d"))), F.lit(0.0))
     share = lambda t: F.round(F.sum(F.when(F.col("d") < t, F.col("c")).otherwise(0)) / F.max("m"), 6)
+    mean = F.sum(F.col("d") * F.col("c")) / F.max("m")
     out = h.agg(
-        F.max("m").alias("cells"), F.round(F.sum(F.col("d") * F.col("c")) / F.max("m"), 6).alias("mean"), at(0.5).alias("median"), at(0.05).alias("p5"),
-        share(2.0).alias("below_2"), share(8.0).alias("below_8"),
+        F.max("m").alias("cells"), mean.alias("mean"), at(0.5).alias("median"), at(0.05).alias("p5"), share(2.0).alias("below_2"), share(8.0).alias("below_8"),
     )
-    return out.withColumn("spacing", F.round(F.lit(1.0) / F.sqrt("mean"), 6))
+    full = F.lit(1.0) / F.sqrt(F.greatest(F.col("mean") * F.lit(scale), F.lit(1e-6)))
+    return out.select("cells", F.round("mean", 6).alias("mean"), "median", "p5", "below_2", "below_8", (F.col("median") * F.lit(scale)).alias("full_median"), F.round(full, 6).alias("spacing"))
+
 
+def loaded_spacing(foot: DataFrame, frame: Frame) -> float:
+    """Spacing of the loaded first returns, by their mean density."""
+    mean = foot.agg(F.sum("n") / F.count("*")).first()[0] or 0.0
+    return 1.0 / max(mean / (frame.cell * frame.cell), 1e-6) ** 0.5
 
-def hard_points(points: DataFrame) -> DataFrame:
-    """Ground points if any point is ground, else single returns."""
-    if "classification" in points.columns and points.filter("classification = 2").limit(1).count():
-        return points.filter("classification = 2")
-    return points.filter("number_of_returns <= 1")
 
+def coverage(foot: DataFrame, frame: Frame, spacing: float) -> DataFrame:
+    """One row: footprint and gaps without a first return; a gap of at least (4 x spacing) squared is a void, cells of the others are scattered."""
+    area, least = frame.cell * frame.cell, (4 * spacing) * (4 * spacing)
+    gaps = gap_sizes(foot, frame.cols).withColumn("void", F.col("cells") * F.lit(area) >= F.lit(least))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    g = gaps.agg(
+        F.count("*").alias("gap_regions"), F.coalesce(F.max("cells"), F.lit(0)).alias("largest"), n(F.col("void").cast("int")).alias("voids"), n(F.when(F.col("void"), F.col("cells"))).alias("void_cells"), n("cells").alias("gap_cells"),
+    )
+    out = foot.agg(F.count("*").alias("cells")).crossJoin(F.broadcast(g))  # one row each
+    return out.select(
+        (F.col("cells") * F.lit(area)).alias("footprint_area"), (F.col("gap_cells") * F.lit(area)).alias("gap_area"), F.round(F.col("gap_cells") / F.greatest(F.lit(1), F.col("cells")), 6).alias("gap_share"), "gap_regions",
+        (F.col("largest") * F.lit(area)).alias("largest_gap_area"), F.round(F.lit(least), 6).alias("void_threshold"), "voids", (F.col("void_cells") * F.lit(area)).alias("void_area"), (F.col("gap_cells") - F.col("void_cells")).alias("scattered_cells"),
+    )
 
-def _moments(points: DataFrame, frame: Frame) -> DataFrame:
-    own = with_cells(hard_points(points), frame)
-    return own.groupBy("row", "col", "point_source_id").agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"), (F.max("y") - F.min("y")).alias("spread"))
 
+def precision(cells: DataFrame, frame: Frame, spacing: float) -> DataFrame:
+    """Detrended spread within level, hard cells of 2 x ceil(spacing), where the strip with most points speaks for a cell; null under 20 cells.
 
-def precision(points: DataFrame, frame: Frame) -> DataFrame:
-    """Detrended spread within level and hard cells, where the strip with most points speaks for a cell."""
-    m = _moments(points, frame).filter("n >= 4")
-    best = m.groupBy("row", "col").agg(F.max(F.struct("n", (-F.col("point_source_id")).alias("t"), "s", "ss")).alias("b"))
-    best = best.select("row", "col", (F.col("b.s") / F.col("b.n")).alias("mean"), (F.col("b.ss") / F.col("b.n") - (F.col("b.s") / F.col("b.n")) * (F.col("b.s") / F.col("b.n"))).alias("var"))
+    The larger cells are made of whole cells of the frame.
+    """
+    per = max(1, round(2 * math.ceil(spacing) / frame.cell))
+    size = per * frame.cell
+    up = lambda c: F.floor(F.col(c) / per).cast("int").alias(c)
+    m = cells.groupBy(up("row"), up("col"), "point_source_id").agg(*(F.sum(c).alias(c) for c in ("k", "s", "ss"))).filter("k >= 4")
+    best = m.groupBy("row", "col").agg(F.max(F.struct("k", (-F.col("point_source_id")).alias("t"), "s", "ss")).alias("b"))
+    mean = F.col("b.s") / F.col("b.k")
+    best = settled(best.select("row", "col", mean.alias("mean"), F.greatest(F.lit(0.0), F.col("b.ss") / F.col("b.k") - mean * mean).alias("var")))
     near = None
     for name, dr, dc in (("w", 0, 1), ("e", 0, -1), ("n", 1, 0), ("s", -1, 0)):
         o = best.select((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"), F.col("mean").alias(name))
         near = (near if near is not None else best).join(o, ["row", "col"])
-    gx, gz = (F.col("e") - F.col("w")) / (2 * frame.cell), (F.col("s") - F.col("n")) / (2 * frame.cell)
+    gx, gz = (F.col("e") - F.col("w")) / (2 * size), (F.col("s") - F.col("n")) / (2 * size)
     slope2 = gx * gx + gz * gz
-    rough = F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("var") - slope2 * frame.cell * frame.cell / 6)), 6)
+    rough = F.round(F.sqrt(F.greatest(F.lit(0.0), F.col("var") - slope2 * size * size / 6)), 6)
     level = (F.round(F.sqrt(slope2), 6) <= 0.05) & (F.round(F.abs(F.col("mean") - (F.col("w") + F.col("e") + F.col("n") + F.col("s")) / 4), 6) <= 0.1)
-    cells = near.filter(level).select("row", "col", rough.alias("spread"))
-    h = cells.groupBy("spread").agg(F.count("*").alias("c"))
+    h = near.filter(level).select(rough.alias("spread")).groupBy("spread").agg(F.count("*").alias("c"))
     run = Window.orderBy("spread").rowsBetween(Window.unboundedPreceding, 0)
     h = h.select("spread", F.sum("c").over(run).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("m"))
     return h.agg(
-        F.coalesce(F.max("m"), F.lit(0)).cast("bigint").alias("cells"),
+        F.lit(float(size)).alias("size"), F.coalesce(F.max("m"), F.lit(0)).cast("bigint").alias("cells"),
         F.min(F.when((F.col("m") >= 20) & (F.col("upto") > F.floor(F.col("m") / 4)), F.col("spread"))).alias("hard"),
         F.min(F.when((F.col("m") >= 20) & (F.col("upto") > F.floor(F.col("m") / 2)), F.col("spread"))).alias("level"),
     )
 
 
-def strip_offsets(points: DataFrame, frame: Frame, flatness: float = 0.05) -> DataFrame:
-    """row, col, a, b, offset: mean height of strip b over strip a in the flat cells that both cover."""
-    m = _moments(points, frame).filter((F.col("n") >= 3) & (F.col("spread") <= flatness)).select("row", "col", "point_source_id", (F.col("s") / F.col("n")).alias("mean"))
+def strip_offsets(cells: DataFrame, flatness: float = 0.05) -> DataFrame:
+    """row, col, a, b, offset: mean height of strip b over strip a in the cells that both cover and whose heights deviate by ``flatness`` at most."""
+    mean = F.col("s") / F.col("k")
+    flat = F.sqrt(F.greatest(F.lit(0.0), F.col("ss") / F.col("k") - mean * mean)) <= flatness
+    m = cells.filter("k >= 3").filter(flat).select("row", "col", "point_source_id", mean.alias("mean"))
     a, b = (m.select("row", "col", F.col("point_source_id").alias(k), F.col("mean").alias(f"m{k}")) for k in "ab")
     return a.join(b, ["row", "col"]).filter("a < b").select("row", "col", "a", "b", (F.col("mb") - F.col("ma")).alias("offset"))
 
 
-def strip_pairs(points: DataFrame, frame: Frame, flatness: float = 0.05, min_cells: int = 20) -> DataFrame:
-    """Per pair of strips: cells, mean, RMS and median offset."""
-    o = strip_offsets(points, frame, flatness)
-    # The median by rank within the pair: no pair's offsets are gathered.
-    w = Window.partitionBy("a", "b").orderBy("offset", "row", "col")
-    o = o.select("*", F.row_number().over(w).alias("k"), F.count("*").over(Window.partitionBy("a", "b")).alias("m"))
-    out = o.groupBy("a", "b").agg(
-        F.count("*").alias("cells"), F.round(F.avg("offset"), 6).alias("mean"), F.round(F.sqrt(F.avg(F.col("offset") * F.col("offset"))), 6).alias("rms"),
-        F.round(F.max(F.when(F.col("k") == F.floor(F.col("m") / 2) + 1, F.col("offset"))), 6).alias("median"),
+def strip_pairs(offsets: DataFrame, min_cells: int = 20) -> DataFrame:
+    """Per pair of strips with enough common cells: cells, mean, RMS and median offset."""
+    # The median by a histogram of offsets within the pair: no pair's offsets are gathered.
+    h = offsets.groupBy("a", "b", "offset").agg(F.count("*").alias("c"))
+    run = Window.partitionBy("a", "b").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    h = h.select("*", F.sum("c").over(run).alias("upto"), F.sum("c").over(Window.partitionBy("a", "b")).alias("m"))
+    o = F.col("offset")
+    out = h.groupBy("a", "b").agg(
+        F.sum("c").alias("cells"), F.round(F.sum(o * F.col("c")) / F.sum("c"), 6).alias("mean"), F.round(F.sqrt(F.sum(o * o * F.col("c")) / F.sum("c")), 6).alias("rms"),
+        F.round(F.min(F.when(F.col("upto") > F.floor(F.col("m") / 2), o)), 6).alias("median"),
     )
     return out.filter(F.col("cells") >= min_cells)
 
 
-def strip_overlap(points: DataFrame, frame: Frame) -> DataFrame:
-    """Share of footprint cells that more than one strip covers, and RMS over all offsets."""
-    several = _moments(points, frame).groupBy("row", "col").agg(F.count("*").alias("k")).filter("k > 1")
-    cells = footprint_cells(points, frame).select("row", "col").join(several, ["row", "col"], "left")
-    share = cells.agg(F.round(F.count("k") / F.count("*"), 6).alias("overlap_share"), F.count("*").alias("cells"))
-    o = strip_offsets(points, frame).agg(F.round(F.sqrt(F.avg(F.col("offset") * F.col("offset"))), 6).alias("rms"))
-    return share.crossJoin(F.broadcast(o))  # one row each
+def strip_overlap(cells: DataFrame, foot: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Cells with a hard surface of more than one strip as a share of the footprint, and RMS over all offsets (0 where there are none)."""
+    several = cells.filter("k > 0").groupBy("row", "col").agg(F.count("*").alias("strips")).filter("strips > 1").agg(F.count("*").alias("several"))
+    o = offsets.agg(F.coalesce(F.round(F.sqrt(F.avg(F.col("offset") * F.col("offset"))), 6), F.lit(0.0)).alias("rms"))
+    out = foot.agg(F.count("*").alias("cells")).crossJoin(F.broadcast(several)).crossJoin(F.broadcast(o))  # one row each
+    return out.select(F.round(F.col("several") / F.greatest(F.lit(1), F.col("cells")), 6).alias("overlap_share"), "cells", "rms")
 
 
 def checkpoint_residuals(points: DataFrame, checkpoints: DataFrame, radius: float = 1.0) -> DataFrame:
@@ -170,38 +217,74 @@ def accuracy(residuals: DataFrame) -> DataFrame:
     )
 
 
-def quality_level(density_mean: Column, rmsez: Column, checked: Column) -> Column:
-    """The first level that density and vertical error reach; without any check QL0 is not claimed.
+def quality_level(full_median: Column, rmsez: Column, checked: Column) -> Column:
+    """The first level that the median density of the full file and vertical error reach; without any checkpoint QL0 is not claimed.
 
     Checkpoints of which none was measured count as accurate.
     """
     out = F.lit(None).cast("string")
     for name, least, most, _, _ in reversed(LEVELS):
-        ok = (density_mean >= least) & (F.coalesce(rmsez, F.lit(0.0)) <= most)
+        ok = (full_median >= least) & (F.coalesce(rmsez, F.lit(0.0)) <= most)
         out = F.when(ok, F.lit(name)).otherwise(out)
     return F.when((out == "QL0") & ~checked, F.lit("QL1")).otherwise(out)
 
 
+@dataclass(frozen=True)
+class QualityReport:
+    """All parts of a survey's report as small tables; each is derived from the survey's cells."""
+
+    foot: DataFrame
+    density: DataFrame
+    coverage: DataFrame
+    precision: DataFrame
+    pairs: DataFrame
+    overlap: DataFrame
+    noise: DataFrame
+    classes: DataFrame | None
+    returns: DataFrame | None
+    residuals: DataFrame | None
+    accuracy: DataFrame | None
+    checks: DataFrame
+    level: str | None
+
+
+def quality_report(points: DataFrame, frame: Frame, checkpoints: DataFrame | None = None, thinning: tuple[int, int] | None = None, flatness: float = 0.05) -> QualityReport:
+    """Density, coverage, precision, strips, noise, classes, returns, accuracy, verdicts and level of a survey.
+
+    ``checks`` has one row for each check against the accepted level: check,
+    value, limit, verdict (pass, fail, review or skipped).
+    """
+    cells = survey_cells(points, frame)
+    foot = settled(footprint_cells(cells))
+    spacing = loaded_spacing(foot, frame)
+    offsets = settled(strip_offsets(cells, flatness))
+    d, cov, prec = (settled(x) for x in (density(foot, frame, thinning), coverage(foot, frame, spacing), precision(cells, frame, spacing)))
+    pairs, over = settled(strip_pairs(offsets)), settled(strip_overlap(cells, foot, offsets))
+    labelled = "classification" in points.columns
+    noise = settled(noise_share(points)) if labelled else None
+    residuals = settled(checkpoint_residuals(without_noise(points), checkpoints)) if checkpoints is not None else None
+    acc = settled(accuracy(residuals)) if residuals is not None else None
+    _, least, most, allowed, overlap = ACCEPTED
+    judged = lambda v, limit: "skipped" if v is None else "pass" if v <= limit else "fail"
+    median, voids, hard = d.first()["full_median"], cov.first()["voids"], prec.first()["hard"]
+    rms = over.first()["rms"] if "point_source_id" in points.columns and pairs.limit(1).count() else None
+    share = noise.first()["share"] if noise is not None else None
+    rmsez = acc.first()["rmsez"] if acc is not None else None
+    rows = [
+        ("density", median, least, "pass" if median >= least else "fail"), ("voids", float(voids), 0.0, "pass" if voids == 0 else "review"), ("precision", hard, allowed, judged(hard, allowed)),
+        ("strips", rms, overlap, judged(rms, overlap)), ("accuracy", rmsez, most, judged(rmsez, most)), ("noise", share, 0.01, "skipped" if share is None else "pass" if share <= 0.01 else "review"),
+    ]
+    spark = points.sparkSession
+    checks = spark.createDataFrame(rows, "check string, value double, limit double, verdict string")
+    level = spark.range(1).select(quality_level(F.lit(median), F.lit(rmsez).cast("double"), F.lit(checkpoints is not None))).first()[0]
+    classes = class_summary(points) if labelled else None
+    returns = returns_summary(points) if "number_of_returns" in points.columns else None
+    return QualityReport(foot, d, cov, prec, pairs, over, noise, classes, returns, residuals, acc, checks, level)
+
+
 def quality_checks(points: DataFrame, frame: Frame, checkpoints: DataFrame | None = None) -> DataFrame:
-    """One row for each check against the accepted level: name, value, limit, verdict."""
-    _, least, most, prec, overlap = ACCEPTED
-    verdict = lambda v, ok: F.when(v.isNull(), "skipped").when(ok, "pass").otherwise("fail")
-    d = density(points, frame).select(F.col("mean").alias("v"), F.col("below_2").alias("w"))
-    rows = [d.select(F.lit("density").alias("check"), F.col("v").alias("value"), F.lit(least).alias("limit"), verdict(F.col("v"), F.col("v") >= least).alias("verdict"))]
-    rows.append(d.select(F.lit("uniformity").alias("check"), F.col("w").alias("value"), F.lit(0.1).alias("limit"), F.when(F.col("w") <= 0.1, "pass").otherwise("review").alias("verdict")))
-    p = precision(points, frame).select(F.col("hard").alias("v"))
-    rows.append(p.select(F.lit("precision").alias("check"), F.col("v").alias("value"), F.lit(prec).alias("limit"), verdict(F.col("v"), F.col("v") <= prec).alias("verdict")))
-    s = strip_overlap(points, frame).select(F.col("rms").alias("v"))
-    rows.append(s.select(F.lit("strips").alias("check"), F.col("v").alias("value"), F.lit(overlap).alias("limit"), verdict(F.col("v"), F.col("v") <= overlap).alias("verdict")))
-    n = points.agg((F.sum(G.is_noise(F.col("classification")).cast("long")) / F.count("*")).alias("v")).select(F.round("v", 6).alias("v"))
-    rows.append(n.select(F.lit("noise").alias("check"), F.col("v").alias("value"), F.lit(0.01).alias("limit"), F.when(F.col("v") <= 0.01, "pass").otherwise("review").alias("verdict")))
-    if checkpoints is not None:
-        a = accuracy(checkpoint_residuals(points, checkpoints)).select(F.col("rmsez").alias("v"))
-        rows.append(a.select(F.lit("accuracy").alias("check"), F.col("v").alias("value"), F.lit(most).alias("limit"), verdict(F.col("v"), F.col("v") <= most).alias("verdict")))
-    out = rows[0]
-    for x in rows[1:]:
-        out = out.unionByName(x)
-    return out
+    """The verdicts of :func:`quality_report`."""
+    return quality_report(points, frame, checkpoints).checks
 
 
 def parse_checkpoints(lines: DataFrame, line: str = "value", number: str = "n") -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settled
 from .quality import Frame, with_cells
 from .tables import without_noise
 
@@ -82,18 +83,18 @@ def binary_open_close(mask: DataFrame) -> DataFrame:
     return erode(dilate(dilate(erode(mask, 1), 1), 1), 1)
 
 
-def slope(grid: DataFrame, cell: float) -> DataFrame:
-    """Magnitude of central differences, one-sided at the edges, of a dense grid."""
+def slope(grid: DataFrame, cell: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Magnitude of central differences, one-sided at the edges, of a dense grid, or of one for each of ``keys``."""
 
     def along(part, order):
-        w = Window.partitionBy(part).orderBy(order)
+        w = Window.partitionBy(*keys, part).orderBy(order)
         before, after = F.lag("value").over(w), F.lead("value").over(w)
         steps = (before.isNotNull().cast("int") + after.isNotNull().cast("int")).cast("double")
         rise = F.coalesce(after, F.col("value")) - F.coalesce(before, F.col("value"))
         return F.when(steps > 0, rise / (steps * F.lit(float(cell)))).otherwise(F.lit(0.0))
 
     out = grid.withColumns({"gx": along("row", "col"), "gz": along("col", "row")})
-    return out.select("row", "col", F.sqrt(F.col("gx") * F.col("gx") + F.col("gz") * F.col("gz")).alias("value"))
+    return out.select(*keys, "row", "col", F.sqrt(F.col("gx") * F.col("gx") + F.col("gz") * F.col("gz")).alias("value"))
 
 
 def bilinear(points: DataFrame, grid: DataFrame, frame: Frame, name: str = "surface") -> DataFrame:
@@ -118,39 +119,58 @@ def bilinear(points: DataFrame, grid: DataFrame, frame: Frame, name: str = "surf
     return out.withColumn(name, top + (low - top) * fv).drop("_u", "_v", "_c", "_r", "gr", "gc", "nw", "ne", "sw", "se")
 
 
-def push_pull(grid: DataFrame, rows: int, cols: int) -> DataFrame:
+def push_pull(grid: DataFrame, rows: int | str, cols: int | str, keys: tuple[str, ...] = ()) -> DataFrame:
     """A dense grid: empty cells filled from coarser and coarser weighted means; measured cells stay.
 
-    Each level halves the grid, so the levels are as many as the logarithm of its longer side.
+    Each level halves the grid, so the levels are as many as the logarithm of its
+    longer side; a level is stored, so that no later one computes it again. With
+    ``keys`` many grids are filled at once, rows and cols then name columns. A
+    grid without any value has no cells in the result.
     """
-    if rows < 1 or cols < 1:
+    size = [F.lit(n) if isinstance(n, int) else F.col(n) for n in (rows, cols)]
+    if any(isinstance(n, int) and n < 1 for n in (rows, cols)):
         raise ValueError("a grid has at least one cell")
-    levels = [(grid.select("row", "col", F.col("value").alias("v"), F.lit(1.0).alias("w")), rows, cols)]
+    level = settled(grid.select(*keys, "row", "col", F.col("value").alias("v"), F.lit(1.0).alias("w"), size[0].cast("int").alias("_r"), size[1].cast("int").alias("_c")))
+    levels = [level]
     while True:
-        g, r, c = levels[-1]
-        if (r == 1 and c == 1) or g.count() == r * c:
+        own = levels[-1].groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.col("_r").cast("bigint") * F.col("_c")).alias("all"))
+        if not own.filter("n < all").limit(1).count():
             break
-        coarse = g.groupBy((F.col("row") / 2).cast("int").alias("row"), (F.col("col") / 2).cast("int").alias("col"))
-        coarse = coarse.agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"), F.sum("w").alias("w"))
-        levels.append((coarse, (r + 1) // 2, (c + 1) // 2))
-    full, fr, fc = levels[-1]
-    if full.limit(1).count() == 0:
-        return grid.select("row", "col", "value")
-    value = full.select("row", "col", F.col("v").alias("value"))
-    for g, r, c in reversed(levels[:-1]):
-        value = _pull(g, r, c, value, fr, fc, grid)
-        fr, fc = r, c
-    return value
-
-
-def _pull(fine: DataFrame, rows: int, cols: int, coarse: DataFrame, crows: int, ccols: int, like: DataFrame) -> DataFrame:
-    spark = like.sparkSession
-    cells = spark.range(rows * cols).select((F.col("id") / cols).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
-    empty = cells.join(fine.select("row", "col"), ["row", "col"], "left_anti")
-    half = Frame(0.0, 0.0, 2.0, ccols, crows)
-    own = empty.withColumns({"x": F.col("col") + F.lit(0.5), "z": F.col("row") + F.lit(0.5)})
-    filled = bilinear(own, coarse, half, "value").select("row", "col", "value")
-    return fine.select("row", "col", F.col("v").alias("value")).unionByName(filled)
+        half = lambda c: (F.floor((F.col(c) + 1) / 2)).cast("int")
+        coarse = levels[-1].groupBy(*keys, F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col"))
+        coarse = coarse.agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"), F.sum("w").alias("w"), F.max(half("_r")).alias("_r"), F.max(half("_c")).alias("_c"))
+        levels.append(settled(coarse))
+    value = levels[-1].select(*keys, "row", "col", "v", "_r", "_c")
+    for k in range(len(levels) - 2, -1, -1):
+        value = _pull(levels[k], value, keys, k == 0)
+    return value.select(*keys, "row", "col", F.col("v").alias("value"))
+
+
+def _pull(fine: DataFrame, coarse: DataFrame, keys: tuple[str, ...], last: bool) -> DataFrame:
+    """The dense level under a dense one: own values, else values between the four nearest centres of the coarse level.
+
+    A cell's centre lies a quarter of a coarse cell from its parent's, so it is
+    three quarters parent and one quarter the next one, in both directions;
+    beyond the edge the parent counts for the next one.
+    """
+    across = Window.partitionBy(*keys, "row").orderBy("col")
+    down = Window.partitionBy(*keys, "col").orderBy("row")
+    own = F.col("v")
+    g = coarse.select("*", (own * 0.75 + F.coalesce(F.lag("v").over(across), own) * 0.25).alias("l"), (own * 0.75 + F.coalesce(F.lead("v").over(across), own) * 0.25).alias("r"))
+    up = {c: F.coalesce(F.lag(c).over(down), F.col(c)) for c in "lr"}
+    low = {c: F.coalesce(F.lead(c).over(down), F.col(c)) for c in "lr"}
+    part = lambda i, j: F.struct((F.col("row") * 2 + i).alias("row"), (F.col("col") * 2 + j).alias("col"), (F.col("lr"[j]) * 0.75 + (up, low)[i]["lr"[j]] * 0.25).alias("u"))
+    g = g.select(*keys, F.array(*(part(i, j) for i in (0, 1) for j in (0, 1))).alias("p")).select(*keys, F.explode("p").alias("p")).select(*keys, "p.*")
+    # A level's size stands in its rows: one join brings both.
+    size = fine.groupBy(*keys).agg(F.max("_r").alias("_r"), F.max("_c").alias("_c")) if keys else None
+    g = g.join(fine.select(*keys, "row", "col", "v"), [*keys, "row", "col"], "left")
+    if keys:
+        g = g.join(size, list(keys))
+    else:
+        r, c = fine.agg(F.max("_r"), F.max("_c")).first()
+        g = g.withColumns({"_r": F.lit(r), "_c": F.lit(c)})
+    out = g.filter((F.col("row") < F.col("_r")) & (F.col("col") < F.col("_c"))).select(*keys, "row", "col", F.coalesce("v", "u").alias("v"), "_r", "_c")
+    return out if last else settled(out)
 
 
 def raise_pits(grid: DataFrame, depth: float) -> DataFrame:
@@ -207,33 +227,43 @@ def fill_isolated_gaps(grid: DataFrame, rows: int, cols: int, least: int = 5) ->
 
 
 def plane_roughness(grid: DataFrame, tolerance: float = 0.15) -> DataFrame:
-    """RMS distance of each cell's 3 by 3 from its plane; up to two low cells are left out; null for less than six cells."""
+    """RMS distance of each cell's 3 by 3 from its plane; up to two low cells are left out; null for less than six cells.
+
+    Of cells that lie equally low the first in row order goes. The nine heights
+    are columns; planes are solved for a batch of cells at once.
+    """
     near = grid.withColumnRenamed("value", "nv").withColumn("o", _offsets(1, True))
-    near = near.select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), (-F.col("o.i")).alias("i"), (-F.col("o.j")).alias("j"), "nv")
-    near = near.groupBy("row", "col").agg(F.collect_list(F.struct("i", "j", "nv")).alias("c"))  # 9 cells at most
+    near = near.select((F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), (4 - F.col("o.i") * 3 - F.col("o.j")).alias("k"), "nv")
+    near = near.groupBy("row", "col").agg(*(F.max(F.when(F.col("k") == k, F.col("nv"))).alias(f"v{k}") for k in range(9)))
     near = grid.select("row", "col").join(near, ["row", "col"])
 
     @F.pandas_udf("double")
-    def fit(cells: pd.Series) -> pd.Series:
-        return pd.Series([_roughness([(c["i"], c["j"], c["nv"]) for c in x], tolerance) for x in cells])
-
-    return near.select("row", "col", fit("c").alias("value"))
-
-
-def _roughness(cells: list[tuple[float, float, float]], tolerance: float) -> float | None:
-    cells = sorted(cells)
-    if len(cells) < 6:
-        return None
-    for attempt in range(3):
-        a = np.array([(1.0, i, j) for i, j, _ in cells])
-        v = np.array([h for _, _, h in cells])
-        k, *_ = np.linalg.lstsq(a, v, rcond=None)
-        res = v - a @ k
-        low = int(res.argmin())
-        if attempt == 2 or len(cells) <= 6 or res[low] >= -tolerance:
-            break
-        cells = cells[:low] + cells[low + 1 :]
-    return float(np.sqrt((res * res).mean()))
+    def fit(*v: pd.Series) -> pd.Series:
+        return pd.Series(_roughness(np.stack([x.to_numpy(float) for x in v], -1), tolerance))
+
+    return near.select("row", "col", fit(*(f"v{k}" for k in range(9))).alias("value")).select("row", "col", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+
+
+def _roughness(v: np.ndarray, tolerance: float) -> np.ndarray:
+    """For rows of nine heights in row order, NaN where there is none."""
+    i, j = np.repeat([-1.0, 0.0, 1.0], 3), np.tile([-1.0, 0.0, 1.0], 3)
+    use = ~np.isnan(v)
+    v = np.where(use, v, 0.0)
+    for turn in range(3):
+        n = np.maximum(use.sum(1), 1)[:, None]
+        mean = lambda x: (use * x).sum(1, keepdims=True) / n  # noqa: B023, E731
+        a, b, h = use * (i - mean(i)), use * (j - mean(j)), use * (v - mean(v))
+        aa, ab, bb, ah, bh = ((p * q).sum(1) for p, q in ((a, a), (a, b), (b, b), (a, h), (b, h)))
+        det = aa * bb - ab * ab
+        told = np.abs(det) > 1e-9
+        safe = np.where(told, det, 1.0)
+        kr, kc = np.where(told, (ah * bb - bh * ab) / safe, 0.0), np.where(told, (bh * aa - ah * ab) / safe, 0.0)
+        res = h - kr[:, None] * a - kc[:, None] * b
+        if turn < 2:
+            low = np.where(use, np.round(res, 9), np.inf).argmin(1)
+            go = (use.sum(1) > 6) & (res[np.arange(len(v)), low] < -tolerance)
+            use = use & ~(go[:, None] & (np.arange(9) == low[:, None]))
+    return np.where(use.sum(1) >= 6, np.sqrt((use * res * res).sum(1) / np.maximum(use.sum(1), 1)), np.nan)
 
 
 def dense_array(grid: pd.DataFrame, rows: int, cols: int, limit: int = MAX_DENSE_CELLS) -> np.ndarray:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..storage import settled
 
 
 def bounds(points: DataFrame) -> DataFrame:
@@ -124,14 +125,19 @@ def tiles(points: DataFrame, tile: float, min_x: float, min_z: float, size_x: fl
     return points.withColumns({"grid_x": G.cell_index(F.col("x"), min_x, tile, nx), "grid_z": G.cell_index(F.col("z"), min_z, tile, nz)})
 
 
-def upper_percentile(values: DataFrame, column: str, fraction: float, sample: int = 200_000) -> DataFrame:
-    """The value at floor(f * (m - 1)) of every step-th value by pid; step keeps about ``sample`` values at most."""
-    n = values.count()
-    step = max(1, -(-n // sample))
-    own = values.filter(F.col("pid") % step == 0)
-    w = Window.orderBy(column, "pid")
-    ranked = own.select(column, F.row_number().over(w).alias("k"), F.count("*").over(Window.partitionBy()).alias("m"))
-    return ranked.filter(F.col("k") == F.floor(F.lit(fraction) * (F.col("m") - 1)) + 1).select(F.col(column).alias("value"))
+def upper_percentile(values: DataFrame, column: str, fraction: float) -> DataFrame:
+    """The value at floor(f * (m - 1)) of all m values in ascending order.
+
+    From a histogram: range partitions of the distinct values are summed apart,
+    and only partition totals meet in one place.
+    """
+    h = settled(values.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c")).repartitionByRange("v").withColumn("p", F.spark_partition_id()))
+    run = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = h.groupBy("p").agg(F.sum("c").alias("s")).select("p", F.coalesce(F.sum("s").over(run), F.lit(0)).alias("before"), F.sum("s").over(Window.partitionBy()).alias("m"))
+    upto = F.sum("c").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    ranked = h.join(F.broadcast(sizes), "p").withColumn("upto", upto)
+    at = F.floor(F.lit(fraction) * (F.col("m") - 1))
+    return ranked.filter((F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)).select(F.col("v").alias("value"))
 
 
 def pick_sorted(values: Column, index: Column) -> Column:

@@ -61,6 +61,8 @@ def _run(a: Analysis, step: str, checkpoints: DataFrame | None, cell: float) ->
         a.results["inventory"] = objects.inventory(a.results["objects"])
     else:
         frame = Frame.of(a.points, cell)
-        a.results["quality"] = quality.quality_checks(a.points, frame, checkpoints)
-        a.results["density"] = quality.density(a.points, frame)
-        a.results["strips"] = quality.strip_pairs(a.points, frame)
+        report = quality.quality_report(a.points, frame, checkpoints)
+        a.results["quality"], a.results["strips"] = report.checks, report.pairs
+        for part in ("density", "coverage", "precision", "overlap", "noise", "classes", "returns", "accuracy"):
+            if (table := getattr(report, part)) is not None:
+                a.results[f"quality_{part}" if part in ("noise", "classes", "returns") else part] = table

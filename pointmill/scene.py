@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .storage import stored
+
 #: Columns: pid, x (east), y (up), z (south), classification, return_number, number_of_returns, point_source_id, intensity, kind, ext
-SCENE_SQL = """
-WITH e AS (SELECT CAST(greatest(32, floor(sqrt(count(*) / 6e0))) AS BIGINT) AS ext FROM {lineitem}),
-h AS (SELECT ((l_orderkey * 8 + l_linenumber) * 20000 + l_partkey) * 1000 + l_suppkey AS k,
-  (l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 1299709 + l_suppkey * 15485863) % (ext * 64) AS xi,
-  (l_partkey * 611953 + l_orderkey * 7927 + l_linenumber * 32452843 + l_suppkey * 49979687) % (ext * 64) AS zi,
-  (l_partkey * 15487469 + l_orderkey * 179424673 + l_linenumber * 86028121 + l_suppkey * 2038074743) % 1000003 AS r, ext
-  FROM {lineitem} CROSS JOIN e),
+SCENE_SQL = """h AS (SELECT ((l_orderkey * 8 + l_linenumber) * 20000 + l_partkey) * 1000 + l_suppkey AS k,
+  (l_partkey * 7919 + l_orderkey * 104729 + l_linenumber * 1299709 + l_suppkey * 15485863) % ({ext} * 64) AS xi,
+  (l_partkey * 611953 + l_orderkey * 7927 + l_linenumber * 32452843 + l_suppkey * 49979687) % ({ext} * 64) AS zi,
+  (l_partkey * 15487469 + l_orderkey * 179424673 + l_linenumber * 86028121 + l_suppkey * 2038074743) % 1000003 AS r, {ext} AS ext
+  FROM {source}),
 g AS (SELECT k, r, CAST(ext AS DOUBLE) AS ext, CAST(xi AS DOUBLE) / 64e0 AS x, CAST(zi AS DOUBLE) / 64e0 AS z,
   CAST(xi % 6400 AS DOUBLE) / 64e0 AS u, CAST(zi % 6400 AS DOUBLE) / 64e0 AS v FROM h),
 s AS (SELECT *, CASE WHEN u >= 10 AND u < 30 AND v >= 10 AND v < 22 THEN 1
@@ -39,10 +39,32 @@ FROM t
 """
 
 
+#: Edge of the site in metres, by the number of points.
+EXTENT_SQL = "SELECT CAST(greatest(32, floor(sqrt(count(*) / 6e0))) AS BIGINT) AS ext FROM {lineitem}"
+
+_STORED: dict = {}
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SCENE_SQL, lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    """The scene as a table in the shared folder, made once for each session and input.
+
+    The extent is read first and stands in the text as a literal, so that no
+    join hinders the optimiser; what reads the table sees plain columns.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        ext = spark.sql(EXTENT_SQL, lineitem=lineitem).first()[0]
+        made = spark.sql("WITH " + SCENE_SQL.replace("{source}", "{lineitem}").replace("{ext}", f"CAST({ext} AS BIGINT)"), lineitem=lineitem)
+        # One small file gives few tasks; a large input has more splits than that and isn't shuffled.
+        tasks = spark.sparkContext.defaultParallelism
+        if made.rdd.getNumPartitions() < tasks:
+            made = made.repartition(tasks, "pid")
+        _STORED[key] = stored(made, "scene")
+    return _STORED[key]
 
 
 def scene_cte(name: str = "pts") -> str:
     """The scene as the first common table expression of a query."""
-    return f"WITH {name} AS ({SCENE_SQL.format(lineitem='lineitem')})"
+    body = SCENE_SQL.format(ext="ext", source="lineitem CROSS JOIN e")
+    return f"WITH {name} AS (WITH e AS ({EXTENT_SQL.format(lineitem='lineitem')}), {body})"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,13 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session names none (tests on one machine) a temporary folder stands in."""
+    """``spark.checkpoint.dir``; only where a session on one machine names none, a temporary folder stands in, removed at the end."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pointmill-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            at = tempfile.mkdtemp(prefix="pointmill-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
+        sc.setCheckpointDir(at)
     return sc.getCheckpointDir()
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """path, which the driver removes when it ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows of df computed once, with the lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)
@@ -25,9 +40,6 @@ def settled(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Like :func:`settled` but as a Parquet table in the shared folder (columnar, compressed)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pm-{name}-{uuid.uuid4().hex}"
+    path = removed_at_exit(spark, f"{shared_dir(spark)}/pm-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -141,10 +141,96 @@ def test_polygon_volumes(spark):
     ring = [{"x": 5.0, "y": 10.0, "z": 5.0}, {"x": 35.0, "y": 10.0, "z": 5.0}, {"x": 35.0, "y": 10.0, "z": 25.0}, {"x": 5.0, "y": 10.0, "z": 25.0}]
     bow = [ring[0], ring[2], ring[1], ring[3]]
     poly = spark.createDataFrame([(1, ring, "lowest", None, 4.0), (2, bow, "lowest", None, 4.0)], "id int, vertices array<struct<x:double,y:double,z:double>>, base string, custom_base double, height double")
-    out = measure.polygon_volume(measure.polygon_triangles(poly), grid_df(spark, a), 0.0, 0.0, 1.0).collect()
-    assert len(out) == 1
-    v = out[0]
-    assert v["covered"] == pytest.approx(600) and v["cut"] == pytest.approx(2000) and v["fill"] == 0 and v["filled"] == pytest.approx(800)
+    out = {r["id"]: r for r in measure.measure_polygons(poly, grid_df(spark, a), 0.0, 0.0, 1.0).collect()}
+    v = out[1]
+    assert v["valid"] and v["plan_area"] == 600 and v["cut"] == pytest.approx(2000) and v["fill"] == 0 and v["filled"] == pytest.approx(800) and v["prism"] == 2400 and v["unmeasured"] == 0 and v["base_mean"] == 10
+    assert v["surface_area"] > 600 and not out[2]["valid"] and out[2]["cut"] == 0
+
+
+def filled_array(a):
+    """Push-pull of a small array, cell by cell."""
+    if not np.isnan(a).any() or a.size == 1:
+        return a
+
+    def down(v, w):
+        r, c = v.shape
+        sv, sw = np.zeros(((r + 1) // 2, (c + 1) // 2)), np.zeros(((r + 1) // 2, (c + 1) // 2))
+        for i in range(r):
+            for j in range(c):
+                if w[i, j]:
+                    sv[i // 2, j // 2] += v[i, j] * w[i, j]
+                    sw[i // 2, j // 2] += w[i, j]
+        return np.where(sw > 0, sv / np.maximum(sw, 1e-300), 0), sw
+
+    def fill(v, w):
+        if (w > 0).all() or v.size == 1:
+            return v
+        up = fill(*down(v, w))
+        out = v.copy()
+        for i, j in zip(*np.nonzero(w == 0), strict=True):
+            u, t = min(max((j + 0.5) / 2 - 0.5, 0), up.shape[1] - 1), min(max((i + 0.5) / 2 - 0.5, 0), up.shape[0] - 1)
+            j0, i0 = int(u), int(t)
+            j1, i1 = min(j0 + 1, up.shape[1] - 1), min(i0 + 1, up.shape[0] - 1)
+            fu, ft = u - j0, t - i0
+            out[i, j] = (up[i0, j0] * (1 - fu) + up[i0, j1] * fu) * (1 - ft) + (up[i1, j0] * (1 - fu) + up[i1, j1] * fu) * ft
+        return out
+
+    return fill(np.nan_to_num(a), (~np.isnan(a)).astype(float))
+
+
+def test_push_pull_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    for shape, share in (((13, 21), 0.5), ((9, 5), 0.06), ((1, 7), 0.5), ((16, 16), 0.02)):
+        a = np.where(rng.random(shape) < share, rng.uniform(0, 9, shape), np.nan)
+        a[0, 0] = 3.0
+        got = dense(raster.push_pull(grid_df(spark, a), *shape), shape)
+        assert np.allclose(got, filled_array(a))
+
+
+def test_polygons_over_gaps(spark):
+    """Each polygon's surroundings are filled apart; a polygon over nothing is not measured."""
+    rng = np.random.default_rng(2)
+    a = np.where(rng.random((30, 30)) < 0.4, rng.uniform(9, 12, (30, 30)), np.nan)
+    a[20:, 20:] = np.nan
+    corner = lambda x, z: {"x": x, "y": 10.0, "z": z}
+    box = lambda x0, z0, x1, z1: [corner(x0, z0), corner(x1, z0), corner(x1, z1), corner(x0, z1)]
+    shapes = [(1, box(2.0, 3.0, 12.0, 9.0)), (2, box(5.0, 8.0, 25.0, 18.0)), (3, box(23.0, 23.0, 28.0, 28.0)), (4, box(-3.0, 1.0, 4.0, 5.0))]
+    poly = spark.createDataFrame([(i, v, "mean", None, -1.0) for i, v in shapes], "id int, vertices array<struct<x:double,y:double,z:double>>, base string, custom_base double, height double")
+    out = {r["id"]: r for r in measure.measure_polygons(poly, grid_df(spark, a), 0.0, 0.0, 1.0).collect()}
+    assert out[3]["valid"] and out[3]["unmeasured"] == 1 and out[3]["cut"] == 0 == out[3]["prism"]
+    for i, v in shapes:
+        if i == 3:
+            continue
+        x0, z0, x1, z1 = int(v[0]["x"]), int(v[0]["z"]), int(v[2]["x"]), int(v[2]["z"])
+        crop = np.full((z1 - z0 + 3, x1 - x0 + 3), np.nan)
+        for r in range(z0 - 1, z1 + 2):
+            for c in range(x0 - 1, x1 + 2):
+                if 0 <= r < 30 and 0 <= c < 30:
+                    crop[r - z0 + 1, c - x0 + 1] = a[r, c]
+        full = filled_array(crop)[1 : 1 + z1 - z0, 1 : 1 + x1 - x0]
+        gone = np.isnan(crop)[1 : 1 + z1 - z0, 1 : 1 + x1 - x0]
+        assert out[i]["cut"] == pytest.approx(np.maximum(full - 10, 0).sum(), abs=1e-5) and out[i]["fill"] == pytest.approx(np.maximum(10 - full, 0).sum(), abs=1e-5)
+        assert out[i]["unmeasured"] == pytest.approx(gone.mean(), abs=1e-5) and out[i]["filled"] == 0
+
+
+def test_roughness_equals_least_squares(spark):
+    rng = np.random.default_rng(4)
+    a = np.where(rng.random((12, 12)) < 0.85, rng.uniform(0, 1, (12, 12)), np.nan)
+
+    def brute(r, c):
+        cells = [(i, j, a[r + i, c + j]) for i in (-1, 0, 1) for j in (-1, 0, 1) if 0 <= r + i < 12 and 0 <= c + j < 12 and not np.isnan(a[r + i, c + j])]
+        if len(cells) < 6:
+            return np.nan
+        for turn in range(3):
+            m, v = np.array([(1.0, i, j) for i, j, _ in cells]), np.array([x for _, _, x in cells])
+            res = v - m @ np.linalg.lstsq(m, v, rcond=None)[0]
+            if turn == 2 or len(cells) <= 6 or res.min() >= -0.15:
+                return np.sqrt((res * res).mean())
+            del cells[int(res.argmin())]
+
+    got = dense(raster.plane_roughness(grid_df(spark, a)).filter("value is not null"), a.shape)
+    want = np.array([[np.nan if np.isnan(a[r, c]) else brute(r, c) for c in range(12)] for r in range(12)])
+    assert np.allclose(got, want, equal_nan=True)
 
 
 def test_surface_growth_stops_at_edges(spark):
@@ -154,8 +240,25 @@ def test_surface_growth_stops_at_edges(spark):
     seeds = spark.createDataFrame([(1, 8, 8)], "seed int, row int, col int")
     cells = measure.select_surfaces(grid_df(spark, a), seeds, 1.0, 30, 30)
     assert cells.count() == 100
-    d = measure.describe_surfaces(cells, grid_df(spark, a), 1.0).first()
-    assert d["plan_area"] == 100 and d["slope"] == pytest.approx(np.degrees(np.arctan(0.05)), abs=0.05)
+    d = measure.describe_surfaces(cells, grid_df(spark, a), 1.0, 30).first()
+    assert d["plan_area"] == 100 and d["slope"] == pytest.approx(np.degrees(np.arctan(0.05)), abs=0.05) and d["surface_area"] == pytest.approx(100 * np.sqrt(1 + 0.05**2), abs=1e-3)
+    assert 9 <= d["center_x"] <= 11 and measure.surface_outline(cells).count() == 40
+    # A small window is widened until it holds the whole surface.
+    whole = {tuple(r) for r in cells.collect()}
+    ground = spark.createDataFrame([(1, 8, 8), (2, 1, 1)], "seed int, row int, col int")
+    small = measure.select_surfaces(grid_df(spark, a), ground, 1.0, 30, 30, measure.SurfaceOptions(window=4))
+    assert {tuple(r) for r in small.filter("seed = 1").collect()} == whole and small.filter("seed = 2").count() == 800
+
+
+def test_surface_growth_on_slopes():
+    """A steep plane with a little noise is one surface; a seed on a step of its own starts level; the limit of cells holds."""
+    rng = np.random.default_rng(7)
+    r, c = np.mgrid[:20, :20]
+    a = 3 + 0.7 * r + 0.2 * c + rng.uniform(-0.02, 0.02, (20, 20))
+    assert len(measure.grow_surface(a, 10, 10, 1.0)) == 400
+    a[8:11, 8:11] = 60.0
+    assert measure.grow_surface(a, 9, 9, 1.0) == {(i, j) for i in range(8, 11) for j in range(8, 11)}
+    assert len(measure.grow_surface(np.zeros((9, 9)), 4, 4, 1.0, measure.SurfaceOptions(max_cells=10))) >= 11
 
 
 def test_triangulate():

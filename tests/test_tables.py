@@ -92,14 +92,29 @@ def strips(spark, offset=0.05):
 def test_two_strips(spark):
     p = strips(spark)
     f = Frame.of(p)
-    d = quality.density(p, f).first()
-    assert d["median"] == 16.0
-    pair = quality.strip_pairs(p, f).first()
-    assert (pair["a"], pair["b"]) == (1, 2) and pair["median"] == pytest.approx(0.05, abs=1e-6)
-    from pointmill.operators import components
-
-    gaps = components.gap_components(quality.footprint_cells(p, f), f.cols).collect()
-    assert len(gaps) == 1 and 9 <= gaps[0]["cells"] <= 16
+    r = quality.quality_report(p, f)
+    assert r.density.first()["median"] == 16.0 and r.level == "QL1"
+    pair = r.pairs.first()
+    assert (pair["a"], pair["b"]) == (1, 2) and pair["median"] == pytest.approx(0.05, abs=1e-6) and r.overlap.first()["overlap_share"] > 0.25
+    c = r.coverage.first()
+    assert c["gap_regions"] == 1 == c["voids"] and 9 <= c["largest_gap_area"] <= 16 and c["scattered_cells"] == 0 and c["void_threshold"] == pytest.approx(1, abs=0.4)
+    verdicts = {x["check"]: x["verdict"] for x in r.checks.collect()}
+    assert verdicts == {"density": "pass", "voids": "review", "precision": "pass", "strips": "pass", "accuracy": "skipped", "noise": "pass"}
+    thin = quality.density(r.foot, f, (1000, 2000)).first()
+    assert (thin["median"], thin["full_median"]) == (16.0, 32.0)
+    bare = quality.quality_report(p.select("pid", "x", "y", "z"), f)
+    assert {x["check"]: x["verdict"] for x in bare.checks.collect()}["strips"] == "skipped"
+    assert {x["check"]: x["verdict"] for x in quality.quality_report(strips(spark, 0.12), f).checks.collect()}["strips"] == "fail"
+
+
+def test_precision_of_a_noisy_plane(spark):
+    """A tilted plane with 2 cm of uniform noise either side deviates by about 1.2 cm."""
+    import random
+
+    rng = random.Random(3)
+    pts = [(i, x * 0.2 + 0.1, 5 + 0.01 * (x * 0.2) + (rng.random() - 0.5) * 0.04, z * 0.2 + 0.1) for i, (x, z) in enumerate((x, z) for x in range(200) for z in range(200))]
+    p = spark.createDataFrame(pts, "pid long, x double, y double, z double")
+    assert 0.009 < quality.quality_report(p, Frame.of(p)).precision.first()["hard"] < 0.013
 
 
 def test_checkpoints(spark):
