@@ -124,8 +124,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 WIDTH, SIMILARITY = 5, 0.8
 #: Ids of texts to compare are broadcast only up to so many; beyond, both sides are shuffled.
 BROADCAST_ROWS = 300_000
-#: Shingles in more prefixes than HOT, the commonest HOT_KEYS of them, are ordered last. Any choice gives the same pairs.
-HOT, HOT_KEYS = 50, 100_000
+#: Shingles that at least SEEN of a SAMPLE-th of the different texts hold, the commonest HOT_KEYS of them, are ordered last, rarest first. Any order gives the same pairs.
+SAMPLE, SEEN, HOT_KEYS = 16, 3, 400_000
 #: Prefix buckets of more than LEAD texts are first linked to their least text; buckets are paired in blocks of about BLOCK texts.
 LEAD, BLOCK = 64, 500
 
@@ -153,15 +153,17 @@ def likeness(a: bytes, b: bytes, width: int = WIDTH) -> float:
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
-def _in_sorted(x: np.ndarray, of: np.ndarray) -> np.ndarray:
-    return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
+def _ordered(s: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A set's shingles by hash, those in ``hot`` (ascending) after all others, by their rank."""
+    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+    late = hot[at] == s
+    return np.concatenate([s[~late], s[late][np.argsort(rank[at[late]])]])
 
 
-def _prefixes(text: pa.Array, similarity: float, hot: np.ndarray | None) -> pa.Array:
-    """For each text two hashes of its shingle set, the set's size n, and its first n - ceil(similarity * n) + 1 shingles.
+def _prefixes(text: pa.Array, similarity: float, hot: np.ndarray, rank: np.ndarray) -> pa.Array:
+    """For each text two hashes of its shingle set, the set's size n, and its first n - ceil(similarity * n) + 1 shingles in the order of :func:`_ordered`.
 
-    Shingles are ordered by hash, those in ``hot`` after all others. Two sets of
-    that similarity share a shingle of their prefixes in any one order.
+    Two sets of that similarity share a shingle of their prefixes in any one order.
     """
     import xxhash
 
@@ -172,10 +174,7 @@ def _prefixes(text: pa.Array, similarity: float, hot: np.ndarray | None) -> pa.A
         a.append(_signed(xxhash.xxh64_intdigest(raw, 1))), b.append(_signed(xxhash.xxh64_intdigest(raw, 2))), n.append(len(s))
         if len(s):
             p = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
-            if hot is not None:
-                late = _in_sorted(s, hot)
-                s = np.concatenate([s[~late], s[late]])
-            parts.append(s[: min(p, len(s))])
+            parts.append((_ordered(s, hot, rank) if len(hot) else s)[: min(p, len(s))])
             at.append(at[-1] + len(parts[-1]))
         else:
             at.append(at[-1])
@@ -183,6 +182,19 @@ def _prefixes(text: pa.Array, similarity: float, hot: np.ndarray | None) -> pa.A
     return pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys))], ["h1", "h2", "n", "w"])
 
 
+def _common_shingles(docs: DataFrame, raw: Column) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many different texts hold, ascending, and their rank from rare to common; a bounded number."""
+    texts = docs.select(raw.alias("t")).withColumn("h", F.xxhash64("t")).filter(F.pmod("h", F.lit(SAMPLE)) == 0).groupBy("h").agg(F.first("t").alias("t"))
+    sets = F.arrow_udf(lambda x: pa.array([shingle_set(t.as_py()).view(np.int64) for t in x], pa.list_(pa.int64())), "array<bigint>")
+    often = texts.select(F.explode(sets("t")).alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= SEEN)
+    got = often.orderBy(F.desc("c"), "key").limit(HOT_KEYS).toArrow()
+    keys, c = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    rank = np.empty(len(keys), np.int64)
+    rank[np.lexsort((keys, c))] = np.arange(len(keys))
+    order = np.argsort(keys)
+    return keys[order], rank[order]
+
+
 _PREFIX = "struct<h1:bigint,h2:bigint,n:int,w:array<bigint>>"
 
 
@@ -237,22 +249,14 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text counts as empty; texts without a word are one group.
     """
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    prefix = lambda t, hot=None: F.arrow_udf(lambda x: _prefixes(x, similarity, hot), _PREFIX)(t)
+    hot, rank = _common_shingles(docs.filter(F.col(id_col).isNotNull()), raw)
+    prefix = F.arrow_udf(lambda x: _prefixes(x, similarity, hot, rank), _PREFIX)
     own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias(f"{P}id"), prefix(raw).alias("s")).select(f"{P}id", "s.*")
     own = settled(own)
-    first = settled(own.groupBy("h1", "h2", "n").agg(F.min(f"{P}id").alias("rep"), F.first("w").alias("w")))
+    first = settled(own.groupBy("h1", "h2", "n").agg(F.min(f"{P}id").alias("rep"), F.first("w").alias("w"), F.count("*").alias("rows")))
     own = own.drop("w")
     node = first.filter("n > 0").select("rep", "n", "w")
-    often = node.select(F.explode("w").alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > HOT).orderBy(F.desc("c"), "key").limit(HOT_KEYS)
-    hot = np.sort(often.select("key").toArrow().column(0).to_numpy().view(np.uint64))
-    if len(hot):
-        # Prefixes without a hot shingle stay as they are; the others are taken again.
-        changed = F.arrow_udf(lambda w: pa.array([bool(_in_sorted(x.values.to_numpy().view(np.uint64), hot).any()) for x in w], pa.bool_()), "boolean")
-        node = settled(node.withColumn("changed", changed("w")))
-        anew = _texts(docs, settled(node.filter("changed").select(F.col("rep").alias("i")).distinct()), id_col, raw)
-        anew = anew.select(F.col("i").alias("rep"), prefix("t", hot).alias("s")).select("rep", "s.n", "s.w")
-        node = node.filter("not changed").select("rep", "n", "w").union(anew.filter("n > 0"))
-    rows = settled(node).select("rep", "n", F.size("w").alias("p"), F.explode("w").alias("key"))
+    rows = node.select("rep", "n", F.size("w").alias("p"), F.explode("w").alias("key"))
     keys = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lead")).filter("c > 1")
     met = settled(rows.join(keys, "key")).withColumn("comp", F.col("rep"))
     links = None
@@ -266,8 +270,10 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         met = met.join(keys, "key")
     rest = _alike(docs, settled(_bucket_pairs(met, similarity)), id_col, raw, similarity)
     comp = connected_components(rest if links is None else links.union(rest), "a", "b")
-    rep = first.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("m"), F.coalesce("root", "rep").alias("component_id"))
-    return own.join(rep, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") == F.col("m"))).select(F.col(f"{P}id").alias(id_col), "component_id")
+    # Rows of one shingle set share a key of three columns, held as one.
+    key = F.struct("h1", "h2", "n")
+    rep = settled(first.join(comp, F.col("rep") == F.col("node"), "left").select(key.alias("set"), F.coalesce("root", "rep").alias("component_id"), "rows"))
+    return spread_join(own.select(f"{P}id", key.alias("set")), rep, "set", "rows").select(F.col(f"{P}id").alias(id_col), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

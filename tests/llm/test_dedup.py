@@ -306,7 +306,7 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     want = brute_copies(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {x["doc_id"]: x["component_id"] for x in simhash.near_copy_components(docs).collect()} == want
-    for name, value in (("HOT", 4), ("LEAD", 2), ("BLOCK", 3), ("BROADCAST_ROWS", 0)):
+    for name, value in (("SAMPLE", 1), ("SEEN", 2), ("LEAD", 2), ("BLOCK", 3), ("BROADCAST_ROWS", 0)):
         monkeypatch.setattr(simhash, name, value)
     assert {x["doc_id"]: x["component_id"] for x in simhash.near_copy_components(docs).collect()} == want
     assert len(set(want.values())) not in (40, len(rows))
