@@ -5,8 +5,9 @@ distinct word shingles stand in it. Items are partitioned by the number of
 their shingles; an item's MinHash signature is the floor((1 - THRESHOLD) * s) + 1
 smallest of its s shingle hashes, with s of its partition, so a document that
 contains it must hold one of them: long documents need no sketch of their own,
-and no containing document is missed. Each document's shingle hashes probe the
-signatures; what meets is verified on the exact shingles.
+and no containing document is missed. Each document's shingle hashes probe
+the signatures of the partitions whose items are small enough for the document,
+those of a large benchmark after a sieve; what meets is verified on the exact shingles.
 
 DataFrame functions only.
 """
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import P, settled
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Signatures and items are broadcast only up to so many rows; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Signatures, items and ids are broadcast only up to so many rows and bytes; beyond, both sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Leading bits of signatures by which documents' hashes are sifted where signatures aren't broadcast: a map of 128 KB.
+SIEVE_BITS = 20
 NO_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -63,47 +66,90 @@ def _chain(words: Column, most: int) -> Column:
     return out
 
 
-def contained_items(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD
-) -> DataFrame:
-    """Rows ``<id_col>, item_id, containment`` for every item contained in a document.
+def _bytes(df: DataFrame, *columns: str) -> int:
+    """Rows of df in bytes, by the lengths of what grows in it."""
+    return df.agg(F.coalesce(F.sum(sum((F.length(F.col(c).cast("string")) for c in columns), F.lit(40))), F.lit(0))).first()[0]
+
 
-    Null texts and null ids have no rows; repeated documents of one id count as
-    one text each, with the highest containment. An empty table on either side
-    gives an empty result.
+def _sifted(seen: DataFrame, signatures: DataFrame) -> DataFrame:
+    """seen (a text's hashes hs) with only those hashes whose leading bits some signature (sig) has.
+
+    The leading SIEVE_BITS bits of all signatures are one row of fixed size, so
+    hashes are sifted where they are made, before any of them is shuffled.
     """
+    bit = lambda v: F.shiftrightunsigned(v, 64 - SIEVE_BITS)
+    word, low = (lambda v: F.shiftright(bit(v), 6).cast("int")), (lambda v: bit(v).bitwiseAND(F.lit(63)).cast("int"))
+    words = signatures.groupBy(word(F.col("sig")).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), low(F.col("sig")))).alias("bits"))
+    # All words of the map in order, those without a bit too.
+    whole = seen.sparkSession.range(1 << (SIEVE_BITS - 6)).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    bitmap = whole.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))), lambda x: x["bits"]).alias("map"))
+    held = lambda v: F.call_function("shiftright", F.get("map", word(v)), low(v)).bitwiseAND(F.lit(1)) == 1
+    return seen.crossJoin(F.broadcast(bitmap)).select("d", "h", "m", F.filter("hs", held).alias("hs"))  # one row of fixed size
+
+
+def _contained(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, width: int, threshold: float) -> DataFrame | None:
+    """``d, h, item, containment`` of the items that a text (its id d, which may be null, and a hash h of it) contains; None without items."""
     index = settled(index_items(items, item_id, item_text, width, threshold))
-    probes = index.select("width", "item", F.explode("signature").alias("sig")).distinct()
-    n = probes.count()
-    small = n <= BROADCAST_ROWS
-    near = F.broadcast if small else (lambda x: x)
-    texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).filter("d is not null and t is not null")
+    texts = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t"))
     widths = sorted(r[0] for r in index.select("width").distinct().collect())  # at most ``width`` numbers
     met = None
     for w in widths:
-        own = probes.filter(F.col("width") == w).select("sig", "item")
-        seen = texts.select("d", F.explode(_hashes(F.col("t"), w)).alias("h"))
-        own = seen.join(near(own), F.col("h") == F.col("sig")).select("d", "item")
+        # A text with fewer shingles than the least item of a size partition must hold contains none of it.
+        own = index.filter(F.col("width") == w).groupBy("partition").agg(F.min("size").alias("least"))
+        own = index.filter(F.col("width") == w).join(F.broadcast(own), "partition").select(F.explode("signature").alias("sig"), "item", F.ceil(F.col("least") * F.lit(threshold) - 1e-9).alias("need"))
+        own = settled(own.distinct())
+        seen = texts.select("d", "h", _hashes(F.col("t"), w).alias("hs")).select("d", "h", F.size("hs").alias("m"), "hs")
+        if own.count() <= BROADCAST_ROWS and _bytes(own, "item") <= BROADCAST_BYTES:
+            own = F.broadcast(own)
+        else:
+            seen = _sifted(seen, own)
+        seen = seen.select("d", "h", "m", F.explode("hs").alias("x"))
+        own = seen.join(own, (F.col("x") == F.col("sig")) & (F.col("m") >= F.col("need"))).select("d", "h", "item")
         met = own if met is None else met.union(own)
     if met is None:
-        return docs.select(F.col(id_col)).limit(0).withColumn("item_id", F.lit(None).cast(items.schema[item_id].dataType)).withColumn("containment", F.lit(0.0))
-    met = settled(met.distinct())
-    few = met.count() <= BROADCAST_ROWS
-    fine = met.join(near(index.select(F.col("item").alias("i"), "width", "shingles", "size")), F.col("item") == F.col("i")).drop("i")
-    whole = texts.join((F.broadcast if few else (lambda x: x))(fine.withColumnRenamed("d", "e")), F.col("d") == F.col("e"))
+        return None
+    # Only ids travel: each side's shingles are made or looked up where its row is.
+    per = settled(met.groupBy("d", "h").agg(F.collect_set("item").alias("items")))
+    few = per.count() <= BROADCAST_ROWS and _bytes(per, "d", "items") <= BROADCAST_BYTES
+    per = per.select(F.col("d").alias("e"), F.col("h").alias("g"), "items")
+    whole = texts.join(F.broadcast(per) if few else per, F.col("d").eqNullSafe(F.col("e")) & (F.col("h") == F.col("g")))
+    whole = whole.select("d", "h", "t", F.explode("items").alias("i"))
+    known = index.select("item", "width", "shingles", "size").withColumn("joined", F.array_join("shingles", " "))
+    known = F.broadcast(known.drop("joined")) if _bytes(known, "joined") <= BROADCAST_BYTES else known.drop("joined")
+    whole = whole.join(known, F.col("item") == F.col("i"))
     held = F.size(F.array_intersect("shingles", _shingles(F.col("t"), F.col("width")))) / F.col("size")
-    out = whole.select(F.col("d").alias(id_col), F.col("item").alias("item_id"), held.alias("containment"))
-    return out.filter(F.col("containment") >= threshold - 1e-12).groupBy(id_col, "item_id").agg(F.max("containment").alias("containment"))
+    out = whole.select("d", "h", "item", held.alias("containment")).filter(F.col("containment") >= threshold - 1e-12)
+    return out.groupBy("d", "h", "item").agg(F.max("containment").alias("containment"))
+
+
+def contained_items(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD
+) -> DataFrame:
+    """Rows ``<id_col>, item_id, containment`` for every item contained in a document.
+
+    Null texts have no rows; documents without an id have rows with a null id;
+    repeated documents of one id count as one text each, with the highest
+    containment. An empty table on either side gives an empty result.
+    """
+    held = _contained(docs, items, id_col, text_col, item_id, item_text, width, threshold)
+    if held is None:
+        return docs.select(F.col(id_col)).limit(0).withColumn("item_id", F.lit(None).cast(items.schema[item_id].dataType)).withColumn("containment", F.lit(0.0))
+    return held.groupBy(F.col("d").alias(id_col), F.col("item").alias("item_id")).agg(F.max("containment").alias("containment"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """One row for every row of docs: ``<id_col>, n_items, item_ids`` (ascending, comma-joined), ``max_containment, contaminated``.
 
-    Documents without a contained item have 0, the empty string, 0.0 and false.
+    Each row is judged by its own text, rows without an id too. Documents
+    without a contained item have 0, the empty string, 0.0 and false.
     """
-    held = contained_items(docs, items, id_col, **how)
-    per = held.groupBy(F.col(id_col).alias(f"{P}id")).agg(F.sort_array(F.collect_set("item_id")).alias("x"), F.max("containment").alias("m"))
-    out = docs.select(id_col).join(per, F.col(id_col) == F.col(f"{P}id"), "left")
+    held = _contained(docs, items, id_col, text_col, item_id, item_text, width, threshold)
+    own = docs.select(id_col, F.xxhash64(text_col).alias(f"{P}h"))
+    if held is None:
+        out = own.withColumns({"x": F.array().cast("array<string>"), "m": F.lit(None).cast("double")}).withColumn("x", F.when(F.col("m").isNotNull(), F.col("x")))
+    else:
+        per = held.groupBy(F.col("d").alias(f"{P}id"), F.col("h").alias(f"{P}g")).agg(F.sort_array(F.collect_set("item")).alias("x"), F.max("containment").alias("m"))
+        out = own.join(per, F.col(id_col).eqNullSafe(F.col(f"{P}id")) & (F.col(f"{P}h") == F.col(f"{P}g")), "left")
     return out.select(
         id_col,
         F.when(F.col("x").isNull(), 0).otherwise(F.size("x")).cast("bigint").alias("n_items"),
@@ -113,9 +159,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **h
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without those that contain a test item."""
-    held = contained_items(docs, items, id_col, **how).select(F.col(id_col).alias(f"{P}id")).distinct()
-    return docs.join(held, F.col(id_col) == F.col(f"{P}id"), "left_anti")
-
-
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows whose text contains a test item; rows without an id are judged too, null texts and repeated clean rows stay."""
+    held = _contained(docs, items, id_col, text_col, item_id, item_text, width, threshold)
+    if held is None:
+        return docs
+    held = held.select(F.col("d").alias(f"{P}id"), F.col("h").alias(f"{P}h")).distinct()
+    return docs.join(held, F.col(id_col).eqNullSafe(F.col(f"{P}id")) & (F.xxhash64(text_col) == F.col(f"{P}h")), "left_anti")

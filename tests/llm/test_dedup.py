@@ -155,10 +155,12 @@ def test_decontamination_edges(spark, odd_docs, no_docs, monkeypatch):
     docs = [(10, " ".join(text)), (11, "The LAZY, dog!"), (12, None), (13, ""), (None, " ".join(text)), (10, " ".join(text))]
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contained_items(d, i).collect()}
-    assert got == brute_contained(docs, items) == {(10, 1), (10, 2), (11, 3)}
+    assert got == brute_contained(docs, items) | {(None, 1), (None, 2)} == {(10, 1), (10, 2), (11, 3), (None, 1), (None, 2)}
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)  # the way for large benchmarks
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contained_items(d, i).collect()} == got
-    assert sorted(r["doc_id"] or 0 for r in decontam.drop_contaminated(d, i).collect()) == [0, 12, 13]
+    # Rows without an id are judged as others.
+    assert sorted(r["doc_id"] or 0 for r in decontam.drop_contaminated(d, i).collect()) == [12, 13]
+    assert sorted((r["doc_id"] or 0, r["item_ids"]) for r in decontam.contamination(d, i).collect()) == [(0, "1,2"), (10, "1,2"), (10, "1,2"), (11, "3"), (12, ""), (13, "")]
     full = decontam.contamination(odd_docs, i)
     assert full.count() == 12 and full.filter("contaminated").count() >= 4
     assert decontam.contamination(no_docs, i).count() == 0
