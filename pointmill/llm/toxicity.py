@@ -12,6 +12,7 @@ a quotation, among other hits it counts as abuse.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -84,12 +85,14 @@ class Lexicon:
         self.heads: dict[str, tuple[int, int]] = {}
         self.tails: dict[str, tuple[int, int]] = {}
         self.middles: list[tuple[str, int, int]] = []
-        self.most_edits = 0
+        #: By the length of a word, the most edits allowed for a term in reach of it.
+        self.most_edits: dict[int, int] = {}
         for term in self.words:
             k = allowed_edits(len(term))
             if not k:
                 continue
-            self.most_edits = max(self.most_edits, k)
+            for n in range(len(term) - k, len(term) + k + 1):
+                self.most_edits[n] = max(self.most_edits.get(n, 0), k)
             cuts = [len(term) * i // (k + 1) for i in range(k + 2)]
             parts = [term[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
             lo, hi = len(term) - k, len(term) + k
@@ -113,9 +116,9 @@ class Lexicon:
 
     def misspelled(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its allowed edits, by walking trie and automaton together."""
-        if not self._near(word):
+        if len(word) not in self.most_edits or not self._near(word):
             return None
-        automaton = LevenshteinAutomaton(word, min(self.most_edits, max(1, len(word) // 4)))
+        automaton = LevenshteinAutomaton(word, self.most_edits[len(word)])
         best: tuple[int, str] | None = None
         stack = [(self.trie, automaton.start)]
         while stack:
@@ -194,7 +197,7 @@ class Model:
         for m, i in zip(spans, places, strict=True):
             term, p = self.hit[m[0]]
             window = words[max(0, i - WINDOW) : i]
-            left = sum(1 for q in marks if q < m.start())
+            left = bisect.bisect_left(marks, m.start())
             quoted = bool(left % 2 and left < len(marks)) or any(w in REPORTING for w in window)
             crowd = any(j in near for j in range(max(0, i - WINDOW), i + WINDOW + 1) if j != i)
             if quoted:

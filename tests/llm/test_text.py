@@ -62,7 +62,7 @@ def edit_distance(a, b):
 
 def test_automaton_equals_edit_distance():
     rng = random.Random(8)
-    terms = ["moron", "worthless", "disgusting", "scum", "clown"]
+    terms = ["moron", "worthless", "disgusting", "scum", "clown", "abcdefghi"]
     lex = toxicity.Lexicon(dict.fromkeys(terms, 0.9), {})
     for _ in range(3000):
         w = list(rng.choice(terms))
@@ -72,8 +72,9 @@ def test_automaton_equals_edit_distance():
         w = "".join(w)
         if w in terms:
             continue
-        near = min(((edit_distance(w, t), t) for t in terms if edit_distance(w, t) <= min(toxicity.allowed_edits(len(t)), max(1, len(w) // 4))), default=None)
+        near = min(((edit_distance(w, t), t) for t in terms if edit_distance(w, t) <= toxicity.allowed_edits(len(t))), default=None)
         assert lex.misspelled(w) == (near and (near[1], near[0])), w
+    assert lex.misspelled("abcdefg") == ("abcdefghi", 2)
 
 
 def test_toxicity_model(spark):
