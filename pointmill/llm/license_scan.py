@@ -10,6 +10,7 @@ there too. Exact base phrases are found in every text besides.
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections import Counter
 
@@ -71,16 +72,8 @@ class Index:
     def base_places(self, words: list[bytes], here: set[bytes]) -> list[tuple[int, str]]:
         out = []
         for _, phrase, label in self.base:
-            if not here.issuperset(phrase):
-                continue
-            at, n = -1, len(phrase)
-            while True:
-                try:
-                    at = words.index(phrase[0], at + 1)
-                except ValueError:
-                    break
-                if tuple(words[at : at + n]) == phrase:
-                    out.append((at, label))
+            if here.issuperset(phrase):
+                out += [(at, label) for at in _places(words, list(phrase))]
         return sorted(out)
 
     def match(self, words: list[bytes], here: set[bytes]) -> list[tuple[str, int, float]]:
@@ -94,20 +87,25 @@ class Index:
         for k, (_, key, words_k) in enumerate(self.templates):
             if here.issuperset(key):
                 sought.update(sorted((w for w in set(words_k) if w in present), key=lambda w: (-self.idf[w], w))[:3])
-        at: dict[tuple[int, int], int] = Counter()
+        at: set[tuple[int, int]] = set()
         for i, w in enumerate(words):
             if w in sought:
                 for k, p in self.postings[w]:
-                    at[k, i - p] += 1
+                    at.add((k, i - p))
         best: dict[str, tuple[float, int]] = {}
-        for (k, start), _ in sorted(at.items()):
+        keys: dict[int, list[int]] = {}
+        # A start counts where the postings and a place of the key phrase agree; only then words are compared.
+        for k, start in sorted(at):
             label, key, template = self.templates[k]
-            if not here.issuperset(key):
+            if k not in keys:
+                keys[k] = _places(words, key) if here.issuperset(key) else []
+            first = bisect.bisect_left(keys[k], max(0, start - 2))
+            if first == len(keys[k]) or keys[k][first] > start + len(template) + 2 - len(key):
                 continue
             lo = max(0, start)
             span = words[lo : start + len(template)]
             agree = sum(1 for a, b in zip(span, template[lo - start :], strict=False) if a == b) / len(template)
-            if agree < SHARE or not _holds(words[max(0, start - 2) : start + len(template) + 2], key):
+            if agree < SHARE:
                 continue
             if label not in best or (agree, -start) > (best[label][0], -best[label][1]):
                 best[label] = (agree, lo)
@@ -127,9 +125,16 @@ class Index:
         }
 
 
-def _holds(words: list[bytes], phrase: list[bytes]) -> bool:
-    n = len(phrase)
-    return any(words[i : i + n] == phrase for i in range(len(words) - n + 1))
+def _places(words: list[bytes], phrase: list[bytes]) -> list[int]:
+    """Where a phrase's words stand one after another."""
+    out, at, n = [], -1, len(phrase)
+    while True:
+        try:
+            at = words.index(phrase[0], at + 1)
+        except ValueError:
+            return out
+        if words[at : at + n] == phrase:
+            out.append(at)
 
 
 def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[dict[bytes, int], int]:
