@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     e = settled(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if not e.limit(1).count():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,17 +42,91 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v"))).distinct()
 
 
-def cell_roots(mask: DataFrame, cols: int, connectivity: int = 8) -> DataFrame:
-    """mask's cells (row, col) with ``root``: the number row * cols + col of the first cell of their component."""
+def cell_roots(mask: DataFrame, cols: int, connectivity: int = 8, tile: int = 1_024) -> DataFrame:
+    """mask's cells (row, col) with ``root``: the number row * cols + col of the first cell of their component.
+
+    Tiles are labelled apart, each in one task; only what touches a neighbour
+    tile takes part in the components of the whole mask.
+    """
     if connectivity not in (4, 8):
         raise ValueError("connectivity is 4 or 8")
-    cells = mask.select("row", "col", (F.col("row").cast("bigint") * cols + F.col("col")).alias("id"))
-    half = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
-    beside = cells.withColumn("o", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in half))))
-    beside = beside.select(F.col("id").alias("a"), (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
-    edges = beside.join(cells.select("row", "col", F.col("id").alias("b")), ["row", "col"]).select("a", "b")
-    comp = connected_components(edges)
-    return cells.join(comp, cells.id == comp.node, "left").select("row", "col", F.coalesce("root", "id").alias("root"))
+    reach = 1 if connectivity == 8 else 0
+    t = lambda c: F.floor(F.col(c) / tile).cast("int")
+    placed = mask.select("row", "col", t("row").alias("tr"), t("col").alias("tc"))
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col, first = tile_roots(pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64), reach)
+        return pd.DataFrame({"row": row.astype("int32"), "col": col.astype("int32"), "root": row[first] * cols + col[first]})
+
+    own = settled(placed.groupBy("tr", "tc").applyInPandas(label, "row int, col int, root bigint"))
+    edge = own.filter(F.pmod("row", F.lit(tile)).isin(0, tile - 1) | F.pmod("col", F.lit(tile)).isin(0, tile - 1))
+    half = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if reach else [])
+    beside = edge.withColumn("o", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in half))))
+    beside = beside.select(F.col("root").alias("a"), (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
+    edges = settled(beside.join(edge.select("row", "col", F.col("root").alias("b")), ["row", "col"]).filter("a <> b").select("a", "b").distinct())
+    if not edges.limit(1).count():
+        return own
+    comp = connected_components(edges).withColumnRenamed("root", "whole")
+    return own.join(comp, own.root == comp.node, "left").select("row", "col", F.coalesce("whole", "root").alias("root"))
+
+
+def placed_edge_roots(edges: DataFrame, tile: int = 1_024) -> DataFrame:
+    """``a, b, root`` of the edges (a, b, and the cell row, col in which each lies); root is the smallest node of their component.
+
+    Like :func:`cell_roots`: tiles apart, then only the nodes that two tiles share.
+    """
+    t = lambda c: F.floor(F.col(c) / tile).cast("int")
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while parent.setdefault(k, k) != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        pairs = list(zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True))
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+        return pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "root": [find(a) for a, _ in pairs]})
+
+    own = settled(edges.select("a", "b", t("row").alias("tr"), t("col").alias("tc")).groupBy("tr", "tc").applyInPandas(join, "a bigint, b bigint, root bigint"))
+    ends = own.select(F.col("a").alias("node"), "root").union(own.select("b", "root"))
+    shared = ends.groupBy("node").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("x", "y").distinct()
+    comp = connected_components(shared, "x", "y").withColumnRenamed("root", "whole")
+    return own.join(comp, own.root == comp.node, "left").select("a", "b", F.coalesce("whole", "root").alias("root"))
+
+
+def tile_roots(row: np.ndarray, col: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells in row order, and for each the position of the first cell of its component; runs of cells in a row are joined with those of the row before."""
+    order = np.lexsort((col, row))
+    row, col = row[order], col[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)
+    start = np.flatnonzero(fresh)
+    r, lo = row[start].tolist(), col[start].tolist()
+    hi = col[np.append(start[1:], len(row)) - 1].tolist()
+    parent = list(range(len(start)))
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    above = 0
+    for k in range(len(start)):
+        while above < k and (r[above] < r[k] - 1 or (r[above] == r[k] - 1 and hi[above] < lo[k] - reach)):
+            above += 1
+        u = above
+        while u < k and r[u] == r[k] - 1 and lo[u] <= hi[k] + reach:
+            a, b = find(u), find(k)
+            parent[max(a, b)] = min(a, b)
+            u += 1
+    root = start[np.array([find(k) for k in range(len(start))], np.int64)] if len(start) else start
+    return row, col, root[np.cumsum(fresh) - 1]
 
 
 def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:

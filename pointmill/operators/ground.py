@@ -10,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,31 +40,17 @@ class GroundOptions:
 
 def object_cells(surface: DataFrame, frame: Frame, options: GroundOptions) -> DataFrame:
     """row, col of the cells of a dense surface that an opening lowers by more than the slope allows at its radius."""
-    margin = 2 * sum(options.radii)
-    t, rows, cols = options.tile, frame.rows, frame.cols
-    # A cell goes to its own tile and to those within whose margin it lies.
-    span = lambda c: F.sequence(F.floor(F.greatest(F.col(c) - margin, F.lit(0)) / t).cast("int"), F.floor((F.col(c) + margin) / t).cast("int"))
-    last_r, last_c = (rows - 1) // t, (cols - 1) // t
-    placed = surface.withColumn("tr", F.explode(span("row"))).withColumn("tc", F.explode(span("col"))).filter((F.col("tr") <= last_r) & (F.col("tc") <= last_c))
     slope, cell, radii = options.slope, frame.cell, list(options.radii)
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = pdf["row"].min(), pdf["col"].min()
-        h, w = pdf["row"].max() - r0 + 1, pdf["col"].max() - c0 + 1
-        grid = R.dense_array(pdf.assign(row=pdf["row"] - r0, col=pdf["col"] - c0), h, w, (t + 2 * margin + 2) ** 2)
-        hit = np.zeros((h, w), bool)
-        before = grid
+    def mark(grid: np.ndarray, _row: int, _col: int) -> np.ndarray:
+        hit, before = np.zeros(grid.shape, bool), grid
         for r in radii:
             after = R.open_extrapolated(before, r)
             hit |= before - after > slope * r * cell
             before = after
-        tr, tc = pdf["tr"].iloc[0], pdf["tc"].iloc[0]
-        own = np.zeros((h, w), bool)
-        own[max(0, tr * t - r0) : max(0, (tr + 1) * t - r0), max(0, tc * t - c0) : max(0, (tc + 1) * t - c0)] = True
-        rr, cc = np.nonzero(hit & own)
-        return pd.DataFrame({"row": (rr + r0).astype("int32"), "col": (cc + c0).astype("int32")})
+        return np.where(hit, 1.0, np.nan)
 
-    return placed.select("tr", "tc", "row", "col", "value").groupBy("tr", "tc").applyInPandas(mark, "row int, col int")
+    return R.on_tiles(surface, frame.rows, frame.cols, 2 * sum(radii), mark, options.tile).select("row", "col")
 
 
 def detect_ground(points: DataFrame, options: GroundOptions = GroundOptions()) -> DataFrame:
@@ -83,6 +68,7 @@ def detect_ground(points: DataFrame, options: GroundOptions = GroundOptions()) -
     bare = lowest.join(objects, ["row", "col"], "left_anti")
     surface = settled(R.push_pull(bare, frame.rows, frame.cols)) if bare.limit(1).count() else lowest
     slopes = R.slope(surface, frame.cell).withColumnRenamed("value", "slope")
+    slopes = F.broadcast(slopes) if frame.rows * frame.cols <= R.BROADCAST_CELLS else slopes
     own = with_cells(points, frame).join(slopes, ["row", "col"], "left")
     own = R.bilinear(own, surface, frame, "surface")
     old = F.coalesce(F.col("classification"), F.lit(0)) if "classification" in points.columns else F.lit(0)

@@ -16,6 +16,10 @@ from .quality import Frame, with_cells
 from .tables import without_noise
 
 MAX_DENSE_CELLS = 4_000_000
+#: Grids of up to so many cells are filled in one task.
+DENSE_CELLS = 1_000_000
+#: Grids of up to so many cells are broadcast to points.
+BROADCAST_CELLS = 250_000
 
 
 def minimum_surface(points: DataFrame, frame: Frame) -> DataFrame:
@@ -33,9 +37,53 @@ def surface_grid(points: DataFrame, min_x: float, min_z: float, cell: float, col
     own = without_noise(points).withColumns({"row": F.floor((F.col("z") - F.lit(min_z)) / F.lit(cell)).cast("int"), "col": F.floor((F.col("x") - F.lit(min_x)) / F.lit(cell)).cast("int")})
     own = own.filter(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1))
     out = own.groupBy("row", "col").agg((F.max if how == "highest" else F.avg)("y").alias("value"))
-    for _ in range(speckle_passes):
-        out = fill_speckles(out, rows, cols)
-    return out
+    return filled_speckles(out, rows, cols, speckle_passes)
+
+
+def on_tiles(grid: DataFrame, rows: int, cols: int, margin: int, f, tile: int = 1_024) -> DataFrame:
+    """A grid worked on in dense tiles, each in one task: f(array, first row, first column) gives an array of the same cells.
+
+    A tile comes with the cells up to ``margin`` around it, as far as f looks, so
+    its own cells get the whole grid's result. NaN is an empty cell.
+    """
+    span = lambda c: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - margin, F.lit(0)) / tile).cast("int"), F.floor((F.col(c) + margin) / tile).cast("int")))
+    placed = grid.select("row", "col", "value", span("row").alias("tr")).withColumn("tc", span("col"))
+    placed = placed.filter((F.col("tr") <= (rows - 1) // tile) & (F.col("tc") <= (cols - 1) // tile))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        tr, tc = int(pdf["tr"].iloc[0]), int(pdf["tc"].iloc[0])
+        r0, c0 = max(0, tr * tile - margin), max(0, tc * tile - margin)
+        h, w = min(rows, (tr + 1) * tile + margin) - r0, min(cols, (tc + 1) * tile + margin) - c0
+        out = f(dense_array(pdf.assign(row=pdf["row"] - r0, col=pdf["col"] - c0), h, w, h * w), r0, c0)
+        top, left = tr * tile - r0, tc * tile - c0
+        out = out[top : top + tile, left : left + tile]
+        r, c = np.nonzero(~np.isnan(out))
+        return pd.DataFrame({"row": (r + tr * tile).astype("int32"), "col": (c + tc * tile).astype("int32"), "value": out[r, c]})
+
+    return placed.groupBy("tr", "tc").applyInPandas(work, "row int, col int, value double")
+
+
+def filled_speckles(grid: DataFrame, rows: int, cols: int, passes: int = 2, least: int = 4) -> DataFrame:
+    """Like so many passes of :func:`fill_speckles`, in tiles."""
+
+    def fill(a: np.ndarray, r0: int, c0: int) -> np.ndarray:
+        for _ in range(passes):
+            known = ~np.isnan(a)
+            p, k = np.pad(np.where(known, a, 0.0), 1), np.pad(known.astype(float), 1)
+            shifts = [(i, j) for i in range(3) for j in range(3) if (i, j) != (1, 1)]
+            total, n = (sum(x[i : i + a.shape[0], j : j + a.shape[1]] for i, j in shifts) for x in (p, k))
+            inner = np.zeros(a.shape, bool)
+            inner[max(0, 1 - r0) : rows - 1 - r0, max(0, 1 - c0) : cols - 1 - c0] = True
+            hole = ~known & inner & (n >= least)
+            a = np.where(hole, total / np.maximum(n, 1), a)
+        return a
+
+    return on_tiles(grid, rows, cols, passes, fill) if passes else grid.select("row", "col", "value")
+
+
+def opened(grid: DataFrame, rows: int, cols: int, radius: int) -> DataFrame:
+    """Square opening of a dense grid whose edges go on with their slope, in tiles."""
+    return on_tiles(grid, rows, cols, 2 * radius + 1, lambda a, _r, _c: open_extrapolated(a, radius))
 
 
 def _offsets(radius: int = 1, centre: bool = False):
@@ -112,6 +160,8 @@ def bilinear(points: DataFrame, grid: DataFrame, frame: Frame, name: str = "surf
     u = clip((F.col("x") - F.lit(frame.min_x)) / F.lit(frame.cell) - 0.5, frame.cols)
     v = clip((F.col("z") - F.lit(frame.min_z)) / F.lit(frame.cell) - 0.5, frame.rows)
     out = points.withColumns({"_u": u, "_v": v}).withColumns({"_c": F.floor("_u").cast("int"), "_r": F.floor("_v").cast("int")})
+    if frame.rows * frame.cols <= BROADCAST_CELLS:
+        wide = F.broadcast(wide)
     out = out.join(wide, (F.col("_r") == F.col("gr")) & (F.col("_c") == F.col("gc")), "left")
     fu, fv = F.col("_u") - F.col("_c"), F.col("_v") - F.col("_r")
     top = F.col("nw") + (F.col("ne") - F.col("nw")) * fu
@@ -122,32 +172,69 @@ def bilinear(points: DataFrame, grid: DataFrame, frame: Frame, name: str = "surf
 def push_pull(grid: DataFrame, rows: int | str, cols: int | str, keys: tuple[str, ...] = ()) -> DataFrame:
     """A dense grid: empty cells filled from coarser and coarser weighted means; measured cells stay.
 
-    Each level halves the grid, so the levels are as many as the logarithm of its
-    longer side; a level is stored, so that no later one computes it again. With
+    Each level halves the grid. Levels of more than DENSE_CELLS are DataFrames,
+    stored once; all coarser ones, and small grids, are filled in one task. With
     ``keys`` many grids are filled at once, rows and cols then name columns. A
     grid without any value has no cells in the result.
     """
-    size = [F.lit(n) if isinstance(n, int) else F.col(n) for n in (rows, cols)]
     if any(isinstance(n, int) and n < 1 for n in (rows, cols)):
         raise ValueError("a grid has at least one cell")
-    level = settled(grid.select(*keys, "row", "col", F.col("value").alias("v"), F.lit(1.0).alias("w"), size[0].cast("int").alias("_r"), size[1].cast("int").alias("_c")))
-    levels = [level]
-    while True:
-        own = levels[-1].groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.col("_r").cast("bigint") * F.col("_c")).alias("all"))
-        if not own.filter("n < all").limit(1).count():
-            break
-        half = lambda c: (F.floor((F.col(c) + 1) / 2)).cast("int")
-        coarse = levels[-1].groupBy(*keys, F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col"))
-        coarse = coarse.agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"), F.sum("w").alias("w"), F.max(half("_r")).alias("_r"), F.max(half("_c")).alias("_c"))
-        levels.append(settled(coarse))
-    value = levels[-1].select(*keys, "row", "col", "v", "_r", "_c")
-    for k in range(len(levels) - 2, -1, -1):
-        value = _pull(levels[k], value, keys, k == 0)
-    return value.select(*keys, "row", "col", F.col("v").alias("value"))
-
-
-def _pull(fine: DataFrame, coarse: DataFrame, keys: tuple[str, ...], last: bool) -> DataFrame:
-    """The dense level under a dense one: own values, else values between the four nearest centres of the coarse level.
+    size = [F.lit(n) if isinstance(n, int) else F.col(n) for n in (rows, cols)]
+    level = grid.select(*keys, "row", "col", F.col("value").cast("double").alias("v"), F.lit(1.0).alias("w"), size[0].cast("int").alias("_r"), size[1].cast("int").alias("_c"))
+    most = rows * cols if isinstance(rows, int) and isinstance(cols, int) else _most(level)
+    return _filled(level, keys, most).select(*keys, "row", "col", F.col("v").alias("value"))
+
+
+def _most(level: DataFrame) -> int:
+    return level.agg(F.max(F.col("_r").cast("bigint") * F.col("_c"))).first()[0] or 0
+
+
+def _filled(level: DataFrame, keys: tuple[str, ...], most: int) -> DataFrame:
+    """keys, row, col, v of a level (v, w, and its size _r, _c) without gaps; most is the size of the largest grid."""
+    if most <= DENSE_CELLS:
+
+        def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+            v, w = (np.zeros((int(pdf["_r"].iloc[0]), int(pdf["_c"].iloc[0]))) for _ in range(2))
+            at = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+            v[at], w[at] = pdf["v"].to_numpy(), pdf["w"].to_numpy()
+            full = fill_array(v, w)
+            r, c = np.indices(full.shape, dtype="int32").reshape(2, -1)
+            out = pd.DataFrame({"row": r, "col": c, "v": full.ravel()})
+            for k in reversed(keys):
+                out.insert(0, k, pdf[k].iloc[0])
+            return out
+
+        own = "".join(f"{k} {level.schema[k].dataType.simpleString()}, " for k in keys)
+        return level.groupBy(*keys).applyInPandas(fill, f"{own}row int, col int, v double")
+    level = settled(level)
+    own = level.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.col("_r").cast("bigint") * F.col("_c")).alias("all"))
+    if not own.filter("n < all").limit(1).count():
+        return level.select(*keys, "row", "col", "v")
+    half = lambda c: F.floor((F.col(c) + 1) / 2).cast("int")
+    coarse = level.groupBy(*keys, F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col"))
+    coarse = settled(coarse.agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"), F.sum("w").alias("w"), F.max(half("_r")).alias("_r"), F.max(half("_c")).alias("_c")))
+    return settled(_pull(level, _filled(coarse, keys, _most(coarse)), keys))
+
+
+def fill_array(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The same of one array with weights (0 for empty cells), level by level."""
+    rows, cols = v.shape
+    if (w > 0).all() or v.size == 1 or not (w > 0).any():
+        return v
+    pad = ((0, rows % 2), (0, cols % 2))
+    four = lambda a: np.pad(a, pad).reshape((rows + 1) // 2, 2, (cols + 1) // 2, 2).sum((1, 3))
+    weight = four(w)
+    up = fill_array(np.divide(four(v * w), weight, out=np.zeros(weight.shape), where=weight > 0), weight)
+    for axis in (1, 0):
+        edge = np.pad(up, [(1, 1) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
+        before, after = np.take(edge, range(up.shape[axis]), axis), np.take(edge, range(2, up.shape[axis] + 2), axis)
+        both = np.stack([up * 0.75 + before * 0.25, up * 0.75 + after * 0.25], axis + 1)
+        up = both.reshape(up.shape[0] * (2 if axis == 0 else 1), up.shape[1] * (2 if axis == 1 else 1))
+    return np.where(w > 0, v, up[:rows, :cols])
+
+
+def _pull(fine: DataFrame, coarse: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The level under a dense one: own values, else values between the four nearest centres of the coarse level.
 
     A cell's centre lies a quarter of a coarse cell from its parent's, so it is
     three quarters parent and one quarter the next one, in both directions;
@@ -156,21 +243,14 @@ def _pull(fine: DataFrame, coarse: DataFrame, keys: tuple[str, ...], last: bool)
     across = Window.partitionBy(*keys, "row").orderBy("col")
     down = Window.partitionBy(*keys, "col").orderBy("row")
     own = F.col("v")
-    g = coarse.select("*", (own * 0.75 + F.coalesce(F.lag("v").over(across), own) * 0.25).alias("l"), (own * 0.75 + F.coalesce(F.lead("v").over(across), own) * 0.25).alias("r"))
-    up = {c: F.coalesce(F.lag(c).over(down), F.col(c)) for c in "lr"}
-    low = {c: F.coalesce(F.lead(c).over(down), F.col(c)) for c in "lr"}
-    part = lambda i, j: F.struct((F.col("row") * 2 + i).alias("row"), (F.col("col") * 2 + j).alias("col"), (F.col("lr"[j]) * 0.75 + (up, low)[i]["lr"[j]] * 0.25).alias("u"))
-    g = g.select(*keys, F.array(*(part(i, j) for i in (0, 1) for j in (0, 1))).alias("p")).select(*keys, F.explode("p").alias("p")).select(*keys, "p.*")
-    # A level's size stands in its rows: one join brings both.
-    size = fine.groupBy(*keys).agg(F.max("_r").alias("_r"), F.max("_c").alias("_c")) if keys else None
+    g = coarse.select(*keys, "row", "col", (own * 0.75 + F.coalesce(F.lag("v").over(across), own) * 0.25).alias("l"), (own * 0.75 + F.coalesce(F.lead("v").over(across), own) * 0.25).alias("r"))
+    next_ = lambda f, c: F.coalesce(f(c).over(down), F.col(c))
+    part = lambda i, j, c: F.struct((F.col("row") * 2 + i).alias("row"), (F.col("col") * 2 + j).alias("col"), (F.col(c) * 0.75 + next_(F.lead if i else F.lag, c) * 0.25).alias("u"))
+    g = g.select(*keys, F.array(*(part(i, j, "lr"[j]) for i in (0, 1) for j in (0, 1))).alias("p")).select(*keys, F.explode("p").alias("p")).select(*keys, "p.*")
     g = g.join(fine.select(*keys, "row", "col", "v"), [*keys, "row", "col"], "left")
-    if keys:
-        g = g.join(size, list(keys))
-    else:
-        r, c = fine.agg(F.max("_r"), F.max("_c")).first()
-        g = g.withColumns({"_r": F.lit(r), "_c": F.lit(c)})
-    out = g.filter((F.col("row") < F.col("_r")) & (F.col("col") < F.col("_c"))).select(*keys, "row", "col", F.coalesce("v", "u").alias("v"), "_r", "_c")
-    return out if last else settled(out)
+    size = fine.groupBy(*keys).agg(F.max("_r").alias("_r"), F.max("_c").alias("_c"))
+    g = g.join(size, list(keys)) if keys else g.crossJoin(F.broadcast(size))  # one row
+    return g.filter((F.col("row") < F.col("_r")) & (F.col("col") < F.col("_c"))).select(*keys, "row", "col", F.coalesce("v", "u").alias("v"))
 
 
 def raise_pits(grid: DataFrame, depth: float) -> DataFrame:

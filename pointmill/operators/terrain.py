@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import settled
 from . import raster as R
+from .components import placed_edge_roots
 from .quality import Frame, with_cells
 
 MIN_MEASURED, MIN_RING = 16, 8
@@ -84,7 +85,8 @@ def contour_segments(grid: DataFrame, interval: float, origin_y: float = 0.0) ->
 def contours(grid: DataFrame, frame: Frame, interval: float | None = None, major_every: int | None = None, origin_y: float = 0.0, passes: int = 2) -> DataFrame:
     """k, level, major, closed, points of the chained lines; rings of fewer than 8 vertices are left out.
 
-    Lines of one level are chained together in one task; levels are spread over tasks.
+    Pieces are grouped into lines by the edges that they share; each line is put
+    in order in one task, so a task holds what one row of the result holds.
     """
     own = settled(R.smooth(grid, passes))
     if interval is None:
@@ -95,7 +97,12 @@ def contours(grid: DataFrame, frame: Frame, interval: float | None = None, major
     every = major_every or every
     if interval <= 0:
         raise ValueError("the interval must be positive")
-    pieces = contour_segments(own, interval, origin_y)
+    pieces = settled(contour_segments(own, interval, origin_y))
+    # An edge of the grid on a level is a number; pieces link the two edges that they run between.
+    least = pieces.agg(F.min("k")).first()[0] or 0
+    node = lambda e: (F.col("k") - least) * (2 * frame.rows * frame.cols) + (F.col(f"{e}.r").cast("bigint") * frame.cols + F.col(f"{e}.c")) * 2 + F.col(f"{e}.dir")
+    pieces = pieces.select("row", "col", "k", "level", "p", "q", node("p").alias("a"), node("q").alias("b"))
+    pieces = pieces.join(placed_edge_roots(pieces).withColumnRenamed("root", "line"), ["a", "b"])
     x0, z0, cell = frame.min_x, frame.min_z, frame.cell
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +135,7 @@ def contours(grid: DataFrame, frame: Frame, interval: float | None = None, major
             out.append((k, level + origin_y, k % every == 0, closed, [{"x": where[e][0], "y": level, "z": where[e][1]} for e in path]))
         return pd.DataFrame(out, columns=["k", "level", "major", "closed", "points"])
 
-    return pieces.groupBy("k").applyInPandas(chain, "k bigint, level double, major boolean, closed boolean, points array<struct<x:double,y:double,z:double>>")
+    return pieces.groupBy("k", "line").applyInPandas(chain, "k bigint, level double, major boolean, closed boolean, points array<struct<x:double,y:double,z:double>>")
 
 
 def relief(grid: DataFrame) -> DataFrame:

@@ -257,6 +257,16 @@ def push_pull_fill(spark, sf_dir):
     return raster.push_pull(g, f.rows, f.cols).withColumn("value", F.round("value", 6))
 
 
+@query(FILLED + f""", x1 AS (SELECT row, col, value FROM fd UNION ALL SELECT a.row, -1, 2 * a.value - b.value FROM fd a JOIN fd b ON b.row = a.row AND b.col = 1 WHERE a.col = 0
+  UNION ALL SELECT a.row, cols, 2 * a.value - b.value FROM fd a CROSS JOIN fr JOIN fd b ON b.row = a.row AND b.col = cols - 2 WHERE a.col = cols - 1),
+x2 AS (SELECT row, col, value FROM x1 UNION ALL SELECT -1, a.col, 2 * a.value - b.value FROM x1 a JOIN x1 b ON b.col = a.col AND b.row = 1 WHERE a.row = 0
+  UNION ALL SELECT rws, a.col, 2 * a.value - b.value FROM x1 a CROSS JOIN fr JOIN x1 b ON b.col = a.col AND b.row = rws - 2 WHERE a.row = rws - 1), {_slide_sql('x2', 'e', 'min', 1)}, {_slide_sql('e', 'd', 'max', 1)}
+SELECT row, col, round(least(d.value, fd.value), 6) AS value FROM d JOIN fd USING (row, col)""")
+def open_extrapolated_r1(spark, sf_dir):
+    g, f = low_grid(spark, sf_dir)
+    return raster.opened(raster.push_pull(g, f.rows, f.cols), f.rows, f.cols, 1).withColumn("value", F.round("value", 6))
+
+
 @query(FILLED + """, sl AS (SELECT row, col, value, lag(value) OVER r AS w, lead(value) OVER r AS e, lag(value) OVER c AS n, lead(value) OVER c AS s FROM fd WINDOW r AS (PARTITION BY row ORDER BY col), c AS (PARTITION BY col ORDER BY row)),
 gr AS (SELECT row, col, (coalesce(e, value) - coalesce(w, value)) / (CASE WHEN e IS NULL OR w IS NULL THEN 1e0 ELSE 2e0 END) AS gx, (coalesce(s, value) - coalesce(n, value)) / (CASE WHEN s IS NULL OR n IS NULL THEN 1e0 ELSE 2e0 END) AS gz FROM sl)
 SELECT row, col, round(sqrt(gx * gx + gz * gz), 6) AS value FROM gr""")

@@ -147,6 +147,40 @@ def test_polygon_volumes(spark):
     assert v["surface_area"] > 600 and not out[2]["valid"] and out[2]["cut"] == 0
 
 
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_labels_equal_brute_force_across_tiles(spark, connectivity):
+    rng = np.random.default_rng(connectivity)
+    on = {(int(r), int(c)) for r, c in np.argwhere(rng.random((20, 23)) < (0.45 if connectivity == 8 else 0.6))}
+    step = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if connectivity == 8 else [])
+    want = {}
+    for p in sorted(on):
+        todo = [] if p in want else [p]
+        while todo:
+            q = todo.pop()
+            if q not in want:
+                want[q] = p[0] * 23 + p[1]
+                todo += [n for i, j in step if (n := (q[0] + i, q[1] + j)) in on]
+    mask = spark.createDataFrame(sorted(on), "row int, col int")
+    for tile in (4, 7, 1024):
+        got = {(r["row"], r["col"]): r["root"] for r in components.cell_roots(mask, 23, connectivity, tile).collect()}
+        assert got == want
+    number = {k: i + 1 for i, k in enumerate(sorted(set(want.values())))}
+    assert {(r["row"], r["col"]): r["label"] for r in components.label_cells(mask, 23, connectivity).collect()} == {p: number[k] for p, k in want.items()}
+    assert components.label_cells(mask.limit(0), 23).count() == 0
+
+
+def test_edge_roots_across_tiles(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(a) + int(d), int(a) // 5, int(a) % 5) for a, d in zip(rng.integers(0, 60, 45), rng.integers(1, 4, 45), strict=True)]
+    root = {n: n for e in edges for n in e[:2]}
+    for _ in edges:
+        for a, b, _, _ in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(edges, "a long, b long, row int, col int")
+    for tile in (3, 100):
+        assert {(r["a"], r["b"], r["root"]) for r in components.placed_edge_roots(df, tile).collect()} == {(a, b, root[a]) for a, b, _, _ in edges}
+
+
 def filled_array(a):
     """Push-pull of a small array, cell by cell."""
     if not np.isnan(a).any() or a.size == 1:
@@ -178,7 +212,9 @@ def filled_array(a):
     return fill(np.nan_to_num(a), (~np.isnan(a)).astype(float))
 
 
-def test_push_pull_equals_brute_force(spark):
+@pytest.mark.parametrize("dense_cells", [raster.DENSE_CELLS, 4])
+def test_push_pull_equals_brute_force(spark, monkeypatch, dense_cells):
+    monkeypatch.setattr(raster, "DENSE_CELLS", dense_cells)
     rng = np.random.default_rng(6)
     for shape, share in (((13, 21), 0.5), ((9, 5), 0.06), ((1, 7), 0.5), ((16, 16), 0.02)):
         a = np.where(rng.random(shape) < share, rng.uniform(0, 9, shape), np.nan)
@@ -187,8 +223,10 @@ def test_push_pull_equals_brute_force(spark):
         assert np.allclose(got, filled_array(a))
 
 
-def test_polygons_over_gaps(spark):
+@pytest.mark.parametrize("dense_cells", [raster.DENSE_CELLS, 30])
+def test_polygons_over_gaps(spark, monkeypatch, dense_cells):
     """Each polygon's surroundings are filled apart; a polygon over nothing is not measured."""
+    monkeypatch.setattr(raster, "DENSE_CELLS", dense_cells)
     rng = np.random.default_rng(2)
     a = np.where(rng.random((30, 30)) < 0.4, rng.uniform(9, 12, (30, 30)), np.nan)
     a[20:, 20:] = np.nan
