@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 import struct
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import files
 from .crs import RECORDS, reference_of
 
 #: Point formats: least length, offset of colours, offset of the class byte, offset of the source id (fixed values of the LAS format).
@@ -118,61 +119,91 @@ def decode(raw: np.ndarray, header: LasHeader, origin, first: int, keep_every: i
 
 @dataclass
 class _Range(InputPartition):
-    path: str
+    file: int
     first: int
     count: int
 
 
-class LasReader(DataSourceReader):
-    def __init__(self, path: str, options, columns: list[str]):
-        self.path, self.columns = path.removeprefix("file://").removeprefix("file:"), columns
-        with open(self.path, "rb") as f:
-            f.seek(0, 2)
-            size = f.tell()
-            f.seek(0)
+@dataclass
+class LasFile:
+    """One file of a scan: its header, records of the reference system, whole points, and the number of the first in the scan."""
+
+    path: str
+    header: LasHeader
+    records: list[dict]
+    count: int
+    colour_scale: float | None
+    first: int = 0
+
+    @staticmethod
+    def of(path: str) -> LasFile:
+        with files.open_at(path) as f:
+            size = f.size()
             header = parse_header(f.read(375))
             if header is None:
                 raise ValueError(f"{path} is no LAS file that can be read")
             if header.compressed:
                 raise ValueError(f"{path} is compressed (LAZ); decompress it first, no decoder is part of this package")
-            self.records = read_records(f, header, size)
-            self.header = header
             # A file that was cut short ends with the last whole record.
-            self.count = min(header.count, max(0, size - header.offset) // header.stride)
-            self.colour_scale = self._colour_scale(f)
+            count = min(header.count, max(0, size - header.offset) // header.stride)
+            return LasFile(path, header, read_records(f, header, size), count, colour_scale(f, header, count))
+
+
+def colour_scale(f, header: LasHeader, count: int) -> float | None:
+    """257 where a sample of runs over the file holds 16-bit colours."""
+    rgb = LAYOUTS[header.format][1]
+    if rgb is None or not count:
+        return None
+    top = 0
+    for k in range(64):
+        first = count * k // 64
+        f.seek(header.offset + first * header.stride)
+        raw = f.read(min(64, count - first) * header.stride)
+        raw = np.frombuffer(raw[: len(raw) // header.stride * header.stride], np.uint8).reshape(-1, header.stride)
+        if len(raw):
+            top = max(top, int(np.ascontiguousarray(raw[:, rgb : rgb + 6]).view("<u2").max()))
+    return 257.0 if top > 255 else 1.0
+
+
+class LasReader(DataSourceReader):
+    """One or many files as one scan: points are numbered on from file to file and share one local frame."""
+
+    def __init__(self, paths: list[str], options, columns: list[str]):
+        self.columns = columns
+        self.files = files.each(LasFile.of, paths)
+        self.count = 0
+        for f in self.files:
+            f.first = self.count
+            self.count += f.count
+        references = {reference_of(f.records)["epsg"] for f in self.files} - {None}
+        if len(references) > 1:
+            raise ValueError(f"the files of a scan share one reference system, not {', '.join(map(str, sorted(references)))}")
+        self.header, self.records = self.files[0].header, self.files[0].records
         most = int(options.get("maxPoints", 0) or 0)
         self.keep_every = int(options.get("keepEvery", 0) or 0) or (max(1, -(-self.count // most)) if most else 1)
-        self.block = max(1, int(options.get("blockBytes", BLOCK_BYTES)) // header.stride)
-        self.origin = header.origin
-
-    def _colour_scale(self, f) -> float | None:
-        """257 where a sample of runs over the file holds 16-bit colours."""
-        rgb = LAYOUTS[self.header.format][1]
-        if rgb is None or not self.count:
-            return None
-        top = 0
-        for k in range(64):
-            first = self.count * k // 64
-            f.seek(self.header.offset + first * self.header.stride)
-            raw = f.read(min(64, self.count - first) * self.header.stride)
-            raw = np.frombuffer(raw[: len(raw) // self.header.stride * self.header.stride], np.uint8).reshape(-1, self.header.stride)
-            if len(raw):
-                top = max(top, int(np.ascontiguousarray(raw[:, rgb : rgb + 6]).view("<u2").max()))
-        return 257.0 if top > 255 else 1.0
+        self.block_bytes = int(options.get("blockBytes", BLOCK_BYTES))
+        usable = [f.header for f in self.files if f.header.usable_extent]
+        whole = replace(usable[0], low=tuple(map(min, *(h.low for h in usable), usable[0].low)), high=tuple(map(max, *(h.high for h in usable), usable[0].high))) if usable else self.header
+        self.origin = whole.origin
 
     def partitions(self):
-        return [_Range(self.path, i, min(self.block, self.count - i)) for i in range(0, self.count, self.block)] or [_Range(self.path, 0, 0)]
+        out = []
+        for k, f in enumerate(self.files):
+            block = max(1, self.block_bytes // f.header.stride)
+            out += [_Range(k, i, min(block, f.count - i)) for i in range(0, f.count, block)]
+        return out or [_Range(0, 0, 0)]
 
     def read(self, part: _Range):
         if not part.count:
             return
-        stride = self.header.stride
-        with open(part.path, "rb") as f:
-            f.seek(self.header.offset + part.first * stride)
+        own = self.files[part.file]
+        stride = own.header.stride
+        with files.open_at(own.path) as f:
+            f.seek(own.header.offset + part.first * stride)
             for i in range(0, part.count, 65_536):
                 n = min(65_536, part.count - i)
                 raw = np.frombuffer(f.read(n * stride), np.uint8).reshape(-1, stride)
-                yield decode(raw, self.header, self.origin, part.first + i, self.keep_every, self.colour_scale, self.columns)
+                yield decode(raw, own.header, self.origin, own.first + part.first + i, self.keep_every, own.colour_scale, self.columns)
 
 
 class LasSource(DataSource):
@@ -192,10 +223,10 @@ class LasSource(DataSource):
         return ", ".join(f"{c} {kinds[c]}" for c in self._columns())
 
     def reader(self, schema):
-        return LasReader(self.options["path"], self.options, self._columns())
+        return LasReader(files.of_options(self.options), self.options, self._columns())
 
 
 def scan_info(path: str) -> dict:
-    """Origin, counts and reference system of a scan, from its header alone."""
-    r = LasReader(path, {}, ["pid"])
-    return {"origin": r.origin, "total": r.header.count, "loaded": r.count, **reference_of(r.records), "records": r.records}
+    """Origin, counts and reference system of a scan (a file, a folder or a pattern), from headers alone."""
+    r = LasReader(files.listed(path, (".las", ".laz")), {}, ["pid"])
+    return {"origin": r.origin, "total": sum(f.header.count for f in r.files), "loaded": r.count, **reference_of(r.records), "records": r.records}

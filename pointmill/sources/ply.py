@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import io
 import math
 from dataclasses import dataclass
 
@@ -12,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import files
+
 #: Scalar types of the format (fixed values).
 TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 INTENSITY, CLASS = ("intensity", "scalar_intensity"), ("classification", "scalar_classification", "class")
@@ -63,57 +66,78 @@ def parse_header(data: bytes) -> PlyHeader | None:
 
 @dataclass
 class _Range(InputPartition):
+    file: int
     first: int
     count: int
 
 
-class PlyReader(DataSourceReader):
-    def __init__(self, path: str, options):
-        self.path = path.removeprefix("file://").removeprefix("file:")
-        with open(self.path, "rb") as f:
+@dataclass
+class PlyFile:
+    path: str
+    header: PlyHeader
+    count: int
+    first: int = 0
+
+    @staticmethod
+    def of(path: str) -> PlyFile:
+        with files.open_at(path) as f:
             header = parse_header(f.read(65_536))
             if header is None:
                 raise ValueError(f"{path} is no PLY file that can be read")
-            f.seek(0, 2)
-            size = f.tell()
-        self.header, self.text = header, header.format == "ascii"
-        self.count = header.count if self.text else min(header.count, (size - header.offset) // header.dtype.itemsize)
-        most = int(options.get("maxPoints", 0) or 0)
-        self.keep_every = int(options.get("keepEvery", 0) or 0) or (max(1, -(-self.count // most)) if most else 1)
-        self.block = max(1, self.count) if self.text else max(1, int(options.get("blockBytes", BLOCK_BYTES)) // header.dtype.itemsize)
-        self.origin = self._origin()
+            return PlyFile(path, header, header.count if header.format == "ascii" else min(header.count, (f.size() - header.offset) // header.dtype.itemsize))
 
-    def _rows(self, first: int, n: int) -> np.ndarray:
-        if self.text:
-            with open(self.path, "rb") as f:
+    def rows(self, first: int, n: int) -> np.ndarray:
+        with files.open_at(self.path) as f:
+            if self.header.format == "ascii":
                 f.seek(self.header.offset)
-                lines = [x.split() for _, x in zip(range(first + n), f, strict=False)][first:]
-            return np.array([tuple(map(float, x[: len(self.header.names)])) for x in lines if x], dtype=[(c, "f8") for c in self.header.names])
-        with open(self.path, "rb") as f:
+                lines = [x.split() for _, x in zip(range(first + n), io.BufferedReader(f), strict=False)][first:]
+                return np.array([tuple(map(float, x[: len(self.header.names)])) for x in lines if x], dtype=[(c, "f8") for c in self.header.names])
             f.seek(self.header.offset + first * self.header.dtype.itemsize)
             return np.frombuffer(f.read(n * self.header.dtype.itemsize), self.header.dtype)
 
-    def _origin(self) -> tuple[float, float, float]:
-        """The centre of a sample of runs over the file, to the next thousand."""
+    def sample(self) -> np.ndarray | None:
+        """x, y, z of runs over the file; of a text file, all."""
         if not self.count:
-            return 0.0, 0.0, 0.0
-        runs = [self._rows(0, self.count)] if self.text else [self._rows(self.count * k // 32, min(32, self.count - self.count * k // 32)) for k in range(32)]
-        own = np.concatenate([np.stack([r[c].astype(float) for c in "xyz"], 1) for r in runs])
-        return tuple(math.floor((a + b) / 2 / 1000 + 0.5) * 1000.0 for a, b in zip(own.min(0), own.max(0), strict=True))
+            return None
+        runs = [self.rows(0, self.count)] if self.header.format == "ascii" else [self.rows(self.count * k // 32, min(32, self.count - self.count * k // 32)) for k in range(32)]
+        return np.concatenate([np.stack([r[c].astype(float) for c in "xyz"], 1) for r in runs])
+
+
+class PlyReader(DataSourceReader):
+    """One or many files as one scan: points are numbered on from file to file and share one local frame."""
+
+    def __init__(self, paths: list[str], options):
+        self.files = files.each(PlyFile.of, paths)
+        self.count = 0
+        for f in self.files:
+            f.first = self.count
+            self.count += f.count
+        most = int(options.get("maxPoints", 0) or 0)
+        self.keep_every = int(options.get("keepEvery", 0) or 0) or (max(1, -(-self.count // most)) if most else 1)
+        self.block_bytes = int(options.get("blockBytes", BLOCK_BYTES))
+        # The centre of samples of all files, to the next thousand.
+        own = [s for s in files.each(lambda p: next(f for f in self.files if f.path == p).sample(), [f.path for f in self.files]) if s is not None]
+        low, high = (getattr(np.concatenate(own), k)(0) if own else np.zeros(3) for k in ("min", "max"))
+        self.origin = tuple(math.floor((a + b) / 2 / 1000 + 0.5) * 1000.0 for a, b in zip(low, high, strict=True))
 
     def partitions(self):
-        return [_Range(i, min(self.block, self.count - i)) for i in range(0, self.count, self.block)] or [_Range(0, 0)]
+        out = []
+        for k, f in enumerate(self.files):
+            block = max(1, f.count) if f.header.format == "ascii" else max(1, self.block_bytes // f.header.dtype.itemsize)
+            out += [_Range(k, i, min(block, f.count - i)) for i in range(0, f.count, block)]
+        return out or [_Range(0, 0, 0)]
 
     def read(self, part: _Range):
         if not part.count:
             return
-        rows = self._rows(part.first, part.count)
-        pid = np.arange(part.first, part.first + len(rows), dtype=np.int64)
+        own = self.files[part.file]
+        rows = own.rows(part.first, part.count)
+        pid = np.arange(part.first, part.first + len(rows), dtype=np.int64) + own.first
         if self.keep_every > 1:
             on = pid % self.keep_every == 0
             rows, pid = rows[on], pid[on]
-        names = self.header.names
-        kinds = dict(zip(names, self.header.types, strict=True))
+        names = own.header.names
+        kinds = dict(zip(names, own.header.types, strict=True))
         find = lambda options: next((c for c in options if c in names), None)
         none = lambda t: pa.nulls(len(pid), t)
         cols = [pa.array(pid), *(pa.array(rows[c].astype(np.float64) - o) for c, o in zip("xyz", self.origin, strict=True))]
@@ -135,4 +159,4 @@ class PlySource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return PlyReader(self.options["path"], self.options)
+        return PlyReader(files.of_options(self.options), self.options)

@@ -108,7 +108,39 @@ def test_geojson_and_csv(spark):
     assert doc["features"][1]["geometry"] == {"type": "Point", "coordinates": [1010.0, 1980.0]} and "32654" in doc["crs"]["properties"]["name"]
     assert "crs" not in json.loads(geojson.collection(geojson.object_features(obj, (0.0, 0.0, 0.0))))
     csv = geojson.inventory_csv(obj, (1000.0, 0.0, -2000.0)).split("\r\n")
-    assert csv[1] == "1,building,40,1002.000,1998.500,3.000,6.00,12.00," and csv[2].endswith("9.13,5.00,1.26")
+    assert csv[1] == "1,building,1002.000,1998.500,3.00,6.00,12.0,,40" and csv[2] == "2,tree,1010.000,1980.000,3.00,9.13,5.0,1.26,20"
+
+
+def test_measurement_features(spark):
+    origin = (1000.0, 5.0, -2000.0)
+    rulers = spark.sql("SELECT 1 AS id, named_struct('x', 0e0, 'y', 1e0, 'z', 0e0) AS a, named_struct('x', 3e0, 'y', 1e0, 'z', -4e0) AS b")
+    f = json.loads(geojson.ruler_features(rulers, origin).first()["feature"])
+    assert f["geometry"]["coordinates"] == [[1000.0, 2000.0, 6.0], [1003.0, 2004.0, 6.0]] and f["properties"] == {"kind": "distance", "id": 1, "distance": 5.0, "horizontal": 5.0, "vertical": 0.0, "slope_degrees": 0.0}
+    surfaces = spark.sql("SELECT 7 AS seed, 12.5e0 AS plan_area, 13.126e0 AS surface_area, 9.456e0 AS slope, 2.5e0 AS mean, 1e0 AS center_x, 2e0 AS center_y, -3e0 AS center_z")
+    f = json.loads(geojson.surface_features(surfaces, origin).first()["feature"])
+    assert f["geometry"] == {"type": "Point", "coordinates": [1001.0, 2003.0, 7.0]} and f["properties"] == {"kind": "surface", "id": 7, "plan_area": 12.5, "surface_area": 13.13, "slope_degrees": 9.46, "mean_elevation": 7.5}
+    ring = "array(named_struct('x', 0e0, 'y', 1e0, 'z', 0e0), named_struct('x', 4e0, 'y', 1e0, 'z', 0e0), named_struct('x', 4e0, 'y', 1e0, 'z', 2e0))"
+    poly = spark.sql(f"SELECT 1 AS id, {ring} AS vertices, 'mean' AS base, CAST(NULL AS DOUBLE) AS custom_base, 3e0 AS height")
+    figures = spark.sql("SELECT 1 AS id, 4e0 AS plan_area, 4.1e0 AS surface_area, 10.47e0 AS perimeter, 5e0 AS cut, 2e0 AS fill, 12e0 AS prism, 1e0 AS filled, 0e0 AS unmeasured, 1e0 AS base_mean")
+    f = json.loads(geojson.polygon_features(poly, figures, origin, 0.5).first()["feature"])
+    c = f["geometry"]["coordinates"][0]
+    assert c[0] == c[-1] and sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(c, c[1:], strict=False)) > 0
+    assert f["properties"]["net_volume"] == 3.0 and f["properties"]["base_elevation"] == 6.0 and f["properties"]["grid_cell"] == 0.5
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    for k in range(3):
+        make_las(tmp_path / f"t{k}.las")
+    (tmp_path / "note.txt").write_text("x")
+    whole = {(r["pid"], r["x"]) for r in scan.read_scan(spark, str(tmp_path)).collect()}
+    assert whole == {(2 * k + i, x) for k in range(3) for i, x in ((0, 10.5), (1, 210.5))}
+    assert scan.read_scan(spark, str(tmp_path / "t[01].las")).count() == 4 and scan.read_scan(spark, [str(tmp_path / "t0.las"), f"file://{tmp_path}/t2.las"], keepEvery=2).count() == 2
+    assert las.scan_info(str(tmp_path))["loaded"] == 6
+    with pytest.raises(ValueError):
+        scan.read_scan(spark, str(tmp_path / "none*.las"))
+    (tmp_path / "p.ply").write_bytes(b"ply\nformat ascii 1.0\nelement vertex 1\nproperty double x\nproperty double y\nproperty double z\nend_header\n1 2 3\n")
+    with pytest.raises(ValueError):
+        scan.read_scan(spark, str(tmp_path))
 
 
 def test_report(spark):
@@ -124,5 +156,8 @@ def test_options(tmp_path):
     (tmp_path / "c.json").write_text('{"slope": 0.3, "other": 1}')
     assert scan.load_options(str(tmp_path / "c.json"), GroundOptions()).slope == 0.3
     assert scan.load_options(str(tmp_path / "none.json"), GroundOptions()) == GroundOptions()
+    nested = {"ground": GroundOptions(), "view": {"dot": 2, "noise": {"shown": True, "size": 1}}}
+    (tmp_path / "n.json").write_text('{"ground": {"slope": 0.3}, "view": {"noise": {"size": 3}}, "more": 1}')
+    assert scan.load_options(str(tmp_path / "n.json"), nested) == {"ground": GroundOptions(slope=0.3), "view": {"dot": 2, "noise": {"shown": True, "size": 3}}}
     with pytest.raises(ValueError):
         GroundOptions(cell=0)
