@@ -85,8 +85,8 @@ def describe_point(points: DataFrame, pid: int, origin: tuple[float, float, floa
 def voxel_downsample(points: DataFrame, voxel: float, means: list[str] | None = None, votes: list[str] | None = None, origin: tuple[float, float, float] | None = None) -> DataFrame:
     """One row for each voxel: means of continuous channels, rounded mean colours, majority votes of categorical ones.
 
-    A vote is won by the most frequent value, the lowest on a tie. Each vote is
-    an aggregation over (voxel, value), so no voxel's points are ever gathered.
+    A vote is won by the most frequent value, the lowest on a tie. Votes are
+    aggregated by (voxel, value), so no voxel's points are ever gathered.
     """
     if voxel <= 0:
         raise ValueError("voxel must be positive")
@@ -102,10 +102,13 @@ def voxel_downsample(points: DataFrame, voxel: float, means: list[str] | None =
         F.count("*").alias("n"), *(F.avg(c).alias(c) for c in (*"xyz", *means)),
         *(F.floor(F.avg(c) + F.lit(0.5)).cast("int").alias(c) for c in colours),
     )
-    for c in votes:
-        polls = keyed.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("c"))
-        won = polls.groupBy(*keys).agg(F.max(F.struct(F.col("c"), (-F.col(c)).alias("v"))).alias("w")).select(*keys, (-F.col("w.v")).cast(points.schema[c].dataType).alias(c))
-        out = out.join(won, keys, "left")
+    if votes:
+        # All votes in one pass: each point casts one vote in each of the polls, counted by (voxel, poll, value).
+        cast = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(c).cast("bigint").alias("v")) for k, c in enumerate(votes))))
+        polls = keyed.select(*keys, cast.alias("p")).filter(F.col("p.v").isNotNull()).groupBy(*keys, F.col("p.k").alias("k"), F.col("p.v").alias("v")).agg(F.count("*").alias("c"))
+        best = lambda k: F.max(F.when(F.col("k") == k, F.struct(F.col("c"), (-F.col("v")).alias("m"))))
+        won = polls.groupBy(*keys).agg(*(best(k).alias(f"w{k}") for k in range(len(votes))))
+        out = out.join(won.select(*keys, *((-F.col(f"w{k}.m")).cast(points.schema[c].dataType).alias(c) for k, c in enumerate(votes))), keys, "left")
     return out
 
 

@@ -891,3 +891,37 @@ def streaming_cell_stats(spark, sf_dir):
 
     p = points(spark, sf_dir)
     return cells.cell_stats_stream(p, Frame.of(p))
+
+
+# ------------------------------------------------------------ files
+
+
+@query(scene_cte() + """SELECT row_number() OVER (ORDER BY pid) - 1 AS pid, round(floor(x / 0.001e0 + 0.5e0) * 0.001e0, 6) AS x, round(floor(y / 0.001e0 + 0.5e0) * 0.001e0, 6) AS y, round(-(floor(-z / 0.001e0 + 0.5e0) * 0.001e0) + 0e0, 6) AS z,
+  intensity, return_number, number_of_returns, classification, point_source_id, r, g, b FROM pts""")
+def las_points(spark, sf_dir):
+    """The scene written as LAS and read again: coordinates to the millimetre, points numbered on."""
+    import uuid
+
+    from .sinks.las import write_las
+    from .sources.scan import read_scan
+    from .storage import removed_at_exit, shared_dir
+
+    path = removed_at_exit(spark, f"{shared_dir(spark)}/pm-scan-{uuid.uuid4().hex}.las").removeprefix("file:")
+    write_las(points(spark, sf_dir), path)
+    out = read_scan(spark, path)
+    whole = ("return_number", "number_of_returns", "classification", "point_source_id", "r", "g", "b")
+    return out.select("pid", *(F.round(c, 6).alias(c) for c in "xyz"), "intensity", *(F.col(c).cast("int").alias(c) for c in whole))
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey || ',' || CASE WHEN n_nationkey % 3 = 0 THEN 'building' ELSE 'tree' END || ',' || printf('%.3f', 543000e0 + n_nationkey * 1.5e0) || ',' || printf('%.3f', 4179000e0 + n_nationkey * 2.25e0) || ',' || printf('%.2f', 3e0 + n_nationkey * 0.25e0)
+  || ',' || printf('%.2f', 2.5e0 + n_nationkey * 0.25e0) || ',' || printf('%.1f', 20e0 + n_nationkey * 0.5e0) || ',' || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE printf('%.2f', n_nationkey * 0.25e0) END || ',' || (n_nationkey * 10) AS line FROM nation""")
+def inventory_lines(spark, sf_dir):
+    from .sinks import geojson
+
+    k = F.col("n_nationkey")
+    centre = F.struct((k * 1.5).alias("x"), (-k * 2.25).alias("z"))
+    own = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        k.cast("bigint").alias("id"), F.when(k % 3 == 0, "building").otherwise("tree").alias("kind"), centre.alias("center"), (F.lit(3.0) + k * 0.25).alias("ground_y"), (F.lit(2.5) + k * 0.25).alias("height"), (F.lit(20.0) + k * 0.5).alias("area"),
+        (k * 0.25).alias("crown_radius"), (k * 10).cast("bigint").alias("point_count"),
+    )
+    return geojson.inventory_lines(own, (543000.0, 0.0, -4179000.0))

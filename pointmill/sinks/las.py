@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import removed_at_exit, shared_dir
 
 CHUNK = 1_000_000
 LIMIT = 2**31 - 1
@@ -88,7 +88,7 @@ def write_las(points: DataFrame, path: str, origin: tuple[float, float, float] =
             yield pa.record_batch([pa.array([out.tobytes()], pa.binary()), pa.array([b.num_rows], pa.int64())], ["bytes", "n"])
 
     ordered = points.orderBy("pid").select(*names).mapInArrow(encode, "bytes binary, n bigint")
-    at = f"{shared_dir(spark)}/pm-las-{uuid.uuid4().hex}"
+    at = removed_at_exit(spark, f"{shared_dir(spark)}/pm-las-{uuid.uuid4().hex}")
     ordered.withColumns({"part": F.spark_partition_id(), "k": F.monotonically_increasing_id()}).write.parquet(at)
     chunks = spark.read.parquet(at).orderBy("part", "k")
     counts = {}

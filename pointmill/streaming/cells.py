@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.quality import Frame, with_cells
-from ..storage import shared_dir
+from ..storage import removed_at_exit, shared_dir
 
 #: Partials that add up: a batch's rows merge with what was there.
 PARTIALS = {"n": "sum", "s": "sum", "ss": "sum", "lo": "min", "hi": "max"}
@@ -31,7 +31,7 @@ def cell_stats_stream(points: DataFrame, frame: Frame, files: int = 8, per_batch
     again after a failure replaces its rows; the result is their merge.
     """
     spark = points.sparkSession
-    at = f"{shared_dir(spark)}/pm-stream-{uuid.uuid4().hex}"
+    at = removed_at_exit(spark, f"{shared_dir(spark)}/pm-stream-{uuid.uuid4().hex}")
     own = points.select("x", "y", "z")
     own.repartition(files, F.xxhash64("x", "z")).write.parquet(f"{at}/in")
 
