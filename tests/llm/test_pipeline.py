@@ -18,6 +18,25 @@ def test_stages_keep_columns(spark, odd_docs):
     assert p.STAGES[-1][1](spark, docs, "").count() == docs.count() > 0
 
 
+def test_stages_on_no_rows(spark, no_docs):
+    import corpus_pipeline as p
+
+    docs = no_docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in p.STAGES:
+        assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
+def test_near_duplicates_of_the_tables_equal_brute_force(spark):
+    """One document of each group of alike texts stays, over all pairs of the smallest table."""
+    import corpus_pipeline as p
+    from test_dedup import brute_copies
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = brute_copies([(r["doc_id"], r["text"]) for r in docs.collect()])
+    kept = sorted(r["doc_id"] for r in p.without_near_duplicates(spark, docs, "").select("doc_id").collect())
+    assert kept == sorted({*want.values()}) and len(kept) < len(want)
+
+
 def test_entry_lists_the_queries():
     import __spark_entry__ as e
 
