@@ -129,23 +129,23 @@ def tile_roots(row: np.ndarray, col: np.ndarray, reach: int) -> tuple[np.ndarray
     return row, col, root[np.cumsum(fresh) - 1]
 
 
-def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """rows with ``name``: numbers from 1 in the order of the distinct column ``key``.
+def numbered(rows: DataFrame, keys: list, name: str) -> DataFrame:
+    """rows with ``name``: numbers from 1 in the order of ``keys`` (columns, or descending ones), which tell all rows apart.
 
     Range partitions count inside; only their sizes, as many as there are partitions, meet in one place.
     """
-    placed = settled(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    placed = settled(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
     return placed.withColumn(name, inside).join(F.broadcast(sizes), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("bigint")).drop("_part", "_before")
 
 
 def label_cells(mask: DataFrame, cols: int, connectivity: int = 8) -> DataFrame:
     """mask's cells (row, col) with ``label``: numbers from 1 in the order of each component's first cell."""
     out = settled(cell_roots(mask, cols, connectivity))
-    return out.join(numbered(out.select("root").distinct(), "root", "label"), "root").select("row", "col", "label")
+    return out.join(numbered(out.select("root").distinct(), ["root"], "label"), "root").select("row", "col", "label")
 
 
 def gap_sizes(cells: DataFrame, cols: int) -> DataFrame:
@@ -155,7 +155,7 @@ def gap_sizes(cells: DataFrame, cols: int) -> DataFrame:
 
 def gap_components(cells: DataFrame, cols: int) -> DataFrame:
     """Like :func:`gap_sizes`, numbered from 1 (column label) in the order of the first cells."""
-    return numbered(gap_sizes(cells, cols), "root", "label").select("label", "cells")
+    return numbered(gap_sizes(cells, cols), ["root"], "label").select("label", "cells")
 
 
 def patch_moments(labels: DataFrame) -> DataFrame:

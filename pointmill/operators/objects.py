@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import settled
 from . import raster as R
-from .components import label_cells, narrow, patch_moments
+from .components import label_cells, narrow, numbered, patch_moments
 from .quality import Frame, with_cells
 from .tables import object_candidates
 
@@ -287,10 +287,10 @@ def detect_objects(points: DataFrame, options: ObjectOptions = ObjectOptions(),
     b = measured.filter("own_kind = 'building'").withColumnRenamed("own_label", "label").join(roofs, "label").join(covered_area(built, cells, cell), "label")
     centre = built.groupBy("label").agg(F.struct((F.avg("col") * cell + frame.min_x + cell / 2).alias("x"), (F.avg("row") * cell + frame.min_z + cell / 2).alias("z")).alias("center"))
     b = b.join(centre, "label").join(outline(built, frame), "label")
-    b = b.select(F.row_number().over(Window.orderBy(F.desc("area"), "label")).cast("bigint").alias("id"), F.lit("building").alias("kind"), "label", "point_count", "height", "area", "ground_y", F.lit(None).cast("double").alias("crown_radius"), "top", "center", "outline")
+    b = numbered(b, [F.desc("area"), "label"], "id").select("id", F.lit("building").alias("kind"), "label", "point_count", "height", "area", "ground_y", F.lit(None).cast("double").alias("crown_radius"), "top", "center", "outline")
     nb = b.count()
     t = measured.filter("own_kind = 'tree'").filter(F.col("point_count") >= o.min_points).withColumnRenamed("own_label", "label").join(shape.withColumnRenamed("crown", "label"), "label")
-    t = t.select((F.row_number().over(Window.orderBy(F.desc("peak"), "label")) + nb).cast("bigint").alias("id"), F.lit("tree").alias("kind"), "label", "point_count", F.col("peak").alias("height"), "area", "ground_y",
+    t = numbered(t, [F.desc("peak"), "label"], "id").select((F.col("id") + nb).alias("id"), F.lit("tree").alias("kind"), "label", "point_count", F.col("peak").alias("height"), "area", "ground_y",
                  F.sqrt(F.col("area") / F.lit(math.pi)).alias("crown_radius"), "top", F.struct(F.col("top.x").alias("x"), F.col("top.z").alias("z")).alias("center"), F.lit(None).cast("array<struct<x:double,z:double>>").alias("outline"))
     objects = settled(b.unionByName(t))
     ids = objects.select(F.col("kind").alias("own_kind"), F.col("label").alias("own_label"), F.col("id").alias("object_id"))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointmill.functions import geometry, sql
-from pointmill.operators import measure, tables
+from pointmill.operators import measure, quality, tables
 from pointmill.operators.quality import Frame
 from pointmill.plans.analyze import analyze
 from pointmill.sources.synthetic import synthetic_survey
@@ -84,8 +84,26 @@ def test_visible(spark):
     assert ids(tables.visible(p, "only")) == [2, 3] and ids(tables.visible(p, "hidden", spark.createDataFrame([(3,)], "point_source_id int"))) == [1]
 
 
-def test_entry_without_the_corpus_queries():
-    import __spark_entry__ as e
+def test_without_the_corpus_operators(tmp_path):
+    """A copy without that subpackage, its tests and its pipeline imports whole and still has its queries."""
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
 
-    own = e.queries()
-    assert len(own) > 60 and "quality_checks" in own and set(e.oracle_sql()) <= set(own)
+    root = pathlib.Path(__file__).parent.parent
+    skip = shutil.ignore_patterns("llm", ".git", "__pycache__", "corpus_pipeline.py", ".pytest_cache")
+    shutil.copytree(root, tmp_path / "copy", ignore=skip)
+    code = "import __spark_entry__ as e, importlib, pkgutil, pointmill\nfor m in pkgutil.walk_packages(pointmill.__path__, 'pointmill.'): importlib.import_module(m.name)\nq = e.queries(); assert len(q) > 80 and 'quality_checks' in q and not any(k.startswith('op1') for k in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "copy")})
+
+
+def test_scene_plans(spark):
+    """The scene is read from its table: one scan, no join in it, columns pruned and filters pushed."""
+    from pointmill.scene import points
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    p = plan(points(spark, "/root/testdata/sf0.001").filter("classification = 2").groupBy("classification").agg(F.sum("y")))
+    assert "Join" not in p and p.count("FileScan") == 1 and "EqualTo(classification,2)" in p and "intensity" not in p
+    cells = quality.survey_cells(points(spark, "/root/testdata/sf0.001"), Frame(0.0, 0.0, 1.0, 32, 32))
+    assert "NestedLoop" not in plan(quality.footprint_cells(cells))
