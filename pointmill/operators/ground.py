@@ -63,7 +63,7 @@ def detect_ground(points: DataFrame, options: GroundOptions = GroundOptions()) -
     if not lowest.limit(1).count():
         raise ValueError("every point is marked as noise")
     lowest = settled(R.push_pull(lowest, frame.rows, frame.cols))
-    lowest = settled(R.raise_pits(lowest, max(2 * options.threshold, 2 * options.slope * frame.cell)).select("row", "col", "value"))
+    lowest = settled(R.raise_pits(lowest, frame.rows, frame.cols, max(2 * options.threshold, 2 * options.slope * frame.cell)).select("row", "col", "value"))
     objects = settled(object_cells(lowest, frame, options))
     bare = lowest.join(objects, ["row", "col"], "left_anti")
     surface = settled(R.push_pull(bare, frame.rows, frame.cols)) if bare.limit(1).count() else lowest

@@ -40,11 +40,12 @@ def surface_grid(points: DataFrame, min_x: float, min_z: float, cell: float, col
     return filled_speckles(out, rows, cols, speckle_passes)
 
 
-def on_tiles(grid: DataFrame, rows: int, cols: int, margin: int, f, tile: int = 1_024) -> DataFrame:
+def on_tiles(grid: DataFrame, rows: int, cols: int, margin: int, f, tile: int = 1_024, flag: str | None = None) -> DataFrame:
     """A grid worked on in dense tiles, each in one task: f(array, first row, first column) gives an array of the same cells.
 
     A tile comes with the cells up to ``margin`` around it, as far as f looks, so
-    its own cells get the whole grid's result. NaN is an empty cell.
+    its own cells get the whole grid's result. NaN is an empty cell. With ``flag``
+    f gives a second array, of truth values, for a column of that name.
     """
     span = lambda c: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - margin, F.lit(0)) / tile).cast("int"), F.floor((F.col(c) + margin) / tile).cast("int")))
     placed = grid.select("row", "col", "value", span("row").alias("tr")).withColumn("tc", span("col"))
@@ -56,11 +57,12 @@ def on_tiles(grid: DataFrame, rows: int, cols: int, margin: int, f, tile: int =
         h, w = min(rows, (tr + 1) * tile + margin) - r0, min(cols, (tc + 1) * tile + margin) - c0
         out = f(dense_array(pdf.assign(row=pdf["row"] - r0, col=pdf["col"] - c0), h, w, h * w), r0, c0)
         top, left = tr * tile - r0, tc * tile - c0
-        out = out[top : top + tile, left : left + tile]
-        r, c = np.nonzero(~np.isnan(out))
-        return pd.DataFrame({"row": (r + tr * tile).astype("int32"), "col": (c + tc * tile).astype("int32"), "value": out[r, c]})
+        parts = [a[top : top + tile, left : left + tile] for a in (out if flag else (out,))]
+        r, c = np.nonzero(~np.isnan(parts[0]))
+        columns = {"row": (r + tr * tile).astype("int32"), "col": (c + tc * tile).astype("int32"), "value": parts[0][r, c]}
+        return pd.DataFrame(columns | ({flag: parts[1][r, c]} if flag else {}))
 
-    return placed.groupBy("tr", "tc").applyInPandas(work, "row int, col int, value double")
+    return placed.groupBy("tr", "tc").applyInPandas(work, "row int, col int, value double" + (f", {flag} boolean" if flag else ""))
 
 
 def filled_speckles(grid: DataFrame, rows: int, cols: int, passes: int = 2, least: int = 4) -> DataFrame:
@@ -253,28 +255,35 @@ def _pull(fine: DataFrame, coarse: DataFrame, keys: tuple[str, ...]) -> DataFram
     return g.filter((F.col("row") < F.col("_r")) & (F.col("col") < F.col("_c"))).select(*keys, "row", "col", F.coalesce("v", "u").alias("v"))
 
 
-def raise_pits(grid: DataFrame, depth: float) -> DataFrame:
-    """Pits of one or two cells lifted to their least sound neighbour.
+def raise_pits(grid: DataFrame, rows: int, cols: int, depth: float) -> DataFrame:
+    """Pits of one or two cells lifted to their least sound neighbour; ``lifted`` tells which. In tiles.
 
     A candidate lies more than ``depth`` under the lower median of at least three
     neighbours; a patch has at most two cells where no candidate has more than
-    one candidate beside it and that one has no other.
+    one candidate beside it and that one has no other. Of a pair, both take the
+    least sound neighbour of either.
     """
-    near = spread(grid.withColumnRenamed("value", "nv")).groupBy("row", "col").agg(F.sort_array(F.collect_list("nv")).alias("ns"))  # 8 values at most
-    cand = grid.join(near, ["row", "col"]).filter(F.size("ns") >= 3)
-    cand = cand.filter(F.col("value") < F.get("ns", F.floor((F.size("ns") - 1) / 2).cast("int")) - F.lit(float(depth))).select("row", "col", "value")
-    beside = spread(cand.select("row", "col").withColumns({"r0": F.col("row"), "c0": F.col("col")}))
-    pairs = beside.join(cand.select("row", "col"), ["row", "col"])
-    k = pairs.groupBy("row", "col").agg(F.count("*").alias("k"), F.max(F.struct("r0", "c0")).alias("o"))
-    own = cand.join(k, ["row", "col"], "left").select("row", "col", F.coalesce("k", F.lit(0)).alias("k"), "o")
-    other = own.select(F.struct(F.col("row").alias("r0"), F.col("col").alias("c0")).alias("o2"), F.col("k").alias("k2"))
-    small = own.join(other, F.col("o") == F.col("o2"), "left").filter((F.col("k") == 0) | ((F.col("k") == 1) & (F.col("k2") == 1)))
-    sound = spread(grid.join(cand.select("row", "col"), ["row", "col"], "left_anti").withColumnRenamed("value", "nv")).groupBy("row", "col").agg(F.min("nv").alias("m"))
-    lifted = small.select("row", "col", "o").join(sound, ["row", "col"], "left")
-    # Of a pair, both take the least sound neighbour of either.
-    mate = lifted.select(F.struct(F.col("row").alias("r0"), F.col("col").alias("c0")).alias("o2"), F.col("m").alias("m2"))
-    lifted = lifted.join(mate, F.col("o") == F.col("o2"), "left").select("row", "col", F.least("m", "m2").alias("up")).filter("up is not null")
-    return grid.join(lifted, ["row", "col"], "left").select("row", "col", F.coalesce("up", "value").alias("value"), F.col("up").isNotNull().alias("lifted"))
+    return on_tiles(grid, rows, cols, 4, lambda a, _r, _c: _without_pits(a, depth), flag="lifted")
+
+
+def _without_pits(a: np.ndarray, depth: float) -> tuple[np.ndarray, np.ndarray]:
+    def around(x: np.ndarray, fill: float) -> np.ndarray:
+        p = np.pad(x, 1, constant_values=fill)
+        return np.stack([p[i : i + x.shape[0], j : j + x.shape[1]] for i in range(3) for j in range(3) if (i, j) != (1, 1)], -1)
+
+    near = np.sort(around(a, np.nan), -1)
+    n = (~np.isnan(near)).sum(-1)
+    median = np.take_along_axis(near, (np.maximum(n - 1, 0) // 2)[..., None], -1)[..., 0]
+    with np.errstate(invalid="ignore"):
+        pit = (n >= 3) & (a < median - depth)
+    k = around(pit.astype(float), 0.0).sum(-1)
+    small = pit & ((k == 0) | ((k == 1) & (around(pit * k, 0.0).sum(-1) == 1)))
+    sound = around(np.where(np.isnan(a) | pit, np.inf, a), np.inf).min(-1)
+    # A pair's other cell is the only pit beside it.
+    other = around(np.where(pit, sound, np.inf), np.inf).min(-1)
+    up = np.where(k == 1, np.minimum(sound, other), sound)
+    lifted = small & np.isfinite(up)
+    return np.where(lifted, up, a), lifted
 
 
 def smooth(grid: DataFrame, passes: int = 2) -> DataFrame:

@@ -298,7 +298,8 @@ SELECT lo.row, lo.col, coalesce(up, value) AS value, up IS NOT NULL AS lifted FR
 
 @query(PITS)
 def pits_raised(spark, sf_dir):
-    return raster.raise_pits(low_grid(spark, sf_dir)[0], 0.25)
+    g, f = low_grid(spark, sf_dir)
+    return raster.raise_pits(g, f.rows, f.cols, 0.25)
 
 
 @query(f"{LOW}, n AS (SELECT g.row + i AS row, g.col + j AS col, avg(value) AS value FROM lo g CROSS JOIN {_O9} GROUP BY 1, 2) SELECT lo.row, lo.col, round(n.value, 6) AS value FROM lo JOIN n USING (row, col)")

@@ -58,11 +58,11 @@ def test_push_pull(spark):
 def test_pits(spark):
     a = np.full((7, 7), 10.0)
     a[2, 2] = a[5, 4] = a[5, 5] = 4
-    out = raster.raise_pits(grid_df(spark, a), 1.0)
+    out = raster.raise_pits(grid_df(spark, a), 7, 7, 1.0)
     assert out.filter("lifted").count() == 3 and out.filter("value < 10").count() == 0
     b = np.full((9, 9), 10.0)
     b[4, :] = 4
-    assert raster.raise_pits(grid_df(spark, b), 1.0).filter("lifted").count() == 0
+    assert raster.raise_pits(grid_df(spark, b), 9, 9, 1.0).filter("lifted").count() == 0
 
 
 def test_labels_and_moments(spark):
