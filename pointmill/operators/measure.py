@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import settled
@@ -447,9 +447,32 @@ def pick_point(points: DataFrame, matrix: list[float], x: float, y: float, width
     return best.filter("pid is not null")
 
 
+def tiles_under_cursor(tiles: DataFrame, matrix: list[float], x: float, y: float, width: float, height: float, reach: float = 6.0) -> DataFrame:
+    """Those tiles (min_x .. max_z) that may hold the point under a cursor; the others certainly project clear of it.
+
+    A box that reaches behind the camera has no rectangle on the screen and stays.
+    """
+    corners = F.array(*(F.struct(*(F.lit(bool(k >> i & 1)).alias(c) for i, c in enumerate("xyz"))) for k in range(8)))
+
+    def seen(at):
+        p = [F.when(at[c], F.col(f"max_{c}")).otherwise(F.col(f"min_{c}")) for c in "xyz"]
+        return F.struct(*((F.lit(float(matrix[i])) * p[0] + F.lit(float(matrix[4 + i])) * p[1] + F.lit(float(matrix[8 + i])) * p[2] + F.lit(float(matrix[12 + i]))).alias(k) for i, k in enumerate(("a", "b", "c", "w"))))
+
+    own = tiles.withColumn("_v", F.transform(corners, seen))
+    w, sx, sy = (F.transform("_v", f) for f in (lambda v: v["w"], lambda v: (F.try_divide(v["a"], v["w"]) + 1) * (width / 2), lambda v: (1 - F.try_divide(v["b"], v["w"])) * (height / 2)))
+    inside = F.lit(float(x)).between(F.array_min(sx) - reach, F.array_max(sx) + reach) & F.lit(float(y)).between(F.array_min(sy) - reach, F.array_max(sy) + reach)
+    return own.filter((F.array_min(w) <= 0) | inside).drop("_v")
+
+
 # ---------------------------------------------------------------- levels of detail
 
 
+def tier_specs(spark: SparkSession, levels: int = 5, fraction: float = 0.25) -> DataFrame:
+    """level, id, fraction of the tiers built for a scan: the scan itself, then levels that keep a part of the one before."""
+    rows = [(0, "full", None), *((k, f"lod{k}", float(fraction)) for k in range(1, levels + 1))]
+    return spark.createDataFrame(rows, "level int, id string, fraction double")
+
+
 def lod_ladder(points: DataFrame, first_voxel: float, growth: float = 1.35, steps: int = 24) -> DataFrame:
     """voxel, n: how many voxels hold points at each step of a geometric ladder, in one pass over the points."""
     low = points.agg(F.min("x"), F.min("y"), F.min("z")).first()

@@ -112,6 +112,24 @@ def voxel_downsample(points: DataFrame, voxel: float, means: list[str] | None =
     return out
 
 
+def voxel_thin(points: DataFrame, voxel: float, unit: int = 4096, origin: tuple[float, float, float] | None = None) -> DataFrame:
+    """One row for each voxel: n, mean place and mean colour, by sums of whole units of 1/4096 of a voxel.
+
+    Whole numbers add up the same in any order, so the result is exact however the
+    points are dealt; halves go to the even unit.
+    """
+    if voxel <= 0:
+        raise ValueError("voxel must be positive")
+    low = origin or tuple(points.agg(F.min("x"), F.min("y"), F.min("z")).first())
+    keys = ["vx", "vy", "vz"]
+    at = {c: (F.col(c) - F.lit(float(o))) / F.lit(float(voxel)) for c, o in zip("xyz", low, strict=True)}
+    keyed = points.withColumns({k: F.floor(at[c]).cast("bigint") for k, c in zip(keys, "xyz", strict=True)} | {f"_{c}": F.least(F.rint((at[c] - F.floor(at[c])) * unit), F.lit(unit - 1.0)).cast("bigint") for c in "xyz"})
+    colours = [c for c in "rgb" if c in points.columns]
+    out = keyed.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(f"_{c}").alias(c) for c in "xyz"), *(F.sum(F.col(c).cast("bigint")).alias(c) for c in colours))
+    place = [((F.col(k) + F.col(c) / (F.col("n") * unit)) * F.lit(float(voxel)) + F.lit(float(o))).alias(c) for k, c, o in zip(keys, "xyz", low, strict=True)]
+    return out.select(*keys, "n", *place, *(F.rint(F.col(c) / F.col("n")).cast("int").alias(c) for c in colours))
+
+
 def tile_size(n: int, span: float, per_tile: int = 100_000) -> float | None:
     """Edge of a tile; None where one tile is enough."""
     import math

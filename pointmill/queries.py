@@ -12,6 +12,7 @@ from .operators import components as C
 from .operators import ground, measure, noise, objects, quality, raster, tables, terrain
 from .operators.quality import Frame
 from .scene import points, scene_cte
+from .storage import settled
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -493,6 +494,14 @@ def voxel_majority(spark, sf_dir):
     return tables.voxel_downsample(points(spark, sf_dir), 2.0, means=[], votes=["classification"]).select("vx", "vy", "vz", "classification")
 
 
+@query(scene_cte() + """, o AS (SELECT min(x) AS ox, min(y) AS oy, min(z) AS oz FROM pts), u AS (SELECT (x - ox) / 2e0 AS a, (y - oy) / 2e0 AS b_, (z - oz) / 2e0 AS c, r, g, b, ox, oy, oz FROM pts CROSS JOIN o),
+k AS (SELECT CAST(floor(a) AS BIGINT) AS vx, CAST(floor(b_) AS BIGINT) AS vy, CAST(floor(c) AS BIGINT) AS vz, CAST(least(round_even((a - floor(a)) * 4096, 0), 4095) AS BIGINT) AS fx, CAST(least(round_even((b_ - floor(b_)) * 4096, 0), 4095) AS BIGINT) AS fy, CAST(least(round_even((c - floor(c)) * 4096, 0), 4095) AS BIGINT) AS fz, r, g, b, ox, oy, oz FROM u)
+SELECT vx, vy, vz, count(*) AS n, (vx + sum(fx) * 1e0 / (count(*) * 4096)) * 2e0 + any_value(ox) AS x, (vy + sum(fy) * 1e0 / (count(*) * 4096)) * 2e0 + any_value(oy) AS y, (vz + sum(fz) * 1e0 / (count(*) * 4096)) * 2e0 + any_value(oz) AS z,
+  CAST(round_even(sum(r) * 1e0 / count(*), 0) AS INTEGER) AS r, CAST(round_even(sum(g) * 1e0 / count(*), 0) AS INTEGER) AS g, CAST(round_even(sum(b) * 1e0 / count(*), 0) AS INTEGER) AS b FROM k GROUP BY vx, vy, vz""")
+def voxel_thin(spark, sf_dir):
+    return tables.voxel_thin(points(spark, sf_dir), 2.0)
+
+
 ISO = ", c3 AS (SELECT pid, x, y, z, CAST(floor(x / 2.5e0) AS BIGINT) AS cx, CAST(floor(z / 2.5e0) AS BIGINT) AS cz FROM pts), nbr AS (SELECT a.pid, count(b.pid) AS k FROM (SELECT c3.*, cx + i AS qx, cz + j AS qz FROM c3 CROSS JOIN " + _O9 + ") a JOIN c3 b ON b.cx = a.qx AND b.cz = a.qz AND b.pid <> a.pid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) < 6.25e0 GROUP BY a.pid), iso AS (SELECT pid FROM pts WHERE pid NOT IN (SELECT pid FROM nbr WHERE k >= 2))"
 
 
@@ -831,6 +840,24 @@ def _tiers(spark, sf_dir):
     )
 
 
+@query("SELECT CAST(k AS INTEGER) AS level, CASE WHEN k = 0 THEN 'full' ELSE 'lod' || k END AS id, CASE WHEN k > 0 THEN 0.25e0 END AS fraction FROM (SELECT unnest(range(6)) AS k) q")
+def tier_specs(spark, sf_dir):
+    return measure.tier_specs(spark)
+
+
+_CORNERS = "SELECT * FROM (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j) CROSS JOIN (VALUES (0), (1)) c(k)"
+
+
+# The view projection of pick_point, with a perspective: w = 1 + 0.01 z.
+@query(TIERS + f""", cr AS (SELECT tile, CASE WHEN i = 1 THEN max_x ELSE min_x END AS x, CASE WHEN j = 1 THEN max_y ELSE min_y END AS y, CASE WHEN k = 1 THEN max_z ELSE min_z END AS z FROM ts CROSS JOIN ({_CORNERS}) o WHERE tier = 0),
+sc AS (SELECT tile, 1 + 0.01e0 * z AS w, ((0.02e0 * x - 0.32e0) / (1 + 0.01e0 * z) + 1) * 400e0 AS sx, (1 - (-0.02e0 * z + 0.32e0) / (1 + 0.01e0 * z)) * 300e0 AS sy FROM cr)
+SELECT tile FROM sc GROUP BY tile HAVING min(w) <= 0 OR (410 BETWEEN min(sx) - 6 AND max(sx) + 6 AND 290 BETWEEN min(sy) - 6 AND max(sy) + 6)""")
+def tiles_under_cursor(spark, sf_dir):
+    matrix = list(_M)
+    matrix[11] = 0.01
+    return measure.tiles_under_cursor(_tiers(spark, sf_dir).filter("tier = 0"), matrix, 410.0, 290.0, 800.0, 600.0).select("tile")
+
+
 @query(TIERS + """, t0 AS (SELECT tile, n AS nf, sum(n) OVER () AS total FROM ts WHERE tier = 0), f AS (SELECT ts.tile, tier, ts.n <= greatest(1, floor(5000e0 * nf / total + 0.5e0)) AS fits FROM ts JOIN t0 ON t0.tile = ts.tile)
 SELECT tile, coalesce(min(CASE WHEN fits THEN tier END), max(tier)) AS tier FROM f GROUP BY tile""")
 def tier_for_budget(spark, sf_dir):
