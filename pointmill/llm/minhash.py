@@ -19,18 +19,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, connected_components, settled, spread_join
+from .common import P, connected_components, spread_join, stored
 from .simhash import shingle_set
 
 #: Shingle width, and the least similarity in per cent.
 WIDTH, PERCENT = 4, 80
 #: Common shingles are those that SEEN or more different texts of a SAMPLE-th of all hold; the driver takes the commonest ORDERED of them.
 SAMPLE, SEEN, ORDERED = 16, 3, 400_000
-#: Lists of more than LEAD sets are linked to their least set first; what is then left of a list is paired in blocks of about BLOCK sets.
+#: Lists that would make more than LEAD * LEAD pairs are linked through single sets first; what is then left of a list is paired in blocks of about BLOCK sets.
 LEAD, BLOCK = 64, 256
+#: How many sets of a long list are compared with all of it, turn by turn.
+TURNS = (1, 16, 64)
 #: Rows of a key beyond this share of all rows are dealt out over several copies of what they are joined with.
 SHARE = 2_000
 #: Ids of texts to fetch are broadcast up to so many; beyond, both sides are shuffled.
@@ -104,6 +106,11 @@ def _common_shingles(docs: DataFrame, raw: Column, width: int) -> tuple[np.ndarr
     return keys[order], rank[order]
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Rows computed once. Written as a table, since what Spark infers from one checkpoint to the next doubles in each turn."""
+    return stored(df, "minhash")
+
+
 def dealt_join(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
     """rows joined with table, which has each value of ``on`` once: rows of a hot value are dealt out over copies of its row.
 
@@ -112,7 +119,7 @@ def dealt_join(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
     total = rows.count()
     many = F.col("__n") * F.lit(SHARE) > F.lit(total)
     hot = rows.groupBy(on).agg(F.count("*").alias("__n")).filter(many).select(on, F.ceil(F.col("__n") * F.lit(SHARE) / F.lit(max(total, 1))).cast("int").alias("__k"))
-    hot = F.broadcast(settled(hot))
+    hot = F.broadcast(_kept(hot))
     k = F.coalesce("__k", F.lit(1))
     rest = [F.col(c) for c in rows.columns if c != on]
     left = rows.join(hot, on, "left").withColumn("__s", F.pmod(F.xxhash64(*rest), k).cast("int")).drop("__k")
@@ -145,26 +152,80 @@ def _union_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a, b = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("w").alias(f"w{k}")) for k in "ab")
     both = dealt_join(dealt_join(pairs, a, "a"), b, "b")
     best = F.arrow_udf(most, "int")("wa", "wb", "na", "nb")
-    return settled(both.withColumn("best", best).filter(_reach(F.col("best"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
+    return _kept(both.withColumn("best", best).filter(_reach(F.col("best"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
+
+
+def _full_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, id_col: str, raw: Column, width: int) -> DataFrame:
+    """``node, n, s``: all shingle hashes of the nodes asked for, from their documents' texts."""
+    wanted = _kept(sets.select("node", "rep", "h1", "h2", "n").join(nodes, "node"))
+    near = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda v: v)
+    # Not deterministic for Spark, so that no filter on its result moves before the join that leaves few texts.
+    hashed = F.arrow_udf(lambda t: _sets(t, width), _SET).asNondeterministic()
+    full = docs.select(F.col(id_col).alias("rep"), raw.alias("t")).join(near(wanted.select("rep").distinct()), "rep", "left_semi")
+    full = full.select("rep", hashed("t").alias("f")).select("rep", "f.*")
+    # Rows may share an id: the set itself tells which of them is meant.
+    return _kept(full.join(near(wanted), ["rep", "h1", "h2"]).select("node", "n", "s").dropDuplicates(["node"]))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, raw: Column, width: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` of nodes whose full sets are alike."""
 
     def shared(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([len(np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), assume_unique=True)) for a, b in zip(x, y, strict=True)], pa.int32())
 
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = settled(sets.select("node", "rep", "h1", "h2", "n").join(nodes, "node"))
-    near = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda v: v)
-    # Rows may share an id: the set itself tells which of them is meant.
-    full = docs.select(F.col(id_col).alias("rep"), raw.alias("t")).join(near(wanted.select("rep").distinct()), "rep", "left_semi")
-    full = full.select("rep", F.arrow_udf(lambda t: _sets(t, width), _SET)("t").alias("f")).select("rep", "f.*")
-    full = settled(full.join(near(wanted), ["rep", "h1", "h2"]).select("node", "n", "s").dropDuplicates(["node"]))
     a, b = (full.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}")) for k in "ab")
     both = dealt_join(dealt_join(pairs, a, "a"), b, "b")
     alike = _reach(F.arrow_udf(shared, "int")("sa", "sb"), F.col("na"), F.col("nb"), percent)
-    return settled(both.filter(alike).select("a", "b"))
+    return _kept(both.filter(alike).select("a", "b"))
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _long_lists(met: DataFrame) -> DataFrame:
+    """``key, size``: lists whose sets of different components would make many pairs."""
+    by_comp = met.groupBy("key", "size", "comp").agg(F.count("*").alias("m"))
+    lists = by_comp.groupBy("key", "size").agg(F.sum("m").alias("c"), F.sum(F.col("m") * F.col("m")).alias("q"))
+    return _kept(lists.filter((F.col("c") * F.col("c") - F.col("q")) / 2 > LEAD * LEAD).select("key", "size"))
+
+
+def _with_components(met: DataFrame, links: DataFrame) -> DataFrame:
+    comp = connected_components(links, "a", "b").withColumnRenamed("node", "linked")
+    out = met.drop("comp").join(comp, F.col("node") == F.col("linked"), "left")
+    return _kept(out.withColumn("comp", F.coalesce("root", "node")).drop("linked", "root"))
+
+
+def _links_of_long_lists(met: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, raw: Column, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """met with the components that links within long lists make, and these links.
+
+    Of each list the set whose values most others hold is compared with all of it, as the source of many
+    near copies would be; then, in turns, more and more of its sets with those still in
+    another component. A large group thus needs few comparisons for each copy. What
+    stays apart is left to the comparison of all pairs.
+    """
+    held = met.groupBy("node").agg(F.count_if(F.col("c") > LEAD).alias("_held"))
+    kept = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rank = _kept(held.join(sets.select("node", "n"), "node").select("node", (F.col("_held") / kept).alias("held")))
+    links, full = None, None
+    for turn, leads in enumerate(TURNS):
+        lists = _long_lists(met)
+        if not lists.limit(1).count():
+            break
+        near = F.broadcast if lists.count() <= BROADCAST_ROWS else (lambda v: v)
+        own = met.join(near(lists), ["key", "size"]).select("key", "size", "node", "comp", "n", (F.col("n") - F.col("pos")).alias("upto"))
+        if full is None:
+            full = _full_sets(docs, sets, own.select("node").distinct(), id_col, raw, width)
+        own = _kept(own.join(rank, "node"))
+        first = [F.desc("held")] if turn == 0 else []
+        w = Window.partitionBy("key", "size").orderBy(*first, F.xxhash64(F.lit(turn), "node"), "node")
+        lead = _kept(own.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= leads).select("key", "size", F.col("node").alias("lead"), F.col("comp").alias("other"), F.col("n").alias("m"), F.col("upto").alias("most")))
+        near = F.broadcast if lead.count() <= BROADCAST_ROWS else (lambda v: v)
+        pairs = own.join(near(lead), ["key", "size"]).filter((F.col("comp") != F.col("other")) & _reach(F.least("upto", "most"), F.col("n"), F.col("m"), percent)).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
+        found = _confirmed(_union_filter(_kept(pairs.distinct()), sets, percent), full, percent)
+        links = found if links is None else _kept(links.union(found))
+        met = _with_components(met, links)
+    return met, links
 
 
 def _candidates(met: DataFrame, percent: int) -> DataFrame:
@@ -207,34 +268,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     common, rank = _common_shingles(docs, raw, width)
     sketch = F.arrow_udf(lambda t: _sketches(t, width, percent, common, rank), _SKETCH)
-    own = settled(docs.select(F.col(id_col).alias(f"{P}id"), sketch(raw).alias("s")).select(f"{P}id", "s.*"))
+    own = _kept(docs.select(F.col(id_col).alias(f"{P}id"), sketch(raw).alias("s")).select(f"{P}id", "s.*"))
     # Documents with equal sets are one node; its number is stored with it.
     sets = own.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(f"{P}id").alias("rep"), F.first("few").alias("few"), F.first("w").alias("w"), F.count("*").alias("rows"))
-    sets = settled(sets.withColumn("node", F.monotonically_increasing_id()))
+    sets = _kept(sets.withColumn("node", F.monotonically_increasing_id()))
     # Sets of one size class or the next are all that can be alike.
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(1.01 * 100 / percent)).cast("int")
     rows = sets.filter("rep IS NOT NULL").select("node", "n", "few", size.alias("size"), F.posexplode("w").alias("pos", "key"))
     keys = rows.groupBy("key").agg(F.count("*").alias("c"), F.max((F.col("pos") < F.col("few")).cast("int")).alias("met")).filter("c > 1 AND met = 1").select("key", "c")
-    met = settled(rows.join(keys, "key")).withColumn("comp", F.col("node"))
-    links = None
-    # A long list would make many pairs: first, all of a size class are compared with the least of it.
-    leads = met.filter(F.col("c") > LEAD).groupBy("key", "size").agg(F.min("node").alias("a"), F.count("*").alias("m")).filter(F.col("m") > LEAD)
-    leads = settled(leads.select("key", "size", "a"))
-    if leads.limit(1).count():
-        pairs = met.join(F.broadcast(leads) if leads.count() <= BROADCAST_ROWS else leads, ["key", "size"]).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-        links = _confirmed(_union_filter(settled(pairs), sets, percent), docs, sets, id_col, raw, width, percent)
-        comp = connected_components(links, "a", "b").withColumnRenamed("node", "linked")
-        met = settled(met.drop("comp").join(comp, F.col("node") == F.col("linked"), "left").withColumn("comp", F.coalesce("root", "node")).drop("linked", "root"))
+    met = _kept(rows.join(keys, "key").withColumn("comp", F.col("node")))
+    met, links = _links_of_long_lists(met, docs, sets, id_col, raw, width, percent)
+    if links is not None:
         keys = met.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
         met = met.join(keys, "key")
-    pairs = settled(_candidates(met, percent))
-    rest = _confirmed(_union_filter(pairs, sets, percent), docs, sets, id_col, raw, width, percent)
+    pairs = _union_filter(_kept(_candidates(met, percent)), sets, percent)
+    rest = _confirmed(pairs, _full_sets(docs, sets, _nodes(pairs), id_col, raw, width), percent)
     comp = connected_components(rest if links is None else links.union(rest), "a", "b").withColumnRenamed("node", "linked")
     least = comp.join(sets, F.col("linked") == F.col("node")).groupBy("root").agg(F.min("rep").alias("least"))
     named = comp.join(least, "root").select("linked", "least")
     key = F.struct("h1", "h2", "n")
     named = sets.join(named, F.col("node") == F.col("linked"), "left").select(key.alias("set"), F.coalesce("least", "rep").alias("component_id"), "rows")
-    placed = spread_join(own.filter("n > 0").select(f"{P}id", "n", key.alias("set")), settled(named), "set", "rows")
+    placed = spread_join(own.filter("n > 0").select(f"{P}id", "n", key.alias("set")), _kept(named), "set", "rows")
     out = placed.select(f"{P}id", "n", "component_id").union(own.filter("n = 0").select(f"{P}id", "n", f"{P}id"))
     kept = F.coalesce(F.col(f"{P}id") == F.col("component_id"), F.lit(False))
     return out.select(F.col(f"{P}id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), "component_id", kept.alias("kept"))
