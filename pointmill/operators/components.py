@@ -142,6 +142,19 @@ def numbered(rows: DataFrame, keys: list, name: str) -> DataFrame:
     return placed.withColumn(name, inside).join(F.broadcast(sizes), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("bigint")).drop("_part", "_before")
 
 
+def running_total(rows: DataFrame, keys: list, value: str, name: str) -> DataFrame:
+    """rows with ``name``: the sum of ``value`` over all rows up to each, in the order of ``keys``, which tell all rows apart.
+
+    Like :func:`numbered`: range partitions sum inside, only their totals meet in one place.
+    """
+    placed = settled(rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy("_part").agg(F.sum(value).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn(name, inside).join(F.broadcast(totals), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def label_cells(mask: DataFrame, cols: int, connectivity: int = 8) -> DataFrame:
     """mask's cells (row, col) with ``label``: numbers from 1 in the order of each component's first cell."""
     out = settled(cell_roots(mask, cols, connectivity))

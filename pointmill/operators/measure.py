@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import settled
-from .components import connected_components
+from .components import connected_components, running_total
 from .raster import dense_array, push_pull
 from .raster import slope as grid_slope
 
@@ -512,9 +512,12 @@ def tier_for_budget(tiers: DataFrame, budget: int) -> DataFrame:
 
 
 def tier_for_distance(tiers: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Per camera (camera, distance) the tier with the greatest least distance that it reaches; tiers: tier, min_distance."""
-    j = cameras.join(F.broadcast(tiers), tiers.min_distance <= cameras.distance, "left")  # a handful of tiers
-    return j.groupBy("camera").agg(F.coalesce(F.max_by("tier", "min_distance"), F.lit(0)).alias("tier"))
+    """Per camera (camera, distance) the tier with the greatest least distance that it reaches, else that of the smallest, else the full one; tiers: tier, min_distance (null: never chosen)."""
+    own = tiers.filter("min_distance IS NOT NULL")
+    nearest = own.agg(F.min_by("tier", F.struct("min_distance", (-F.col("tier")).alias("t"))).alias("nearest"))
+    j = cameras.join(F.broadcast(own), own.min_distance <= cameras.distance, "left")  # a handful of tiers
+    chosen = j.groupBy("camera").agg(F.max_by("tier", F.struct("min_distance", "tier")).alias("tier"))
+    return chosen.crossJoin(F.broadcast(nearest)).select("camera", F.coalesce("tier", "nearest", F.lit(0)).alias("tier"))  # one row
 
 
 def distance_to_box(x: float, y: float, z: float) -> list:
@@ -523,22 +526,27 @@ def distance_to_box(x: float, y: float, z: float) -> list:
     return [F.sqrt(sum((q * q for q in d), F.lit(0.0))).alias("distance")]
 
 
-def tier_for_screen(tiers: DataFrame, x: float, y: float, z: float, pixels_per_radian: float, gap: float = 2.0, budget: int | None = None) -> DataFrame:
-    """Per tile the coarsest tier whose points lie at most ``gap`` pixels apart on screen; with a budget, widest gaps are refined first.
+def tier_for_screen(tiers: DataFrame, x: float, y: float, z: float, pixels_per_unit: float, gap: float = 2.0, budget: int | None = None, in_view: Column | None = None) -> DataFrame:
+    """Per tile the coarsest tier whose points lie at most ``gap`` pixels apart on screen; with a budget of points, widest gaps are refined first.
 
-    tiers: tile, tier, spacing, n and the tile's box. Refining steps are ordered
-    by the gap they close; the first that overruns the budget stops it.
+    tiers: tile, tier (0 is the finest), spacing, n and the tile's box. Every tile
+    starts at its leanest tier, at which those stay for which ``in_view`` doesn't hold. Steps to a
+    finer tier are taken in the order of the gaps they close, ties by tile, up to the first
+    that would overrun the budget; their running sum is that of range partitions,
+    so no task holds them all.
     """
-    own = tiers.withColumn("distance", distance_to_box(x, y, z)[0]).withColumn("gap", F.col("spacing") / F.greatest(F.col("distance"), F.lit(1e-6)) * F.lit(float(pixels_per_radian)))
+    if gap <= 0 or pixels_per_unit <= 0:
+        raise ValueError("gap and pixels_per_unit must be positive")
+    own = tiers.withColumn("distance", distance_to_box(x, y, z)[0]).withColumn("gap", F.col("spacing") * F.lit(float(pixels_per_unit)) / F.greatest(F.col("distance"), F.lit(1e-3)))
+    seen = F.lit(True) if in_view is None else F.coalesce(in_view, F.lit(False))
     if budget is None:
-        fine = F.max(F.when(F.col("gap") <= gap, F.col("tier")))
+        fine = F.max(F.when((F.col("gap") <= gap) | ~seen, F.col("tier")))
         return own.groupBy("tile").agg(F.coalesce(fine, F.min("tier")).cast("int").alias("tier"))
     w = Window.partitionBy("tile").orderBy(F.desc("tier"))
-    step = own.withColumns({"from_gap": F.lag("gap").over(w), "more": F.col("n") - F.lag("n").over(w)})
-    start = step.groupBy("tile").agg(F.max("tier").alias("coarsest"), F.max_by("n", "tier").alias("n0"))
+    # A step's gap is that of the tier it leaves; a tile's later steps never come before its earlier ones.
+    step = own.withColumns({"from_gap": F.min("gap").over(w.rowsBetween(Window.unboundedPreceding, -1)), "more": F.col("n") - F.lag("n").over(w)})
+    start = settled(step.groupBy("tile").agg(F.max("tier").alias("coarsest"), F.max_by("n", "tier").alias("n0")))
     spent = start.agg(F.coalesce(F.sum("n0"), F.lit(0))).first()[0]
-    run = Window.orderBy(F.desc("from_gap"), "tile", F.desc("tier")).rowsBetween(Window.unboundedPreceding, 0)  # one row for each tile and tier
-    taken = step.filter(F.col("from_gap") > gap).withColumn("total", F.sum("more").over(run) + F.lit(spent)).filter(F.col("total") <= budget)
+    wanted = step.filter((F.col("from_gap") > gap) & seen).select("tile", "tier", "from_gap", "more")
+    taken = running_total(wanted, [F.desc("from_gap"), F.col("tile"), F.desc("tier")], "more", "total").filter(F.col("total") + F.lit(spent) <= budget)
     return start.join(taken.groupBy("tile").agg(F.min("tier").alias("t")), "tile", "left").select("tile", F.coalesce("t", "coarsest").cast("int").alias("tier"))
-
-

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from ..storage import settled
 from . import raster as R
 from .components import label_cells, narrow, numbered, patch_moments
+from .crowns import segment_crowns
 from .quality import Frame, with_cells
 from .tables import object_candidates
 
@@ -125,55 +125,6 @@ def covered_area(labels: DataFrame, cells: DataFrame, cell: float) -> DataFrame:
     return own.join(med, "label", "left").groupBy("label").agg((F.sum(part) * F.lit(cell * cell)).alias("area"))
 
 
-def treetops(canopy: DataFrame, cell: float) -> DataFrame:
-    """row, col, value of the highest canopy cells within their window (wider for taller trees); the first cell wins a tie."""
-    win = F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.lit(0.5) + F.lit(0.2) * F.col("value")))
-    own = canopy.select("row", "col", "value", F.greatest(F.lit(1), F.floor(win / F.lit(cell) + F.lit(0.5)).cast("int")).alias("r"))
-    reach = max(1, math.floor(5.0 / cell + 0.5))
-    near = own.withColumn("o", R._offsets(reach)).filter(F.col("o.i") * F.col("o.i") + F.col("o.j") * F.col("o.j") <= F.col("r") * F.col("r"))
-    near = near.select(F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("v0"), (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
-    above = near.join(canopy.select("row", "col", "value"), ["row", "col"])
-    above = above.filter((F.col("value") > F.col("v0")) | ((F.col("value") == F.col("v0")) & (F.struct("row", "col") < F.struct(F.col("r0").alias("row"), F.col("c0").alias("col")))))
-    return own.select("row", "col", "value").join(above.select(F.col("r0").alias("row"), F.col("c0").alias("col")).distinct(), ["row", "col"], "left_anti")
-
-
-def segment_crowns(canopy: DataFrame, frame: Frame, o: ObjectOptions) -> DataFrame:
-    """row, col, crown (first cell of its top as a number), top: a descending flood from the treetops within each canopy patch.
-
-    Patches are flooded apart, each in one task; a patch is a connected piece of canopy.
-    """
-    cell, cols = frame.cell, frame.cols
-    tops = treetops(canopy, cell).select("row", "col", F.lit(True).alias("is_top"))
-    own = canopy.join(label_cells(canopy, cols), ["row", "col"]).join(tops, ["row", "col"], "left")
-
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        height = {(r, c): v for r, c, v in zip(pdf["row"], pdf["col"], pdf["value"], strict=True)}
-        heap, owner, info = [], {}, {}
-        for r, c, v, t in zip(pdf["row"], pdf["col"], pdf["value"], pdf["is_top"], strict=True):
-            if t is True and v >= o.tree_height:
-                info[r, c] = v
-                heap.append((-v, r, c, r, c))
-        heapq.heapify(heap)
-        while heap:
-            _, r, c, tr, tc = heapq.heappop(heap)
-            if (r, c) in owner:
-                continue
-            owner[r, c] = (tr, tc)
-            top = info[tr, tc]
-            floor, reach = max(o.min_height, o.crown_share * top), min(12.0, max(1.5, 1 + 0.3 * top)) / cell
-            for i in (-1, 0, 1):
-                for j in (-1, 0, 1):
-                    n = (r + i, c + j)
-                    v = height.get(n)
-                    if v is None or n in owner or v < floor or v > top + 0.5 or (n[0] - tr) ** 2 + (n[1] - tc) ** 2 > reach * reach:
-                        continue
-                    heapq.heappush(heap, (-v, *n, tr, tc))
-        rows = [(r, c, tr * cols + tc, info[tr, tc]) for (r, c), (tr, tc) in owner.items()]
-        return pd.DataFrame(rows, columns=["row", "col", "crown", "top"]).astype({"row": "int32", "col": "int32", "crown": "int64"})
-
-    return own.groupBy("label").applyInPandas(flood, "row int, col int, crown bigint, top double")
-
-
 def outline(labels: DataFrame, frame: Frame, tolerance: float = 0.75) -> DataFrame:
     """label, outline: the largest boundary ring of each label's cells, simplified by ``tolerance`` cells."""
     x0, z0, cell = frame.min_x, frame.min_z, frame.cell
@@ -275,7 +226,7 @@ def detect_objects(points: DataFrame, options: ObjectOptions = ObjectOptions(),
     canopy = canopy.join(thin.select("row", "col"), ["row", "col"], "left_anti")
     opened = mask_dilate(mask_erode(canopy, rows, cols), rows, cols)
     canopy = settled(canopy.join(opened, ["row", "col"], "left_semi"))
-    crowns = settled(segment_crowns(R.smooth_canopy(canopy), frame, o))
+    crowns = settled(segment_crowns(R.smooth_canopy(canopy), cell, cols, o.min_height, o.tree_height, o.crown_share))
     shape = _crown_shapes(crowns, cell, o)
     crowns = crowns.join(shape.select("crown"), "crown", "left_semi")
     owned = _owners(points, frame, crowns, built, roofs, o)
@@ -301,15 +252,11 @@ def detect_objects(points: DataFrame, options: ObjectOptions = ObjectOptions(),
 
 
 def _crown_shapes(crowns: DataFrame, cell: float, o: ObjectOptions) -> DataFrame:
-    """crown, area of those that are large, round and stout enough."""
-    m = patch_moments(crowns.withColumnRenamed("crown", "label")).join(crowns.groupBy(F.col("crown").alias("label")).agg(F.max("top").alias("t")), "label")
-    n = F.col("n")
-    cc, rr, rc = (F.col(s) / n - F.col(a) * F.col(b) / (n * n) + e for s, a, b, e in (("scc", "sc", "sc", 1 / 12), ("srr", "sr", "sr", 1 / 12), ("src", "sr", "sc", 0.0)))
-    root = F.sqrt((cc - rr) * (cc - rr) / 4 + rc * rc)
-    long, short = (cc + rr) / 2 + root, F.greatest((cc + rr) / 2 - root, F.lit(1e-9))
-    area = n * F.lit(cell * cell)
-    ok = (area >= o.crown_area) & (F.sqrt(long / short) <= 4) & (F.col("t") / (2 * F.sqrt(area / F.lit(math.pi))) <= o.slenderness)
-    return m.filter(ok).select(F.col("label").alias("crown"), area.alias("area"))
+    """crown, area of those that are large enough, at most four times as long as wide (of the box around them) and stout enough."""
+    box = crowns.groupBy("crown").agg(F.count("*").alias("n"), F.max("top").alias("t"), *((F.max(c) - F.min(c) + 1).alias(c) for c in ("row", "col")))
+    area = F.col("n") * F.lit(cell * cell)
+    ok = (area >= o.crown_area) & (F.greatest("row", "col") <= 4 * F.least("row", "col")) & (F.col("t") <= F.lit(o.slenderness * 2) * F.sqrt(area / F.lit(math.pi)))
+    return box.filter(ok).select("crown", area.alias("area"))
 
 
 def _owners(points: DataFrame, frame: Frame, crowns: DataFrame, built: DataFrame, roofs: DataFrame, o: ObjectOptions) -> DataFrame:

@@ -82,21 +82,27 @@ def describe_point(points: DataFrame, pid: int, origin: tuple[float, float, floa
     return own.select("pid", *G.map_coordinates(F.col("x"), F.col("y"), F.col("z"), origin), G.class_name(F.col("classification")).alias("class_name"), "return_number", "number_of_returns", "point_source_id", *extra)
 
 
-def voxel_downsample(points: DataFrame, voxel: float, means: list[str] | None = None, votes: list[str] | None = None, origin: tuple[float, float, float] | None = None) -> DataFrame:
+def voxel_downsample(
+    points: DataFrame, voxel: float | Column, means: list[str] | None = None, votes: list[str] | None = None,
+    origin: tuple | None = None, by: tuple[str, ...] = (),
+) -> DataFrame:
     """One row for each voxel: means of continuous channels, rounded mean colours, majority votes of categorical ones.
 
     A vote is won by the most frequent value, the lowest on a tie. Votes are
-    aggregated by (voxel, value), so no voxel's points are ever gathered.
+    aggregated by (voxel, value), so no voxel's points are ever gathered. ``voxel``
+    and ``origin`` may be columns, which are constant within the groups ``by``.
     """
-    if voxel <= 0:
+    if not isinstance(voxel, Column) and voxel <= 0:
         raise ValueError("voxel must be positive")
     if origin is None:
         low = points.agg(F.min("x"), F.min("y"), F.min("z")).first()
         origin = (low[0], low[1], low[2])
     means = [c for c in (["intensity", "height_above_ground"] if means is None else means) if c in points.columns]
     votes = [c for c in (["classification", "return_number", "number_of_returns", "object_id", "point_source_id"] if votes is None else votes) if c in points.columns]
+    number = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     keys = ["vx", "vy", "vz"]
-    keyed = points.withColumns({k: F.floor((F.col(c) - F.lit(float(o))) / F.lit(float(voxel))).cast("int") for k, c, o in zip(keys, "xyz", origin, strict=True)})
+    keyed = points.withColumns({k: F.floor((F.col(c) - number(o)) / number(voxel)).cast("int") for k, c, o in zip(keys, "xyz", origin, strict=True)})
+    keys = [*by, *keys]
     colours = [c for c in "rgb" if c in points.columns]
     out = keyed.groupBy(*keys).agg(
         F.count("*").alias("n"), *(F.avg(c).alias(c) for c in (*"xyz", *means)),

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
 from .operators import components as C
-from .operators import ground, measure, noise, objects, quality, raster, tables, terrain
+from .operators import crowns, ground, measure, noise, objects, quality, raster, tables, terrain, tilestore
 from .operators.quality import Frame
 from .scene import points, scene_cte
-from .storage import settled
+from .storage import removed_at_exit, settled, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -673,7 +674,7 @@ def near_building_height(spark, sf_dir):
 SELECT row, col, value FROM cy a WHERE NOT EXISTS (SELECT 1 FROM cy b WHERE (b.row - a.row) * (b.row - a.row) + (b.col - a.col) * (b.col - a.col) <= a.r * a.r AND abs(b.row - a.row) <= 6 AND (b.value > a.value OR (b.value = a.value AND (b.row < a.row OR (b.row = a.row AND b.col < a.col)))))""")
 def treetops(spark, sf_dir):
     s, _ = _stats(spark, sf_dir)
-    return objects.treetops(s.filter("veg * 2 > n").select("row", "col", F.col("top").alias("value")), 1.0)
+    return crowns.treetops(s.filter("veg * 2 > n").select("row", "col", F.col("top").alias("value")), 1.0)
 
 
 @query(CAND + ", b AS (SELECT CAST(floor(row / 100e0) * 1000 + floor(col / 100e0) AS BIGINT) AS label, row, col, top AS h FROM tp WHERE built * 2 > n), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, row, col) AS k, count(*) OVER (PARTITION BY label) AS m FROM b) SELECT label, max(m) AS cells, max(CASE WHEN k = CAST(floor(0.95e0 * (m - 1)) AS BIGINT) + 1 THEN h END) AS height FROM k GROUP BY label")
@@ -827,59 +828,142 @@ def lod_ladder(spark, sf_dir):
     return measure.lod_ladder(points(spark, sf_dir), 1.0, 2.0, 4)
 
 
-TIERS = scene_cte() + ", tl AS (SELECT CAST(floor(x / 16e0) * 1000 + floor(z / 16e0) AS INTEGER) AS tile, count(*) AS n FROM pts GROUP BY 1), ts AS (SELECT tile, CAST(t AS INTEGER) AS tier, CAST(floor(n / pow(4e0, t)) AS BIGINT) AS n, 0.25e0 * pow(2e0, t) AS spacing, floor(tile / 1000e0) * 16 AS min_x, floor(tile / 1000e0) * 16 + 16 AS max_x, 0e0 AS min_y, 30e0 AS max_y, (tile % 1000) * 16e0 AS min_z, (tile % 1000) * 16e0 + 16 AS max_z FROM tl CROSS JOIN (SELECT unnest(range(5)) AS t) q)"
+#: Edge of the tiles in metres, and thinner tiers made of each.
+TILE_EDGE, LEVELS = 32.0, 2
 
 
-def _tiers(spark, sf_dir):
-    tl = points(spark, sf_dir).groupBy((F.floor(F.col("x") / 16.0) * 1000 + F.floor(F.col("z") / 16.0)).cast("int").alias("tile")).agg(F.count("*").alias("m"))
-    t = tl.withColumn("tier", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    gx, gz = F.floor(F.col("tile") / 1000.0) * 16.0, (F.col("tile") % 1000) * 16.0
-    return t.select(
-        "tile", "tier", F.floor(F.col("m") / F.pow(F.lit(4.0), "tier")).alias("n"), (F.lit(0.25) * F.pow(F.lit(2.0), "tier")).alias("spacing"),
-        gx.alias("min_x"), (gx + 16).alias("max_x"), F.lit(0.0).alias("min_y"), F.lit(30.0).alias("max_y"), gz.alias("min_z"), (gz + 16).alias("max_z"),
-    )
+_STORES: dict = {}
 
 
-@query("SELECT CAST(k AS INTEGER) AS level, CASE WHEN k = 0 THEN 'full' ELSE 'lod' || k END AS id, CASE WHEN k > 0 THEN 0.25e0 END AS fraction FROM (SELECT unnest(range(6)) AS k) q")
-def tier_specs(spark, sf_dir):
-    return measure.tier_specs(spark)
+def _store(spark, sf_dir) -> tilestore.TileStore:
+    """The scene as a store of tiles with thinner tiers, made once for each session and input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        path = removed_at_exit(spark, f"{shared_dir(spark)}/pm-tiles-{uuid.uuid4().hex}")
+        _STORES[key] = tilestore.write_tiles(points(spark, sf_dir).select("pid", "x", "y", "z"), path, TILE_EDGE, levels=LEVELS)
+    return _STORES[key]
+
+
+_SPACING = "greatest(sqrt(greatest((max_x - min_x) * (max_z - min_z), 1e-6) / n), 0.005e0)"
+_BOX = "min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z"
+_TILED = f"""ex AS (SELECT min(x) AS x0, min(z) AS z0, greatest(1, ceil((max(x) - min(x)) / {TILE_EDGE}e0)) AS nx, greatest(1, ceil((max(z) - min(z)) / {TILE_EDGE}e0)) AS nz FROM pts),
+p0 AS (SELECT pid, x, y, z, CAST(greatest(0, least(nx - 1, floor((x - x0) / {TILE_EDGE}e0))) AS INTEGER) AS grid_x, CAST(greatest(0, least(nz - 1, floor((z - z0) / {TILE_EDGE}e0))) AS INTEGER) AS grid_z FROM pts CROSS JOIN ex),
+b0 AS (SELECT grid_x, grid_z, 0e0 AS voxel, count(*) AS n, {_BOX} FROM p0 GROUP BY 1, 2)"""
+
+
+def _thinned_sql(k: int) -> str:
+    """Tier k of every tile, from the points p and boxes b of the tier above."""
+    ladder = ", ".join(f"({i}, {tilestore.GROWTH**i!r}e0)" for i in range(tilestore.ATTEMPTS + 1))
+    at = ", ".join(f"floor(({c} - min_{c}) / v)" for c in "xyz")
+    return f"""a{k} AS (SELECT *, greatest(voxel, {_SPACING}) * {tilestore.GROWTH}e0 AS first, greatest(1, floor(n * {tilestore.FRACTION}e0)) AS target FROM b{k - 1}),
+l{k} AS (SELECT a.*, g.i, a.first * g.f AS v FROM a{k} a CROSS JOIN (VALUES {ladder}) g(i, f)),
+h{k} AS (SELECT grid_x, grid_z, i, v, target, count(*) AS kept FROM (SELECT DISTINCT p.grid_x, p.grid_z, i, v, target, {at} FROM p{k - 1} p JOIN l{k} l ON l.grid_x = p.grid_x AND l.grid_z = p.grid_z) q GROUP BY ALL),
+v{k} AS (SELECT grid_x, grid_z, min(v) AS v FROM h{k} WHERE kept <= target OR kept <= 1 OR i = {tilestore.ATTEMPTS} GROUP BY 1, 2),
+p{k} AS (SELECT p.grid_x, p.grid_z, any_value(v) AS voxel, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM p{k - 1} p JOIN a{k} a ON a.grid_x = p.grid_x AND a.grid_z = p.grid_z JOIN v{k} v ON v.grid_x = p.grid_x AND v.grid_z = p.grid_z GROUP BY p.grid_x, p.grid_z, {at}),
+b{k} AS (SELECT grid_x, grid_z, max(voxel) AS voxel, count(*) AS n, {_BOX} FROM p{k} GROUP BY 1, 2)"""
+
+
+_TIERS = "ts AS (" + " UNION ALL ".join(
+    f"SELECT 'tile-' || o.grid_x || '-' || o.grid_z AS tile, {k} AS tier, t.n, t.voxel, o.min_x, o.max_x, o.min_y, o.max_y, o.min_z, o.max_z FROM b0 o JOIN b{k} t ON t.grid_x = o.grid_x AND t.grid_z = o.grid_z" for k in range(LEVELS + 1)
+) + ")"
+TIERS = f"{scene_cte()}, {_TILED}, " + ", ".join(_thinned_sql(k) for k in range(1, LEVELS + 1)) + f", {_TIERS}, td AS (SELECT *, {_SPACING} AS spacing FROM ts)"
+
+
+@query(f"{scene_cte()}, {_TILED} SELECT 'tile-' || grid_x || '-' || grid_z AS tile, grid_x, grid_z, n, min_x, max_x, min_y, max_y, min_z, max_z FROM b0")
+def tile_manifest(spark, sf_dir):
+    """Every tile's number of points and box, as a reader finds them."""
+    return _store(spark, sf_dir).manifest.filter("tier = 0").select("tile", "grid_x", "grid_z", "n", *(f"{s}_{c}" for c in "xyz" for s in ("min", "max")))
+
+
+@query(TIERS + " SELECT tile, tier, n, round(voxel, 6) AS voxel, round(spacing, 6) AS spacing FROM td")
+def tile_lod(spark, sf_dir):
+    """Every tile's tiers: voxels grown until a quarter of the points is left."""
+    return _store(spark, sf_dir).manifest.select("tile", "tier", "n", F.round("voxel", 6).alias("voxel"), F.round("spacing", 6).alias("spacing"))
+
+
+@query(f"""{scene_cte()}, {_TILED}, s1 AS (SELECT CAST(sum(CASE WHEN pid >= 0 THEN 1 ELSE 0 END) AS BIGINT) AS n, round(sum(x), 3) AS sx, round(sum(y), 3) AS sy, round(sum(z), 3) AS sz FROM p0) SELECT 0 AS tier, n, sx, sy, sz FROM s1""")
+def tile_store_lossless(spark, sf_dir):
+    """All points of the store, none twice."""
+    p = _store(spark, sf_dir).points().select("pid", "x", "y", "z").distinct()
+    return p.agg(F.lit(0).alias("tier"), F.count("pid").alias("n"), *(F.round(F.sum(c), 3).alias(f"s{c}") for c in "xyz")).select("tier", "n", "sx", "sy", "sz")
+
+
+@query(f"{scene_cte()} SELECT pid, x, y, z FROM pts WHERE x BETWEEN 20e0 AND 45.5e0 AND z BETWEEN 10e0 AND 70e0")
+def points_in_rectangle(spark, sf_dir):
+    """A rectangle of the plan, read from the tiles it meets."""
+    return _store(spark, sf_dir).within(20.0, 10.0, 45.5, 70.0).select("pid", "x", "y", "z")
 
 
 _CORNERS = "SELECT * FROM (VALUES (0), (1)) a(i) CROSS JOIN (VALUES (0), (1)) b(j) CROSS JOIN (VALUES (0), (1)) c(k)"
+#: The view projection of pick_point, with a perspective: w = 1 + 0.01 z.
+_VIEW = [*_M[:11], 0.01, *_M[12:]]
 
 
-# The view projection of pick_point, with a perspective: w = 1 + 0.01 z.
-@query(TIERS + f""", cr AS (SELECT tile, CASE WHEN i = 1 THEN max_x ELSE min_x END AS x, CASE WHEN j = 1 THEN max_y ELSE min_y END AS y, CASE WHEN k = 1 THEN max_z ELSE min_z END AS z FROM ts CROSS JOIN ({_CORNERS}) o WHERE tier = 0),
-sc AS (SELECT tile, 1 + 0.01e0 * z AS w, ((0.02e0 * x - 0.32e0) / (1 + 0.01e0 * z) + 1) * 400e0 AS sx, (1 - (-0.02e0 * z + 0.32e0) / (1 + 0.01e0 * z)) * 300e0 AS sy FROM cr)
-SELECT tile FROM sc GROUP BY tile HAVING min(w) <= 0 OR (410 BETWEEN min(sx) - 6 AND max(sx) + 6 AND 290 BETWEEN min(sy) - 6 AND max(sy) + 6)""")
+@query(f"""{scene_cte()}, {_TILED}, cr AS (SELECT grid_x, grid_z, CASE WHEN i = 1 THEN max_x ELSE min_x END AS x, CASE WHEN j = 1 THEN max_y ELSE min_y END AS y, CASE WHEN k = 1 THEN max_z ELSE min_z END AS z FROM b0 CROSS JOIN ({_CORNERS}) o),
+sc AS (SELECT grid_x, grid_z, 1 + 0.01e0 * z AS w, ((0.02e0 * x - 0.32e0) / (1 + 0.01e0 * z) + 1) * 400e0 AS sx, (1 - (-0.02e0 * z + 0.32e0) / (1 + 0.01e0 * z)) * 300e0 AS sy FROM cr)
+SELECT 'tile-' || grid_x || '-' || grid_z AS tile FROM sc GROUP BY grid_x, grid_z HAVING min(w) <= 0 OR (410 BETWEEN min(sx) - 6 AND max(sx) + 6 AND 290 BETWEEN min(sy) - 6 AND max(sy) + 6)""")
 def tiles_under_cursor(spark, sf_dir):
-    matrix = list(_M)
-    matrix[11] = 0.01
-    return measure.tiles_under_cursor(_tiers(spark, sf_dir).filter("tier = 0"), matrix, 410.0, 290.0, 800.0, 600.0).select("tile")
+    return measure.tiles_under_cursor(_store(spark, sf_dir).manifest.filter("tier = 0"), _VIEW, 410.0, 290.0, 800.0, 600.0).select("tile")
 
 
-@query(TIERS + """, t0 AS (SELECT tile, n AS nf, sum(n) OVER () AS total FROM ts WHERE tier = 0), f AS (SELECT ts.tile, tier, ts.n <= greatest(1, floor(5000e0 * nf / total + 0.5e0)) AS fits FROM ts JOIN t0 ON t0.tile = ts.tile)
+@query(scene_cte() + """, s AS (SELECT pid, x, y, z, 1 + 0.01e0 * z AS w FROM pts), d AS (SELECT *, sqrt(pow((((0.02e0 * x - 0.32e0) / w + 1) / 2e0) * 800 - 410, 2) + pow(((1 - (-0.02e0 * z + 0.32e0) / w) / 2e0) * 600 - 290, 2)) AS dist, (0.01e0 * y - 0.5e0) / w AS depth FROM s WHERE w > 0)
+SELECT pid, x, y, z, round(depth, 9) AS depth, round(dist, 9) AS dist FROM d WHERE depth BETWEEN -1 AND 1 AND dist <= 6 ORDER BY dist > 2, CASE WHEN dist <= 2 THEN depth ELSE dist END, pid LIMIT 1""")
+def pick_in_tiles(spark, sf_dir):
+    """The point under a cursor, sought in the tiles that may hold it."""
+    near = _store(spark, sf_dir).under_cursor(_VIEW, 410.0, 290.0, 800.0, 600.0)
+    return measure.pick_point(near, _VIEW, 410.0, 290.0, 800.0, 600.0).select("pid", "x", "y", "z", F.round("depth", 9).alias("depth"), F.round("dist", 9).alias("dist"))
+
+
+def _tiers(spark, sf_dir):
+    return _store(spark, sf_dir).manifest
+
+
+@query(TIERS + f" SELECT tier AS level, CASE WHEN tier = 0 THEN 'full' ELSE 'lod' || tier END AS id, CASE WHEN tier > 0 THEN {tilestore.FRACTION}e0 END AS fraction, count(*) AS tiles, CAST(sum(n) AS BIGINT) AS points FROM td GROUP BY tier")
+def tier_specs(spark, sf_dir):
+    """The tiers asked for, and what was made of them."""
+    made = _tiers(spark, sf_dir).groupBy(F.col("tier").alias("level")).agg(F.count("*").alias("tiles"), F.sum("n").alias("points"))
+    return made.join(measure.tier_specs(spark, LEVELS), "level").select("level", "id", "fraction", "tiles", "points")
+
+
+@query(TIERS + """, t0 AS (SELECT tile, n AS nf, sum(n) OVER () AS total FROM td WHERE tier = 0), f AS (SELECT td.tile, tier, td.n <= greatest(1, floor(total * 0.3e0 * nf / total + 0.5e0)) AS fits FROM td JOIN t0 ON t0.tile = td.tile)
 SELECT tile, coalesce(min(CASE WHEN fits THEN tier END), max(tier)) AS tier FROM f GROUP BY tile""")
 def tier_for_budget(spark, sf_dir):
-    return measure.tier_for_budget(_tiers(spark, sf_dir), 5000)
+    t = _tiers(spark, sf_dir)
+    return measure.tier_for_budget(t, t.filter("tier = 0").agg(F.sum("n")).first()[0] * 0.3)
 
 
-@query("WITH t(tier, m) AS (VALUES (0, 0e0), (1, 50e0), (2, 120e0), (3, 400e0)) SELECT CAST(n_nationkey AS INTEGER) AS camera, coalesce((SELECT arg_max(tier, m) FROM t WHERE m <= n_nationkey * 20e0), 0) AS tier FROM nation")
+@query("""WITH t(tier, m) AS (VALUES (0, 10e0), (1, 50e0), (2, 120e0), (3, 400e0)) SELECT CAST(n_nationkey AS INTEGER) AS camera, coalesce((SELECT arg_max(tier, m) FROM t WHERE m <= n_nationkey * 20e0), 0) AS tier FROM nation""")
 def tier_for_distance(spark, sf_dir):
-    t = spark.createDataFrame([(0, 0.0), (1, 50.0), (2, 120.0), (3, 400.0)], "tier int, min_distance double")
+    t = spark.createDataFrame([(0, 10.0), (1, 50.0), (2, 120.0), (3, 400.0), (4, None)], "tier int, min_distance double")
     c = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("camera"), (F.col("n_nationkey") * F.lit(20.0)).alias("distance"))
     return measure.tier_for_distance(t, c)
 
 
-@query(TIERS + """, d AS (SELECT tile, tier, spacing / greatest(sqrt(pow(greatest(min_x - 5, 0e0, 5 - max_x), 2) + pow(greatest(min_y - 40, 0e0, 40 - max_y), 2) + pow(greatest(min_z - 5, 0e0, 5 - max_z), 2)), 1e-6) * 500 AS gap FROM ts)
-SELECT tile, CAST(coalesce(max(CASE WHEN gap <= 8 THEN tier END), min(tier)) AS INTEGER) AS tier FROM d GROUP BY tile""")
+_GAPS = """, d AS (SELECT *, spacing * 500 / greatest(sqrt(pow(greatest(min_x - 5, 0e0, 5 - max_x), 2) + pow(greatest(min_y - 40, 0e0, 40 - max_y), 2) + pow(greatest(min_z - 5, 0e0, 5 - max_z), 2)), 1e-3) AS gap FROM td)"""
+
+
+@query(TIERS + _GAPS + " SELECT tile, CAST(coalesce(max(CASE WHEN gap <= 6 THEN tier END), min(tier)) AS INTEGER) AS tier FROM d GROUP BY tile")
 def tier_screen_space(spark, sf_dir):
-    return measure.tier_for_screen(_tiers(spark, sf_dir), 5.0, 40.0, 5.0, 500.0, 8.0)
+    return measure.tier_for_screen(_tiers(spark, sf_dir), 5.0, 40.0, 5.0, 500.0, 6.0)
+
+
+# Steps one after the other: what is spent and whether a step has been refused, in the order of the gaps.
+@query(TIERS + _GAPS + """, st AS (SELECT tile, max(tier) AS coarsest, arg_max(n, tier) AS n0 FROM d GROUP BY tile), b AS (SELECT floor(sum(n0) * 1.8e0) AS budget, sum(n0) AS spent FROM st),
+sp AS (SELECT tile, tier, gap0, more FROM (SELECT tile, tier, n - lag(n) OVER w AS more, lag(gap) OVER w AS gap0, min_x FROM d WINDOW w AS (PARTITION BY tile ORDER BY tier DESC)) q WHERE gap0 > 2 AND min_x < 80),
+ru AS (SELECT *, sum(more) OVER (ORDER BY gap0 DESC, tile, tier DESC ROWS UNBOUNDED PRECEDING) AS total FROM sp)
+SELECT st.tile, CAST(coalesce(min(ru.tier), any_value(st.coarsest)) AS INTEGER) AS tier FROM st LEFT JOIN (SELECT ru.* FROM ru, b WHERE ru.total + b.spent <= b.budget) ru ON ru.tile = st.tile GROUP BY st.tile""")
+def tier_screen_budget(spark, sf_dir):
+    """The same view with a budget of points; tiles from 80 m east on are out of view."""
+    t = _tiers(spark, sf_dir)
+    least = t.groupBy("tile").agg(F.max_by("n", "tier").alias("n")).agg(F.sum("n")).first()[0]
+    return measure.tier_for_screen(t, 5.0, 40.0, 5.0, 500.0, 2.0, math.floor(least * 1.8), F.col("min_x") < 80)
 
 
-@query(TIERS + ", ch AS (SELECT tile, tier, n, spacing FROM ts WHERE tier = tile % 5) SELECT tier, count(*) AS tiles, CAST(sum(n) AS BIGINT) AS points, round(sum(spacing * n) / sum(n), 6) AS spacing FROM ch GROUP BY tier")
+@query(TIERS + _GAPS + """, ch AS (SELECT tile, coalesce(max(CASE WHEN gap <= 6 THEN tier END), min(tier)) AS tier FROM d GROUP BY tile)
+SELECT td.tier, count(*) AS tiles, CAST(sum(td.n) AS BIGINT) AS points, round(sum(td.spacing * td.n) / sum(td.n), 6) AS spacing FROM td JOIN ch ON ch.tile = td.tile AND ch.tier = td.tier GROUP BY td.tier""")
 def lod_usage(spark, sf_dir):
-    chosen = _tiers(spark, sf_dir).filter("tier = tile % 5")
+    """What the view by screen space draws."""
+    chosen = _tiers(spark, sf_dir).join(tier_screen_space(spark, sf_dir), ["tile", "tier"])
     return tables.lod_usage(chosen).withColumn("spacing", F.round("spacing", 6))
 
 
@@ -906,13 +990,6 @@ def ground_errors(spark, sf_dir):
     return tables.ground_errors(hag_points(spark, sf_dir).select(truth.alias("truth"), guess.alias("classification")))
 
 
-@query()
-def synthetic_survey(spark, sf_dir):
-    from .sources.synthetic import synthetic_survey as make
-
-    return make(spark, 20_000).groupBy("truth").agg(F.count("*").alias("n"))
-
-
 @query(BASE + " SELECT row, col, count(*) AS n, sum(y) AS s, sum(y * y) AS ss, min(y) AS lo, max(y) AS hi FROM pc GROUP BY row, col")
 def streaming_cell_stats(spark, sf_dir):
     from .streaming import cells
