@@ -7,12 +7,18 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ASPRS class names (fixed values).
+#: Names of point classes (fixed values).
 CLASS_NAMES = {
-    0: "Created, never classified", 1: "Unclassified", 2: "Ground", 3: "Low vegetation", 4: "Medium vegetation", 5: "High vegetation", 6: "Building", 7: "Low point (noise)",
-    8: "Model key-point", 9: "Water", 10: "Rail", 11: "Road surface", 12: "Overlap", 13: "Wire - guard", 14: "Wire - conductor", 15: "Transmission tower", 16: "Wire connector",
+    0: "Never classified", 1: "Unclassified", 2: "Ground", 3: "Low vegetation", 4: "Medium vegetation", 5: "High vegetation", 6: "Building", 7: "Low noise",
+    8: "Model key-point", 9: "Water", 10: "Rail", 11: "Road surface", 12: "Overlap", 13: "Wire, guard", 14: "Wire, conductor", 15: "Transmission tower", 16: "Wire connector",
     17: "Bridge deck", 18: "High noise", 19: "Overhead structure", 20: "Ignored ground", 21: "Snow", 22: "Temporal exclusion",
 }
+#: Colours of point classes, and of all others (fixed values).
+CLASS_COLOURS = {
+    0: "#8d99a6", 1: "#b6bfc7", 2: "#a2764a", 3: "#8fbf5a", 4: "#5d9e43", 5: "#2f7a34", 6: "#c0553c", 7: "#7a3f6d", 8: "#d98cb3", 9: "#2f7fc1", 10: "#6f5b8e", 11: "#5c6570", 12: "#9aa2ab",
+    13: "#d8b94a", 14: "#e0c33f", 15: "#b08a2e", 16: "#cfae55", 17: "#9c6f4f", 18: "#a3427c", 19: "#7f8b96", 20: "#8a7154", 21: "#e8eef2", 22: "#6b7480",
+}
+OTHER_COLOUR = "#4d5560"
 NOISE_CLASSES = (7, 18)
 
 
@@ -78,6 +84,11 @@ def class_name(code: Column) -> Column:
     return out
 
 
+def class_colour(code: Column) -> Column:
+    """A class's colour as #rrggbb."""
+    return F.coalesce(F.create_map(*(F.lit(v) for pair in CLASS_COLOURS.items() for v in pair))[code.cast("int")], F.lit(OTHER_COLOUR))
+
+
 def is_noise(code: Column) -> Column:
     return F.coalesce(code.isin(*NOISE_CLASSES), F.lit(False))
 
@@ -92,6 +103,95 @@ def density_colour(v: Column) -> Column:
     return F.when(v.isNull(), "none").when(v <= 0, "empty").when(v < 2, "sparse").when(v < 8, "thin").otherwise("good")
 
 
+#: Colours of empty, sparse and thin cells; a good one's from the ends of a ramp that twice the median reaches (fixed values).
+DENSITY_COLOURS = {"empty": (214, 48, 49), "sparse": (232, 110, 44), "thin": (232, 176, 52)}
+DENSITY_RAMP = ((40, 120, 70), (100, 220, 110))
+
+
+def density_rgb(v: Column, median: Column) -> Column:
+    """A cell's colour as an array of red, green and blue up to 255; null where no density is known."""
+    t = F.least(F.lit(1.0), v / F.greatest(F.lit(8.0), median * 2))
+    good = F.array(*(js_round(F.lit(float(a)) + t * (b - a)).cast("int") for a, b in zip(*DENSITY_RAMP, strict=True)))
+    band = density_colour(v)
+    out = F.when(band == "good", good)
+    for name, rgb in DENSITY_COLOURS.items():
+        out = F.when(band == name, F.array(*map(F.lit, rgb))).otherwise(out)
+    return out
+
+
+# Colours of points: arrays of red, green and blue from 0 to 1.
+
+#: Fixed values of the colour modes: stops over the ground, under it, and points of no object.
+ABOVE_STOPS = ((0.0, (0.13, 0.42, 0.50)), (0.33, (0.30, 0.66, 0.36)), (0.66, (0.92, 0.82, 0.30)), (1.0, (0.93, 0.42, 0.24)))
+AT_GROUND, UNDER, DEEP_UNDER = (0.635, 0.463, 0.290), (0.42, 0.34, 0.70), (0.20, 0.14, 0.42)
+NO_OBJECT, NO_OBJECT_GROUND = (0.19, 0.21, 0.24), (0.27, 0.22, 0.17)
+LOW_HEIGHT, HIGH_HEIGHT = (0.0, 0.2, 0.6), (1.0, 0.9, 0.3)
+
+
+def _mix(a, b, t: Column) -> Column:
+    return F.array(*(F.lit(float(x)) + (F.lit(float(y)) - F.lit(float(x))) * t for x, y in zip(a, b, strict=True)))
+
+
+def _unit(v: Column) -> Column:
+    return clamp(v, 0, 1)
+
+
+def _fraction(v: Column) -> Column:
+    return v - F.floor(v)
+
+
+def hsl(hue: Column, saturation: float, lightness: Column) -> Column:
+    """Red, green and blue of a hue in turns."""
+
+    def part(shift: float) -> Column:
+        turn = hue * 6 + shift
+        full = _unit(F.abs(turn - F.floor(turn / 6) * 6 - 3) - 1)
+        return lightness + F.lit(saturation) * (full - 0.5) * (1 - F.abs(2 * lightness - 1))
+
+    return F.array(part(0.0), part(4.0), part(2.0))
+
+
+def colour_by_height(y: Column, low: Column, high: Column) -> Column:
+    return _mix(LOW_HEIGHT, HIGH_HEIGHT, _unit(F.coalesce((y - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))))
+
+
+def colour_by_rgb(r: Column, g: Column, b: Column) -> Column:
+    return F.array(r / 255.0, g / 255.0, b / 255.0)
+
+
+def colour_by_class(code: Column) -> Column:
+    hexed = class_colour(code)
+    return F.array(*(F.conv(F.substring(hexed, 2 + 2 * k, 2), 16, 10).cast("double") / 255.0 for k in range(3)))
+
+
+def colour_above_ground(h: Column, top: Column) -> Column:
+    """Violet below the ground, earth within 0.25 m of it, above it a ramp over the square root of height up to ``top``."""
+    t = F.sqrt(_unit((h - 0.25) / F.greatest(top - 0.25, F.lit(0.001))))
+    out = None
+    for (t0, a), (t1, b) in reversed(list(zip(ABOVE_STOPS, ABOVE_STOPS[1:], strict=False))):
+        part = _mix(a, b, (t - t0) / (t1 - t0))
+        out = part if out is None else F.when(t < t1, part).otherwise(out)
+    out = F.when(h < 0.25, F.array(*map(F.lit, AT_GROUND))).otherwise(out)
+    return F.when(h < -0.25, _mix(UNDER, DEEP_UNDER, _unit((-h - 0.25) / 4.0))).otherwise(out)
+
+
+def colour_by_object(object_id: Column, code: Column, buildings: Column) -> Column:
+    """Buildings in reds and ambers, trees in greens, each id apart from the ones beside it; points of no object dark."""
+    k = F.coalesce(object_id.cast("double"), F.lit(0.0))
+    hue, shade = _fraction(k * 0.6180339887), _fraction(k * 0.7548776662)
+    none = F.when(code == 2, F.array(*map(F.lit, NO_OBJECT_GROUND))).otherwise(F.array(*map(F.lit, NO_OBJECT)))
+    return F.when(k < 0.5, none).when(k <= buildings + 0.5, hsl(hue * 0.12, 0.75, shade * 0.14 + 0.5)).otherwise(hsl(hue * 0.2 + 0.22, 0.6, shade * 0.18 + 0.38))
+
+
+def colour_by_intensity(v: Column, low: Column, high: Column) -> Column:
+    grey = F.pow(_unit((v - low) / F.greatest(high - low, F.lit(0.0001))), F.lit(0.8)) * 0.92 + 0.04
+    return F.array(grey, grey, grey)
+
+
+def colour_by_line(source: Column) -> Column:
+    return hsl(flight_line_hue(source.cast("double")), 0.72, F.lit(0.56))
+
+
 def slug(name: Column) -> Column:
     """A file stem of at most 120 safe characters."""
     s = F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"[^A-Za-z0-9._-]+", "-")

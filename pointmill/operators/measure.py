@@ -235,14 +235,25 @@ def _planes(own: DataFrame) -> DataFrame:
     return out.select("seed", (F.col("mean") - F.col("kr") * F.col("mr") - F.col("kc") * F.col("mc")).alias("k0"), "kr", "kc", "mean", "level")
 
 
-def surface_outline(cells: DataFrame) -> DataFrame:
-    """seed and the borders of its surface: every edge between a cell of it and one outside, as x1, z1, x2, z2 in cells from the grid's corner."""
+def surface_outline(cells: DataFrame, planes: DataFrame | None = None, cell: float = 1.0, min_x: float = 0.0, min_z: float = 0.0, lift: float = 0.05) -> DataFrame:
+    """seed and the borders of its surface: every edge between a cell of it and one outside, as x1, z1, x2, z2 in cells from the grid's corner.
+
+    With ``planes`` (as :func:`surface_planes` gives them) the ends are places in space instead,
+    x1, y1, z1, x2, y2, z2, on the fitted plane and ``lift`` above it. The plane's height
+    at a cell's corner is that of the plane through cells' heights at their middles.
+    """
     # Step in row and col, then both ends in col and row.
     sides = [(-1, 0, 0, 0, 1, 0), (1, 0, 0, 1, 1, 1), (0, -1, 0, 0, 0, 1), (0, 1, 1, 0, 1, 1)]
     o = F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("i", "j", "x1", "z1", "x2", "z2"), t, strict=True))) for t in sides)))
     e = cells.select("seed", "row", "col").withColumn("o", o)
     e = e.select("seed", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"), *((F.col(c) + F.col(f"o.{k}")).alias(k) for k, c in (("x1", "col"), ("z1", "row"), ("x2", "col"), ("z2", "row"))))
-    return e.join(cells.select("seed", "row", "col"), ["seed", "row", "col"], "left_anti").select("seed", "x1", "z1", "x2", "z2")
+    e = e.join(cells.select("seed", "row", "col"), ["seed", "row", "col"], "left_anti").select("seed", "x1", "z1", "x2", "z2")
+    if planes is None:
+        return e
+    size = float(cell)
+    y = lambda k: (F.col("k0") + F.col("kr") * (F.col(f"z{k}") - 0.5) * size + F.col("kc") * (F.col(f"x{k}") - 0.5) * size + lift).alias(f"y{k}")
+    at = lambda c, k, low: (F.lit(low) + F.col(f"{c}{k}") * size).alias(f"{c}{k}")
+    return e.join(planes.select("seed", "k0", "kr", "kc"), "seed").select("seed", *(v for k in (1, 2) for v in (at("x", k, min_x), y(k), at("z", k, min_z))))
 
 
 def surfaces_touch(cells: DataFrame) -> DataFrame:
@@ -411,6 +422,46 @@ def measure_polygons(polygons: DataFrame, grid: DataFrame, min_x: float, min_z:
     )
 
 
+def polygon_drawing(polygons: DataFrame, closed: bool = True) -> DataFrame:
+    """id and what a view draws of polygons (id, vertices, base, custom_base, height), as arrays of places (x, y, z): outline, base, drops, prism_edges, prism_faces.
+
+    outline has both ends of each edge, drops both ends of each upright from a corner to the
+    base where they are over 0.01 apart; base and prism_faces have three corners
+    a triangle. Open polygons, those with fewer than three corners or edges that cross, have an outline only; without a
+    height there is no prism. The base is that of :func:`base_planes`, level bases at one height, others on their plane.
+    """
+
+    def draw(batches):
+        for pdf in batches:
+            rows = []
+            for x in pdf.itertuples(index=False):
+                v = [(float(p["x"]), float(p["y"]), float(p["z"])) for p in x.vertices]
+                n = len(v)
+                outline = [p for i in range(n if closed and n > 2 else n - 1) for p in (v[i], v[(i + 1) % n])]
+                t = triangulate([(a, c) for a, _, c in v]) if closed and n >= 3 else None
+                base, drops, edges, faces = [], [], [], []
+                if t:
+                    custom = None if x.custom_base is None or pd.isna(x.custom_base) else float(x.custom_base)
+                    # Triangles between the corners themselves have these as their base.
+                    low = [y for _, y, _ in v] if x.base == "triangulated" else [k + kx * a + kz * c for (a, _, c), (k, kx, kz) in zip(v, base_planes(v, [(0, 1, 2)] * n, x.base, custom), strict=True)]
+                    foot = [(a, y, c) for (a, _, c), y in zip(v, low, strict=True)]
+                    base = [foot[i] for tri in t for i in tri]
+                    drops = [p for a, f in zip(v, foot, strict=True) if abs(a[1] - f[1]) > 0.01 for p in (a, f)]
+                    h = max(0.0, float(x.height))
+                    if h > 0:
+                        top = [(a, y + h, c) for a, y, c in foot]
+                        for i in range(n):
+                            j = (i + 1) % n
+                            edges += [top[i], top[j], foot[i], top[i], foot[i], foot[j]]
+                            faces += [foot[i], foot[j], top[j], foot[i], top[j], top[i]]
+                        faces += [top[i] for tri in t for i in tri]
+                rows.append((x.id, *([{"x": float(a), "y": float(y), "z": float(c)} for a, y, c in part] for part in (outline, base, drops, edges, faces))))
+            yield pd.DataFrame(rows, columns=["id", "outline", "base", "drops", "prism_edges", "prism_faces"])
+
+    place = "array<struct<x:double,y:double,z:double>>"
+    return polygons.select("id", "vertices", "base", "custom_base", "height").mapInPandas(draw, f"id int, outline {place}, base {place}, drops {place}, prism_edges {place}, prism_faces {place}")
+
+
 def polygon_parts(triangles: DataFrame, min_x: float, min_z: float, cell: float) -> DataFrame:
     """id, row, col, height, part, base: pieces of triangles within cells, with their area and the base's height in their middle."""
     c = float(cell)

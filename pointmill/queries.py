@@ -77,15 +77,25 @@ def map_coordinates(spark, sf_dir):
     return points(spark, sf_dir).select("pid", *G.map_coordinates(F.col("x"), F.col("y"), F.col("z"), (543000.0, 0.0, -4179000.0)))
 
 
-@query(scene_cte() + "SELECT pid, x, y, z FROM pts WHERE pid % 7 = 0")
+_DENSE = scene_cte() + ", nu AS (SELECT *, row_number() OVER (ORDER BY pid) - 1 AS i, count(*) OVER () AS m FROM pts) "
+
+
+def _dense(spark, sf_dir):
+    """The scene with each point's place i in the order of pid, from 0."""
+    return C.numbered(points(spark, sf_dir), ["pid"], "i").withColumn("i", F.col("i") - 1)
+
+
+@query(_DENSE + "SELECT pid, x, y, z FROM nu WHERE i % 7 = 0")
 def thin_every_n(spark, sf_dir):
-    return tables.thin_every(points(spark, sf_dir), 7).select("pid", "x", "y", "z")
+    return tables.thin_every(_dense(spark, sf_dir), 7, "i").select("pid", "x", "y", "z")
 
 
-@query(scene_cte() + "SELECT pid, x, y, z FROM pts WHERE floor((pid % 1000003 + 1) * 250000e0 / 1000003e0) <> floor(pid % 1000003 * 250000e0 / 1000003e0)")
+@query(_DENSE + "SELECT pid, x, y, z FROM nu WHERE floor((i + 1) * (m // 3) * 1e0 / m) <> floor(i * (m // 3) * 1e0 / m)")
 def trim_to_target(spark, sf_dir):
-    own = points(spark, sf_dir).withColumn("i", (F.col("pid") % 1000003).cast("double"))
-    return tables.trim_to(own, 250_000, 1_000_003, "i").select("pid", "x", "y", "z")
+    """A third of the points, evenly."""
+    p = points(spark, sf_dir)
+    n = p.count()
+    return tables.trim_to(_dense(spark, sf_dir), n // 3, n, "i").select("pid", "x", "y", "z")
 
 
 @query(scene_cte() + "SELECT classification, count(*) AS n FROM pts GROUP BY classification")
@@ -158,6 +168,49 @@ def colour_modes(spark, sf_dir):
     )
 
 
+def _mix_sql(a, b, t: str) -> str:
+    return "[" + ", ".join(f"{x}e0 + ({y}e0 - {x}e0) * ({t})" for x, y in zip(a, b, strict=True)) + "]"
+
+
+def _hsl_sql(hue: str, saturation: float, lightness: str) -> str:
+    part = lambda k: f"({lightness}) + {saturation}e0 * (greatest(0e0, least(1e0, abs((({hue}) * 6 + {k}e0) - floor((({hue}) * 6 + {k}e0) / 6) * 6 - 3) - 1)) - 0.5e0) * (1 - abs(2 * ({lightness}) - 1))"
+    return f"[{part(0)}, {part(4)}, {part(2)}]"
+
+
+_CLASS_HEX = " ".join(f"WHEN {k} THEN '{v}'" for k, v in G.CLASS_COLOURS.items())
+_ABOVE = " ".join(f"WHEN t < {t1}e0 OR {t1} = 1 THEN {_mix_sql(a, b, f'(t - {t0}e0) / {t1 - t0!r}e0')}" for (t0, a), (t1, b) in zip(G.ABOVE_STOPS, G.ABOVE_STOPS[1:], strict=False))
+_PACKED = ", ".join(f"CAST(list_reduce(list_prepend(0e0, list_transform({c}, lambda v: floor(v * 255 + 0.5e0))), lambda a, v: a * 256 + v) AS INTEGER) AS {c}" for c in ("height", "rgb", "class", "above", "object", "grey", "line"))
+
+
+@query(scene_cte() + f""", ra AS (SELECT min(y) AS lo, max(y) AS hi FROM pts),
+cc AS (SELECT pid, classification, CASE classification {_CLASS_HEX} ELSE '{G.OTHER_COLOUR}' END AS hex, greatest(0e0, least(1e0, (y - lo) / (hi - lo))) AS u, r, g, b, kind, intensity, point_source_id, y - terrain AS h, sqrt(greatest(0e0, least(1e0, (y - terrain - 0.25e0) / 29.75e0))) AS t FROM pts CROSS JOIN ra),
+cl AS (SELECT pid, {_mix_sql(G.LOW_HEIGHT, G.HIGH_HEIGHT, "u")} AS height, [r / 255e0, g / 255e0, b / 255e0] AS rgb, [CAST(('0x' || substr(hex, 2, 2)) AS INTEGER) / 255e0, CAST(('0x' || substr(hex, 4, 2)) AS INTEGER) / 255e0, CAST(('0x' || substr(hex, 6, 2)) AS INTEGER) / 255e0] AS class,
+  CASE WHEN h < -0.25e0 THEN {_mix_sql(G.UNDER, G.DEEP_UNDER, "greatest(0e0, least(1e0, (-h - 0.25e0) / 4))")} WHEN h < 0.25e0 THEN [{", ".join(f"{v}e0" for v in G.AT_GROUND)}] ELSE CASE {_ABOVE} END END AS above,
+  CASE WHEN kind = 0 AND classification = 2 THEN [{", ".join(f"{v}e0" for v in G.NO_OBJECT_GROUND)}] WHEN kind = 0 THEN [{", ".join(f"{v}e0" for v in G.NO_OBJECT)}]
+    WHEN kind <= 2 THEN {_hsl_sql("(kind * 0.6180339887e0 - floor(kind * 0.6180339887e0)) * 0.12e0", 0.75, "(kind * 0.7548776662e0 - floor(kind * 0.7548776662e0)) * 0.14e0 + 0.5e0")}
+    ELSE {_hsl_sql("(kind * 0.6180339887e0 - floor(kind * 0.6180339887e0)) * 0.2e0 + 0.22e0", 0.6, "(kind * 0.7548776662e0 - floor(kind * 0.7548776662e0)) * 0.18e0 + 0.38e0")} END AS object,
+  [pow(least(1e0, intensity / 4095e0), 0.8e0) * 0.92e0 + 0.04e0] AS grey, {_hsl_sql("point_source_id * 0.6180339887e0 - floor(point_source_id * 0.6180339887e0)", 0.72, "0.56e0")} AS line FROM cc)
+SELECT pid, {_PACKED} FROM cl""")
+def point_colours(spark, sf_dir):
+    """Every point's colour by height, scan colour (and relief), class, height above ground, object, intensity and flight line."""
+    p = hag_points(spark, sf_dir)
+    lo, hi = map(F.lit, p.agg(F.min("y"), F.max("y")).first())
+    code = F.col("classification")
+    modes = {
+        "height": G.colour_by_height(F.col("y"), lo, hi), "rgb": G.colour_by_rgb(F.col("r"), F.col("g"), F.col("b")), "class": G.colour_by_class(code), "above": G.colour_above_ground(F.col("height_above_ground"), F.lit(30.0)),
+        "object": G.colour_by_object(F.col("kind"), code, F.lit(2)), "grey": F.slice(G.colour_by_intensity(F.col("intensity"), F.lit(0.0), F.lit(4095.0)), 1, 1), "line": G.colour_by_line(F.col("point_source_id")),
+    }
+    # Packed as red, green and blue of a byte each.
+    return p.select("pid", *(F.aggregate(c, F.lit(0.0), lambda acc, v: acc * 256 + F.floor(v * 255 + 0.5)).cast("int").alias(k) for k, c in modes.items()))
+
+
+@query(scene_cte() + f"SELECT classification, CASE classification {_CLASS_HEX} ELSE '{G.OTHER_COLOUR}' END AS colour, count(*) AS n FROM pts GROUP BY classification")
+def class_palette(spark, sf_dir):
+    """The classes of the scan and their colours."""
+    h = tables.class_histogram(points(spark, sf_dir))
+    return h.select("classification", G.class_colour(F.col("classification")).alias("colour"), "n")
+
+
 @query(scene_cte() + ", s AS (SELECT intensity, row_number() OVER (ORDER BY intensity, pid) AS k, count(*) OVER () AS m FROM pts) SELECT intensity AS value FROM s WHERE k = CAST(floor(0.98e0 * (m - 1)) AS BIGINT) + 1")
 def intensity_top(spark, sf_dir):
     return tables.upper_percentile(points(spark, sf_dir), "intensity", 0.98)
@@ -766,9 +819,39 @@ def surface_outline(spark, sf_dir):
     return measure.surface_outline(_roof_cells(spark, sf_dir))
 
 
-@query(ROOFS + " SELECT DISTINCT a.seed AS a, b.seed AS b FROM sc a JOIN sc b ON a.seed < b.seed AND abs(a.row - b.row) + abs(a.col - b.col) <= 1")
+#: Roofs and crowns in stripes of three rows, each a surface of its own that touches the next.
+STRIPES = f"{BASE}, sc AS (SELECT DISTINCT CAST(kind * 10000000 + floor(row / 3e0) * 1000 + floor(col / 100e0) AS BIGINT) AS seed, row, col FROM pc WHERE kind >= 1), tc AS (SELECT DISTINCT a.seed AS a, b.seed AS b FROM sc a JOIN sc b ON a.seed < b.seed AND ((a.row = b.row AND b.col BETWEEN a.col - 1 AND a.col + 1) OR (a.col = b.col AND b.row BETWEEN a.row - 1 AND a.row + 1)))"
+
+
+def _stripes(spark, sf_dir):
+    p = points(spark, sf_dir)
+    own = quality.with_cells(p.filter("kind >= 1"), Frame.of(p))
+    return own.select((F.col("kind") * 10_000_000 + F.floor(F.col("row") / 3) * 1000 + F.floor(F.col("col") / 100)).cast("bigint").alias("seed"), "row", "col").distinct()
+
+
+@query(STRIPES + " SELECT a, b FROM tc")
 def surfaces_touch(spark, sf_dir):
-    return measure.surfaces_touch(_roof_cells(spark, sf_dir))
+    return measure.surfaces_touch(_stripes(spark, sf_dir))
+
+
+@query(STRIPES.replace("WITH pts", "WITH RECURSIVE pts", 1) + """, bo AS (SELECT a, b FROM tc UNION ALL SELECT b, a FROM tc), re AS (SELECT DISTINCT seed, seed AS at_ FROM sc UNION SELECT re.seed, bo.b FROM re JOIN bo ON bo.a = re.at_),
+ro AS (SELECT seed, min(at_) AS root FROM re GROUP BY seed) SELECT DISTINCT root AS seed, row, col FROM sc JOIN ro ON ro.seed = sc.seed""")
+def merge_surfaces(spark, sf_dir):
+    return measure.merge_touching(_stripes(spark, sf_dir))
+
+
+@query(f"""{ROOFS}, {_surface_cte("max", "1e0")}, ow AS (SELECT seed, row, col, row * 1e0 AS r, col * 1e0 AS c, value AS v FROM sc LEFT JOIN g2 USING (row, col)), {_seed_plane("ow", "p1")},
+nr AS (SELECT ow.* FROM ow JOIN p1 USING (seed) WHERE abs(v - (k0 + kr * r + kc * c)) <= 0.3e0), {_seed_plane("nr", "p2")},
+sd AS (SELECT * FROM (VALUES (-1, 0, 0, 0, 1, 0), (1, 0, 0, 1, 1, 1), (0, -1, 0, 0, 0, 1), (0, 1, 1, 0, 1, 1)) t(i, j, x1, z1, x2, z2)),
+ed AS (SELECT seed, col + x1 AS x1, row + z1 AS z1, col + x2 AS x2, row + z2 AS z2 FROM sc a CROSS JOIN sd WHERE NOT EXISTS (SELECT 1 FROM sc b WHERE b.seed = a.seed AND b.row = a.row + i AND b.col = a.col + j))
+SELECT seed, x0 + x1 AS x1, round(k0 + kr * (z1 - 0.5e0) + kc * (x1 - 0.5e0) + 0.05e0, 4) AS y1, z0 + z1 AS z1, x0 + x2 AS x2, round(k0 + kr * (z2 - 0.5e0) + kc * (x2 - 0.5e0) + 0.05e0, 4) AS y2, z0 + z2 AS z2 FROM ed JOIN p2 USING (seed) CROSS JOIN sg""")
+def surface_outline_in_space(spark, sf_dir):
+    """Outlines of surfaces on their fitted planes."""
+    g, (x0, z0, cell, _, _) = _surface(spark, sf_dir, "highest", 1.0)
+    cells = _roof_cells(spark, sf_dir)
+    own = cells.join(g, ["row", "col"], "left").select("seed", F.col("row").cast("double").alias("r"), F.col("col").cast("double").alias("c"), "value")
+    out = measure.surface_outline(cells, measure.surface_planes(own), cell, x0, z0)
+    return out.withColumns({"y1": F.round("y1", 4), "y2": F.round("y2", 4)})
 
 
 @query(ROOFS + " SELECT count(*) * 1e0 AS area FROM (SELECT DISTINCT row, col FROM sc) q")
@@ -786,9 +869,75 @@ def _polygons(spark, sf_dir):
     return r.select("id", v.alias("vertices"), F.lit("mean").alias("base"), F.lit(None).cast("double").alias("custom_base"), F.lit(4.0).alias("height"))
 
 
-@query("SELECT CAST(r_regionkey AS INTEGER) AS id, 44e0 AS perimeter, 44e0 AS edge_length, 118.75e0 AS plan_area FROM region")
+def _l_shapes(spark, sf_dir):
+    """An L for each region, larger from one to the next, half a metre higher from corner to corner."""
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("int").alias("id"))
+    k = F.col("id").cast("double")
+    ring = [(F.lit(0.0), F.lit(0.0)), (k + 10, F.lit(0.0)), (k + 10, F.lit(4.0)), (F.lit(4.0), F.lit(4.0)), (F.lit(4.0), k + 8), (F.lit(0.0), k + 8)]
+    v = F.array(*(F.struct(x.alias("x"), F.lit(i / 2).alias("y"), z.alias("z")) for i, (x, z) in enumerate(ring)))
+    return r.select("id", v.alias("vertices"), F.lit("triangulated").alias("base"), F.lit(None).cast("double").alias("custom_base"), F.lit(0.0).alias("height"))
+
+
+_L_SHAPES = """ls AS (SELECT CAST(r_regionkey AS INTEGER) AS id, i, i / 2e0 AS y, [0e0, k + 10, k + 10, 4e0, 4e0, 0e0][i + 1] AS x, [0e0, 0e0, 4e0, 4e0, k + 8, k + 8][i + 1] AS z FROM (SELECT r_regionkey, r_regionkey * 1e0 AS k FROM region) q CROSS JOIN (SELECT unnest(range(6)) AS i) s),
+es AS (SELECT a.id, b.x - a.x AS dx, b.y - a.y AS dy, b.z - a.z AS dz, a.x * b.z - b.x * a.z AS part FROM ls a JOIN ls b ON b.id = a.id AND b.i = (a.i + 1) % 6)"""
+
+
+@query(f"WITH {_L_SHAPES} SELECT id, round(sum(sqrt(dx * dx + dz * dz)), 6) AS perimeter, round(sum(sqrt(dx * dx + dy * dy + dz * dz)), 6) AS edge_length, round(abs(sum(part)) / 2, 6) AS plan_area FROM es GROUP BY id")
 def polygon_area_perimeter(spark, sf_dir):
-    return measure.polygon_frame(_polygons(spark, sf_dir))
+    return measure.polygon_frame(_l_shapes(spark, sf_dir))
+
+
+@query(f"WITH {_L_SHAPES} SELECT id, 4 AS triangles, round(abs(sum(part)) / 2, 6) AS area FROM es GROUP BY id")
+def polygon_triangulation(spark, sf_dir):
+    """Concave polygons cut into triangles, which cover them."""
+    t = measure.polygon_triangles(_l_shapes(spark, sf_dir))
+    one = F.abs((F.col("bx") - F.col("ax")) * (F.col("cz") - F.col("az")) - (F.col("cx") - F.col("ax")) * (F.col("bz") - F.col("az"))) / 2
+    return t.groupBy("id").agg(F.count("*").cast("int").alias("triangles"), F.round(F.sum(one), 6).alias("area"))
+
+
+def _based(spark, sf_dir):
+    """The rectangle of each region, sloping, once for each base."""
+    corners = F.transform("vertices", lambda p: F.struct(p["x"].alias("x"), (p["y"] + (p["x"] - F.col("vertices")[0]["x"]) * 0.125 + (p["z"] - F.col("vertices")[0]["z"]) * 0.0625).alias("y"), p["z"].alias("z")))
+    own = _polygons(spark, sf_dir).withColumn("vertices", corners).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(len(measure.BASES) - 1))))
+    names = F.array(*map(F.lit, measure.BASES))
+    return own.select((F.col("id") * len(measure.BASES) + F.col("b")).cast("int").alias("id"), "vertices", names[F.col("b")].alias("base"), F.lit(9.5).alias("custom_base"), "height")
+
+
+_BASED = f"""pg AS (SELECT CAST(r_regionkey * 6 + b AS INTEGER) AS id, CAST(b AS INTEGER) AS b, r_regionkey * 3 + 2.25e0 AS xa, r_regionkey * 3 + 14.75e0 AS xb, r_regionkey * 2 + 3.25e0 AS za, r_regionkey * 2 + 12.75e0 AS zb, 8e0 + r_regionkey / 4e0 AS y0 FROM region CROSS JOIN (SELECT unnest(range(6)) AS b) q),
+pb AS (SELECT *, CASE b WHEN 2 THEN y0 WHEN 3 THEN y0 + (12.5e0 * 0.125e0 + 9.5e0 * 0.0625e0) / 2 WHEN 4 THEN y0 + 12.5e0 * 0.125e0 + 9.5e0 * 0.0625e0 WHEN 5 THEN 9.5e0 END AS level FROM pg)"""
+
+
+@query(f"""{scene_cte()}, {_surface_cte("avg", "1e0")}, {_BASED}, kept AS (SELECT * FROM g2),
+ln AS (SELECT pb.*, s, (s + 0.5e0) / 4e0 + z0 AS z, x0 FROM pb CROSS JOIN sg, LATERAL (SELECT unnest(range(0, 400)) AS s) q WHERE (s + 0.5e0) / 4e0 + z0 > za AND (s + 0.5e0) / 4e0 + z0 <= zb),
+pt AS (SELECT id, CAST(floor(s / 4e0) AS INTEGER) AS row, c AS col, (least(xb, x0 + c + 1) - greatest(xa, x0 + c)) / 4e0 AS part,
+  coalesce(level, y0 + ((least(xb, x0 + c + 1) + greatest(xa, x0 + c)) / 2 - xa) * 0.125e0 + (z - za) * 0.0625e0) AS base FROM ln, LATERAL (SELECT unnest(range(0, 400)) AS c) q WHERE x0 + c + 1 > xa AND x0 + c < xb)
+SELECT id, round(sum(part * (value - base)), 4) AS net, round(sum(part * base) / sum(part), 4) AS base_mean, 118.75e0 AS plan_area FROM pt JOIN kept USING (row, col) GROUP BY id""")
+def polygon_bases(spark, sf_dir):
+    """Volumes over all six bases: what is above them less what is below."""
+    g, (x0, z0, cell, _, _) = _surface(spark, sf_dir, "mean", 1.0)
+    out = measure.measure_polygons(_based(spark, sf_dir), g, x0, z0, cell)
+    return out.select("id", F.round(F.col("cut") - F.col("fill"), 4).alias("net"), F.round("base_mean", 4).alias("base_mean"), "plan_area")
+
+
+@query(f"""{scene_cte()}, {_surface_cte("avg", "1e0")}, {_BASED},
+ln AS (SELECT pb.*, s, (s + 0.5e0) / 4e0 + z0 AS z, x0 FROM pb CROSS JOIN sg, LATERAL (SELECT unnest(range(0, 400)) AS s) q WHERE b = 3 AND (s + 0.5e0) / 4e0 + z0 > za AND (s + 0.5e0) / 4e0 + z0 <= zb),
+pt AS (SELECT id, CAST(floor(s / 4e0) AS INTEGER) AS row, c AS col, (least(xb, x0 + c + 1) - greatest(xa, x0 + c)) / 4e0 AS part FROM ln, LATERAL (SELECT unnest(range(0, 400)) AS c) q WHERE x0 + c + 1 > xa AND x0 + c < xb)
+SELECT id, round(sum(CASE WHEN (row * 7 + col * 3) % 5 = 0 THEN part ELSE 0e0 END) / sum(part), 6) AS unmeasured FROM pt GROUP BY id""")
+def polygon_gaps(spark, sf_dir):
+    """The share of polygons over cells without points, a fifth of the grid's."""
+    g, (x0, z0, cell, _, _) = _surface(spark, sf_dir, "mean", 1.0)
+    holed = g.filter((F.col("row") * 7 + F.col("col") * 3) % 5 != 0)
+    return measure.measure_polygons(_based(spark, sf_dir).filter("base = 'mean'"), holed, x0, z0, cell).select("id", "unmeasured")
+
+
+@query(f"""WITH {_BASED}, co AS (SELECT id, b, CASE b WHEN 0 THEN NULL ELSE level END AS level, i, y0 + [0e0, 1.5625e0, 2.15625e0, 0.59375e0][i + 1] AS y FROM pb CROSS JOIN (SELECT unnest(range(4)) AS i) q)
+SELECT id, 8 AS outline, 6 AS base, CAST(sum(CASE WHEN level IS NOT NULL AND abs(y - level) > 0.01e0 THEN 2 ELSE 0 END) AS INTEGER) AS drops, 24 AS prism_edges, 30 AS prism_faces,
+  round(sum(coalesce(level, y)) * 6 + 4e0 * 12, 4) AS upright FROM co GROUP BY id""")
+def polygon_drawing(spark, sf_dir):
+    """Places of the arrays that draw each polygon; upright adds up the heights of its edges' ends."""
+    d = measure.polygon_drawing(_based(spark, sf_dir))
+    heights = F.aggregate("prism_edges", F.lit(0.0), lambda acc, p: acc + p["y"])
+    return d.select("id", *(F.size(c).alias(c) for c in ("outline", "base", "drops", "prism_edges", "prism_faces")), F.round(heights, 4).alias("upright"))
 
 
 # The grid has no gaps under the polygons once speckles are filled, so no cell counts as filled.
@@ -973,12 +1122,6 @@ def visible_points(spark, sf_dir):
     return tables.visible(points(spark, sf_dir), "hidden", hidden).select("pid", "point_source_id")
 
 
-@query(ROOFS + " SELECT DISTINCT seed, row, col FROM sc")
-def merge_surfaces(spark, sf_dir):
-    # The scene's roofs and crowns stand apart, so each stays a group of its own.
-    return measure.merge_touching(_roof_cells(spark, sf_dir))
-
-
 @query(scene_cte() + """, t AS (SELECT CASE WHEN classification IN (5, 6) THEN 1 ELSE classification END AS truth, CASE WHEN y - terrain > 20 THEN 18 WHEN y - terrain < -4 THEN 7 WHEN y - terrain <= 0.5e0 THEN 2 ELSE 1 END AS c FROM pts)
 SELECT round(sum(CASE WHEN truth = 2 AND c <> 2 THEN 1 ELSE 0 END) * 1e0 / sum(CASE WHEN truth = 2 THEN 1 ELSE 0 END), 6) AS type_1, round(sum(CASE WHEN truth <> 2 AND c = 2 THEN 1 ELSE 0 END) * 1e0 / sum(CASE WHEN truth <> 2 THEN 1 ELSE 0 END), 6) AS type_2,
   round(sum(CASE WHEN (truth = 2) <> (c = 2) THEN 1 ELSE 0 END) * 1e0 / count(*), 6) AS total, round(sum(CASE WHEN truth IN (7, 18) AND c IN (7, 18) THEN 1 ELSE 0 END) * 1e0 / sum(CASE WHEN truth IN (7, 18) THEN 1 ELSE 0 END), 6) AS noise_recall FROM t""")
@@ -1005,28 +1148,46 @@ def streaming_cell_stats(spark, sf_dir):
   intensity, return_number, number_of_returns, classification, point_source_id, r, g, b FROM pts""")
 def las_points(spark, sf_dir):
     """The scene written as LAS and read again: coordinates to the millimetre, points numbered on."""
-    import uuid
-
     from .sinks.las import write_las
     from .sources.scan import read_scan
-    from .storage import removed_at_exit, shared_dir
 
-    path = removed_at_exit(spark, f"{shared_dir(spark)}/pm-scan-{uuid.uuid4().hex}.las").removeprefix("file:")
+    path = removed_at_exit(spark, f"{shared_dir(spark)}/pm-scan-{uuid.uuid4().hex}.las")
     write_las(points(spark, sf_dir), path)
     out = read_scan(spark, path)
     whole = ("return_number", "number_of_returns", "classification", "point_source_id", "r", "g", "b")
     return out.select("pid", *(F.round(c, 6).alias(c) for c in "xyz"), "intensity", *(F.col(c).cast("int").alias(c) for c in whole))
 
 
-@query("""SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey || ',' || CASE WHEN n_nationkey % 3 = 0 THEN 'building' ELSE 'tree' END || ',' || printf('%.3f', 543000e0 + n_nationkey * 1.5e0) || ',' || printf('%.3f', 4179000e0 + n_nationkey * 2.25e0) || ',' || printf('%.2f', 3e0 + n_nationkey * 0.25e0)
-  || ',' || printf('%.2f', 2.5e0 + n_nationkey * 0.25e0) || ',' || printf('%.1f', 20e0 + n_nationkey * 0.5e0) || ',' || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE printf('%.2f', n_nationkey * 0.25e0) END || ',' || (n_nationkey * 10) AS line FROM nation""")
+_HALF_UP = "floor(({0}) * {1} + 0.5e0) / {1}"
+
+
+@query(scene_cte() + f""", ob AS (SELECT kind, CAST(floor(x / 100e0) AS INTEGER) AS bx, CAST(floor(z / 100e0) AS INTEGER) AS bz, count(*) AS n, (min(x) + max(x)) / 2 AS cx, (min(z) + max(z)) / 2 AS cz, min(terrain) AS gy, max(y - terrain) AS h, (max(x) - min(x)) * (max(z) - min(z)) AS area FROM pts WHERE kind > 0 AND NOT {NOISE} GROUP BY 1, 2, 3),
+ol AS (SELECT *, kind * 1000000 + bx * 1000 + bz AS id FROM ob)
+SELECT CAST(id AS BIGINT) AS id, id || ',' || CASE WHEN kind <= 2 THEN 'building' ELSE 'tree' END || ',' || printf('%.3f', {_HALF_UP.format("543000e0 + cx", "1000e0")}) || ',' || printf('%.3f', {_HALF_UP.format("4179000e0 - cz", "1000e0")}) || ',' || printf('%.2f', {_HALF_UP.format("gy", "100e0")})
+  || ',' || printf('%.2f', {_HALF_UP.format("h", "100e0")}) || ',' || printf('%.1f', {_HALF_UP.format("area", "10e0")}) || ',' || CASE WHEN kind <= 2 THEN '' ELSE printf('%.2f', {_HALF_UP.format("sqrt(area / pi())", "100e0")}) END || ',' || n AS line FROM ol""")
 def inventory_lines(spark, sf_dir):
+    """The lines of an inventory of the scene's own buildings and trees, each with the points it was made of."""
     from .sinks import geojson
 
-    k = F.col("n_nationkey")
-    centre = F.struct((k * 1.5).alias("x"), (-k * 2.25).alias("z"))
-    own = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
-        k.cast("bigint").alias("id"), F.when(k % 3 == 0, "building").otherwise("tree").alias("kind"), centre.alias("center"), (F.lit(3.0) + k * 0.25).alias("ground_y"), (F.lit(2.5) + k * 0.25).alias("height"), (F.lit(20.0) + k * 0.5).alias("area"),
-        (k * 0.25).alias("crown_radius"), (k * 10).cast("bigint").alias("point_count"),
+    block = [F.floor(F.col(c) / 100.0).cast("int").alias(f"b{c}") for c in "xz"]
+    own = points(spark, sf_dir).filter(f"kind > 0 AND NOT {NOISE}").groupBy("kind", *block).agg(
+        F.count("*").alias("point_count"), F.struct(((F.min("x") + F.max("x")) / 2).alias("x"), ((F.min("z") + F.max("z")) / 2).alias("z")).alias("center"), F.min("terrain").alias("ground_y"),
+        F.max(F.col("y") - F.col("terrain")).alias("height"), ((F.max("x") - F.min("x")) * (F.max("z") - F.min("z"))).alias("area"),
     )
+    own = own.withColumns({"id": (F.col("kind") * 1_000_000 + F.col("bx") * 1000 + F.col("bz")).cast("bigint"), "crown_radius": F.when(F.col("kind") > 2, F.sqrt(F.col("area") / F.lit(math.pi)))})
+    own = own.withColumn("kind", F.when(F.col("kind") <= 2, "building").otherwise("tree"))
     return geojson.inventory_lines(own, (543000.0, 0.0, -4179000.0))
+
+
+@query(scene_cte() + """SELECT round(floor(x / 0.001e0 + 0.5e0) * 0.001e0, 6) AS x, round(floor(y / 0.001e0 + 0.5e0) * 0.001e0, 6) AS y, round(-(floor(-z / 0.001e0 + 0.5e0) * 0.001e0) + 0e0, 6) AS z,
+  intensity, return_number, number_of_returns, classification, point_source_id, r, g, b FROM pts""")
+def las_tiles(spark, sf_dir):
+    """The scene written as a folder of LAS files by tiles, each by one task, and read again as one scan."""
+    from .sinks.las import write_las_tiles
+    from .sources.scan import read_scan
+
+    folder = removed_at_exit(spark, f"{shared_dir(spark)}/pm-scans-{uuid.uuid4().hex}")
+    write_las_tiles(points(spark, sf_dir), folder, TILE_EDGE, per_file=20_000)
+    out = read_scan(spark, folder)
+    whole = ("return_number", "number_of_returns", "classification", "point_source_id", "r", "g", "b")
+    return out.select(*(F.round(c, 6).alias(c) for c in "xyz"), "intensity", *(F.col(c).cast("int").alias(c) for c in whole))

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import base64
 import html
+import math
 import struct
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions.formats import area_text, count_text, height_text, share_text
 from ..operators.quality import Frame
-from ..operators.raster import MAX_DENSE_CELLS
 
-#: Colours of density bands (red, green, blue).
-BANDS = {"empty": (200, 30, 30), "sparse": (230, 120, 40), "thin": (235, 210, 80), "good": (60, 160, 80)}
+#: Pixels along the longer side of an overview.
+PIXELS = 1_200
 
 
 def png(rgb: np.ndarray) -> bytes:
@@ -25,14 +28,27 @@ def png(rgb: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">2I5B", w, h, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(raw, 9)) + part(b"IEND", b"")
 
 
-def heatmap(bands: DataFrame, frame: Frame) -> str:
-    """A data URL of density bands (row, col, band); cells without a row are transparent."""
-    if frame.rows * frame.cols > MAX_DENSE_CELLS:
-        raise ValueError(f"{frame.rows} x {frame.cols} cells are more than {MAX_DENSE_CELLS}")
-    out = np.zeros((max(1, frame.rows), max(1, frame.cols), 4), "u1")
-    for r in bands.toLocalIterator():
-        if r["band"] in BANDS:
-            out[r["row"], r["col"]] = (*BANDS[r["band"]], 255)
+def overview(density: DataFrame, median: float, frame: Frame, pixels: int = PIXELS) -> tuple[DataFrame, int]:
+    """py, px, r, g, b, a (0 to 255) of an image of a density grid (row, col, value; null or absent cells are clear), and the cells along a pixel.
+
+    The colours of all cells of a pixel are averaged, a is the share of them that have one, so the image has at
+    most ``pixels`` x ``pixels`` rows, whatever the grid's size.
+    """
+    step = max(1, -(-max(frame.rows, frame.cols) // pixels))
+    own = density.select("row", "col", G.density_rgb(F.col("value").cast("double"), F.lit(float(median))).alias("c")).filter("c IS NOT NULL")
+    at = [F.floor(F.col(k) / step).cast("int").alias(p) for k, p in (("row", "py"), ("col", "px"))]
+    mean = [G.js_round(F.avg(F.col("c")[i])).cast("int").alias(k) for i, k in enumerate("rgb")]
+    out = own.groupBy(*at).agg(*mean, F.count("*").alias("n"))
+    inside = F.least(F.lit(step), F.lit(frame.rows) - F.col("py") * step) * F.least(F.lit(step), F.lit(frame.cols) - F.col("px") * step)
+    return out.select("py", "px", *"rgb", G.js_round(F.col("n") * 255.0 / inside).cast("int").alias("a")), step
+
+
+def heatmap(density: DataFrame, median: float, frame: Frame, pixels: int = PIXELS) -> str:
+    """A data URL of a density grid, averaged down to at most ``pixels`` along its longer side."""
+    image, step = overview(density, median, frame, pixels)
+    out = np.zeros((max(1, -(-frame.rows // step)), max(1, -(-frame.cols // step)), 4), "u1")
+    t = image.toPandas()
+    out[t["py"], t["px"]] = t[["r", "g", "b", "a"]].to_numpy()
     return "data:image/png;base64," + base64.b64encode(png(out)).decode()
 
 
@@ -52,37 +68,38 @@ def quality_html(name: str, checks: list[dict], density: dict, strips: list[dict
     return f"<!doctype html><html><head><meta charset=utf-8><title>{e(name)}</title><style>{style}</style></head><body><h1>{e(name)}</h1><p>Verdict: <b>{verdict}</b></p><h2>Checks</h2>{grid(checks)}<h2>Density</h2>{grid([density])}{picture}<h2>Strips</h2>{grid(strips)}</body></html>"
 
 
-def format_count(n: int) -> str:
-    return f"{n:,}".replace(",", " ")
-
-
-def format_share(share: float) -> str:
-    return "0 %" if share == 0 else "<0.1 %" if share < 0.001 else f"{100 * share:.1f} %"
-
-
-def format_area(area: float) -> str:
-    return f"{area / 1e6:.2f} km²" if area >= 1e6 else f"{area / 1e4:.2f} ha" if area >= 1e4 else f"{area:.1f} m²"
-
-
-def format_volume(v: float) -> str:
-    return f"{v:,.0f} m³".replace(",", " ") if v >= 100 else f"{v:.1f} m³"
+def noise_summary(stats: dict) -> str:
+    """stats: n, and the stray points found low and high."""
+    found = stats["low"] + stats["high"]
+    if not found:
+        return "No noise found."
+    parts = [f"{count_text(stats[k])} {w}" for k, w in (("high", "stray above the surface"), ("low", "stray at or below it")) if stats[k]]
+    return f"{count_text(found)} points are noise ({share_text(found, stats['n'])}): {', '.join(parts)}."
 
 
-def ordinal(n: int) -> str:
-    return f"{n}{'th' if 10 <= n % 100 <= 20 else {1: 'st', 2: 'nd', 3: 'rd'}.get(n % 10, 'th')}"
+def ground_summary(stats: dict) -> str:
+    return f"{share_text(stats['ground'], stats['n'])} of points are ground."
 
 
-def noise_summary(stats: dict) -> str:
-    found = stats["low"] + stats["high"]
-    return "No stray points found." if not found else f"{format_count(found)} stray points found ({format_share(found / max(1, stats['n']))}): {format_count(stats['low'])} low, {format_count(stats['high'])} high."
+def quality_summary(level: str | None, checks: list[dict]) -> str:
+    """level: the best quality level met; checks: rows with a verdict."""
+    failed, review = (sum(c["verdict"] == v for c in checks) for v in ("fail", "review"))
+    verdict = f"{failed} check{'' if failed == 1 else 's'} failed" if failed else f"{review} to review" if review else "every check passed"
+    return f"Meets {level or 'below QL3'}; {verdict}."
 
 
-def ground_summary(stats: dict) -> str:
-    return f"{format_count(stats['ground'])} of {format_count(stats['n'])} points are ground ({format_share(stats['ground'] / max(1, stats['n']))})."
+def terrain_summary(stats: dict, interval: float, major: float) -> str:
+    """stats: lowest and highest elevation, cell, and the cells measured and covered."""
+    cell = f"{stats['cell']:.1f}" if stats["cell"] < 10 else str(math.floor(stats["cell"] + 0.5))
+    return (
+        f"Ground from {height_text(stats['low'])} to {height_text(stats['high'])} on a {cell} m grid; {share_text(stats['measured'], stats['covered'])} measured, "
+        f"the rest filled in under buildings and trees. Contours every {interval:g} m, bold every {major:g} m."
+    )
 
 
 def inventory_summary(inv: dict) -> str:
-    def word(n, w):
-        return f"{format_count(n or 0)} {w}{'' if n == 1 else 's'}"
-
-    return f"{word(inv['buildings'], 'building')} and {word(inv['trees'], 'tree')} found."
+    """inv: a row of :func:`objects.inventory`."""
+    houses = f"Footprints cover {area_text(inv['built_area'])}, the tallest building rising {height_text(inv['tallest_building'])}." if inv["buildings"] else "No buildings found."
+    low, high = inv["shortest_tree"], inv["tallest_tree"]
+    trees = "No trees found." if not inv["trees"] else f"The tree stands {height_text(high)} tall." if inv["trees"] == 1 else f"Trees stand {height_text(low)} to {height_text(high)} tall."
+    return f"{houses} {trees}"

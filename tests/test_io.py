@@ -144,10 +144,15 @@ def test_many_files_are_one_scan(spark, tmp_path):
 
 
 def test_report(spark):
-    b = spark.createDataFrame([(0, 0, "good"), (1, 1, "empty")], "row int, col int, band string")
-    page = report.quality_html("<scan>", [{"check": "density", "verdict": "pass"}], {"mean": 8.0}, [], report.heatmap(b, Frame(0.0, 0.0, 1.0, 2, 2)))
+    b = spark.createDataFrame([(0, 0, 12.0), (1, 1, 0.0)], "row int, col int, value double")
+    page = report.quality_html("<scan>", [{"check": "density", "verdict": "pass"}], {"mean": 8.0}, [], report.heatmap(b, 12.0, Frame(0.0, 0.0, 1.0, 2, 2)))
     assert "&lt;scan&gt;" in page and "data:image/png;base64," in page and "<b>pass</b>" in page
-    assert report.ordinal(11) == "11th" and report.ordinal(22) == "22nd"
+    assert report.noise_summary({"n": 1000, "low": 2, "high": 3}) == "5 points are noise (<1%): 3 stray above the surface, 2 stray at or below it."
+    assert report.quality_summary("QL1", [{"verdict": "pass"}, {"verdict": "fail"}]) == "Meets QL1; 1 check failed." and report.quality_summary(None, []) == "Meets below QL3; every check passed."
+    assert report.terrain_summary({"low": 2.25, "high": 41.6, "cell": 1.0, "measured": 80, "covered": 100}, 0.5, 2.5).startswith("Ground from 2.2 m to 42 m on a 1.0 m grid; 80% measured")
+    inv = {"buildings": 2, "built_area": 1234.5, "tallest_building": 12.4, "trees": 1, "shortest_tree": 5.0, "tallest_tree": 5.0}
+    assert report.inventory_summary(inv) == "Footprints cover 1,235 m², the tallest building rising 12 m. The tree stands 5.0 m tall."
+    assert report.inventory_summary(inv | {"buildings": 0, "trees": 0}) == "No buildings found. No trees found."
 
 
 def test_options(tmp_path):
