@@ -32,7 +32,7 @@ SAMPLE, SEEN, ORDERED = 16, 3, 400_000
 #: Lists that would make more than LEAD * LEAD pairs are linked through single sets first; what is then left of a list is paired in blocks of about BLOCK sets.
 LEAD, BLOCK = 64, 256
 #: How many sets of a long list are compared with all of it, turn by turn.
-TURNS = (1, 16, 64)
+TURNS = (1, 16)
 #: Rows of a key beyond this share of all rows are dealt out over several copies of what they are joined with.
 SHARE = 2_000
 #: Ids of texts to fetch are broadcast up to so many; beyond, both sides are shuffled.
@@ -111,20 +111,29 @@ def _kept(df: DataFrame) -> DataFrame:
     return stored(df, "minhash")
 
 
-def dealt_join(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    """rows joined with table, which has each value of ``on`` once: rows of a hot value are dealt out over copies of its row.
+def with_both(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """pairs ``a, b`` with columns of both nodes' rows of table (node, each once), named by ``columns`` and a or b.
 
-    Fewer than SHARE values are hot, and together they get at most twice as many copies, so only their values and numbers are broadcast.
+    Pairs of a node that is in many of them are dealt out over copies of its row.
+    Fewer than SHARE nodes a side are that hot, and together they get at most twice
+    as many copies, so the driver takes their numbers. pairs is read three times: keep it first.
     """
-    total = rows.count()
-    many = F.col("__n") * F.lit(SHARE) > F.lit(total)
-    hot = rows.groupBy(on).agg(F.count("*").alias("__n")).filter(many).select(on, F.ceil(F.col("__n") * F.lit(SHARE) / F.lit(max(total, 1))).cast("int").alias("__k"))
-    hot = F.broadcast(_kept(hot))
-    k = F.coalesce("__k", F.lit(1))
-    rest = [F.col(c) for c in rows.columns if c != on]
-    left = rows.join(hot, on, "left").withColumn("__s", F.pmod(F.xxhash64(*rest), k).cast("int")).drop("__k")
-    right = table.join(hot, on, "left").withColumn("__s", F.explode(F.sequence(F.lit(0), k - 1))).drop("__k")
-    return left.join(right, [on, "__s"]).drop("__s")
+    total = pairs.count()
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.col(s).alias("v")) for s in "ab"))).alias("x")
+    often = pairs.select(sides).groupBy("x.s", "x.v").agg(F.count("*").alias("n")).filter(F.col("n") * F.lit(SHARE) > F.lit(total)).collect()
+    out = pairs
+    for s, other in ("ab", "ba"):
+        one = table.select(F.col("node").alias(s), *(F.col(c).alias(f"{name}{s}") for c, name in columns.items()))
+        many = [(r["v"], -(-r["n"] * SHARE // total)) for r in often if r["s"] == s]
+        if not many:
+            out = out.join(one, s)
+            continue
+        hot = F.broadcast(pairs.sparkSession.createDataFrame(many, f"{s} bigint, __k bigint"))
+        k = F.coalesce("__k", F.lit(1))
+        out = out.join(hot, s, "left").withColumn("__s", F.pmod(F.xxhash64(other), k)).drop("__k")
+        one = one.join(hot, s, "left").withColumn("__s", F.explode(F.sequence(F.lit(0).cast("bigint"), k - 1))).drop("__k")
+        out = out.join(one, [s, "__s"]).drop("__s")
+    return out
 
 
 def _reach(common: Column, na: Column, nb: Column, percent: int) -> Column:
@@ -149,8 +158,7 @@ def _union_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(len(np.intersect1d(x, y, assume_unique=True)) + min(n - len(x), m - len(y)))
         return pa.array(out, pa.int32())
 
-    a, b = (sets.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("w").alias(f"w{k}")) for k in "ab")
-    both = dealt_join(dealt_join(pairs, a, "a"), b, "b")
+    both = with_both(pairs, sets, {"n": "n", "w": "w"})
     best = F.arrow_udf(most, "int")("wa", "wb", "na", "nb")
     return _kept(both.withColumn("best", best).filter(_reach(F.col("best"), F.col("na"), F.col("nb"), percent)).select("a", "b"))
 
@@ -173,8 +181,7 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     def shared(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([len(np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), assume_unique=True)) for a, b in zip(x, y, strict=True)], pa.int32())
 
-    a, b = (full.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("s").alias(f"s{k}")) for k in "ab")
-    both = dealt_join(dealt_join(pairs, a, "a"), b, "b")
+    both = with_both(pairs, full, {"n": "n", "s": "s"})
     alike = _reach(F.arrow_udf(shared, "int")("sa", "sb"), F.col("na"), F.col("nb"), percent)
     return _kept(both.filter(alike).select("a", "b"))
 
@@ -196,6 +203,18 @@ def _with_components(met: DataFrame, links: DataFrame) -> DataFrame:
     return _kept(out.withColumn("comp", F.coalesce("root", "node")).drop("linked", "root"))
 
 
+def _with_leads(met: DataFrame, links: DataFrame, lead: DataFrame) -> DataFrame:
+    """met whose sets take the least component of the leads (lead, other: its component) they are linked to, if it is less than their own.
+
+    Sets of equal components are then linked, if not the other way round; it takes one aggregation.
+    """
+    own = lead.groupBy(F.col("lead").alias("to")).agg(F.min("other").alias("root"))
+    both = links.select(F.col("a").alias("linked"), F.col("b").alias("to")).union(links.select("b", "a"))
+    star = both.join(own, "to").groupBy("linked").agg(F.min("root").alias("root"))
+    out = met.join(star, F.col("node") == F.col("linked"), "left")
+    return _kept(out.withColumn("comp", F.least("comp", "root")).drop("linked", "root"))
+
+
 def _links_of_long_lists(met: DataFrame, docs: DataFrame, sets: DataFrame, id_col: str, raw: Column, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
     """met with the components that links within long lists make, and these links.
 
@@ -224,7 +243,7 @@ def _links_of_long_lists(met: DataFrame, docs: DataFrame, sets: DataFrame, id_co
         pairs = own.join(near(lead), ["key", "size"]).filter((F.col("comp") != F.col("other")) & _reach(F.least("upto", "most"), F.col("n"), F.col("m"), percent)).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
         found = _confirmed(_union_filter(_kept(pairs.distinct()), sets, percent), full, percent)
         links = found if links is None else _kept(links.union(found))
-        met = _with_components(met, links)
+        met = _with_leads(met, found, lead) if leads < TURNS[-1] else _with_components(met, links)
     return met, links
 
 
