@@ -24,6 +24,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", "8" if not cpus.isdigit() else cpus)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..storage import settled
 from . import raster as R
 from .components import label_cells, narrow, numbered, patch_moments
@@ -201,8 +202,8 @@ def detect_objects(points: DataFrame, options: ObjectOptions = ObjectOptions(),
     ground_y, crown_radius, top, center, outline.
     """
     o = options
-    n, area = points.agg(F.count("*"), (F.max("x") - F.min("x")) * (F.max("z") - F.min("z"))).first()
-    cell = o.cell or min(2.0, max(0.5, 2 / math.sqrt(n / area))) if n and area else o.cell or 1.0
+    n, area = F.count("*"), F.greatest(F.lit(1.0), (F.max("x") - F.min("x")) * (F.max("z") - F.min("z")))
+    cell = o.cell or points.agg(F.when(n > 0, G.object_cell(area, n))).first()[0] or 1.0
     frame = Frame.of(points, cell, max_cells)
     rows, cols = frame.rows, frame.cols
     cells = settled(roof_cells(cell_stats(object_candidates(points, o.min_height), frame, o.crown_depth), frame, o))

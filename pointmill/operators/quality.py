@@ -50,13 +50,8 @@ def with_cells(points: DataFrame, frame: Frame) -> DataFrame:
     return points.withColumns({"row": G.cell_index(F.col("z"), frame.min_z, frame.cell, frame.rows), "col": G.cell_index(F.col("x"), frame.min_x, frame.cell, frame.cols)})
 
 
-def survey_cells(points: DataFrame, frame: Frame) -> DataFrame:
-    """One row for each strip in each cell, without noise: n points, ``first`` returns, and of the hard surface its k points, sum s and squares ss of heights.
-
-    Hard is ground if any point is ground, else single returns, which leaves
-    canopy out. Density, coverage, precision and strips are all derived from
-    this one aggregate, so a scan is read and shuffled once.
-    """
+def survey_sums(points: DataFrame, frame: Frame) -> DataFrame:
+    """Counts and sums by cell and strip, without noise, which add up over parts of a scan: n, first returns, and k, s, ss of single returns (o) and of ground (g)."""
     own = with_cells(without_noise(points), frame)
     one = lambda c: F.sum(c.cast("long"))
     first = F.coalesce(F.col("return_number") <= 1, F.lit(True)) if "return_number" in own.columns else F.lit(True)
@@ -67,9 +62,23 @@ def survey_cells(points: DataFrame, frame: Frame) -> DataFrame:
     sums = [F.count("*").alias("n"), one(first).alias("first")]
     for k, at in hard.items():
         sums += [one(at).alias(f"{k}k"), F.sum(F.when(at, F.col("y"))).alias(f"{k}s"), F.sum(F.when(at, F.col("y") * F.col("y"))).alias(f"{k}ss")]
-    cells = settled(own.groupBy("row", "col", "point_source_id").agg(*sums))
-    known = "g" if "g" in hard and cells.filter("gk > 0").limit(1).count() else "o"
-    return cells.select("row", "col", "point_source_id", "n", "first", *(F.col(f"{known}{c}").alias(c) for c in ("k", "s", "ss")))
+    return own.groupBy("row", "col", "point_source_id").agg(*sums)
+
+
+def survey_of(sums: DataFrame) -> DataFrame:
+    """The cells of :func:`survey_cells` from sums of a whole scan; read more than once."""
+    known = "g" if "gk" in sums.columns and sums.filter("gk > 0").limit(1).count() else "o"
+    return sums.select("row", "col", "point_source_id", "n", "first", *(F.col(f"{known}{c}").alias(c) for c in ("k", "s", "ss")))
+
+
+def survey_cells(points: DataFrame, frame: Frame) -> DataFrame:
+    """One row for each strip in each cell, without noise: n points, ``first`` returns, and of the hard surface its k points, sum s and squares ss of heights.
+
+    Hard is ground if any point is ground, else single returns, which leaves
+    canopy out. Density, coverage, precision and strips are all derived from
+    this one aggregate, so a scan is read and shuffled once.
+    """
+    return survey_of(settled(survey_sums(points, frame)))
 
 
 def footprint_cells(cells: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry as G
@@ -747,6 +747,24 @@ def covered_cells(spark, sf_dir):
     return objects.covered_area(s.filter("built * 2 > n").select("row", "col", label.alias("label")), s, 1.0).withColumn("area", F.round("area", 6))
 
 
+@query(f"""{BASE}, bx AS (SELECT kind * 1000000 + CAST(floor(x / 100e0) AS INTEGER) * 1000 + CAST(floor(z / 100e0) AS INTEGER) AS label, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM pc WHERE kind IN (1, 2) GROUP BY 1),
+ls AS (SELECT *, (r0 + r1) // 2 AS rm, (c0 + c1) // 2 AS cm FROM bx)
+SELECT CAST(label AS BIGINT) AS label, 6 AS corners, ((r1 - r0 + 1) * (c1 - c0 + 1) - (r1 - rm) * (c1 - cm)) * 1e0 AS area, x0 + c0 AS min_x, x0 + c1 + 1 AS max_x, z0 + r0 AS min_z, z0 + r1 + 1 AS max_z FROM ls CROSS JOIN fr""")
+def outlines(spark, sf_dir):
+    """Outlines of the roofs' extents without a quarter: rings of six corners around as much as their cells cover."""
+    p = points(spark, sf_dir)
+    f = Frame.of(p)
+    label = (F.col("kind") * 1_000_000 + F.floor(F.col("x") / 100.0) * 1000 + F.floor(F.col("z") / 100.0)).cast("bigint")
+    box = quality.with_cells(p.filter("kind IN (1, 2)"), f).groupBy(label.alias("label")).agg(*(g(c).alias(f"{c[0]}{k}") for c in ("row", "col") for k, g in ((0, F.min), (1, F.max))))
+    cells = box.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+    cells = cells.filter((F.col("row") <= F.floor((F.col("r0") + F.col("r1")) / 2)) | (F.col("col") <= F.floor((F.col("c0") + F.col("c1")) / 2))).select("label", "row", "col")
+    ring = objects.outline(cells, f).select("label", F.size("outline").alias("corners"), F.posexplode("outline").alias("k", "p"))
+    w = Window.partitionBy("label").orderBy("k")
+    nxt = F.coalesce(F.lead("p").over(w), F.first("p").over(w))
+    e = ring.select("label", "corners", "p", (F.col("p.x") * nxt["z"] - nxt["x"] * F.col("p.z")).alias("part"))
+    return e.groupBy("label").agg(F.max("corners").alias("corners"), F.round(F.abs(F.sum("part")) / 2, 6).alias("area"), *(g(f"p.{c}").alias(f"{n}_{c}") for c in "xz" for n, g in (("min", F.min), ("max", F.max))))
+
+
 def _objects(spark, sf_dir):
     p = hag_points(spark, sf_dir).withColumn("classification", F.when(F.col("classification").isin(5, 6), 1).otherwise(F.col("classification")))
     return objects.detect_objects(p.select("pid", "x", "y", "z", "classification", "number_of_returns", "height_above_ground", "kind"))
@@ -1141,6 +1159,55 @@ def streaming_cell_stats(spark, sf_dir):
     return cells.cell_stats_stream(p, Frame.of(p))
 
 
+_STATES: dict = {}
+
+
+def _state(spark, sf_dir):
+    """The scene taken in as a stream of files in two runs, the second of files that came late, with a compaction between them."""
+    from .streaming.partials import ScanState
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STATES:
+        p = points(spark, sf_dir).drop("kind", "terrain", "above")
+        at = removed_at_exit(spark, f"{shared_dir(spark)}/pm-state-{uuid.uuid4().hex}")
+        low = p.agg(F.min("x"), F.min("y"), F.min("z")).first()
+        state = ScanState(spark, at, Frame.of(p), 2.0, tuple(low))
+        for late in (0, 1):
+            p.filter(F.pmod(F.xxhash64("pid"), F.lit(3)).isin([1, 2] if not late else [0])).repartition(2).write.mode("append").parquet(f"{at}/in")
+            stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+            state.follow(stream).awaitTermination()
+            if not late:
+                state.compact()
+        _STATES[key] = state
+    return _STATES[key]
+
+
+@query(ORACLES["class_histogram"])
+def streamed_classes(spark, sf_dir):
+    return _state(spark, sf_dir).table("classes")
+
+
+@query(ORACLES["density_stats"])
+def streamed_density(spark, sf_dir):
+    s = _state(spark, sf_dir)
+    return quality.density(quality.footprint_cells(settled(s.survey())), s.frame, (1, 2))
+
+
+@query(ORACLES["strip_pairs"])
+def streamed_strips(spark, sf_dir):
+    return quality.strip_pairs(quality.strip_offsets(settled(_state(spark, sf_dir).survey())))
+
+
+@query(ORACLES["voxel_majority"])
+def streamed_votes(spark, sf_dir):
+    return _state(spark, sf_dir).thinned().select("vx", "vy", "vz", "classification")
+
+
+@query(ORACLES["streaming_cell_stats"])
+def streamed_cells(spark, sf_dir):
+    return _state(spark, sf_dir).table("cells")
+
+
 # ------------------------------------------------------------ files
 
 
