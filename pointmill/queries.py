@@ -599,6 +599,19 @@ def detect_ground(spark, sf_dir):
     return ground.detect_ground(p).select("pid", "classification", F.round("height_above_ground", 6).alias("height_above_ground"))
 
 
+@query(scene_cte() + """, bl AS (SELECT CAST(floor(x / 20e0) AS INTEGER) AS bx, CAST(floor(z / 20e0) AS INTEGER) AS bz, sum(CASE WHEN classification = 2 THEN 1 ELSE 0 END) AS ground, sum(CASE WHEN classification IN (5, 6) AND above > 1 THEN 1 ELSE 0 END) AS other FROM pts GROUP BY 1, 2)
+SELECT bx, bz, CAST(ground AS BIGINT) AS ground, CAST(other AS BIGINT) AS other, true AS kept, true AS left_out FROM bl""")
+def ground_found(spark, sf_dir):
+    """By blocks of 20 m, the scene's ground and what stands a metre or more above it, and whether the detection keeps 98 % of the one and takes in 2 % of the other at most."""
+    p = points(spark, sf_dir)
+    own = p.select("pid", "x", "z", "above", F.col("classification").alias("truth"))
+    d = ground.detect_ground(p.withColumn("classification", F.when(G.is_noise(F.col("classification")), F.col("classification")).otherwise(0))).select("pid", "classification")
+    j = own.join(d, "pid").withColumns({"g": F.col("truth") == 2, "o": F.col("truth").isin(5, 6) & (F.col("above") > 1), "hit": F.col("classification") == 2})
+    n = lambda c: F.sum(c.cast("bigint"))
+    b = j.groupBy(F.floor(F.col("x") / 20.0).cast("int").alias("bx"), F.floor(F.col("z") / 20.0).cast("int").alias("bz")).agg(n(F.col("g")).alias("ground"), n(F.col("o")).alias("other"), n(F.col("g") & F.col("hit")).alias("kept"), n(F.col("o") & F.col("hit")).alias("taken"))
+    return b.select("bx", "bz", "ground", "other", (F.col("kept") >= F.col("ground") * 0.98).alias("kept"), (F.col("taken") <= F.col("other") * 0.02).alias("left_out"))
+
+
 def _fill_sql(src: str, out: str, levels: int = 10) -> str:
     """Push-pull of src (row, col, value) over the whole frame: halved again and again, then sampled between the four nearest centres."""
     parts = [f"{out}d0 AS (SELECT rws AS rr, cols AS cc FROM fr)", f"{out}c0 AS MATERIALIZED (SELECT row, col, value AS v, 1e0 AS w FROM {src})"]
@@ -770,6 +783,17 @@ def _objects(spark, sf_dir):
     return objects.detect_objects(p.select("pid", "x", "y", "z", "classification", "number_of_returns", "height_above_ground", "kind"))
 
 
+@query(scene_cte() + f""", ob AS (SELECT DISTINCT kind * 1000000 + CAST(floor(x / 100e0) AS INTEGER) * 1000 + CAST(floor(z / 100e0) AS INTEGER) AS instance, kind FROM pts WHERE kind > 0 AND NOT {NOISE})
+SELECT CAST(instance AS BIGINT) AS instance, CASE WHEN kind <= 2 THEN 'building' ELSE 'tree' END AS kind FROM ob""")
+def objects_found(spark, sf_dir):
+    """The scene's buildings and trees as the detection finds them: those that share over half of their points with an object of one kind."""
+    found, made = _objects(spark, sf_dir)
+    truth = points(spark, sf_dir).filter(f"kind > 0 AND NOT {NOISE}")
+    truth = truth.select("pid", (F.col("kind") * 1_000_000 + F.floor(F.col("x") / 100.0) * 1000 + F.floor(F.col("z") / 100.0)).cast("bigint").alias("instance"))
+    match = objects.match_objects(truth, found.select("pid", "object_id"))
+    return match.join(made.select(F.col("id").alias("object_id"), "kind"), "object_id").select("instance", "kind")
+
+
 @query()
 def detect_objects(spark, sf_dir):
     o = _objects(spark, sf_dir)[1]
