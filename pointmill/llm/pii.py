@@ -58,7 +58,8 @@ DIGIT_OR_AT = re.compile(r"[0-9@]|::|(?i:passw|pwd|secret|token|api.?key)")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: Kind, pattern, and what a text must hold for the pattern to be tried. The earlier pattern wins.
 PATTERNS = [
-    ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[ \t]*(?P<sep>[=:])[ \t]*(?P<v>[^\s,;'\"]+)"), ("=", ":")),
+    # The word and the value may stand in quotes, as in JSON; a quoted value may hold spaces.
+    ("secret", re.compile(r"(?i)(?<![^\W_])(?:password|passwd|pwd|secret|token|api[_-]?key)(?:[_-](?:key|value|id))?[\"'`]?[ \t]*(?P<sep>[=:])>?[ \t]*(?P<q>[\"'`]?)(?P<v>(?<=[\"'`])[^\"'`\r\n]{1,400}(?=[\"'`])|[^\s,;'\"`]+)"), ("=", ":")),
     ("key", re.compile(r"\b(?P<v>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})\b"), ("AKIA", "ASIA", "gh", "sk-")),
     ("email", re.compile(r"(?<![\w.%+'’-])(?P<v>\w[\w.%+'’-]*@[\w-]+(?:\.[\w-]+)+)"), ("@",)),
     ("ip6", re.compile(r"(?<![\w:.])(?P<v>[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7})(?![\w:]|\.\d)"), (":",)),
@@ -116,6 +117,8 @@ def _sound(kind: str, m: re.Match) -> str | None:
     """The matched value, trimmed, or None where the form alone misleads."""
     v = m["v"]
     if kind == "secret":
+        if m["q"] and m.string[m.end("v") : m.end("v") + 1] == m["q"]:
+            return v if v.strip() else None
         v = v.rstrip(".!?)]")
         # Behind a colon, a plain word is prose.
         return v if v and (m["sep"] == "=" or not v.isalpha() or not (v.islower() or v.istitle())) else None

@@ -347,3 +347,31 @@ def test_attention_lm_odd(odd_docs, no_docs):
     empty = [r for r in out if r["doc_id"] in (4, 5, 6)]
     assert all(r["n_tokens"] == 1 for r in empty)
     assert attnlm.score_documents(no_docs, tokenizer_path()).count() == 0
+
+
+def test_secrets_in_quotes_are_found():
+    """Each form of a planted value, known apart from the detector, goes; prose stays."""
+    forms = [
+        'token = "{}"', "token = '{}'", '"password": "{}"', "'secret': '{}',", "api_key={}", 'API-KEY: "{}"', "access_token = `{}`", 'db_password="{}"', "pwd:{}", '{{"token":"{}"}}', "secret_key => '{}'", "export SECRET={};",
+    ]
+    for form in forms:
+        for value in ("24be6443a0c1", "hunter2!x", "Zq9-_/+k=="):
+            text = f"before {form.format(value)} after"
+            out, found = pii.replaced(text, KEY, {})
+            assert value not in out and [k for _, _, k, _ in found] == ["secret"], (text, out)
+            assert out.startswith("before ") and out.endswith(" after")
+    assert "correct horse" not in pii.replaced('password: "correct horse"', KEY, {})[0]
+    for text in ("The secret: nobody knew it.", "a token: of thanks", 'the word "token" and "secret" here', "token economy = broken promises"[:13]):
+        assert pii.find(text) == []
+
+
+def test_all_planted_secrets_of_documents_go(spark):
+    """Of the values that stand behind a word for a secret in the documents none is left in its document."""
+    from pointmill.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    planted = [(r["doc_id"], v) for r in docs.filter("text IS NOT NULL").collect() for v in re.findall(r'(?:token|secret|password|api_key)\s*[=:]\s*"([0-9A-Za-z]{8,})"', r["text"])]
+    assert len(planted) >= 10
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(docs, KEY).collect()}
+    left = [(i, v) for i, v in planted if v in out[i]]
+    assert left == []
