@@ -32,7 +32,7 @@ SAMPLE, SEEN, ORDERED = 16, 3, 400_000
 #: Lists that would make more than LEAD * LEAD pairs are linked through single sets first; what is then left of a list is paired in blocks of about BLOCK sets.
 LEAD, BLOCK = 64, 256
 #: How many sets of a long list are compared with all of it, turn by turn.
-TURNS = (1, 16)
+TURNS = (1, 16, 64)
 #: Rows of a key beyond this share of all rows are dealt out over several copies of what they are joined with.
 SHARE = 2_000
 #: Ids of texts to fetch are broadcast up to so many; beyond, both sides are shuffled.
@@ -243,7 +243,7 @@ def _links_of_long_lists(met: DataFrame, docs: DataFrame, sets: DataFrame, id_co
         pairs = own.join(near(lead), ["key", "size"]).filter((F.col("comp") != F.col("other")) & _reach(F.least("upto", "most"), F.col("n"), F.col("m"), percent)).select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b"))
         found = _confirmed(_union_filter(_kept(pairs.distinct()), sets, percent), full, percent)
         links = found if links is None else _kept(links.union(found))
-        met = _with_leads(met, found, lead) if leads < TURNS[-1] else _with_components(met, links)
+        met = _with_leads(met, found, lead) if turn == 0 else _with_components(met, links)
     return met, links
 
 
