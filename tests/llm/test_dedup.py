@@ -346,3 +346,19 @@ def test_several_templates_in_one_leaf(spark, monkeypatch):
         assert set(map(frozenset, by.values())) == want
     kept = {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["n_dropped"] == 0}
     assert 1 + lines.index("opened by user bob via ssh") in kept and 1 + lines.index("opened by user cyd via ssh") not in kept
+
+
+def test_pairs_of_a_leaf_grow_with_its_lines(spark):
+    """Lines that share their leading tokens only meet few others, however many they are."""
+    rng = random.Random(3)
+
+    def met(count, n):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40 * count)]
+        lines = ["error in module " + " ".join(rng.choice(words) for _ in range(n - 3)) for _ in range(count)]
+        docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+        text = line_dedup._lines(docs, "doc_id", "text", 3).select("leaf", "n", "h", F.lit(1).alias("seen"), "masked")
+        c = F.col("c")
+        return line_dedup._prefixes(text, 3, 0.8).groupBy("key").agg(F.count("*").alias("c")).agg(F.sum(c * (c - 1) / 2)).first()[0]
+
+    for n in (15, 18, 27):
+        assert met(300, n) < 300 and met(600, n) < 600
