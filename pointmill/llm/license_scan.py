@@ -5,7 +5,9 @@ For each text, the licence words with the highest inverse document frequency
 (counted over all documents) are looked up; the postings of a template are
 intersected by relative position (places that agree on where the template
 would begin), and a template counts only if its mandatory key phrase stands
-there too. Exact base phrases are found in every text besides.
+there too. Long passages may have words put in or left out: where no one
+beginning agrees, the longest chain of postings in order, over beginnings that
+are up to a quarter of the passage apart, decides. Exact base phrases are found in every text besides.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ TEMPLATES = [
 ]
 #: Rarest licence words of a text that are looked up, and the share of a template's words that must agree.
 RARE, SHARE = 16, 0.7
+#: Passages of so many words or more may be matched by a chain, of so large a share of their words, within windows wider by a quarter.
+CHAINED, CHAIN, DRIFT = 12, 0.8, 4
 
 #: Every ASCII byte but digits and letters separates words; A-Z become a-z; other bytes stay.
 FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -63,6 +67,7 @@ class Index:
         for k, (_, _, words) in enumerate(self.templates):
             for p, w in enumerate(words):
                 self.postings.setdefault(w, []).append((k, p))
+        self.masks = [word_masks(words) for _, _, words in self.templates]
         self.vocabulary = frozenset(self.postings)
         frequency = frequency or {}
         self.idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 0.5)) for w in self.vocabulary}
@@ -93,23 +98,35 @@ class Index:
                 for k, p in self.postings[w]:
                     at.add((k, i - p))
         best: dict[str, tuple[float, int]] = {}
+        chains: dict[str, tuple[float, int]] = {}
         keys: dict[int, list[int]] = {}
+        reached: dict[int, int] = {}
         # A start counts where the postings and a place of the key phrase agree; only then words are compared.
         for k, start in sorted(at):
             label, key, template = self.templates[k]
+            drift = len(template) // DRIFT if len(template) >= CHAINED else 0
             if k not in keys:
                 keys[k] = _places(words, key) if here.issuperset(key) else []
-            first = bisect.bisect_left(keys[k], max(0, start - 2))
-            if first == len(keys[k]) or keys[k][first] > start + len(template) + 2 - len(key):
+            first = bisect.bisect_left(keys[k], max(0, start - max(2, drift)))
+            if first == len(keys[k]) or keys[k][first] > start + len(template) + max(2, drift) - len(key):
                 continue
             lo = max(0, start)
             span = words[lo : start + len(template)]
+            kept = best
             agree = sum(1 for a, b in zip(span, template[lo - start :], strict=False) if a == b) / len(template)
             if agree < SHARE:
-                continue
-            if label not in best or (agree, -start) > (best[label][0], -best[label][1]):
-                best[label] = (agree, lo)
-        return sorted((label, start, share) for label, (share, start) in best.items())
+                # A window serves all beginnings up to a drift behind its own.
+                if not drift or start <= reached.get(k, start - 1):
+                    continue
+                reached[k] = start + drift
+                agree = chain_length(self.masks[k], len(template), words[max(0, start - drift) : start + len(template) + 2 * drift]) / len(template)
+                if agree < CHAIN:
+                    continue
+                kept = chains
+            if label not in kept or (agree, -start) > (kept[label][0], -kept[label][1]):
+                kept[label] = (agree, lo)
+        # A chain tells a label that no one beginning has.
+        return sorted((label, start, share) for label, (share, start) in {**chains, **best}.items())
 
     def scan(self, raw: bytes | None) -> dict:
         words = words_of(raw or b"")
@@ -125,6 +142,25 @@ class Index:
         }
 
 
+def word_masks(words: list[bytes]) -> dict[bytes, int]:
+    """For each word, a bit at each of its positions."""
+    out: dict[bytes, int] = {}
+    for p, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << p
+    return out
+
+
+def chain_length(masks: dict[bytes, int], m: int, span: list[bytes]) -> int:
+    """How many of a passage's m words stand in span in the same order: the longest common subsequence, a row of it held in one number's bits."""
+    full = (1 << m) - 1
+    row = full
+    for w in span:
+        if w in masks:
+            hit = row & masks[w]
+            row = ((row + hit) | (row - hit)) & full
+    return m - row.bit_count()
+
+
 def _places(words: list[bytes], phrase: list[bytes]) -> list[int]:
     """Where a phrase's words stand one after another."""
     out, at, n = [], -1, len(phrase)
@@ -161,8 +197,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null text counts as empty: no words, no labels, score 0. score is 1 where a
     base phrase stands, else the share of the best template that agrees. spans
-    are the template matches (label, first word, share). Repeated rows repeat
-    their result; other columns are left out.
+    are the template matches (label, first word, share); of a match with words put
+    in or left out, the first word is the one its first posting points to.
+    Repeated rows and rows without an id get their own result; very long texts
+    are read whole; other columns are left out.
     """
     frequency, n = document_frequency(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(Index(frequency, n))

@@ -188,6 +188,28 @@ def test_license_templates():
     assert whole["labels"] == "mit" and whole["n_base"] == 0 and whole["spans"][0]["start"] == 3 and 0.7 <= whole["score"] < 1
 
 
+def test_license_words_put_in_or_left_out():
+    ix = license_scan.Index({}, 100)
+    f = lambda t: ix.scan(t.encode())["labels"]
+    assert f("Permission is hereby granted, free of charge, to any person (or entity) obtaining a copy of this software and associated documentation files") == "mit"
+    assert f("a " * 500 + "Permission is hereby granted, free of charge, to every person or legal entity obtaining a copy of this software and documentation files" + " b" * 500) == "mit"
+    assert f("Redistribution and use in source code and binary forms, with or without any modification, are permitted provided that the conditions below are met") == "bsd"
+    assert f("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted") == "isc"
+    assert f("Permission is hereby granted to all students of the school to leave the building with a person of their choice and a copy of this note") == ""
+    assert f("redistribution and use of the water in the following forms is not permitted with or without a source of power") == ""
+
+
+def test_license_chain_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert license_scan.chain_length(license_scan.word_masks(a), len(a), b) == best[-1][-1]
+
+
 KEY = b"k"
 
 
