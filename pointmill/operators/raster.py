@@ -346,8 +346,9 @@ def _roughness(v: np.ndarray, tolerance: float) -> np.ndarray:
         det = aa * bb - ab * ab
         told = np.abs(det) > 1e-9
         safe = np.where(told, det, 1.0)
-        kr, kc = np.where(told, (ah * bb - bh * ab) / safe, 0.0), np.where(told, (bh * aa - ah * ab) / safe, 0.0)
-        res = h - kr[:, None] * a - kc[:, None] * b
+        # Divided last, as the SQL does: residuals of exactly the tolerance occur, and the last bit decides on them.
+        kr, kc = ah * bb - bh * ab, bh * aa - ah * ab
+        res = h - np.where(told[:, None], (a * kr[:, None] + b * kc[:, None]) / safe[:, None], 0.0)
         if turn < 2:
             low = np.where(use, np.round(res, 9), np.inf).argmin(1)
             go = (use.sum(1) > 6) & (res[np.arange(len(v)), low] < -tolerance)

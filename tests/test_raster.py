@@ -271,6 +271,23 @@ def test_roughness_equals_least_squares(spark):
     assert np.allclose(got, want, equal_nan=True)
 
 
+def test_roughness_at_the_tolerance(spark):
+    """Of two neighbourhoods with a residual of exactly the tolerance, the SQL's arithmetic keeps the one's low cell and drops the other's."""
+    import duckdb
+
+    from pointmill.queries import ORACLES
+
+    a = np.array([[19.0, 19.6875, 19.46875], [18.984375, 19.296875, 19.53125], [18.90625, 19.359375, 19.421875]])
+    b = np.array([[18.53125, 18.453125, 17.59375], [18.6875, 18.140625, 17.59375], [18.46875, 18.046875, 17.53125]])
+    con = duckdb.connect()
+    for v, known in ((a, 0.123296), (b, 0.054448)):
+        cells = ", ".join(f"({r}, {c}, {float(v[r, c])!r}e0)" for r in range(3) for c in range(3))
+        sql = f"WITH lo(row, col, value) AS (VALUES {cells}), nb AS (" + ORACLES["plane_roughness"].split(", nb AS (", 1)[1]
+        want = {(r, c): x for r, c, x in con.sql(sql).fetchall()}
+        got = {(r["row"], r["col"]): r["value"] for r in raster.plane_roughness(grid_df(spark, v)).collect()}
+        assert want[1, 1] == known and {k: x if x is None else round(x, 6) for k, x in got.items()} == want
+
+
 def test_surface_growth_stops_at_edges(spark):
     a = np.full((30, 30), 5.0)
     a[5:15, 5:15] = 9.0 + 0.05 * np.arange(10)
