@@ -26,7 +26,8 @@ class GroundOptions:
     threshold: float = 0.5
     scaler: float = 1.25
     low_depth: float = 2.0
-    max_cells: int | None = 4_000_000
+    #: Cells grow until a grid fits so many; grids are keyed tables, so none has to.
+    max_cells: int | None = None
     tile: int = 1_024
 
     def __post_init__(self):

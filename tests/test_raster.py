@@ -135,6 +135,21 @@ def test_ground_and_objects(spark):
     assert m.count() == 2
 
 
+def test_ground_cells_of_a_wide_scan(spark, monkeypatch):
+    """However wide a scan, its cells stay as large as asked for."""
+    wide = spark.createDataFrame([(k, 25.0 * k, 1.0, 25.0 * k, 2) for k in range(101)], "pid long, x double, y double, z double, classification int")
+    seen = []
+
+    def stop(_points, frame):
+        seen.append(frame)
+        raise InterruptedError
+
+    monkeypatch.setattr(raster, "minimum_surface", stop)
+    with pytest.raises(InterruptedError):
+        ground.detect_ground(wide)
+    assert (seen[0].cell, seen[0].rows, seen[0].cols) == (1.0, 2501, 2501)
+
+
 def test_polygon_volumes(spark):
     a = np.full((40, 40), 10.0)
     a[10:20, 10:30] = 20.0
