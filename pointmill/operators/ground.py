@@ -92,7 +92,7 @@ def height_above_ground(points: DataFrame, frame: Frame, fallback: DataFrame | N
     return out.withColumn("height_above_ground", F.col("y") - F.col("_ground")).drop("_ground")
 
 
-def height_above_classified_ground(points: DataFrame, cell: float = 1.0, max_cells: int | None = 4_000_000) -> DataFrame | None:
+def height_above_classified_ground(points: DataFrame, cell: float = 1.0, max_cells: int | None = None) -> DataFrame | None:
     """Heights over the ground that the scan itself labels; None where less than 100 points or half a percent are ground."""
     n, ground = points.agg(F.count("*"), F.sum((F.col("classification") == 2).cast("long"))).first()
     if (ground or 0) < max(100, 0.005 * n):

@@ -150,6 +150,13 @@ def test_ground_cells_of_a_wide_scan(spark, monkeypatch):
     assert (seen[0].cell, seen[0].rows, seen[0].cols) == (1.0, 2501, 2501)
 
 
+def test_heights_of_a_wide_scan(spark, monkeypatch):
+    wide = spark.createDataFrame([(k, 25.0 * k, 1.0, 25.0 * k, 2) for k in range(101)], "pid long, x double, y double, z double, classification int")
+    monkeypatch.setattr(ground, "height_above_ground", lambda _points, frame: frame)
+    f = ground.height_above_classified_ground(wide)
+    assert (f.cell, f.rows, f.cols) == (1.0, 2501, 2501)
+
+
 def test_polygon_volumes(spark):
     a = np.full((40, 40), 10.0)
     a[10:20, 10:30] = 20.0
