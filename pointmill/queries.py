@@ -1234,6 +1234,9 @@ def streamed_cells(spark, sf_dir):
 
 # ------------------------------------------------------------ files
 
+#: The scene's own frame, in which it is written and read again; a reader would move the frame of a wide one to its middle.
+SCENE_ORIGIN = "0,0,0"
+
 
 @query(scene_cte() + """SELECT row_number() OVER (ORDER BY pid) - 1 AS pid, round(floor(x / 0.001e0 + 0.5e0) * 0.001e0, 6) AS x, round(floor(y / 0.001e0 + 0.5e0) * 0.001e0, 6) AS y, round(-(floor(-z / 0.001e0 + 0.5e0) * 0.001e0) + 0e0, 6) AS z,
   intensity, return_number, number_of_returns, classification, point_source_id, r, g, b FROM pts""")
@@ -1244,7 +1247,7 @@ def las_points(spark, sf_dir):
 
     path = removed_at_exit(spark, f"{shared_dir(spark)}/pm-scan-{uuid.uuid4().hex}.las")
     write_las(points(spark, sf_dir), path)
-    out = read_scan(spark, path)
+    out = read_scan(spark, path, origin=SCENE_ORIGIN)
     whole = ("return_number", "number_of_returns", "classification", "point_source_id", "r", "g", "b")
     return out.select("pid", *(F.round(c, 6).alias(c) for c in "xyz"), "intensity", *(F.col(c).cast("int").alias(c) for c in whole))
 

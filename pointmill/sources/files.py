@@ -43,6 +43,14 @@ def of_options(options) -> list[str]:
     return json.loads(options["scanFiles"]) if options.get("scanFiles") else [options["path"]]
 
 
+def origin_of(options) -> tuple[float, float, float] | None:
+    """The origin of the local frame that a data source was asked for: the option origin, as x,y,z."""
+    if not options.get("origin"):
+        return None
+    x, y, z = map(float, options["origin"].split(","))
+    return x, y, z
+
+
 def each(f, paths: list[str]) -> list:
     """f of every path, in order, several at a time."""
     if len(paths) == 1:

@@ -2,7 +2,8 @@
 
 ``spark.read.format("lasscan").load(path)``; options: ``keepEvery`` (every
 k-th point), ``maxPoints`` (thins evenly to fit), ``columns`` (comma-separated
-subset, so that others are never decoded), ``blockBytes``.
+subset, so that others are never decoded), ``blockBytes``, ``origin`` ("x,y,z": of the
+local frame, instead of the extent's centre to the next thousand).
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ class LasReader(DataSourceReader):
         self.block_bytes = int(options.get("blockBytes", BLOCK_BYTES))
         usable = [f.header for f in self.files if f.header.usable_extent]
         whole = replace(usable[0], low=tuple(map(min, *(h.low for h in usable), usable[0].low)), high=tuple(map(max, *(h.high for h in usable), usable[0].high))) if usable else self.header
-        self.origin = whole.origin
+        self.origin = files.origin_of(options) or whole.origin
 
     def partitions(self):
         out = []

@@ -115,10 +115,10 @@ class PlyReader(DataSourceReader):
         most = int(options.get("maxPoints", 0) or 0)
         self.keep_every = int(options.get("keepEvery", 0) or 0) or (max(1, -(-self.count // most)) if most else 1)
         self.block_bytes = int(options.get("blockBytes", BLOCK_BYTES))
-        # The centre of samples of all files, to the next thousand.
+        # The centre of samples of all files, to the next thousand, where none is asked for.
         own = [s for s in files.each(lambda p: next(f for f in self.files if f.path == p).sample(), [f.path for f in self.files]) if s is not None]
         low, high = (getattr(np.concatenate(own), k)(0) if own else np.zeros(3) for k in ("min", "max"))
-        self.origin = tuple(math.floor((a + b) / 2 / 1000 + 0.5) * 1000.0 for a, b in zip(low, high, strict=True))
+        self.origin = files.origin_of(options) or tuple(math.floor((a + b) / 2 / 1000 + 0.5) * 1000.0 for a, b in zip(low, high, strict=True))
 
     def partitions(self):
         out = []

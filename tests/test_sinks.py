@@ -21,6 +21,17 @@ def cloud(spark, n, colour=True):
     return rows, df if colour else df.drop("r", "g", "b")
 
 
+@pytest.mark.parametrize("name", ["las_points"])
+def test_scene_files_keep_their_frame(spark, monkeypatch, name):
+    """A scene whose middle lies nearer to the next thousand is read where it was written."""
+    from pointmill import queries
+
+    df = cloud(spark, 200)[1].withColumns({"x": F.col("x") + 900, "z": F.col("z") + 1700, "intensity": F.lit(7.0)})
+    monkeypatch.setattr(queries, "points", lambda *_: df)
+    key = lambda d: sorted(tuple(r) for r in d.select(*(F.round(c, 6) for c in "xyz")).collect())
+    assert key(queries.QUERIES[name](spark, "")) == key(df)
+
+
 @pytest.mark.parametrize("chunk", [7, 1_000_000])
 def test_one_las_file_of_many_writers(spark, tmp_path, monkeypatch, chunk):
     monkeypatch.setattr(las_sink, "CHUNK", chunk)
