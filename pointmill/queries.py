@@ -1282,6 +1282,6 @@ def las_tiles(spark, sf_dir):
 
     folder = removed_at_exit(spark, f"{shared_dir(spark)}/pm-scans-{uuid.uuid4().hex}")
     write_las_tiles(points(spark, sf_dir), folder, TILE_EDGE, per_file=20_000)
-    out = read_scan(spark, folder)
+    out = read_scan(spark, folder, origin=SCENE_ORIGIN)
     whole = ("return_number", "number_of_returns", "classification", "point_source_id", "r", "g", "b")
     return out.select(*(F.round(c, 6).alias(c) for c in "xyz"), "intensity", *(F.col(c).cast("int").alias(c) for c in whole))

@@ -21,7 +21,7 @@ def cloud(spark, n, colour=True):
     return rows, df if colour else df.drop("r", "g", "b")
 
 
-@pytest.mark.parametrize("name", ["las_points"])
+@pytest.mark.parametrize("name", ["las_points", "las_tiles"])
 def test_scene_files_keep_their_frame(spark, monkeypatch, name):
     """A scene whose middle lies nearer to the next thousand is read where it was written."""
     from pointmill import queries
