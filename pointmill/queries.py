@@ -1196,9 +1196,11 @@ def _state(spark, sf_dir):
         at = removed_at_exit(spark, f"{shared_dir(spark)}/pm-state-{uuid.uuid4().hex}")
         low = p.agg(F.min("x"), F.min("y"), F.min("z")).first()
         state = ScanState(spark, at, Frame.of(p), 2.0, tuple(low))
+        # Files are as many as the scene has parts; a batch takes one for each core, so neither a task nor a batch grows with the scene.
+        files = max(2, spark.sparkContext.defaultParallelism)
         for late in (0, 1):
-            p.filter(F.pmod(F.xxhash64("pid"), F.lit(3)).isin([1, 2] if not late else [0])).repartition(2).write.mode("append").parquet(f"{at}/in")
-            stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+            p.filter(F.pmod(F.xxhash64("pid"), F.lit(3)).isin([1, 2] if not late else [0])).write.mode("append").parquet(f"{at}/in")
+            stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
             state.follow(stream).awaitTermination()
             if not late:
                 state.compact()

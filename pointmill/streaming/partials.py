@@ -10,6 +10,7 @@ holds; readers take the latest base and the batches behind it.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from .cells import cell_partials
 #: How columns of partials merge; all others are keys.
 MERGED = {"n": "sum", "s": "sum", "ss": "sum", "lo": "min", "hi": "max", "first": "sum"} | {f"{k}{c}": "sum" for k in "og" for c in ("k", "s", "ss")} | {f"sum_{c}": "sum" for c in ("x", "y", "z", "intensity", "r", "g", "b")}
 FAMILIES = ("classes", "cells", "survey", "voxels", "votes")
+#: Rows of partials that a task merges about.
+MERGE_ROWS = 1_000_000
 
 
 def merged(parts: DataFrame) -> DataFrame:
@@ -88,6 +91,10 @@ class ScanState:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
+        # Rows of all batches are counted (from the files' footers), so that more of them are merged by more tasks.
+        tasks = math.ceil(out.count() / MERGE_ROWS)
+        if tasks > int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            out = out.repartition(tasks, *(c for c in out.columns if c not in MERGED))
         return merged(out)
 
     def compact(self) -> None:

@@ -39,3 +39,19 @@ def test_streamed_partials_equal_the_batch(spark, tmp_path):
     assert key(state.table("classes")) == before
     with pytest.raises(ValueError, match=FAMILIES[0]):
         state.table("lines")
+
+
+def test_streamed_scene_is_no_two_files(spark, tmp_path, monkeypatch):
+    """The scene's parts come as files of their own, and many partials are merged by many tasks."""
+    from pointmill import queries
+    from pointmill.streaming import partials
+
+    rows = [(k, k % 40 + 0.5, 1.0, k % 36 + 0.5, 2, 1, 1, 1 + k % 2, 5.0, 0, 0.0, 0.0) for k in range(400)]
+    p = spark.createDataFrame(rows, "pid long, x double, y double, z double, classification int, return_number int, number_of_returns int, point_source_id int, intensity double, kind int, terrain double, above double")
+    monkeypatch.setattr(queries, "points", lambda *_: p.repartition(6))
+    monkeypatch.setattr(queries, "_STATES", {})
+    monkeypatch.setattr(partials, "MERGE_ROWS", 50)
+    state = queries._state(spark, str(tmp_path))
+    assert len(spark.read.parquet(f"{state.path}/in").inputFiles()) == 12
+    cells = state.table("cells")
+    assert cells.rdd.getNumPartitions() > 4 and cells.agg(F.sum("n")).first()[0] == 400
