@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..storage import settled
+from ..storage import settled, shuffled_by_rows
 from .measure import tiles_under_cursor
 from .tables import tile_size, tiles, voxel_downsample
 
@@ -24,6 +24,8 @@ PER_TILE, PER_FILE = 100_000, 4_000_000
 NAMED_TILES = 10_000
 #: Thinning: share of points that a tier keeps of the one above, growth of the voxel between attempts, attempts, those tried in one pass.
 FRACTION, GROWTH, ATTEMPTS, AT_ONCE = 0.25, 1.35, 24, 4
+#: Voxels, one for each point and size tried, that a task tells apart at most about.
+TASK_VOXELS = 1_000_000
 _BOX = [f"{side}_{c}" for side in ("min", "max") for c in "xyz"]
 _TILE = ["grid_x", "grid_z"]
 
@@ -146,23 +148,24 @@ def write_tiles(points: DataFrame, path: str, tile: float | None = None, per_til
         raise ValueError("tile must be a positive number")
     own, voxel = tiles(points, edge, x0, z0, x1 - x0, z1 - z0), F.lit(0.0)
     store, rows, schemas, boxes = TileStore(spark, path), [], [], None
-    for tier in range(levels + 1):
-        if tier:
-            # The box and spacing of what is thinned, which is smaller than the tile.
-            above = tile_boxes(store.points(tier=tier - 1)).join(rows[-1].select(*_TILE, "voxel"), _TILE)
-            made = thinned(store.points(tier=tier - 1), settled(above), fraction)
-            made = made.withColumn("_voxel", F.col("voxel")).drop("voxel").withColumnRenamed("_voxel", "voxel")
-        else:
-            made = own.withColumn("voxel", voxel)
-        data = made.hint("rebalance", *_TILE)
-        data.write.mode("overwrite").option("maxRecordsPerFile", PER_FILE).partitionBy(*_TILE).parquet(f"{path}/tier={tier}")
-        schema = made.select(*(c for c in made.columns if c not in _TILE), *_TILE).schema
-        schemas.append((f"{tier} {schema.json()}",))
-        spark.createDataFrame(schemas, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
-        counts = store.points(tier=tier).groupBy(*_TILE).agg(F.count("*").alias("n"), F.max("voxel").alias("voxel"))
-        if boxes is None:
-            boxes = settled(tile_boxes(store.points()).drop("n"))
-        rows.append(settled(counts.join(boxes, _TILE).withColumn("tier", F.lit(tier)).withColumn("spacing", spacing())))
+    with shuffled_by_rows(spark, n * AT_ONCE, TASK_VOXELS):
+        for tier in range(levels + 1):
+            if tier:
+                # The box and spacing of what is thinned, which is smaller than the tile.
+                above = tile_boxes(store.points(tier=tier - 1)).join(rows[-1].select(*_TILE, "voxel"), _TILE)
+                made = thinned(store.points(tier=tier - 1), settled(above), fraction)
+                made = made.withColumn("_voxel", F.col("voxel")).drop("voxel").withColumnRenamed("_voxel", "voxel")
+            else:
+                made = own.withColumn("voxel", voxel)
+            data = made.hint("rebalance", *_TILE)
+            data.write.mode("overwrite").option("maxRecordsPerFile", PER_FILE).partitionBy(*_TILE).parquet(f"{path}/tier={tier}")
+            schema = made.select(*(c for c in made.columns if c not in _TILE), *_TILE).schema
+            schemas.append((f"{tier} {schema.json()}",))
+            spark.createDataFrame(schemas, "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+            counts = store.points(tier=tier).groupBy(*_TILE).agg(F.count("*").alias("n"), F.max("voxel").alias("voxel"))
+            if boxes is None:
+                boxes = settled(tile_boxes(store.points()).drop("n"))
+            rows.append(settled(counts.join(boxes, _TILE).withColumn("tier", F.lit(tier)).withColumn("spacing", spacing())))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

@@ -142,3 +142,18 @@ def test_tier_for_distance(spark):
 
 def test_tile_edge():
     assert tables.tile_size(50_000, 100.0) is None and tables.tile_size(400_000, 100.0) == 50.0
+
+
+def test_voxels_of_many_points_are_dealt_over_many_tasks(spark, tmp_path, monkeypatch):
+    points = spark.range(2_000).selectExpr("id AS pid", "CAST(id % 50 AS DOUBLE) AS x", "0e0 AS y", "CAST(id % 40 AS DOUBLE) AS z")
+    key, seen, own = "spark.sql.shuffle.partitions", [], tilestore.thinned
+
+    def thinned(*args):
+        seen.append(int(spark.conf.get(key)))
+        return own(*args)
+
+    monkeypatch.setattr(tilestore, "thinned", thinned)
+    monkeypatch.setattr(tilestore, "TASK_VOXELS", 800, raising=False)
+    before = spark.conf.get(key)
+    store = tilestore.write_tiles(points, str(tmp_path / "t"), 10.0, levels=1)
+    assert seen == [10] and spark.conf.get(key) == before and store.points().count() == 2_000
