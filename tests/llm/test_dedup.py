@@ -362,3 +362,30 @@ def test_pairs_of_a_leaf_grow_with_its_lines(spark):
 
     for n in (15, 18, 27):
         assert met(300, n) < 300 and met(600, n) < 600
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in (files.apply(k).getName() for k in range(files.size())) if f.startswith("shuffle_")}
+
+
+def test_shuffles_of_settled_tables_are_deleted(spark):
+    """What was shuffled for a settled or stored table and for the rounds of components is gone soon after, not when garbage is collected."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from pointmill.operators.components import connected_components
+    from pointmill.storage import settled, stored
+
+    before = _shuffle_files(spark)
+    edges = settled(spark.range(400).selectExpr("id AS a", "id + id % 3 AS b").repartition(4, "a"))
+    held = connected_components(edges)
+    sums = stored(edges.groupBy("b").agg(F.count("*").alias("n")), "sums")
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    # One look at whether there are edges stays.
+    assert len(left) <= 10, len(left)
+    assert held.count() and sums.count() == edges.select("b").distinct().count()
