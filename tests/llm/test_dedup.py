@@ -389,3 +389,27 @@ def test_shuffles_of_settled_tables_are_deleted(spark):
     # One look at whether there are edges stays.
     assert len(left) <= 10, len(left)
     assert held.count() and sums.count() == edges.select("b").distinct().count()
+
+
+def test_near_copies_come_from_simhash(spark, monkeypatch):
+    """SimHash finds near copies by itself: also with the exact search for the rest taken away; its links are checked on all shingles."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for g in range(20):
+        base = [word() for _ in range(1_000)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join([*base, word()]))]
+    # Fingerprints count repeats, sets do not: alike to SimHash only.
+    rows += [(100, "a b c " * 100 + "x y z u v w"), (101, "a b c " * 100 + "p q r s t o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {r["doc_id"]: r["fp"] for r in simhash.fingerprints(docs).collect()}
+    near = [g for g in range(20) if ((fps[2 * g] ^ fps[2 * g + 1]) & (1 << 64) - 1).bit_count() <= simhash.RADIUS]
+    assert len(near) >= 10 and ((fps[100] ^ fps[101]) & (1 << 64) - 1).bit_count() <= simhash.RADIUS
+    want = brute_copies(rows)
+    assert want[101] == 101
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_copy_components(docs).collect()} == want
+    bucket_pairs = simhash._bucket_pairs
+    monkeypatch.setattr(simhash, "LEAD", 1 << 30)
+    monkeypatch.setattr(simhash, "_bucket_pairs", lambda met, similarity: bucket_pairs(met.limit(0), similarity))
+    alone = {x["doc_id"]: x["component_id"] for x in simhash.near_copy_components(docs).collect()}
+    assert {g for g in range(20) if alone[2 * g + 1] == 2 * g} == {*near} and alone[101] == 101
