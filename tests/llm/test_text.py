@@ -363,6 +363,36 @@ def test_attention_lm_held_out(spark):
     assert held[0] > held[1]
 
 
+def test_attention_lm_learns_from_all_training_texts(spark, monkeypatch):
+    """Company, network and mixture see every training word, in one group of blocks or in many; unseen documents gain on the smaller table too."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    seen, given = [], []
+    balance, classes = attnlm.Model.balance, attnlm.Model.classes
+    monkeypatch.setattr(attnlm.Model, "balance", lambda m, cells: (seen.append((int(cells.sum()), m.n_words)), balance(m, cells))[1])
+    monkeypatch.setattr(attnlm.Model, "classes", lambda m, near, *rest: (given.append(near), classes(m, near, *rest))[1])
+    held = attnlm.score_documents(docs, tokenizer_path()).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+    monkeypatch.setattr(attnlm, "BLOCK_BYTES", 300_000)
+    again = attnlm.score_documents(docs, tokenizer_path()).agg(F.count("*"), F.sum((F.col("score") > 0).cast("int"))).first()
+    n_train = docs.filter("crc32(cast(doc_id AS string)) % 10 <> 0").count()
+    assert again == (docs.count(), 0) and all(n == total - n_train > 100_000 for n, total in seen) and len(seen) == 2
+    assert (given[0] == given[1]).all() and given[0].sum() > 1_000_000
+
+
+def test_company_against_brute_force():
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 3, 40, 9])
+    stream, rank = rng.integers(0, 90, lengths.sum()), np.where(np.arange(90) < 80, np.arange(90), -1)
+    want = np.zeros((attnlm.TOP, attnlm.COMPANY), int)
+    for doc in np.split(rank[stream], np.cumsum(lengths)[:-1]):
+        for d in attnlm.DISTANCES:
+            for a, b in zip(doc, doc[d:], strict=False):
+                for x, y in ((a, b), (b, a)):
+                    if min(a, b) >= 0 and y < attnlm.COMPANY:
+                        want[x, y] += 1
+    assert (attnlm.company(stream, lengths, rank) == want).all()
+
+
 def test_attention_lm_odd(odd_docs, no_docs):
     out = attnlm.score_documents(odd_docs, tokenizer_path()).collect()
     assert len(out) == 12 and all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) and r["score"] <= 1e-6 for r in out)
