@@ -372,7 +372,7 @@ def test_attention_lm_learns_from_all_training_texts(spark, monkeypatch):
     monkeypatch.setattr(attnlm.Model, "classes", lambda m, near, *rest: (given.append(near), classes(m, near, *rest))[1])
     held = attnlm.score_documents(docs, tokenizer_path()).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
-    monkeypatch.setattr(attnlm, "BLOCK_BYTES", 300_000)
+    monkeypatch.setattr(attnlm, "GROUP_BYTES", 300_000)
     again = attnlm.score_documents(docs, tokenizer_path()).agg(F.count("*"), F.sum((F.col("score") > 0).cast("int"))).first()
     n_train = docs.filter("crc32(cast(doc_id AS string)) % 10 <> 0").count()
     assert again == (docs.count(), 0) and all(n == total - n_train > 100_000 for n, total in seen) and len(seen) == 2
