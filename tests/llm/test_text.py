@@ -51,6 +51,46 @@ def test_codec_columns(spark, library, odd_docs, no_docs):
     assert spm.token_digests(no_docs, tokenizer_path()).count() == 0
 
 
+def test_codec_memory_is_bounded(library, monkeypatch):
+    """Few segments and pairs are remembered, most of them as one text, and results stay those of the library while memory is trimmed."""
+    import hashlib
+
+    monkeypatch.setattr(spm, "REMEMBER", 60)
+    monkeypatch.setattr(spm, "KEEP", 20)
+    codec = spm.Codec(spm.load_pieces(tokenizer_path()))
+    rng = random.Random(6)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("abcdeoté你\U0001f44d\n▁") for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(0, 40)))
+        ids = library.encode(text)
+        assert codec.digest(text) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids))), text
+        assert len(codec.segments) <= 60 and len(codec.pair) <= 60
+    assert isinstance(codec.segments[spm.MARK + "the"], str)
+    codec.forget()
+    assert len(codec.segments) <= 20 and len(codec.pair) <= 20
+    # Without byte pieces some segments decode to another text.
+    v = spm.load_pieces(tokenizer_path())
+    plain = spm.Codec(v | {"bytes": [False] * len(v["bytes"]), "other": [a or b for a, b in zip(v["other"], v["bytes"], strict=True)]})
+    text = "the \U0001f9ff\U0001f9ff fox \u2603x"
+    assert plain.digest(text)[2] == sha(plain.decode(plain.encode(text))) != sha(text)
+
+
+def test_workers_forget_segments(spark):
+    """A Python worker that goes on with other work holds no more than a small part of the tokenizer's memory."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").repartition(1)
+    assert spm.token_digests(docs, tokenizer_path()).agg(F.sum("n_tokens")).first()[0] > 900_000
+
+    def held(batches):
+        import pyarrow as pa
+
+        from pointmill.llm import spm
+
+        for b in batches:
+            yield pa.record_batch([pa.array([max([0, *(max(len(c.segments), len(c.pair)) for c in spm._CODECS.values())])] * len(b), pa.int64())], ["n"])
+
+    assert 10_000 < spark.range(400, numPartitions=8).mapInArrow(held, "n long").agg(F.max("n")).first()[0] <= spm.KEEP
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
