@@ -364,6 +364,29 @@ def test_attention_gradients():
         assert (up - down) / (2 * eps) == pytest.approx(g[k][i], rel=1e-3, abs=1e-7), k
 
 
+def test_attention_takes_little_memory():
+    """Windows of a group, and words of a block, are laid out a few at a time; large sums take the careful way."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    lengths = np.full(300, 1000)
+    place, since = attnlm.windows(lengths)
+    n = int(lengths.sum())
+    inputs, target = rng.integers(0, 1000, n + attnlm.WINDOW).astype(np.int32), rng.integers(0, 64, n + attnlm.WINDOW).astype(np.int32)
+    net = attnlm.Attention(1088, 64)
+    tracemalloc.start()
+    losses, seen = net.fit(inputs, target, place, since, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40 * n and (seen[:n] < 0).all() and np.isfinite(losses).all()
+    lists = [np.zeros(1000, np.int32)] * 1000
+    runs = list(attnlm._some(lists))
+    assert sum(map(len, runs)) == 1000 and max(map(len, runs)) <= 201
+    net.p["b"][0] = 200
+    loss, g = net.gradients(inputs[:32].reshape(2, 16), target[:32].reshape(2, 16), np.ones((2, 16), np.float32))
+    assert np.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+
+
 def test_windows_score_each_once():
     lengths = np.array([1, 5, 16, 17, 28, 29, 100])
     place, since = attnlm.windows(lengths)
